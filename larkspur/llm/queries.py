@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from larkspur.llm import chat, decontam, rules, sharding, warc
+from larkspur.llm import chat, decontam, packing, quality, rules, sharding, warc
 
 QUERIES = {
     "op2_warc_salvage": warc.query,
     "op3_lookup_sharding": sharding.query,
+    "op6_complement_packing": packing.query,
     "op7_risk_controlled_rules": rules.query,
     "op8_chat_events": chat.query,
     "op9_winnowing_decontamination": decontam.query,
+    "op10_random_indexing_quality": quality.query,
 }
 
 ORACLE_SQL = {

@@ -107,7 +107,7 @@ def cutoffs(good: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFr
     counts = good.select("stratum", F.explode(F.array(*map(level_of, RULES))).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count(F.lit(1)).alias("n"))
     strata = counts.select("stratum").distinct().count()
 
-    def choose(key, table: pa.Table) -> pa.Table:
+    def choose(key, table):
         stratum, rule = (k.as_py() for k in key)
         grid, by_level = RULES[rule][1], dict(zip(table["level"].to_pylist(), table["n"].to_pylist()))
         n, chosen = sum(by_level.values()), None
