@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.frames import materialize
+from larkspur.llm.text import Words
 
 SIZE, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_500_000
 #: A length's pieces are numbered in parts of PART_ROWS, or as many more as make PARTS parts of all.
 PART_ROWS, PARTS = 256, 4096
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -37,8 +38,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Little-endian 32-bit ids of white-space separated words. The tokenizer drops white space and joins nothing over it, so a text's ids are its words' ids."""
+class WordIds:
+    """Ids of white-space separated words, remembered by the word's hash.
+
+    The tokenizer drops white space and joins nothing over it, so a text's ids
+    are its words' ids. The memory is three arrays (sorted hashes, where a
+    word's ids are, all ids); when full, the words of the last call stay.
+    """
 
     def __init__(self, path: str):
         import os
@@ -47,16 +53,37 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.keys())
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self[word] = np.array(got.ids, "<u4").tobytes()
+        self.hashes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def ids_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in order, and where each word's begin (one more than words)."""
+        unique, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        i = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[i] != unique) if len(self.hashes) else np.arange(len(unique))
+        if len(new):
+            texts = [words.bytes_of(k).decode() for k in first[new].tolist()]
+            got = [e.ids for k in range(0, len(texts), 5_000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 5_000], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter((x for g in got for x in g), "<u4", int(sizes.sum()))
+            if len(self.hashes) + len(new) > CACHE_WORDS:
+                keep = np.unique(i[self.hashes[i] == unique]) if len(self.hashes) else i[:0]
+                self.ids = self.ids[_ragged(self.at[keep], self.size[keep])]
+                self.hashes, self.size = self.hashes[keep], self.size[keep]
+                self.at = np.cumsum(self.size) - self.size
+            place = np.searchsorted(self.hashes, unique[new])
+            self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.size, self.hashes = np.insert(self.size, place, sizes), np.insert(self.hashes, place, unique[new])
+            self.ids = np.concatenate([self.ids, ids])
+            i = np.searchsorted(self.hashes, unique)
+        word = i[inverse]
+        sizes = self.size[word]
+        return self.ids[_ragged(self.at[word], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _ragged(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes at[i] to at[i] + sizes[i], one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + sizes, sizes)
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, ids: bool = False, text: str = "text") -> DataFrame:
@@ -72,26 +99,16 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordIds(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                words = [(t or b"").split() for t in b.column("_text").cast(pa.binary()).to_pylist()]
-                done, some, n = 0, set(), 0
-                rows: list[tuple] = []
-
-                def flush(to: int) -> None:
-                    table.learn(some)
-                    for i in range(done, to):
-                        data = b"".join([*map(table.__getitem__, words[i]), end])
-                        for k in range(0, len(data), 4 * size):
-                            part = data[k : k + 4 * size]
-                            rows.append((i, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part), part))
-
-                for i, w in enumerate(words):  # as many texts at a time as the table holds the words of
-                    some.update(w)
-                    if len(some) > CACHE_WORDS // 2:
-                        flush(i + 1)
-                        done, some = i + 1, set()
-                flush(len(words))
+            for at in range(0, batch.num_rows, 250):
+                b = batch.slice(at, 250)
+                words = Words(b.column("_text"))
+                all_ids, starts = table.ids_of(words)
+                begin, rows = starts[words.bounds], []
+                for i in range(b.num_rows):
+                    data = all_ids[begin[i] : begin[i + 1]].tobytes() + end
+                    for k in range(0, len(data), 4 * size):
+                        part = data[k : k + 4 * size]
+                        rows.append((i, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
                 columns = [pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 arrays = [b.column(c).take(columns[0]) for c in keep] + columns[1:5]
                 if ids:
