@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Python call handles at a time.
 BLOCK_BYTES = 6 << 20
+_CODEC = pa.Codec("zstd", 3)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -27,19 +33,81 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-
-
-def block_count(df: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks that hold about block_bytes of text each, one at least for each shuffle partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, -(-text_bytes(df, column) // block_bytes))
-
-
-def in_blocks(df: DataFrame, n: int, *keys: str, name: str = "block") -> DataFrame:
-    """df with the block of each row, from a hash of its keys."""
-    return df.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+def text_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs as a written table of blocks: block (a number), rows (their other columns), sizes and data (texts in bytes, compressed).
+
+    Each task fills its blocks one after another, without a shuffle; a block
+    has about block_bytes of text and one row at least, so memory follows the
+    block and the longest text. Null texts are empty. A block keeps its number,
+    whatever reads it later.
+    """
+    keep = [c for c in docs.columns if c != text]
+    kinds = dict(docs.dtypes)
+    rows = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in keep) + ">"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block():
+            t = pa.Table.from_batches(held).combine_chunks()
+            texts = t["_text"].combine_chunks() if t["_text"].num_chunks else pa.array([], pa.large_binary())
+            at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = texts.buffers()[2].slice(at[0], at[-1] - at[0]) if at[-1] > at[0] else pa.py_buffer(b"")
+            structs = pa.StructArray.from_arrays([t[c].combine_chunks() for c in keep], keep)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | n]), pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs), pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([_compress(data)], pa.binary())],
+                ["block", "rows", "sizes", "data"],
+            )
+
+        for batch in batches:
+            texts = batch.column("_text").cast(pa.large_binary()).fill_null(b"")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
+            b = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], [*keep, "_text"])
+            at = 0
+            while at < b.num_rows:
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + block_bytes - size, "right")))
+                held.append(b.slice(at, to - at))
+                size += int(ends[to - 1] - before)
+                at = to
+                if size >= block_bytes * 7 // 8:
+                    yield block()
+                    n, held, size = n + 1, [], 0
+        if held:
+            yield block()
+
+    source = docs.select(*keep, F.col(text).alias("_text"))
+    return materialize(source.mapInArrow(gather, f"block long, rows array<{rows}>, sizes array<long>, data binary"))
+
+
+def _compress(data) -> bytes:
+    return _CODEC.compress(data, asbytes=True)
+
+
+def block_texts(data, sizes) -> pa.Array:
+    """The texts of a block, as Arrow bytes."""
+    sizes = np.asarray(sizes.values, np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    plain = _CODEC.decompress(data.as_buffer(), int(at[-1])) if at[-1] else pa.py_buffer(b"")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), plain])
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Blocks one by one: a batch of one row, and its texts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1), block_texts(batch.column("data")[i], batch.column("sizes")[i])
+
+
+def block_bytes_of(blocks: DataFrame) -> int:
+    """Bytes of text in all blocks."""
+    return blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+
+
+def shard_count(blocks: DataFrame, shard_bytes: int) -> int:
+    """Shards that get what shard_bytes of text make, one at least for each shuffle partition."""
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, -(-block_bytes_of(blocks) // shard_bytes))
 
 
 def crc_remainder(column, divisor: int):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from larkspur.llm import chat, decontam, neardup, packing, quality, rules, sharding, warc
+from larkspur.llm import chat, decontam, neardup, packing, quality, rules, sharding, substrings, warc
 
 QUERIES = {
     "op2_warc_salvage": warc.query,
     "op3_lookup_sharding": sharding.query,
     "op4_tensored_minhash": neardup.query,
+    "op5_fingerprint_index": substrings.query,
     "op6_complement_packing": packing.query,
     "op7_risk_controlled_rules": rules.query,
     "op8_chat_events": chat.query,
@@ -19,6 +20,7 @@ ORACLE_SQL = {
     "op2_warc_salvage": warc.ORACLE_SQL,
     "op3_lookup_sharding": sharding.ORACLE_SQL,
     "op4_tensored_minhash": neardup.ORACLE_SQL,
+    "op5_fingerprint_index": substrings.ORACLE_SQL,
     "op8_chat_events": chat.ORACLE_SQL,
     "op9_winnowing_decontamination": decontam.ORACLE_SQL,
 }
