@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.llm import chat, decontam, neardup, packing, quality, rules, sharding, substrings, warc
+from larkspur.llm import chat, decontam, neardup, ngrams, packing, quality, rules, sharding, substrings, warc
 
 QUERIES = {
+    "op1_elias_fano_ngrams": ngrams.query,
     "op2_warc_salvage": warc.query,
     "op3_lookup_sharding": sharding.query,
     "op4_tensored_minhash": neardup.query,
