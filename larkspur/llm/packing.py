@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,9 @@ class WordIds:
     """Ids of white-space separated words, remembered by the word's hash.
 
     The tokenizer drops white space and joins nothing over it, so a text's ids
-    are its words' ids. The memory is three arrays (sorted hashes, where a
+    are its words' ids; it lowers letters, and cuts a comma or full stop from
+    letters before it. New words of letters go to it many in one text: each
+    ends with an id that marks a word's end. The memory is three arrays (sorted hashes, where a
     word's ids are, all ids); when full, the words of the last call stay.
     """
 
@@ -53,6 +56,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.hashes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def ids_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +67,7 @@ class WordIds:
         i = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
         new = np.flatnonzero(self.hashes[i] != unique) if len(self.hashes) else np.arange(len(unique))
         if len(new):
-            texts = [words.bytes_of(k).decode() for k in first[new].tolist()]
-            got = [e.ids for k in range(0, len(texts), 5_000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 5_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((x for g in got for x in g), "<u4", int(sizes.sum()))
+            ids, sizes = self._encode([words.bytes_of(k).decode() for k in first[new].tolist()])
             if len(self.hashes) + len(new) > CACHE_WORDS:
                 keep = np.unique(i[self.hashes[i] == unique]) if len(self.hashes) else i[:0]
                 self.ids = self.ids[_ragged(self.at[keep], self.size[keep])]
@@ -79,6 +82,24 @@ class WordIds:
         sizes = self.size[word]
         return self.ids[_ragged(self.at[word], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
+    def _encode(self, texts: list[str], joined: int = 50) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, in order, and how many each has."""
+        letters = np.fromiter((t.isalpha() and (t.isascii() or normalize("NFC", t.lower()).isalpha()) for t in texts), bool, len(texts))
+        plain, other = [texts[i] for i in np.flatnonzero(letters)], [texts[i] for i in np.flatnonzero(~letters)]
+        got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + joined]) for i in range(0, len(plain), joined)], add_special_tokens=False)]
+        together = np.concatenate([np.zeros(0, "<u4"), *got])
+        ends = np.flatnonzero(self.ends[together]) + 1
+        if len(ends) != len(plain):  # letters that the tokenizer doesn't take for such
+            letters[:], other, together, ends = False, texts, together[:0], ends[:0]
+        single = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[letters], sizes[~letters] = np.diff(ends, prepend=0), [len(x) for x in single]
+        ids = np.zeros(int(sizes.sum()), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        ids[_ragged(begin[letters], sizes[letters])] = together
+        ids[_ragged(begin[~letters], sizes[~letters])] = np.concatenate([np.zeros(0, "<u4"), *single])
+        return ids, sizes
+
 
 def _ragged(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indexes at[i] to at[i] + sizes[i], one range after another."""
@@ -101,7 +122,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 b = batch.slice(at, 250)
-                words = Words(b.column("_text"))
+                words = Words(b.column("_text"), lower=True, split=b",.")
                 all_ids, starts = table.ids_of(words)
                 begin, rows = starts[words.bounds], []
                 for i in range(b.num_rows):

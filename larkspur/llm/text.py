@@ -30,6 +30,8 @@ def _powers(base: int) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
 
 #: Bytes between words: ASCII white space, or every ASCII character but letters and digits.
@@ -49,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a text column: row ``i`` has the words ``bounds[i]:bounds[i + 1]``."""
 
-    def __init__(self, column, lower: bool = False, between: np.ndarray = WHITE, seed: int = 1, hashed: bool = True):
+    def __init__(self, column, lower: bool = False, between: np.ndarray = WHITE, seed: int = 1, hashed: bool = True, split: bytes = b""):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
@@ -67,6 +69,11 @@ class Words:
         before[1:] = inside[:-1]
         self.start = np.flatnonzero(inside & (~before | first))
         self.end = np.flatnonzero(before & (~inside | first))
+        if split:  # one such byte after a last ASCII letter is a word of its own
+            last = np.flatnonzero(self.end - self.start > 1)
+            e = self.end[last]
+            last = last[np.isin(self.data[e - 1], np.frombuffer(split, np.uint8)) & _LETTER[self.data[e - 2]]]
+            self.start, self.end = np.insert(self.start, last + 1, self.end[last] - 1), np.insert(self.end, last, self.end[last] - 1)
         self.bounds = np.searchsorted(self.start, self.at)
         self.counts = np.diff(self.bounds)
         self.n = len(self.start)
