@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.frames import materialize
 from larkspur.llm.text import Words, grams, whole
 
 SYMBOLS = "#*$%&|<>"
@@ -139,11 +140,11 @@ def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     its own; null labels and labels without a document count for nothing; a
     document with several labels counts as good if all of them are 1.
     """
-    measured = measure(docs.withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("(null)"))), keep=("doc_id", "stratum"))
+    by_stratum = docs.withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("(null)")))
+    measured = materialize(measure(by_stratum, keep=("doc_id", "stratum")))  # texts are read once; counts, not texts, meet the labels
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
-    labelled = docs.join(good, "doc_id", "left_semi")
-    labelled = measure(labelled.withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("(null)"))), keep=("doc_id", "stratum"))
-    return judge(measured, cutoffs(labelled.where(~base_failed()), risk, error))
+    labelled = measured.join(good, "doc_id", "left_semi")
+    return judge(measured, materialize(cutoffs(labelled.where(~base_failed()), risk, error)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
