@@ -338,17 +338,20 @@ class FingerprintIndex:
 
 
 def _kept(words: Words, gone: np.ndarray, row: int) -> tuple[int, int, bytes, list[dict]]:
-    """n_words, n_removed, the kept words joined by a space, and the removed spans of a row."""
+    """n_words, n_removed, the text without the removed words and the white space after them, and the removed spans of a row."""
     a, b = int(words.bounds[row]), int(words.bounds[row + 1])
-    flags, tokens = gone[a:b], words.text(row).split()  # bytes.split knows the same white space
-    kept = b" ".join([t for t, g in zip(tokens, flags.tolist()) if not g] if flags.any() else tokens)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    spans = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])]
-    return b - a, int(flags.sum()), kept, spans
+    flags, text, origin = gone[a:b], words.text(row), int(words.at[row])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).tolist()
+    spans = list(zip(edge[::2], edge[1::2]))
+    parts, at = [], 0
+    for x, y in spans:
+        parts.append(text[at : int(words.start[a + x]) - origin])
+        at = int(words.start[a + y]) - origin if a + y < b else len(text)
+    return b - a, int(flags.sum()), b"".join([*parts, text[at:]]), [{"start": x, "end": y} for x, y in spans]
 
 
 def deduplicate(docs: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
-    """docs with the kept words as their text; documents of which nothing is kept stay, with an empty text."""
+    """docs with what is kept as their text; documents of which nothing is kept stay, with an empty or blank text."""
     out = FingerprintIndex(docs.sparkSession, span=span).ingest(docs, text)
     return out.select(*[F.col("kept_text").alias(text) if c == text else c for c in docs.columns])
 
@@ -357,7 +360,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once repeated 20-word windows are gone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = FingerprintIndex(spark).ingest(docs)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    joined = F.btrim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(joined.cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = rf"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
