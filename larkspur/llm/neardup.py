@@ -105,14 +105,17 @@ def hub_pairs(members: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) of the docs with an id in ids: packed sets."""
+    """(doc_id, shingles) of the docs with an id in ids: packed sets.
+
+    The ids grow with the documents, so they are never broadcast: the plan is the same at every size.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(x, ordered=True) for x in shingle_sets(b.column("_text"), k)], pa.binary())], ["doc_id", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "_text").join(ids, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, shingles binary")
+    return docs.select("doc_id", "_text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -121,10 +124,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A hub's pairs are dealt in parts of about MEMBERS, the hub's set going once to each part.
     """
     counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.select("hub", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
+    parts = materialize(counts.select("hub", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts")))  # written, so that a hot hub's join can be split
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    members = dealt.join(sets, "doc_id").select("hub", "part", "doc_id", "shingles")
-    hubs = parts.join(sets.withColumnRenamed("doc_id", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(dict(pairs.dtypes)["doc_id"]).alias("doc_id"), "shingles")
+    members = dealt.join(sets.hint("merge"), "doc_id").select("hub", "part", "doc_id", "shingles")
+    hubs = parts.join(sets.withColumnRenamed("doc_id", "hub").hint("merge"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(dict(pairs.dtypes)["doc_id"]).alias("doc_id"), "shingles")
 
     def compare(key, table):
         ids, packed = table["doc_id"].to_pylist(), table["shingles"]
