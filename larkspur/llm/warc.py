@@ -115,8 +115,10 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     if not START.match(data, at) or end < 0:
         return "header"
     try:
-        lines = data[at:end].decode().split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
+        lines = [(k.strip().lower(), v.strip()) for k, v in (line.split(":", 1) for line in data[at:end].decode().split("\r\n")[1:])]
+        headers = dict(lines)
+        if len(headers) < len(lines) and len({k for k, _ in lines if k != "warc-concurrent-to"}) < sum(k != "warc-concurrent-to" for k, _ in lines):
+            return "header"  # two records run into each other
         length = int(headers["content-length"])
     except (ValueError, KeyError):
         return "header"
