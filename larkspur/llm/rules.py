@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-RISK, ERROR = 0.05, 0.05
+RISK, ERROR = 0.02, 0.05
 #: Beyond so many strata their cutoffs are joined by a shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -113,7 +113,7 @@ def cutoffs(good: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFr
         grid, by_level = RULES[rule][1], dict(zip(table["level"].to_pylist(), table["n"].to_pylist()))
         n, chosen = sum(by_level.values()), None
         for i, cutoff in enumerate(grid):
-            k = sum(v for level, v in by_level.items() if level > i)
+            k = sum(v for level, v in by_level.items() if level >= len(grid) - i)  # level: how many cutoffs, from the strictest on, the value exceeds
             if not safe(k, n, risk / len(RULES), error / (len(RULES) * max(1, strata))):
                 break
             chosen = cutoff
