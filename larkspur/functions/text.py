@@ -25,6 +25,10 @@ LIGHT_COLOR_PHRASES = (
     r"\b(?:white and colou?r|white ambiance|colou?r ambiance|tunable white|soft white|warm white|cool white|bright white|"
     r"daylight white|full colou?r|white colou?r|rgbw?w?|rgbic|colou?r changing|multicolou?r)\b"
 )
+CONDITIONAL_KINDS = {
+    "coupon": r"coupon|promo code|with code|clip", "membership": r"member|prime\b|club price|plus price|my best buy|walmart\+|circle", "subscription": r"subscribe|subscription|auto[- ]?ship",
+    "financing": r"/\s*mo\b|per month|monthly|apr\b|affirm|klarna|afterpay|installment", "trade_in": r"trade[- ]?in", "carrier_activation": r"activation|with carrier|unlock", "in_cart": r"in cart|add to cart to see",
+}
 UNIT_MM = {"inch": 25.4, "in": 25.4, "ft": 304.8, "feet": 304.8, "foot": 304.8, "mm": 1.0, "cm": 10.0, "m": 1000.0, "meter": 1000.0, "meters": 1000.0, "metre": 1000.0, "metres": 1000.0}
 
 
@@ -192,10 +196,42 @@ def volts(c: Column) -> Column:
 
 
 def shipping_of(c: Column) -> Column:
-    """0 for free shipping, the amount before "shipping" or "delivery", else null."""
+    """0 for free shipping, the amount before or after "shipping" or "delivery", else null."""
     t = F.lower(text_of(c))
-    amount = F.regexp_extract(t, r"\$\s*(\d[\d,]*\.?\d*)\s*(?:shipping|delivery)", 1)
-    return F.when(t.contains("free"), F.lit(0.0)).otherwise(F.replace(amount, F.lit(","), F.lit("")).try_cast("double"))
+    patterns = (r"\$\s*([\d,]+(?:\.\d{2})?)\s*(?:delivery|shipping)", r"(?:shipping|delivery)\s*\$\s*([\d,]+(?:\.\d{2})?)")
+    amount = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns])
+    return F.when(t.rlike(r"free (?:delivery|shipping)|free\s*$|\$0(?:\.00)? (?:delivery|shipping)"), F.lit(0.0)).otherwise(parse_price(amount))
+
+
+def conditional_kind(c: Column) -> Column:
+    """The first kind of condition that a price text names, and up to 30 characters around it, as a struct; both empty without one."""
+    t = text_of(c)
+    kind, detail = F.lit(""), F.lit("")
+    for name, pattern in reversed(CONDITIONAL_KINDS.items()):
+        kind = F.when(t.rlike(f"(?i){pattern}"), name).otherwise(kind)
+        detail = F.when(t.rlike(f"(?i){pattern}"), F.trim(F.regexp_extract(t, rf"(?is)(.{{0,30}}(?:{pattern}).{{0,30}})", 1))).otherwise(detail)
+    return F.struct(kind.alias("kind"), detail.alias("detail"))
+
+
+def foreign_price(c: Column) -> Column:
+    """Whether a price text names another currency than the dollar of the US."""
+    return text_of(c).rlike(r"[£€¥₹₩]|(?<![A-Za-z])(?!US\$)[A-Za-z]{1,3}\$")
+
+
+def availability(c: Column) -> Column:
+    """A schema.org or free text as a struct of label and in_stock: null where it says neither."""
+    a = F.regexp_replace(F.lower(text_of(c)), "[ _-]", "")
+    negative = a.rlike("unavailable|notavailable")
+    label = (
+        F.when(a.rlike("preorder|presale"), "preorder").when(a.contains("backorder"), "backorder").when(a.contains("limitedavailability"), "limited")
+        .when(a.rlike("instock|onlineonly|instoreonly|available|addtocart|true") & ~negative, "in_stock").when(negative | a.rlike("outofstock|soldout|discontinued|false"), "out_of_stock").otherwise("")
+    )
+    return F.struct(label.alias("label"), F.when(label.isin("limited", "in_stock"), True).when(label == "out_of_stock", False).alias("in_stock"))
+
+
+def schema_condition(c: Column) -> Column:
+    t = F.lower(text_of(c))
+    return F.when(t.contains("refurb"), "refurbished").when(t.rlike("used|damaged"), "used").otherwise("new")
 
 
 def vendor_display(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import money, norm_text
+from larkspur.functions.text import norm_text
 
 # Outcomes in report order, those that say nothing about a retailer, and the limits of skips and suggestions.
 OUTCOMES = ["success", "no_match", "identity_mismatch", "blocked", "timeout_network", "parser_failure", "unavailable", "api_unavailable", "skipped"]
@@ -83,4 +83,50 @@ def cheapest_snapshots(listings: DataFrame, per_item: int, order: list[str]) ->
     return cheapest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_item)
 
 
-__all__ = ["attempt_kinds", "best_of_vendor", "cheapest_snapshots", "missing_words", "money", "outcome_summary", "retailer_yield", "skips", "union_codes", "vendor_candidates"]
+def circuit_states(attempts: DataFrame, failures: int = 3) -> DataFrame:
+    """attempts (domain, ts, ord, outcome) with streak, the blocked or failed fetches in a row up to it, and open from `failures` on; only a success ends a streak.
+
+    One retailer's attempts are put in order together; they are what one polite client made.
+    """
+    w = Window.partitionBy("domain").orderBy("ts", "ord")
+    runs = attempts.withColumn("_run", F.sum((F.col("outcome") == "success").cast("int")).over(w))
+    failed = F.col("outcome").isin("blocked", "timeout_network").cast("int")
+    streak = F.sum(failed).over(Window.partitionBy("domain", "_run").orderBy("ts", "ord"))
+    return runs.withColumn("streak", streak).withColumn("open", F.col("streak") >= failures).drop("_run")
+
+
+def best_client(attempts: DataFrame) -> DataFrame:
+    """(domain, client): the one that last succeeded."""
+    return attempts.where("outcome = 'success'").groupBy("domain").agg(F.max_by("client", F.struct("ts", "client")).alias("client"))
+
+
+def item_suggestions(items: DataFrame, listings: DataFrame) -> DataFrame:
+    """(wid, suggestion): what an item's row lacks, from its verified listings of High confidence.
+
+    items: wid, product, brand, gtins, mpns. listings: wid, title, brand, offer_gtins, offer_mpns.
+    """
+    empty = F.array().cast("array<string>")
+    seen = listings.groupBy("wid").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("offer_gtins", empty))))).alias("page_gtins"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("offer_mpns", empty))))).alias("page_mpns"), F.min(F.nullif("brand", F.lit(""))).alias("page_brand"),
+    )
+    known = items.select("wid", "brand", F.coalesce("gtins", empty).alias("gtins"), F.coalesce("mpns", empty).alias("mpns"))
+    both = known.join(seen, "wid", "left").join(missing_words(items, listings), "wid", "left")
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    first = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    rules = F.array(
+        F.when(~has("gtins") & has("page_gtins"), F.concat(F.lit("GTIN is blank: pages report "), first("page_gtins", 2))),
+        F.when(~has("mpns") & has("page_mpns"), F.concat(F.lit("MPN is blank: pages report "), first("page_mpns", 3))),
+        F.when((F.coalesce("brand", F.lit("")) == "") & F.col("page_brand").isNotNull(), F.concat(F.lit("brand is blank: pages report "), "page_brand")),
+        F.when(F.col("missing").isNotNull(), F.concat(F.lit("no page has these words: "), "missing")),
+        F.when(~has("gtins") & ~has("mpns") & ~has("page_gtins") & ~has("page_mpns"), F.lit("no GTIN or MPN known yet")),
+    )
+    return both.select("wid", F.explode(F.array_compact(rules)).alias("suggestion"))
+
+
+def candidate_lines(candidates: DataFrame) -> DataFrame:
+    """(ord, line): a report of vendor_candidates, qualified ones first, by listings, items and name."""
+    w = Window.orderBy(~F.col("ok"), F.desc("met"), F.desc("high"), F.desc("items"), "vkey")
+    state = F.when(F.col("ok"), "suggested").otherwise(F.concat(F.lit("meets "), F.col("met").cast("string"), F.lit(" of 4")))
+    line = F.format_string("%s: %d listings, %d items, %d runs; best %.2f; %s", "vkey", "high", "items", "runs", "best", state)
+    return candidates.withColumn("ord", F.row_number().over(w)).select("ord", line.alias("line"))  # one row a vendor

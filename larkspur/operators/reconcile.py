@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.ids import fingerprint
 from larkspur.functions.text import keys_match, norm_text, strip_pack_phrases, text_of, vendor_key
 from larkspur.functions.urls import merchant_item_id, normalize_url
-from larkspur.operators.pricing import VERIFIED, verified
+from larkspur.operators.pricing import verified
 
 # Order of evidence and confidence, agreement of prices.
 EVIDENCE_RANK = {"verified_direct": 0, "verified_discovered": 1, "market_snapshot": 2}
@@ -99,12 +99,10 @@ def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4) -> Dat
     a, b = keys.select("vkey").where("vkey <> ''").distinct(), vendors.select("vendor_key").where("vendor_key <> ''").distinct()
 
     def starts(df: DataFrame, c: str) -> DataFrame:
-        return df.select(c, F.explode(F.sequence(F.lit(shortest), F.length(c))).alias("n")).select(c, F.expr(f"left({c}, n)").alias("start")) if c else df
+        return df.select(c, F.explode(F.sequence(F.lit(shortest), F.length(c))).alias("n")).select(c, F.expr(f"left({c}, n)").alias("start"))
 
     long_a = starts(a.where(F.length("vkey") >= shortest), "vkey").join(b.withColumnRenamed("vendor_key", "start"), "start").select("vkey", F.col("start").alias("vendor_key"))
     long_b = starts(b.where(F.length("vendor_key") >= shortest), "vendor_key").join(a.withColumnRenamed("vkey", "start"), "start").select(F.col("start").alias("vkey"), "vendor_key")
     equal = a.join(b, a["vkey"] == b["vendor_key"]).select("vkey", "vendor_key")
     return long_a.unionByName(long_b).unionByName(equal).distinct()
 
-
-__all__ = ["VERIFIED", "authority", "match_vendors", "merge_duplicates", "merge_twins", "offer_id", "promote", "share_identifier"]

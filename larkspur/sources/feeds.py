@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.ids import normalize_gtin
-from larkspur.functions.text import condition, parse_price, shipping_of, vendor_display
+from larkspur.functions.text import condition, conditional_kind, foreign_price, parse_price, shipping_of, vendor_display
 
 STORE = "struct<title:string,vendor:string,handle:string,variants:array<struct<id:string,title:string,sku:string,barcode:string,price:string,compare_at_price:string,available:boolean>>>"
-SHOPPING = "array<struct<title:string,source:string,price:string,extracted_price:double,old_price:string,delivery:string,second_hand_condition:string,product_link:string>>"
+SHOPPING = "array<struct<title:string,source:string,price:string,extracted_price:double,old_price:string,delivery:string,second_hand_condition:string,product_link:string,tag:string,badge:string>>"
 MARKET = "array<struct<itemId:string,title:string,condition:string,price:struct<value:string,currency:string>,shippingOptions:array<struct<shippingCostType:string,shippingCost:struct<value:string>>>,seller:struct<username:string,feedbackPercentage:string,feedbackScore:long>,itemWebUrl:string>>"
 
 
@@ -34,11 +34,12 @@ def shopping_rows(payloads: DataFrame) -> DataFrame:
     """Listings of shopping results (query, payload), those with a dollar price only."""
     rows = payloads.select("query", F.posexplode(F.from_json(F.get_json_object("payload", "$.shopping_results"), SHOPPING)).alias("ord", "r"))
     price = F.coalesce("r.extracted_price", parse_price(F.col("r.price")))
-    foreign = F.coalesce(F.col("r.price").rlike(r"[€£¥₹]|(?i)\b(?:CA|AU|C|A)\$|\b(?:EUR|GBP|CAD|AUD)\b"), F.lit(False))
+    foreign = foreign_price(F.col("r.price"))
     regular = parse_price(F.col("r.old_price"))
     return rows.where((price > 0) & ~foreign).select(
         "query", "ord", F.col("r.title").alias("title"), vendor_display(F.col("r.source")).alias("vendor"), price.alias("price"), F.when(regular > price, regular).alias("regular_price"),
-        shipping_of(F.col("r.delivery")).alias("shipping"), condition(F.col("r.title"), F.col("r.second_hand_condition")).alias("condition"), F.col("r.product_link").alias("url"), F.lit("market_snapshot").alias("evidence"),
+        shipping_of(F.col("r.delivery")).alias("shipping"), condition(F.col("r.title"), F.col("r.second_hand_condition")).alias("condition"), F.col("r.product_link").alias("url"),
+        F.nullif(conditional_kind(F.concat_ws(" | ", "r.tag", "r.badge"))["kind"], F.lit("")).alias("conditional"), F.lit("market_snapshot").alias("evidence"),
     )
 
 

@@ -4,7 +4,7 @@ from itertools import combinations_with_replacement
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import history, identity, learning, pricing, reconcile
+from larkspur.operators import history, identity, learning, links, pricing, reconcile
 
 LISTING = "wid string, ord int, vendor string, source string, price double, shipping double, pack_qty int, condition string, in_stock boolean, evidence string, confidence string, is_primary boolean, is_resale boolean"
 
@@ -122,3 +122,22 @@ def test_validate_page(spark):
     offer = spark.createDataFrame([("Ray Compact", [], None, 1, None, "ray-soundbar", "sonos.com", "Sonos", ""), ("Something else", [], None, 1, None, "", "x.com", "X", "")], "title string, offer_mpns array<string>, offer_gtins array<string>, pack_qty int, color string, slug string, host string, vendor string, offer_brand string")
     r = {x["title"]: (x["confidence"], x["match_evidence"]) for x in identity.validate_page(identity.item_features(item).crossJoin(offer)).collect()}
     assert r["Ray Compact"][0] == "High" and r["Something else"][0] == "Medium"
+
+
+def test_links(spark):
+    urls = ["https://x.com/products/ray-soundbar", "https://x.com/p/ray-soundbar-black-edition", "https://x.com/collections/ray", "https://x.com/p/ray-wall-mount", "https://x.com/de-de/p/ray-soundbar", "https://x.com/p/RAYG1US1"]
+    df = spark.createDataFrame([("a", "x.com", u, "X Ray Soundbar", ["RAYG1US1"]) for u in urls], "wid string, domain string, link string, product string, codes array<string>")
+    assert [r["link"] for r in links.rank_links(df, 2).orderBy("rank").collect()] == [urls[5], urls[0]]
+    item = spark.createDataFrame([("Ray Soundbar", ["RAYG1US1", "ray"], ["Black"]), ("word " * 60, None, None)], "product string, mpns array<string>, specs array<string>")
+    q = [r["query"] for r in links.search_query(item).collect()]
+    assert q[0] == "Ray Soundbar RAYG1US1 Black" and len(q[1]) <= 150 and q[1].endswith("word")
+
+
+def test_suggestions_and_circuits(spark):
+    items = spark.createDataFrame([("a", "Ray Lamp Deluxe", "", None, ["M1"]), ("b", "Bulb", "Hue", [], [])], "wid string, product string, brand string, gtins array<string>, mpns array<string>")
+    seen = spark.createDataFrame([("a", "ray lamp", "Sonos", ["2", "1"], ["M1"])], "wid string, title string, brand string, offer_gtins array<string>, offer_mpns array<string>")
+    got = sorted(tuple(r) for r in learning.item_suggestions(items, seen).collect())
+    assert got == [("a", "GTIN is blank: pages report 1, 2"), ("a", "brand is blank: pages report Sonos"), ("a", "no page has these words: deluxe"), ("b", "no GTIN or MPN known yet")]
+    rows = [("d", i, i, o) for i, o in enumerate(["blocked", "no_match", "timeout_network", "blocked", "success", "blocked"])]
+    df = spark.createDataFrame(rows, "domain string, ts int, ord int, outcome string")
+    assert [(r["streak"], r["open"]) for r in learning.circuit_states(df).orderBy("ord").collect()] == [(1, False), (1, False), (2, False), (3, True), (0, False), (1, False)]

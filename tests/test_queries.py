@@ -1,11 +1,13 @@
 import pytest
 
-from larkspur.plans import offers
+from larkspur.plans import offers, sources
 
+ALL = offers.QUERIES | sources.QUERIES
 
-@pytest.mark.parametrize("name", offers.QUERIES)
+
+@pytest.mark.parametrize("name", [k for k, (_, sql) in ALL.items() if sql])
 def test_same_as_sql(same_as_sql, name):
-    query, sql = offers.QUERIES[name]
+    query, sql = ALL[name]
     same_as_sql(query, sql)
 
 
@@ -22,3 +24,10 @@ def test_filters_reach_the_scan(spark):
 
     plan = offers.retention(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "event_type:string>" in plan
+
+
+def test_rows_without_sql(spark):
+    from tests.conftest import SF
+
+    for name in (k for k, (_, sql) in ALL.items() if not sql):
+        assert ALL[name][0](spark, SF).count() > 0
