@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.frames import materialize
 from larkspur.llm.text import NOT_ALNUM, Words, grams
 
 SPAN, K = 10, 5
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks of this size.
+#: Bytes of benchmark text that are broadcast at once; a larger benchmark takes a pass over the documents for each block of this size.
 BLOCK_TEXT = 16 << 20
 
 
@@ -97,19 +98,19 @@ class Fingerprints:
 _TO_BLANK = bytes(0x20 if NOT_ALNUM[b] and not 0x41 <= b <= 0x5A else b + 32 * (0x41 <= b <= 0x5A) for b in range(256))
 
 
-def benchmark_blocks(items: DataFrame, block_text: int = BLOCK_TEXT) -> list[list[tuple]]:
-    """The items in blocks of about block_text bytes, streamed to the driver one after another.
+def benchmark_blocks(items: DataFrame, block_text: int = BLOCK_TEXT) -> Iterator[list[tuple]]:
+    """The items in blocks of about block_text bytes, streamed to the driver one after another; one block is the usual case.
 
-    One block is the usual case. Identical rows meet once; null and empty texts are left out.
+    Identical rows meet once; null and empty texts are left out.
     """
-    blocks, size = [[]], 0
+    block, size = [], 0
     for item, text in items.where("length(text) > 0").distinct().toLocalIterator():
         if size >= block_text:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text.encode()))
-        size += len(blocks[-1][-1][1])
-    return blocks
+            yield block
+            block, size = [], 0
+        block.append((item, text.encode()))
+        size += len(block[-1][1])
+    yield block
 
 
 def mark(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN, k: int = K, block_text: int = BLOCK_TEXT) -> DataFrame:
@@ -117,32 +118,48 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN
 
     items: (item_id, text). Null or empty texts have no words and no hits; hits
     of a null item_id are marked but not listed; repeated rows stay; columns of
-    docs named n_words, hits or items are replaced. A benchmark beyond one
-    block is compared block by block, all within one pass over docs.
+    docs named n_words, hits or items are replaced. Fingerprints of a block of
+    the benchmark are broadcast, so the broadcast is bounded; a benchmark beyond
+    one block takes a pass over docs, written out, for each.
     """
-    spark, docs = docs.sparkSession, docs.drop("n_words", "hits", "items")
-    shared = [spark.sparkContext.broadcast(block) for block in benchmark_blocks(items.select("item_id", F.col("text")), block_text)]
-    names = docs.columns
+    spark, out, before = docs.sparkSession, docs.drop("n_words", "hits", "items"), None
+    for block in benchmark_blocks(items.select("item_id", F.col("text")), block_text):
+        if before is not None:
+            out = materialize(out)
+            before.unpersist()
+        before = spark.sparkContext.broadcast(block)
+        out = _mark_block(out, before, text, span, k)
+    return out
+
+
+def _mark_block(docs: DataFrame, shared, text: str, span: int, k: int) -> DataFrame:
+    """docs marked with one block, besides what former blocks have marked."""
+    again = "hits" in docs.columns
+    names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
+    kinds = dict(docs.dtypes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [Fingerprints(b.value, span, k) for b in shared] if len(shared) == 1 else None
+        index = Fingerprints(shared.value, span, k)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
                 w = Words(b.column(text), lower=True, between=NOT_ALNUM)
                 spans, found = defaultdict(list), defaultdict(set)
-                for index in indexes or (Fingerprints(x.value, span, k) for x in shared):
-                    for row, first, length, ids in index.occurrences(w):
-                        spans[row].append((first - w.bounds[row], first - w.bounds[row] + length))
-                        found[row] |= {str(i) for i in ids if i is not None}
+                if again:
+                    for i, (hits, ids) in enumerate(zip(b.column("hits").to_pylist(), b.column("items").to_pylist())):
+                        if hits:
+                            spans[i], found[i] = [(h["start"], h["end"]) for h in hits], set(ids)
+                for row, first, length, ids in index.occurrences(w):
+                    spans[row].append((first - w.bounds[row], first - w.bounds[row] + length))
+                    found[row] |= {str(i) for i in ids if i is not None}
                 merged = [merge(spans[i]) if i in spans else [] for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(w.counts.astype(np.int64)), pa.array([[{"start": x, "end": y} for x, y in m] for m in merged], SPANS), pa.array([sorted(found[i]) if i in found else [] for i in range(b.num_rows)], pa.list_(pa.string()))],
+                    [*(b.column(c) for c in names), pa.array(w.counts.astype(np.int64)), pa.array([[{"start": x, "end": y} for x, y in m] for m in merged], SPANS), pa.array([sorted(found[i]) if i in found else [] for i in range(b.num_rows)], pa.list_(pa.string()))],
                     [*names, "n_words", "hits", "items"],
                 )
 
-    ddl = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(scan, f"{ddl}, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
+    ddl = "".join(f"`{c}` {kinds[c]}, " for c in names)
+    return docs.mapInArrow(scan, f"{ddl}n_words long, hits array<struct<start:long,end:long>>, items array<string>")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
