@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Python call handles at a time.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 _CODEC = pa.Codec("zstd", 3)
 
 

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.frames import each_block, materialize, shard_count, text_blocks
-from larkspur.llm.text import Words, cuts, grams, pack, unpack, whole
+from larkspur.llm.text import Words, cuts, distinct, grams, pack, unpack, whole
 
 SPAN = 20
 #: Text bytes whose windows one shard has.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Bits of a window's hash that runs are first merged on, and of the second hash that confirms.
 KEY_BITS, CHECK_BITS = 40, 40
 SHORT = np.uint64(64 - KEY_BITS)
@@ -66,7 +66,7 @@ def _runs(blocks: DataFrame, shards: int, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in each_block(batches):
-            keys = np.unique(_Windows(texts, span).hash >> SHORT) << SHORT
+            keys = distinct(_Windows(texts, span).hash >> SHORT) << SHORT
             at = cuts(keys, shards)
             filled = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays(
@@ -85,7 +85,7 @@ def _recut(history: DataFrame, shards: int, full: bool) -> DataFrame:
             for i in range(b.num_rows):
                 keys, checks = unpack(b.column("keys")[i].as_py(), np.uint64, ordered=True), b.column("checks")[i]
                 if not full:
-                    keys = np.unique(keys >> SHORT) << SHORT
+                    keys = distinct(keys >> SHORT) << SHORT
                 at = cuts(keys, shards)
                 filled = np.flatnonzero(np.diff(at))
                 checks = unpack(checks.as_py(), np.uint64) if full else None
@@ -133,7 +133,7 @@ def _found(batch: pa.RecordBatch, dtype, ordered: bool) -> dict[int, np.ndarray]
 
 def _candidates(w: _Windows, hits: dict[int, np.ndarray], shards: int) -> np.ndarray:
     """The windows whose short key is among the hits."""
-    keys = np.unique(w.hash >> SHORT) << SHORT
+    keys = distinct(w.hash >> SHORT) << SHORT
     at = cuts(keys, shards)
     hot = np.concatenate([np.zeros(0, np.uint64), *(keys[at[s] + hits[s]] for s in sorted(hits))])
     if not len(hot):
@@ -204,8 +204,8 @@ def removals(w: _Windows, hits: dict, verdicts: dict, ids: np.ndarray, shards: i
             mine[at[s] : at[s + 1]] = bits
         drop[order] = True
         drop[order[begin[mine]]] = False
-    unique, n = np.unique(w.hash, return_counts=True)
-    repeated = unique[n > 1]
+    ordered = np.sort(w.hash)
+    repeated = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
     if len(repeated):
         here = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, w.hash), len(repeated) - 1)] == w.hash)
         _, _, order, begin, _ = _entries(w, here, ids)

@@ -130,6 +130,14 @@ def whole(words: Words, k: int) -> np.ndarray:
     return np.arange(n) + k <= np.repeat(words.bounds[1:], words.counts)[:n]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; sorting is several times faster than hashing for 64-bit integers."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 _ZSTD = pa.Codec("zstd", 1)
 
 
