@@ -28,6 +28,7 @@ import json
 import mmap
 import tempfile
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from larkspur.llm.text import Words, cuts, mix, pack, unpack
 
 MU, NU, MIN_COUNT = 50.0, 3.0, 2
 #: Text bytes whose n-grams one shard has.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: Bits of a successor's number within its context; a context's hash has the other bits of 64.
 RELATIVE_BITS = 24
 #: Hashes of the end of a text, of what stands before its first token and after its end.
@@ -47,6 +48,7 @@ END, BEGIN, AFTER = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF76781
 _REL = np.uint64(RELATIVE_BITS)
 _AFTER = AFTER >> np.uint64(64 - RELATIVE_BITS)
 _BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_FIVES, _THREES, _LOW_HALVES, _EACH_BYTE, _TOP_BITS = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
 _BIT_PLACE = np.array([([b for b in range(8) if i >> b & 1] + [0] * 8)[:8] for i in range(256)], np.uint8)
 
 
@@ -79,23 +81,30 @@ class EliasFano:
     def arrays(self) -> dict[str, np.ndarray]:
         return {"low": self.low, "high": self.high, "before": self.before}
 
+    def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the i-th (from 0) bit that is set, or isn't, in the unary part."""
+        before = self.before if ones else self.zeros_before
+        word = np.searchsorted(before, i, "right") - 1
+        x = self.high.view("<u8")[word]
+        x = x if ones else ~x
+        left = (i - before[word]).astype(np.uint64)
+        b = x - ((x >> np.uint64(1)) & _FIVES)  # set bits of each byte, then of it and those before
+        b = (b & _THREES) + ((b >> np.uint64(2)) & _THREES)
+        b = (((b + (b >> np.uint64(4))) & _LOW_HALVES) * _EACH_BYTE).astype(np.uint64)
+        byte = (((((left * _EACH_BYTE) | _TOP_BITS) - b) & _TOP_BITS) >> np.uint64(7)) * _EACH_BYTE >> np.uint64(56)
+        shift = byte << np.uint64(3)
+        left -= ((b << np.uint64(8)) >> shift) & np.uint64(255)
+        bits = (x >> shift) & np.uint64(255)
+        return word * 64 + shift.astype(np.int64) + _BIT_PLACE[bits.astype(np.int64), left.astype(np.int64)]
+
+    @cached_property
+    def zeros_before(self) -> np.ndarray:
+        return (np.arange(len(self.before)) * 64 - self.before).astype(np.uint32)
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The values at the places i."""
         i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.before, i, "right") - 1
-        left = i - self.before[word]
-        place = word * 64
-        open_, chunk = np.ones(len(i), bool), word * 8
-        for _ in range(8):
-            byte = self.high[np.minimum(chunk, len(self.high) - 1)]
-            ones = _BIT_COUNT[byte]
-            here = open_ & (left < ones)
-            place[here] += _BIT_PLACE[byte[here], left[here]]
-            open_ &= ~here
-            left[open_] -= ones[open_]
-            place[open_] += 8
-            chunk = chunk + 1
-        value = (place - i).astype(np.uint64)
+        value = (self._select(i, True) - i).astype(np.uint64)
         if self.low_bits:
             at = i * self.low_bits
             shift = (at & 63).astype(np.uint64)
@@ -105,8 +114,18 @@ class EliasFano:
         return value
 
     def successor(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each wanted value the first place in [lo, hi) whose value isn't below it; hi if none."""
-        lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
+        """For each wanted value the first place in [lo, hi) whose value isn't below it; hi if none.
+
+        The zeros of the unary part bound the places that have the same high part; few are left to search.
+        """
+        high = np.minimum(wanted >> np.uint64(self.low_bits), np.uint64(1 << 62)).astype(np.int64)
+        last = int(self.zeros_before[-1])  # zeros there are: padding counts as high parts without values
+        inside = np.minimum(high, last - 1)
+        start = np.where(inside > 0, self._select(np.maximum(inside - 1, 0), False) - inside + 1, 0)
+        end = self._select(inside, False) - inside
+        beyond = high > inside
+        lo = np.clip(np.where(beyond, self.n, start), lo, hi)
+        hi = np.clip(np.where(beyond, self.n, end), lo, hi)
         while len(busy := np.flatnonzero(lo < hi)):
             mid = (lo[busy] + hi[busy]) >> 1
             less = self[mid] < wanted[busy]
@@ -238,31 +257,30 @@ class _Tokens:
         before[self.begin] = BEGIN
         two = np.roll(before, 1)
         two[self.begin] = BEGIN
-        self.before = before
         pair = lambda a, b: mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b)) >> _REL
-        self.context, self.pair = pair(two, before), pair(before, self.token)
         relative = self.token >> np.uint64(64 - RELATIVE_BITS)
-        ends = self.begin + self.sizes - 1
-        self.key = (self.context << _REL) | relative
-        self.all_keys = np.concatenate([self.key, (self.pair[ends] << _REL) | _AFTER])  # a text's last pair is counted as a context too
-        self.last = np.arange(rows)
+        last = self.begin + self.sizes - 1
+        keys = (pair(two, before) << _REL) | relative
+        self.all_keys = np.concatenate([keys, (pair(before[last], self.token[last]) << _REL) | _AFTER])  # a text's last pair is counted as a context too
 
-    def grams(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, and how often texts that are learned from have each."""
-        weight = np.concatenate([np.repeat(learn, self.sizes), learn])
-        return _counted(self.all_keys, weight)
+    def grams(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, how often texts that are learned from have each, and the place of each key of all_keys."""
+        return _counted(self.all_keys, np.concatenate([np.repeat(learn, self.sizes), learn]))
 
-    def words(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct tokens, and what stands before a text, with training counts."""
-        weight = np.concatenate([np.repeat(learn, self.sizes), learn])
-        return _counted(np.concatenate([self.token, np.full(len(learn), BEGIN)]), weight)
+    def words(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens, and what stands before a text, with training counts, and the place of each token, then of BEGIN."""
+        return _counted(np.append(self.token, np.full(len(learn), BEGIN)), np.concatenate([np.repeat(learn, self.sizes), learn]))
 
 
-def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, weight = keys[order], weight[order]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[begin], np.add.reduceat(weight.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    begin = np.flatnonzero(new)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[begin], np.add.reduceat(weight.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64), place
 
 
 def _learn_flags(batch: pa.RecordBatch) -> np.ndarray:
@@ -275,7 +293,7 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in each_block(batches):
             tokens, learn = _Tokens(texts), _learn_flags(b)
-            for kind, (keys, counts) in enumerate((tokens.words(learn), tokens.grams(learn))):
+            for kind, (keys, counts, _) in enumerate((tokens.words(learn), tokens.grams(learn))):
                 at = cuts(keys, shards)
                 filled = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays(
@@ -289,13 +307,18 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
     return blocks.mapInArrow(ask, "kind int, shard int, block long, keys binary, counts binary")
 
 
-def _summed(table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _summed(table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, their summed counts, and the place of each part's keys among them."""
     parts = [unpack(x.as_py(), np.uint64, ordered=True) for x in table["keys"]]
     keys, counts = np.concatenate(parts), np.concatenate([unpack(x.as_py(), np.uint32) for x in table["counts"]]).astype(np.int64)
     order = np.argsort(keys, kind="stable")  # merges sorted parts
     keys, counts = keys[order], counts[order]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return parts, keys[begin], np.add.reduceat(counts, begin)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    return keys[begin], np.add.reduceat(counts, begin), np.split(place, np.cumsum([len(p) for p in parts])[:-1])
 
 
 def _answer(requests: DataFrame) -> DataFrame:
@@ -304,15 +327,19 @@ def _answer(requests: DataFrame) -> DataFrame:
     def answer(key, table):
         kind, shard = key[0].as_py(), key[1].as_py()
         blocks = table["block"].to_pylist()
-        parts, keys, counts = _summed(table)
+        keys, counts, places = _summed(table)
         rows, sums = [], (0, 0)
         if kind == 0:
             real = (keys != BEGIN) & (counts > 0)
             sums = int(counts[real].sum()), int(real.sum())
-            rows = [(pack(counts[np.searchsorted(keys, p)].astype(np.uint64)), None, None) for p in parts]
-        else:
-            trie = Trie.mapped(Trie.build(keys, counts))
-            rows = [tuple(map(pack, trie.lookup(p))) for p in parts]
+            rows = [(pack(counts[p].astype(np.uint64)), None, None) for p in places]
+        else:  # each n-gram is looked up once, for all blocks that have it
+            count, rest, kept = Trie.mapped(Trie.build(keys, counts)).lookup(keys)
+            context = np.cumsum(np.concatenate([[False], (keys[1:] >> _REL) != (keys[:-1] >> _REL)]))
+            for p in places:
+                of = context[p]
+                first = of[np.concatenate([[True], of[1:] != of[:-1]])]
+                rows.append((pack(count[first]), pack(rest[first]), pack(kept[p])))
         rows.append((None, None, None))
         n = len(rows)
         return pa.table({
@@ -346,16 +373,20 @@ def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
             tokens, learn = _Tokens(texts), _learn_flags(b)
             parts = sorted(b.column("answers")[0].as_py() or (), key=lambda x: (x["kind"], x["shard"]))
             joined = lambda kind, column, dtype: np.concatenate([np.zeros(0, dtype), *(unpack(x[column], dtype) for x in parts if x["kind"] == kind)])
-            words, _ = tokens.words(learn)
+            n, first = len(tokens.token), tokens.begin
+            _, _, at = tokens.words(learn)
             count = joined(0, "a", np.uint64).astype(np.int64)
-            c = count[np.searchsorted(words, tokens.token)]
-            c_before = count[np.searchsorted(words, tokens.before)]
-            grams, _ = tokens.grams(learn)
-            contexts = np.unique(grams >> _REL)
+            c = count[at[:n]]
+            c_before = np.roll(c, 1)
+            c_before[first] = count[at[n:]]
+            grams, _, gram = tokens.grams(learn)
+            context = np.cumsum(np.concatenate([[True], (grams[1:] >> _REL) != (grams[:-1] >> _REL)]))[gram] - 1 if n else gram
+            pair = np.roll(context[:n], -1)  # what stands before a token is its successor's context
+            pair[first + tokens.sizes - 1] = context[n:]
             pairs, rest, kept = _COUNTS[joined(1, "a", np.uint8)], _VALUES[joined(1, "b", np.uint8)], _VALUES[joined(1, "c", np.uint8)]
             p1 = (c + 0.5) / (total + 0.5 * (distinct + 1))
-            p2 = (np.minimum(pairs[np.searchsorted(contexts, tokens.pair)], c_before) + MU * p1) / (c_before + MU)
-            p = kept[np.searchsorted(grams, tokens.key)] + rest[np.searchsorted(contexts, tokens.context)] * p2
+            p2 = (np.minimum(pairs[pair], c_before) + MU * p1) / (c_before + MU)
+            p = kept[gram[:n]] + rest[context[:n]] * p2
             add = lambda x: np.add.reduceat(x, tokens.begin) if len(tokens.begin) else x[:0]
             rows = b.column("rows")[0].values
             yield pa.RecordBatch.from_arrays(
@@ -373,7 +404,7 @@ def learn(docs: DataFrame, text: str = "text") -> DataFrame:
     shards = shard_count(blocks, SHARD_BYTES)
 
     def build(key, table):
-        _, keys, counts = _summed(table)
+        keys, counts, _ = _summed(table)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), "trie": pa.array([Trie.build(keys, counts)], pa.binary())})
 
     return _requests(blocks, shards).where("kind = 1").groupBy("shard").applyInArrow(build, "shard int, shards int, trie binary")
