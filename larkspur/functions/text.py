@@ -126,7 +126,7 @@ def keys_match(a: Column, b: Column) -> Column:
 
 
 def split_multi(c: Column) -> Column:
-    return F.filter(F.transform(F.split(text_of(c), "[;；\r\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_of(c), "[;；\r\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truthy(c: Column) -> Column:

@@ -13,7 +13,7 @@ from larkspur.operators.history import EPSILON
 
 EVENTS = "offer_id string, ts timestamp, unit double, event string, since timestamp"
 STATE = "unit double, since timestamp, in_stock boolean, ts timestamp"
-#: Days after which the state of an offer that isn't seen again goes.
+#: Days of event time after which the state of an offer that isn't seen again goes.
 RETENTION_DAYS = 180
 
 
@@ -40,14 +40,17 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
             rows.append((key[0], ts, unit, event, since))
     if held is not None:
         state.update(held)
-        state.setTimeoutDuration(RETENTION_DAYS * 86_400_000)
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(held[3]).timestamp() * 1000) + RETENTION_DAYS * 86_400_000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(rows, columns=["offer_id", "ts", "unit", "event", "since"])
 
 
-def offer_events(observations: DataFrame) -> DataFrame:
-    """Change events of a stream of observations (offer_id, ts, unit, in_stock); earlier times than an offer's last are replays and ignored. Null units are dropped."""
-    seen = observations.where("unit is not null and ts is not null").select("offer_id", "ts", "unit", "in_stock")
-    return seen.groupBy("offer_id").applyInPandasWithState(_fold, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def offer_events(observations: DataFrame, late: str = "2 days") -> DataFrame:
+    """Change events of a stream of observations (offer_id, ts, unit, in_stock); times up to an offer's last are replays and ignored, as are rows later than `late`.
+
+    Null units are dropped. An offer's state goes RETENTION_DAYS of event time after it was last seen.
+    """
+    seen = observations.where("unit is not null and ts is not null").select("offer_id", "ts", "unit", "in_stock").withWatermark("ts", late)
+    return seen.groupBy("offer_id").applyInPandasWithState(_fold, EVENTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def price_windows(observations: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -67,8 +67,7 @@ def test_stream_of_offers(spark, tmp_path):
     for n, rows in enumerate([[("a", t(1), 10.0, False)], [("a", t(2), 10.0, True), ("b", t(1), None, True)], [("a", t(3), 8.0, True), ("a", t(1), 99.0, True)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{n}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
-    q = offers.offer_events(stream).writeStream.format("memory").queryName("events_of_offers").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = offers.offer_events(stream).writeStream.format("memory").queryName("events_of_offers").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = [(r["ts"].day, r["event"]) for r in spark.sql("select * from events_of_offers order by ts").collect()]
     assert got == [(1, "new offer"), (2, "unchanged; back in stock"), (3, "price drop")]
