@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import materialize
+from larkspur.llm.frames import bound_batches, materialize
 from larkspur.llm.text import NOT_ALNUM, Words, grams
 
 SPAN, K = 10, 5
@@ -159,7 +159,7 @@ def _mark_block(docs: DataFrame, shared, text: str, span: int, k: int) -> DataFr
                 )
 
     ddl = "".join(f"`{c}` {kinds[c]}, " for c in names)
-    return docs.mapInArrow(scan, f"{ddl}n_words long, hits array<struct<start:long,end:long>>, items array<string>")
+    return bound_batches(docs).mapInArrow(scan, f"{ddl}n_words long, hits array<struct<start:long,end:long>>, items array<string>")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one Python call handles at a time.
 BLOCK_BYTES = 3 << 20
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 8 << 20
 _CODEC = pa.Codec("zstd", 3)
 
 
@@ -33,6 +35,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session bounded to BATCH_BYTES: a task holds a batch in Java and in Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def text_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs as a written table of blocks: block (a number), rows (their other columns), sizes and data (texts in bytes, compressed).
 
@@ -76,7 +86,7 @@ def text_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
         if held:
             yield block()
 
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = bound_batches(docs).select(*keep, F.col(text).alias("_text"))
     return materialize(source.mapInArrow(gather, f"block long, rows array<{rows}>, sizes array<long>, data binary"))
 
 

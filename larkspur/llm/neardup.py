@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import materialize
-from larkspur.llm.text import Words, grams, mix, pack, unpack
+from larkspur.llm.frames import bound_batches, materialize
+from larkspur.llm.text import Words, grams, mix, pack, release, unpack
 
 HALVES = 12
 #: Documents whose sets are compared with one hub's in one call.
@@ -70,9 +70,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     halves[full, h] = mix(least[2 * h] * np.uint64(3) + mix(least[2 * h + 1] + np.uint64(h)))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, halves.size + 1, 2 * HALVES), pa.int32()), pa.array(halves.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in names), flat], ["doc_id", "n_shingles", "set_a", "set_b", "halves"])
+        release()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "_text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, halves array<long>")
+    return bound_batches(docs).select("doc_id", "_text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, halves array<long>")
 
 
 def with_representatives(signed: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import materialize
-from larkspur.llm.text import Words
+from larkspur.llm.frames import bound_batches, materialize
+from larkspur.llm.text import Words, release
 
 SIZE, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
@@ -135,10 +135,12 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
                 if ids:
                     arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in columns[5].to_pylist()], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *new])
+        del table
+        release()
 
     kinds = dict(docs.dtypes)
     ddl = "".join(f"`{c}` {kinds[c]}, " for c in keep) + PIECES + (", ids array<long>" if ids else "")
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(cut, ddl)
+    return bound_batches(docs).select(*keep, F.col(text).alias("_text")).mapInArrow(cut, ddl)
 
 
 class _Lengths:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import materialize
+from larkspur.llm.frames import bound_batches, materialize
 from larkspur.llm.text import Words, grams, whole
 
 SYMBOLS = "#*$%&|<>"
@@ -81,7 +81,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(counts[k].astype(np.int64)) for k in (*COUNTS, "n_lines")], names)
 
     kinds = dict(docs.dtypes)
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = bound_batches(docs).select(*keep, F.col(text).alias("_text"))
     return source.mapInArrow(stats, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + "".join(f", {k} long" for k in (*COUNTS, "n_lines")))
 
 

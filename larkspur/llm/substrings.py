@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.frames import each_block, materialize, shard_count, text_blocks
-from larkspur.llm.text import Words, cuts, distinct, grams, pack, unpack, whole
+from larkspur.llm.text import Words, cuts, distinct, grams, pack, release, unpack, whole
 
 SPAN = 20
 #: Text bytes whose windows one shard has.
@@ -73,6 +73,7 @@ def _runs(blocks: DataFrame, shards: int, span: int) -> DataFrame:
                 [pa.array(filled, pa.int32()), pa.array([b.column("block")[0].as_py()] * len(filled), pa.int64()), pa.array([pack(keys[at[s] : at[s + 1]] >> SHORT, ordered=True) for s in filled], pa.binary())],
                 ["shard", "block", "keys"],
             )
+        release()
 
     return blocks.select("block", "sizes", "data").mapInArrow(run, "shard int, block long, keys binary")
 
