@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import materialize
+from larkspur.llm.frames import bound_batches, materialize
 
 #: Archives end at the first record beyond this size.
 ARCHIVE_BYTES = 4 << 20
@@ -106,7 +106,7 @@ def write_archives(records: DataFrame, compress: bool = True) -> DataFrame:
         if parts:
             yield archive()
 
-    return records.mapInArrow(pack, "path string, content binary")
+    return bound_batches(records).mapInArrow(pack, "path string, content binary")
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
@@ -210,7 +210,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, RECORDS)
 
-    return archives.select("path", "content").mapInArrow(read, RECORDS_DDL)
+    return bound_batches(archives).select("path", "content").mapInArrow(read, RECORDS_DDL)
 
 
 def _id(c):
