@@ -280,7 +280,7 @@ def titles(spark, sf):
 
 def conditions(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    title = F.concat(F.substring("text", 1, 200), F.when(F.col("doc_id") % 5 == 0, " open-box").when(F.col("doc_id") % 5 == 1, " Renewed").when(F.col("doc_id") % 5 == 2, " for parts").otherwise(""))
+    title = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, " open-box").when(F.col("doc_id") % 5 == 1, " Renewed").when(F.col("doc_id") % 5 == 2, " for parts").otherwise(""))
     return d.select("doc_id", text.condition(title, F.lit(None).cast("string")).alias("condition"), text.shipping_of(F.concat(F.lit("$"), (F.col("doc_id") % 9).cast("string"), F.lit(".50 shipping"))).alias("shipping"))
 
 

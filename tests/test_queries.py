@@ -31,3 +31,11 @@ def test_rows_without_sql(spark):
 
     for name in (k for k, (_, sql) in ALL.items() if not sql):
         assert ALL[name][0](spark, SF).count() > 0
+
+
+def test_conditions_read_whole_texts(spark, tmp_path):
+    far = "plain words " * 40
+    texts = {3: far + "sold AS-IS", 4: far + "recertified", 8: far + "it was used once", 9: far, 5: far + "not working", 6: far + "broken", 7: far, 13: None, 10: None, 14: "x" * 200_000 + " pre-owned"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["condition"] for r in offers.conditions(spark, str(tmp_path)).collect()}
+    assert got == {3: "parts", 4: "refurbished", 8: "used", 9: "new", 5: "parts", 6: "parts", 7: "parts", 13: "new", 10: "used", 14: "used"}
