@@ -13,9 +13,10 @@ With c counts, N training tokens and V distinct ones:
     p2(w | v)  = (c(v w) + MU p1(w)) / (c(v) + MU)
     p(w | u v) = kept(u v w) + rest(u v) p2(w | v)
 
-kept is c(u v w) / (c(u v) + NU) for trigrams seen MIN_COUNT times or more, and
+kept is c(u v w) / (c(u v) + NU) for trigrams seen min_count times or more, and
 rest is what the kept ones leave, so each distribution sums to one but for the
-rounding of its quantised values.
+rounding of its quantised values. The query keeps all trigrams, from count 1 on;
+callers that name no min_count get MIN_COUNT, which drops those seen once.
 
 Texts are cut into blocks; each block sends its distinct n-grams, with training
 counts, once to the shards, which add them up, build their tries and answer the
@@ -163,12 +164,12 @@ class Trie:
         self.count, self.rest, self.kept = get("count"), get("rest"), get("kept")
 
     @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        """The trie of sorted distinct (context | relative successor) keys with training counts."""
+    def build(keys: np.ndarray, counts: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
+        """The trie of sorted distinct (context | relative successor) keys with training counts; successors seen min_count (1 at least) times are kept."""
         context = keys >> _REL
         begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
         total = np.add.reduceat(counts, begin) if len(begin) else np.zeros(0, np.int64)
-        keep = (counts >= MIN_COUNT) & (keys & np.uint64((1 << RELATIVE_BITS) - 1) != _AFTER)
+        keep = (counts >= max(1, min_count)) & (keys & np.uint64((1 << RELATIVE_BITS) - 1) != _AFTER)
         kept_sum = np.add.reduceat(np.where(keep, counts, 0), begin) if len(begin) else total
         of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(keys))))
         seen = total > 0
@@ -321,7 +322,7 @@ def _summed(table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return keys[begin], np.add.reduceat(counts, begin), np.split(place, np.cumsum([len(p) for p in parts])[:-1])
 
 
-def _answer(requests: DataFrame) -> DataFrame:
+def _answer(requests: DataFrame, min_count: int) -> DataFrame:
     """(block, kind, shard, a, b, c, tokens, distinct): counts of a block's words, or the trie's bytes for its n-grams; block -1: a shard's sums."""
 
     def answer(key, table):
@@ -334,7 +335,7 @@ def _answer(requests: DataFrame) -> DataFrame:
             sums = int(counts[real].sum()), int(real.sum())
             rows = [(pack(counts[p].astype(np.uint64)), None, None) for p in places]
         else:  # each n-gram is looked up once, for all blocks that have it
-            count, rest, kept = Trie.mapped(Trie.build(keys, counts)).lookup(keys)
+            count, rest, kept = Trie.mapped(Trie.build(keys, counts, min_count)).lookup(keys)
             context = np.cumsum(np.concatenate([[False], (keys[1:] >> _REL) != (keys[:-1] >> _REL)]))
             for p in places:
                 of = context[p]
@@ -351,20 +352,21 @@ def _answer(requests: DataFrame) -> DataFrame:
     return requests.groupBy("kind", "shard").applyInArrow(answer, "block long, kind int, shard int, a binary, b binary, c binary, tokens long, distinct long")
 
 
-def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, learn: Column, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens, base_score and score, by a model of the rows where `learn` is true.
 
     Scores are log10 probabilities of whole texts, lower-cased in A-Z; a null
     or empty text is its end alone. A null `learn` is false; repeated rows count
     as often as they are there; with nothing to learn from all counts are 0.
-    Columns of docs named like the new ones are replaced.
+    Columns of docs named like the new ones are replaced. Trigrams seen less than
+    min_count times are scored by their bigram.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.withColumn("_learn", F.coalesce(learn, F.lit(False))).drop(*new)
     keep, kinds = [c for c in docs.columns if c not in (text, "_learn")], dict(docs.dtypes)
     blocks = text_blocks(docs, text)
     shards = shard_count(blocks, SHARD_BYTES)
-    answers = materialize(_answer(_requests(blocks, shards)))
+    answers = materialize(_answer(_requests(blocks, shards), min_count))
     total, distinct = (x or 0 for x in answers.where("block = -1").agg(F.sum("tokens"), F.sum("distinct")).first())
     each = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "a", "b", "c")).alias("answers"))
 
@@ -398,19 +400,19 @@ def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
     return out
 
 
-def learn(docs: DataFrame, text: str = "text") -> DataFrame:
+def learn(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """(shard, shards, trie): the model's tries, learned from all docs; Trie(bytes) reads one, from a memory map as well."""
     blocks = text_blocks(docs.withColumn("_learn", F.lit(True)), text)
     shards = shard_count(blocks, SHARD_BYTES)
 
     def build(key, table):
         keys, counts, _ = _summed(table)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), "trie": pa.array([Trie.build(keys, counts)], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), "trie": pa.array([Trie.build(keys, counts, min_count)], pa.binary())})
 
     return _requests(blocks, shards).where("kind = 1").groupBy("shard").applyInArrow(build, "shard int, shards int, trie binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those that aren't held out."""
+    """Scores of all documents by a model of those that aren't held out, with all of their trigrams."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc_remainder("doc_id", 5) == 1).alias("held_out"))
-    return score(docs, ~F.col("held_out"))
+    return score(docs, ~F.col("held_out"), min_count=1)

@@ -102,3 +102,30 @@ def test_model_can_be_kept(spark):
     df = spark.createDataFrame([(1, "a b a b a b", None, None), (2, "a b c", None, None)], SCHEMA)
     tries = [Trie.mapped(bytes(r["trie"])) for r in ngrams.learn(df).collect()]
     assert sum(t.contexts.n for t in tries) == len({("", ""), ("", "a"), ("a", "b"), ("b", "a"), ("b", "END"), ("b", "c"), ("c", "END")})
+
+
+def test_query_keeps_trigrams_seen_once(spark, tmp_path):
+    learns = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    train, held = [i for i in range(200) if learns(i)], [i for i in range(200) if not learns(i)]
+    rng = np.random.default_rng(3)
+    docs = {i: " ".join(rng.choice([f"w{j}" for j in range(60)], 50)) for i in train[:20]}
+    docs[train[20]] = " ".join(f"only{j}" for j in range(40))
+    docs |= {held[0]: docs[train[20]], held[1]: docs[train[0]], held[2]: "w1 w2 only3", held[3]: None}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one, two, three, follow = (collections.Counter() for _ in range(4))
+    padded = {i: [" ", " ", *WORDS.findall(t or ""), "\n"] for i, t in docs.items()}
+    for i, x in padded.items():
+        if learns(i):
+            one.update(x[1:])
+            two.update(zip(x, x[1:]))
+            three.update(zip(x, x[1:], x[2:]))
+    for (u, v, _), c in three.items():
+        follow[u, v] += c
+    total, distinct = sum(one.values()) - one[" "], len(one) - 1
+    for r in ngrams.query(spark, str(tmp_path)).collect():
+        x, want = padded[r["doc_id"]], 0.0
+        for u, v, w in zip(x, x[1:], x[2:]):
+            p2 = (two[v, w] + MU * (one[w] + 0.5) / (total + 0.5 * (distinct + 1))) / (one[v] + MU)
+            c = two[u, v]
+            want += math.log10(three[u, v, w] / (c + NU) + (c + NU - follow[u, v]) / (c + NU) * p2)
+        assert abs(r["score"] - want) <= 0.03 * (len(x) - 2), r["doc_id"]
