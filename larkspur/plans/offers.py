@@ -102,7 +102,7 @@ def consensus(spark, sf):
 
 
 def _history(spark, sf):
-    return table(spark, sf, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("wid"), F.col("p_retailprice").alias("median"), (F.col("p_retailprice") + 1).alias("ewma"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("wid"), F.col("p_retailprice").alias("median"), (F.col("p_retailprice") + 1).alias("ewma"))
 
 
 def reference(spark, sf):
@@ -210,7 +210,7 @@ def cadence(spark, sf):
 
 def upsert(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
-    old, new = o.where("o_orderpriority <> '1-URGENT'"), o.where("o_orderpriority in ('1-URGENT', '2-HIGH') and o_custkey % 2 = 0")
+    old, new = o.where("o_orderpriority <> '1-URGENT'"), o.where("o_orderpriority in ('1-URGENT', '2-HIGH')")
     out = history.replace_rows(old, new, ["o_custkey", "o_orderpriority"])
     return out.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
@@ -260,7 +260,7 @@ def evidence_mix(spark, sf):
 def words_missing(spark, sf):
     p = table(spark, sf, "part")
     items = p.select((F.col("p_partkey") % 500).alias("wid"), F.concat_ws(" ", "p_name", "p_type").alias("product"))
-    titles = p.where("p_partkey % 7 = 0").select((F.col("p_partkey") % 500).alias("wid"), F.col("p_name").alias("title"))
+    titles = p.select((F.col("p_partkey") % 500).alias("wid"), F.col("p_name").alias("title"))
     return learning.missing_words(items, titles)
 
 

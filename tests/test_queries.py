@@ -39,3 +39,22 @@ def test_conditions_read_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["condition"] for r in offers.conditions(spark, str(tmp_path)).collect()}
     assert got == {3: "parts", 4: "refurbished", 8: "used", 9: "new", 5: "parts", 6: "parts", 7: "parts", 13: "new", 10: "used", 14: "used"}
+
+
+def test_missing_words_read_all_titles(spark, tmp_path):
+    parts = [(1, "green bolt", "LARGE BRUSHED TIN"), (501, "large nut", "SMALL PLATED TIN"), (7, "red cap", "TIN CAP")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["wid"]: r["missing"] for r in offers.words_missing(spark, str(tmp_path)).collect()} == {1: "brushed plated small tin", 7: "tin"}
+
+
+def test_upsert_takes_all_new_rows(spark, tmp_path):
+    orders = [(1, "1-URGENT", 5.0), (1, "2-HIGH", 7.0), (2, "1-URGENT", 2.0), (2, "3-MEDIUM", 1.0), (3, "1-URGENT", 4.0), (3, "1-URGENT", 4.0)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in offers.upsert(spark, str(tmp_path)).collect())
+    assert got == [(1, "1-URGENT", 1, 5.0), (1, "2-HIGH", 1, 7.0), (2, "1-URGENT", 1, 2.0), (2, "3-MEDIUM", 1, 1.0), (3, "1-URGENT", 2, 8.0)]
+
+
+def test_all_items_have_history(spark, tmp_path):
+    parts = [(i, 10.0 * i) for i in range(1, 8)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(tuple(r) for r in offers._history(spark, str(tmp_path)).collect()) == [(i, p, p + 1) for i, p in parts]
