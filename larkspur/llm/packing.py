@@ -2,9 +2,11 @@
 
 Pieces shorter than a sequence are known by their length alone, so the plan is
 made from a histogram of at most `size` counts, however many documents there
-are. From the longest length down, a table of the sums of one, two or three
-available lengths is asked for the exact rest of the sequence, and the
-combination is used as often as its counts allow; what stays is packed best fit.
+are. From the longest length down, one, two or three available lengths that sum
+to the exact rest of the sequence are sought, and the combination is used as
+often as its counts allow; what stays is packed best fit. Only single lengths are
+looked up in a table; pairs and triples are searched for each rest, completely
+but without an index of their sums.
 The plan is a bounded list of patterns with multiplicities. Pieces then take
 numbers within their length, in Spark, and a number's place follows from the
 plan by a binary search.
