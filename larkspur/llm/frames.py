@@ -21,13 +21,26 @@ _CODEC = pa.Codec("zstd", 3)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session takes a local folder; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/larkspur-checkpoints"
     return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
 
 
+def unused(name: str, *taken: str) -> str:
+    """name, or it after as many underscores as no taken name has, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
@@ -52,7 +65,7 @@ def text_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     whatever reads it later.
     """
     keep = [c for c in docs.columns if c != text]
-    kinds = dict(docs.dtypes)
+    kinds, own = dict(docs.dtypes), unused("_text", *docs.columns)
     rows = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in keep) + ">"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +73,7 @@ def text_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
 
         def block():
             t = pa.Table.from_batches(held).combine_chunks()
-            texts = t["_text"].combine_chunks() if t["_text"].num_chunks else pa.array([], pa.large_binary())
+            texts = t[own].combine_chunks() if t[own].num_chunks else pa.array([], pa.large_binary())
             at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = texts.buffers()[2].slice(at[0], at[-1] - at[0]) if at[-1] > at[0] else pa.py_buffer(b"")
             structs = pa.StructArray.from_arrays([t[c].combine_chunks() for c in keep], keep)
@@ -70,9 +83,9 @@ def text_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
             )
 
         for batch in batches:
-            texts = batch.column("_text").cast(pa.large_binary()).fill_null(b"")
+            texts = batch.column(own).cast(pa.large_binary()).fill_null(b"")
             ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
-            b = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], [*keep, "_text"])
+            b = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], [*keep, own])
             at = 0
             while at < b.num_rows:
                 before = ends[at - 1] if at else 0
@@ -86,7 +99,7 @@ def text_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
         if held:
             yield block()
 
-    source = bound_batches(docs).select(*keep, F.col(text).alias("_text"))
+    source = bound_batches(docs).select(*keep, F.col(text).alias(own))
     return materialize(source.mapInArrow(gather, f"block long, rows array<{rows}>, sizes array<long>, data binary"))
 
 
@@ -120,6 +133,14 @@ def shard_count(blocks: DataFrame, shard_bytes: int) -> int:
     return max(partitions, -(-block_bytes_of(blocks) // shard_bytes))
 
 
+def values(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows as a table of SQL literals, which never leave the JVM; ddl as in "id bigint, name string"."""
+    names = [part.split()[0] for part in ddl.split(", ")]
+    kinds = [part.split()[1] for part in ddl.split(", ")]
+    each = [F.struct(*[F.lit(x).cast(t).alias(n) for x, n, t in zip(row, names, kinds)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*each)))
+
+
 def crc_remainder(column, divisor: int):
     """crc32 of a key written as text, modulo divisor; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))

@@ -1,38 +1,37 @@
 """Words of whole Arrow text columns, as numpy arrays.
 
-A word's hash is a random-coefficient polynomial over its bytes, read off two
-prefix sums, so a column costs a few vector passes and no Python object per
-word.  Long rows are summed in fixed pieces: memory follows the number of
-words, never a row's square.
+A word's hash sums a random value of each byte at its place in the word, read
+off prefix sums, so a column costs a few vector passes and no Python object per
+word. Another seed draws other values: hashes of two seeds are independent.
+Long rows are summed in fixed pieces: memory follows the number of words, never
+a row's square.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 18
-_BASE = 0x9E3779B97F4A7C13
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_STEP = np.uint64(0xD1342543DE82EF95)
-
-
-def _byte_values(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PIECE = 1 << 15
+_PLACES = np.arange(PIECE)
+#: Places in a word whose byte values are tabulated; those of later places are computed.
+NEAR = 64
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(PIECE, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+@lru_cache
+def _byte_values(seed: int) -> tuple[np.ndarray, np.uint64, np.ndarray]:
+    """A random value of each byte, a random odd step from place to place, and the values of all bytes at the first NEAR places."""
+    draw = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    values, step = draw[:256], draw[256]
+    return values, step, mix((values[None, :] + np.arange(NEAR, dtype=np.uint64)[:, None] * step).ravel())
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
-_POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
 
 #: Bytes between words: ASCII white space, or every ASCII character but letters and digits.
 WHITE = np.zeros(256, bool)
@@ -80,22 +79,38 @@ class Words:
         self.hash = self.hashes(lower, seed) if hashed else None
 
     def hashes(self, lower: bool, seed: int) -> np.ndarray:
-        values = _byte_values(seed)
-        values = values[_LOWER] if lower else values
+        values, step, near = _byte_values(seed)
         low, high = np.zeros(self.n, np.uint64), np.zeros(self.n, np.uint64)
-        unshift, carry = np.zeros(self.n, np.uint64), 0
-        for p in range(0, len(self.data), PIECE):
+        carry = np.uint64(0)
+        for p in range(0, len(self.data) if self.n else 0, PIECE):
             piece = self.data[p : p + PIECE]
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(values[piece] * _POWERS[: len(piece)], out=sums[1:])
-            sums = sums * np.uint64(pow(_BASE, p, 1 << 64)) + np.uint64(carry)
-            carry = int(sums[-1])
-            a, b = np.searchsorted(self.start, (p, p + len(piece)))
+            piece = _LOWER[piece] if lower else piece
+            end = p + len(piece)
+            a, b = max(0, int(np.searchsorted(self.start, p, "right")) - 1), int(np.searchsorted(self.start, end))
+            place = _PLACES[: len(piece)]
+            if b > a:  # a word's number of bytes before each byte; of no use, and any number, between words
+                begin = self.start[a:b] - p
+                edge = np.append(np.maximum(begin, 0), len(piece))
+                place = place.copy()
+                place[edge[0] :] -= np.repeat(begin, np.diff(edge))
+            far = np.flatnonzero(place >= NEAR)
+            at = place << 8
+            at |= piece
+            if len(far):
+                at[far] = 0
+            value = near[at]
+            if len(far):
+                value[far] = mix(values[piece[far]] + place[far].astype(np.uint64) * step)
+            sums = np.empty(len(piece) + 1, np.uint64)
+            sums[0] = carry
+            np.cumsum(value, out=sums[1:])
+            sums[1:] += carry
+            carry = sums[-1]
+            a, b = np.searchsorted(self.start, (p, end))
             low[a:b] = sums[self.start[a:b] - p]
-            unshift[a:b] = _INVERSES[self.start[a:b] - p] * np.uint64(pow(_INVERSE, p, 1 << 64))
-            a, b = np.searchsorted(self.end, (p + 1, p + len(piece) + 1))
+            a, b = np.searchsorted(self.end, (p + 1, end + 1))
             high[a:b] = sums[self.end[a:b] - p]
-        return mix((high - low) * unshift)
+        return mix(high - low)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
@@ -108,18 +123,19 @@ class Words:
         return self.data[self.at[row] : self.at[row + 1]].tobytes()
 
 
-def grams(ids: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
-    """A hash of ids[i:i+k] for each i that has k ids from it on, by doubling."""
+def grams(ids: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """A hash of ids[i:i+k] for each i that has k ids from it on, by doubling; every doubling is mixed."""
     if k < 1 or len(ids) < k:
         return np.zeros(0, np.uint64)
+    step, known = _byte_values(seed)[1], {1: ids}
 
     def of(width: int) -> np.ndarray:
-        if width == 1:
-            return ids
-        a = width // 2
-        left, right = of(a), of(width - a)
-        n = len(ids) - width + 1
-        return left[:n] * np.uint64(pow(int(step), width - a, 1 << 64)) + right[a : a + n]
+        if width not in known:
+            a = width // 2
+            left, right = of(a), of(width - a)
+            n = len(ids) - width + 1
+            known[width] = mix(left[:n] * step + right[a : a + n])
+        return known[width]
 
     return mix(of(k) + np.uint64(k))
 
@@ -169,5 +185,5 @@ def unpack(b: bytes, dtype, ordered: bool = False) -> np.ndarray:
 
 def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where sorted 64-bit keys pass from one of `shards` equal ranges to the next."""
-    edges = np.array([i * (1 << 64) // shards for i in range(1, shards)], np.uint64)
+    edges = np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
