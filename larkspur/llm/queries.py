@@ -22,6 +22,7 @@ ORACLE_SQL = {
     "op3_lookup_sharding": sharding.ORACLE_SQL,
     "op4_tensored_minhash": neardup.ORACLE_SQL,
     "op5_fingerprint_index": substrings.ORACLE_SQL,
+    "op7_risk_controlled_rules": rules.ORACLE_SQL,
     "op8_chat_events": chat.ORACLE_SQL,
     "op9_winnowing_decontamination": decontam.ORACLE_SQL,
 }

@@ -1,12 +1,19 @@
 """Quality rules whose cutoffs come with a risk guarantee.
 
-Each rule compares one statistic of a document with a cutoff. In each stratum
-the cutoffs of a rule are tried from the laxest on; one passes if the exact
-(Clopper-Pearson) upper bound on the share of good documents it rejects, from
-labelled ones, is at most `risk / rules`; the last before the first failure
-holds. Trying in a fixed order needs no correction within a rule; across rules
-and strata the error level is divided (Bonferroni). So with probability
-1 - error no stratum loses more than `risk` of its good documents.
+Each rule compares one statistic of a document with a cutoff. The rules are
+tightened together, along one path of LEVELS levels from lax to strict, which
+ends at cutoffs usual in published corpora. In each stratum the levels are
+tried in order; one passes if the exact (Clopper-Pearson) upper bound on the share
+of good documents that the rules reject at it, from labelled ones, is at most
+`risk`; the last before the first failure holds. Testing in a fixed order needs
+no correction within a stratum; over strata the error level is divided
+(Bonferroni). So with probability 1 - error no stratum loses more than `risk` of
+its good documents.
+
+A stratum with so few good labels that no level could pass, even without a
+rejection, shares one pooled stratum with all others like it; the guarantee then
+holds for these together. A stratum without good labels rejects by the base
+rules only, and so does the pooled one if its labels are still too few.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import bound_batches, materialize
+from larkspur.llm.frames import bound_batches, materialize, unused
 from larkspur.llm.text import Words, grams, whole
 
 SYMBOLS = "#*$%&|<>"
@@ -27,16 +34,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RISK, ERROR = 0.02, 0.05
-#: Beyond so many strata their cutoffs are joined by a shuffle.
-BROADCAST_STRATA = 10_000
+LEVELS = 10
 
-#: Rule: the statistic, which rejects above its cutoff, and cutoffs from the laxest on.
+#: Rule: the statistic, which rejects above its cutoff, and its cutoff at each level.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols_per_word": ("n_symbols / n_words", [8.0, 4.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05]),
-    "duplicate_lines": ("n_dup_lines / n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1]),
-    "repeated_words": ("n_repeat_words / n_words", [0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02]),
-    "long_words": ("word_chars / n_words", [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0]),
-    "short_words": ("-word_chars / n_words", [-1.0, -1.5, -2.0, -2.25, -2.5, -2.75, -3.0, -3.25, -3.5, -3.75, -4.0]),
+    "symbols_per_word": ("n_symbols / n_words", [2.0, 1.0, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1]),
+    "duplicate_lines": ("n_dup_lines / n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.32, 0.3]),
+    "repeated_words": ("n_repeat_words / n_words", [0.195, 0.19, 0.185, 0.18, 0.175, 0.17, 0.165, 0.16, 0.155, 0.15]),
+    "long_words": ("word_chars / n_words", [20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0, 11.0, 10.5, 10.0]),
+    "short_words": ("-word_chars / n_words", [-1.0, -1.5, -1.75, -2.0, -2.25, -2.5, -2.6, -2.75, -2.9, -3.0]),
 }
 
 
@@ -53,14 +59,14 @@ def safe(k: int, n: int, risk: float, error: float) -> bool:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """`keep` columns with COUNTS and n_lines (lines with a word), of whole texts; null texts are empty, repeated rows stay."""
-    names = [*keep, *COUNTS, "n_lines"]
+    """`keep` columns with COUNTS and n_lines (lines with a word), of whole texts; null texts are empty, repeated rows stay; an empty table gives none. `keep` may not name a count."""
+    names, own = [*keep, *COUNTS, "n_lines"], unused("_text", *keep)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                column = b.column("_text")
+                column = b.column(own)
                 w = Words(column)
                 repeat = np.zeros(w.n, bool)
                 g = (grams(w.hash, WINDOW) + np.uint64(0x9E3779B97F4A7C15) * w.rows()[: max(0, w.n - WINDOW + 1)].astype(np.uint64))[ok := whole(w, WINDOW)]
@@ -81,7 +87,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(counts[k].astype(np.int64)) for k in (*COUNTS, "n_lines")], names)
 
     kinds = dict(docs.dtypes)
-    source = bound_batches(docs).select(*keep, F.col(text).alias("_text"))
+    source = bound_batches(docs).select(*keep, F.col(text).alias(own))
     return source.mapInArrow(stats, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + "".join(f", {k} long" for k in (*COUNTS, "n_lines")))
 
 
@@ -95,60 +101,113 @@ def statistic(rule: str) -> Column:
     return F.when(F.col(below) > 0, (-F.col(above[1:]) if above[0] == "-" else F.col(above)) / F.col(below)).otherwise(0.0)
 
 
-def cutoffs(good: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, rule, n, cutoff) from measured good documents (stratum, COUNTS, n_lines); a null cutoff rejects nothing.
+def first_level() -> Column:
+    """The laxest level at which a rule rejects, from 1; LEVELS + 1: none does."""
+    passed = lambda rule: F.size(F.filter(F.array(*map(F.lit, RULES[rule][1])), lambda c: statistic(rule) <= c))
+    return 1 + F.least(*map(passed, RULES))
 
-    Counts by stratum, rule and cutoff are summed before they meet.
-    """
 
-    def level_of(rule: str) -> Column:
-        value = statistic(rule)
-        return F.struct(F.lit(rule).alias("rule"), F.size(F.filter(F.array(*map(F.lit, RULES[rule][1])), lambda c: value > c)).alias("level"))
+def levels(good: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, pooled, n, level) from good documents (stratum, COUNTS, n_lines); level 0 rejects nothing, n are the labels it rests on.
 
-    counts = good.select("stratum", F.explode(F.array(*map(level_of, RULES))).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count(F.lit(1)).alias("n"))
-    strata = counts.select("stratum").distinct().count()
+    Counts by stratum and level are summed before they meet.
+    """
+    counts = good.groupBy("stratum", first_level().alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(counts.groupBy("stratum").agg(F.sum("n").alias("_size")))
+    share = error / max(1, sizes.count())  # of each test: there is one for a stratum at most
+    pools = sizes.select("stratum", (F.pow(F.lit(1 - risk), F.col("_size")) > share).alias("pooled"))
+    key = F.when(~F.col("pooled"), F.col("stratum"))
+    by_level = counts.join(pools, "stratum").groupBy(key.alias("_key"), "pooled", "first").agg(F.sum("n").alias("n"))
 
     def choose(key, table):
-        stratum, rule = (k.as_py() for k in key)
-        grid, by_level = RULES[rule][1], dict(zip(table["level"].to_pylist(), table["n"].to_pylist()))
-        n, chosen = sum(by_level.values()), None
-        for i, cutoff in enumerate(grid):
-            k = sum(v for level, v in by_level.items() if level >= len(grid) - i)  # level: how many cutoffs, from the strictest on, the value exceeds
-            if not safe(k, n, risk / len(RULES), error / (len(RULES) * max(1, strata))):
+        n_at, level, k = dict(zip(table["first"].to_pylist(), table["n"].to_pylist())), 0, 0
+        n = sum(n_at.values())
+        for i in range(1, LEVELS + 1):
+            k += n_at.get(i, 0)
+            if not safe(k, n, risk, share):
                 break
-            chosen = cutoff
-        return pa.table({"stratum": [stratum], "rule": [rule], "n": pa.array([n], pa.int64()), "cutoff": pa.array([chosen], pa.float64())})
+            level = i
+        return pa.table({"_key": pa.array([key[0].as_py()], pa.string()), "pooled": [key[1].as_py()], "n": pa.array([n], pa.int64()), "level": pa.array([level], pa.int32())})
+
+    chosen = by_level.groupBy("_key", "pooled").applyInArrow(choose, "_key string, pooled boolean, n long, level int")
+    own = pools.select("stratum", "pooled", key.alias("_own"))
+    return own.join(chosen.drop("pooled"), F.col("_own").eqNullSafe(F.col("_key"))).select("stratum", "pooled", "n", "level")
+
 
-    return counts.groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule string, n long, cutoff double")
+def cutoffs(chosen: DataFrame) -> DataFrame:
+    """(stratum, pooled, n, level, rule, cutoff) of chosen levels; a null cutoff rejects nothing."""
+    grids = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.array(*map(F.lit, grid)) for _, grid in RULES.values()]))
+    return chosen.select("*", F.explode(grids).alias("rule", "_grid")).select(*chosen.columns, "rule", F.try_element_at("_grid", F.when(F.col("level") > 0, F.col("level"))).alias("cutoff"))
 
 
 def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """measured (with stratum) with base_failed and kept; a stratum without cutoffs rejects by the base rules only."""
-    wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
-    few = chosen.select("stratum").distinct().limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-    out = measured.join(F.broadcast(wide) if few else wide, "stratum", "left")
-    passes = F.lit(True)
-    for r in RULES:
-        passes = passes & (F.col(f"_{r}").isNull() | (statistic(r) <= F.col(f"_{r}")))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passes).drop(*[f"_{r}" for r in RULES])
+    """measured (with stratum) with base_failed and kept; strata without a level reject by the base rules only.
+
+    An empty table stays empty; columns named base_failed or kept are replaced.
+    """
+    level = unused("_level", *measured.columns)
+    out = measured.join(chosen.select("stratum", F.col("level").alias(level)), "stratum", "left")
+    passes = first_level() > F.coalesce(F.col(level), F.lit(0))
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passes).drop(level)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(doc_id, stratum, COUNTS, n_lines, base_failed, kept) of docs (doc_id, text, stratum), cutoffs from labels (doc_id, quality).
+    """(doc_id, stratum, COUNTS, n_lines, base_failed, kept) of docs (doc_id, text, stratum), levels from labels (doc_id, quality).
 
     Good: labelled 1 and not failed by the base rules. A null stratum is one of
     its own; null labels and labels without a document count for nothing; a
-    document with several labels counts as good if all of them are 1.
+    document with several labels counts as good if all of them are 1. Repeated
+    rows stay, and each counts; null and empty texts have no words and fail the
+    base rules; long texts are read whole; an empty table gives an empty result;
+    other columns are dropped.
     """
-    by_stratum = docs.withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("(null)")))
+    by_stratum = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("(null)")).alias("stratum"))
     measured = materialize(measure(by_stratum, keep=("doc_id", "stratum")))  # texts are read once; counts, not texts, meet the labels
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
     labelled = measured.join(good, "doc_id", "left_semi")
-    return judge(measured, materialize(cutoffs(labelled.where(~base_failed()), risk, error)))
+    return judge(measured, materialize(levels(labelled.where(~base_failed()), risk, error)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every document, with cutoffs by language from all labels."""
+    """The verdict on every document, with levels by language from all labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return filter_quality(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def _first_sql() -> str:
+    passed = []
+    for what, grid in RULES.values():
+        above, below = what.split(" / ")
+        passed.append(f"len(list_filter({grid}, lambda c: coalesce({above} / nullif({below}, 0), 0) <= c))")
+    return f"1 + least({', '.join(passed)})"
+
+
+ORACLE_SQL = rf"""WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '(null)') AS stratum, coalesce(text, '') AS t,
+    coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS lines FROM documents
+), windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n
+  FROM (SELECT rid, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS win FROM d, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i))
+), repeated AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM windows, unnest(range(i, i + {WINDOW})) AS u(j) WHERE n > 1 GROUP BY rid
+), m AS (
+  SELECT rid, doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN repeated USING (rid)
+), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_first_sql()} AS first FROM m
+), good AS (
+  SELECT stratum, first FROM f WHERE NOT base_failed
+    AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
+), sizes AS (SELECT stratum, count(*) AS size FROM good GROUP BY stratum
+), pools AS (SELECT stratum, CASE WHEN pow(1 - {RISK}, size) > {ERROR} / (SELECT count(*) FROM sizes) THEN '(pooled)' ELSE '=' || stratum END AS pool FROM sizes
+), tries AS (
+  SELECT pool, level, count(*) FILTER (WHERE first <= level) AS k, count(*) AS n FROM good JOIN pools USING (stratum), range(1, {LEVELS + 1}) AS r(level) GROUP BY pool, level
+), bounds AS (
+  SELECT *, k < n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN i < n THEN lgamma(n - i + 1) ELSE 0 END
+    + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) <= {ERROR} / (SELECT count(*) FROM sizes) AS safe FROM tries
+), chosen AS (SELECT pool, coalesce(min(level) FILTER (WHERE NOT safe) - 1, {LEVELS}) AS level FROM bounds GROUP BY pool)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first > coalesce(level, 0) AS kept
+FROM f LEFT JOIN pools USING (stratum) LEFT JOIN chosen USING (pool)"""
