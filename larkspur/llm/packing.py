@@ -2,11 +2,11 @@
 
 Pieces shorter than a sequence are known by their length alone, so the plan is
 made from a histogram of at most `size` counts, however many documents there
-are. From the longest length down, one, two or three available lengths that sum
-to the exact rest of the sequence are sought, and the combination is used as
-often as its counts allow; what stays is packed best fit. Only single lengths are
-looked up in a table; pairs and triples are searched for each rest, completely
-but without an index of their sums.
+are. An index, built once, has for each sum the pairs of available lengths that
+make it and, over the pairs, the triples. From the longest length down, one, two
+or three lengths that sum to the exact rest of the sequence are looked up, and the
+combination is used as often as its counts allow; combinations whose lengths have
+run out are passed over for good. What stays is packed best fit.
 The plan is a bounded list of patterns with multiplicities. Pieces then take
 numbers within their length, in Spark, and a number's place follows from the
 plan by a binary search.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import bound_batches, materialize
+from larkspur.llm.frames import bound_batches, materialize, unused
 from larkspur.llm.text import Words, release
 
 SIZE, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
@@ -42,13 +42,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordIds:
-    """Ids of white-space separated words, remembered by the word's hash.
+    """Ids of white-space separated words, remembered by the word's hash and bytes.
 
     The tokenizer drops white space and joins nothing over it, so a text's ids
-    are its words' ids; it lowers letters, and cuts a comma or full stop from
-    letters before it. New words of letters go to it many in one text: each
-    ends with an id that marks a word's end. The memory is three arrays (sorted hashes, where a
-    word's ids are, all ids); when full, the words of the last call stay.
+    are its words' ids; it cuts a comma or full stop from letters before it, and
+    lowers letters, but its control tokens count only as they are written. New
+    words of letters go to it many in one text: each ends with an id that marks
+    a word's end. The memory is arrays of sorted hashes, of the words' bytes and
+    of their ids; when full, the words of the last call stay. A word whose hash
+    is remembered for other bytes is encoded each time.
     """
 
     def __init__(self, path: str):
@@ -61,28 +63,33 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.hashes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.hashes, self.ids, self.bytes = np.zeros(0, np.uint64), _Ragged("<u4"), _Ragged(np.uint8)
 
     def ids_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and where each word's begin (one more than words)."""
         unique, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        i = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
-        new = np.flatnonzero(self.hashes[i] != unique) if len(self.hashes) else np.arange(len(unique))
+        start, sizes = words.start[first], words.end[first] - words.start[first]
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == unique if len(self.hashes) else np.zeros(len(unique), bool)
+        other = np.flatnonzero(known)
+        other = other[~self.bytes.equal(at[other], words.data, start[other], sizes[other])]
+        new = np.flatnonzero(~known)
         if len(new):
-            ids, sizes = self._encode([words.bytes_of(k).decode() for k in first[new].tolist()])
             if len(self.hashes) + len(new) > CACHE_WORDS:
-                keep = np.unique(i[self.hashes[i] == unique]) if len(self.hashes) else i[:0]
-                self.ids = self.ids[_ragged(self.at[keep], self.size[keep])]
-                self.hashes, self.size = self.hashes[keep], self.size[keep]
-                self.at = np.cumsum(self.size) - self.size
+                keep = at[known]
+                self.hashes, self.ids, self.bytes = self.hashes[keep], self.ids.take(keep), self.bytes.take(keep)
             place = np.searchsorted(self.hashes, unique[new])
-            self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.size, self.hashes = np.insert(self.size, place, sizes), np.insert(self.hashes, place, unique[new])
-            self.ids = np.concatenate([self.ids, ids])
-            i = np.searchsorted(self.hashes, unique)
-        word = i[inverse]
-        sizes = self.size[word]
-        return self.ids[_ragged(self.at[word], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+            self.ids.insert(place, *self._encode([words.bytes_of(k).decode() for k in first[new].tolist()]))
+            self.bytes.insert(place, words.data[_ragged(start[new], sizes[new])], sizes[new])
+            self.hashes = np.insert(self.hashes, place, unique[new])
+            at = np.searchsorted(self.hashes, unique)
+        ids, begin, count = self.ids.data, self.ids.at[at], self.ids.size[at]
+        if len(other):
+            more, count[other] = self._encode([words.bytes_of(k).decode() for k in first[other].tolist()])
+            begin[other] = len(ids) + np.cumsum(count[other]) - count[other]
+            ids = np.concatenate([ids, more])
+        count = count[inverse]
+        return ids[_ragged(begin[inverse], count)], np.concatenate([[0], np.cumsum(count)])
 
     def _encode(self, texts: list[str], joined: int = 50) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, in order, and how many each has."""
@@ -103,6 +110,31 @@ class WordIds:
         return ids, sizes
 
 
+class _Ragged:
+    """Lists of numbers in one array: where each begins, and its size."""
+
+    def __init__(self, kind):
+        self.data, self.at, self.size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def insert(self, place: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> None:
+        self.at = np.insert(self.at, place, len(self.data) + np.cumsum(sizes) - sizes)
+        self.size, self.data = np.insert(self.size, place, sizes), np.concatenate([self.data, data])
+
+    def take(self, which: np.ndarray) -> _Ragged:
+        out = _Ragged(self.data.dtype)
+        out.insert(np.zeros(len(which), np.int64), self.data[_ragged(self.at[which], self.size[which])], self.size[which])
+        return out
+
+    def equal(self, which: np.ndarray, data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each of the lists is the same as data[at:at + sizes]."""
+        out = self.size[which] == sizes
+        same = np.flatnonzero(out & (sizes > 0))
+        if len(same):
+            differ = self.data[_ragged(self.at[which[same]], sizes[same])] != data[_ragged(at[same], sizes[same])]
+            out[same] = ~np.logical_or.reduceat(differ, np.cumsum(sizes[same]) - sizes[same])
+        return out
+
+
 def _ragged(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indexes at[i] to at[i] + sizes[i], one range after another."""
     ends = np.cumsum(sizes)
@@ -112,11 +144,14 @@ def _ragged(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, ids: bool = False, text: str = "text") -> DataFrame:
     """docs without text, a row for each piece: piece (from 0), start, length, ids_crc32 and, if asked for, ids.
 
-    A null or empty text is the end id alone. Columns of docs named like the new ones are replaced.
+    A null or empty text is the end id alone; long texts are read whole, 250 rows
+    at a time; repeated rows are pieces of their own; an empty table gives none.
+    Columns of docs named like the new ones are replaced.
     """
     path = path or tokenizer_path()
     new = ["piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
     keep = [c for c in docs.columns if c != text and c not in new]
+    own = unused("_text", *keep)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +159,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 b = batch.slice(at, 250)
-                words = Words(b.column("_text"), lower=True, split=b",.")
+                words = Words(b.column(own), split=b",.")
                 all_ids, starts = table.ids_of(words)
                 begin, rows = starts[words.bounds], []
                 for i in range(b.num_rows):
@@ -142,68 +177,87 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
 
     kinds = dict(docs.dtypes)
     ddl = "".join(f"`{c}` {kinds[c]}, " for c in keep) + PIECES + (", ids array<long>" if ids else "")
-    return bound_batches(docs).select(*keep, F.col(text).alias("_text")).mapInArrow(cut, ddl)
+    return bound_batches(docs).select(*keep, F.col(text).alias(own)).mapInArrow(cut, ddl)
+
 
+class Sums:
+    """Counted lengths and an index of what one, two or three of them sum to.
 
-class _Lengths:
-    """The available lengths in order, with their counts."""
+    pairs[s] has the longer lengths of all pairs that sum to s, descending;
+    triples are a length and a pair that is no longer, so they need no table of
+    their own. Counts only fall, so a combination that has run out stays so: each
+    sum remembers from where its combinations may still be there.
+    """
 
-    def __init__(self, counts: dict[int, int]):
-        self.count = {n: c for n, c in counts.items() if c > 0}
-        self.order = sorted(self.count)
+    def __init__(self, counts: dict[int, int], size: int):
+        self.count = [0] * (size + 1)
+        for n, c in counts.items():
+            self.count[n] = c
+        self.order = sorted(n for n, c in counts.items() if c > 0)  # falls only
+        lengths = np.array(self.order, np.int64)
+        a, b = (lengths[x] for x in np.tril_indices(len(lengths)))  # a >= b
+        fit = a + b <= size
+        a, b = a[fit], b[fit]
+        by_sum = np.lexsort((-a, a + b))
+        edges = np.searchsorted((a + b)[by_sum], np.arange(size + 2))
+        self.pairs = [a[by_sum[x:y]].tolist() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        self.lengths = self.order[::-1]  # all that ever were
+        self.pair_from, self.triple_from = [0] * (size + 1), [0] * (size + 1)
 
     def take(self, n: int, times: int) -> None:
         self.count[n] -= times
         if not self.count[n]:
-            del self.count[n]
             del self.order[bisect_left(self.order, n)]
 
-
-def _complement(have: _Lengths, gap: int, size: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap, counted; the longest first."""
-    c = have.count
-    if c.get(gap, 0):
-        return (gap,)
-
-    def pair(rest: int, used: int = 0) -> tuple[int, int] | None:
-        for a in reversed(have.order[: bisect_left(have.order, rest)]):
-            b = rest - a
-            if a < b:
-                return None
-            left_a, left_b = c[a] - (a == used), c.get(b, 0) - (b == used)
-            if left_a > 0 and left_b > (a == b):
+    def single(self, total: int, held: dict[int, int]) -> bool:
+        return self.count[total] > held.get(total, 0)
+
+    def pair(self, total: int, held: dict[int, int], most: int | None = None) -> tuple[int, int] | None:
+        """Two available lengths, none above `most`, that sum to total; held lengths are in use already."""
+        count, all_of, i = self.count, self.pairs[total], self.pair_from[total]
+        while i < len(all_of) and not (count[a := all_of[i]] and count[b := total - a] and (a != b or count[a] > 1)):
+            i += 1
+        self.pair_from[total] = i
+        while i < len(all_of):
+            a = all_of[i]
+            b = total - a
+            if (most is None or a <= most) and count[a] - held.get(a, 0) > (a == b) and count[b] > held.get(b, 0):
                 return a, b
+            i += 1
         return None
 
-    if (two := pair(gap)) is not None:
-        return two
-    for a in reversed(have.order[: bisect_left(have.order, gap)]):
-        if 3 * a < gap:
+    def triple(self, total: int, held: dict[int, int]) -> tuple[int, int, int] | None:
+        count, i, first = self.count, self.triple_from[total], True
+        while i < len(self.lengths) and 3 * (a := self.lengths[i]) >= total:
+            if a < total and count[a]:
+                if first and self.pair(total - a, {}, a) is not None:
+                    self.triple_from[total], first = i, False
+                if count[a] > held.get(a, 0):
+                    two = self.pair(total - a, held | {a: held.get(a, 0) + 1}, a)
+                    if two is not None:
+                        return a, *two
+            i += 1
+        if first:
+            self.triple_from[total] = i
+        return None
+
+    def complement(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
+        """One, two or three available lengths, besides the held ones, that sum to gap; the longest first."""
+        if gap <= 0:
             return None
-        if (two := pair(gap - a, a)) is not None and two[0] <= a:
-            return a, *two
-    return None
+        return (gap,) if self.single(gap, held) else self.pair(gap, held) or self.triple(gap, held)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in a sequence, how often) that use each length as often as counted; lengths are 1 to size."""
-    have, patterns = _Lengths(counts), []
-    if full := have.count.get(size, 0):
+    have, patterns = Sums({n: c for n, c in counts.items() if c > 0}, size), []
+    if full := have.count[size]:
         patterns.append(((size,), full))
         have.take(size, full)
     rest: dict[int, int] = {}
     while have.order:
         n = have.order[-1]
-        have.count[n] -= 1  # the combination may use the length itself again
-        if not have.count[n]:
-            del have.count[n]
-            have.order.pop()
-        found = _complement(have, size - n, size)
-        if n in have.count:
-            have.count[n] += 1
-        else:
-            have.count[n] = 1
-            insort(have.order, n)
+        found = have.complement(size - n, {n: 1})
         if found is None:
             rest[n] = have.count[n]
             have.take(n, have.count[n])
@@ -280,18 +334,19 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
     # A piece's number within its length: parts are numbered on their own, after the sizes of the parts before them.
     most = max(PART_ROWS, sum(counts.values()) // PARTS)
-    parts = spark.createDataFrame([(n, -(-c // most)) for n, c in counts.items()], "length long, _parts long")
-    parted = cut.join(F.broadcast(parts), "length").withColumn("_part", F.pmod(F.xxhash64(*names), F.col("_parts"))).select(*names, "_part")
+    in_parts = F.lit([-(-counts.get(n, 0) // most) for n in range(size + 1)])  # of each length
+    part, number_name = unused("_part", *names), unused("_number", *names)
+    parted = cut.withColumn(part, F.pmod(F.xxhash64(*names), F.greatest(F.element_at(in_parts, (F.col("length") + 1).cast("int")), F.lit(1)).cast("long")))
     sizes: dict[int, np.ndarray] = {n: np.zeros(-(-c // most) + 1, np.int64) for n, c in counts.items()}
-    for r in parted.groupBy("length", "_part").count().collect():  # at most size + PARTS rows
+    for r in parted.groupBy("length", F.col(part).alias("_part")).count().collect():  # at most size + PARTS rows
         sizes[r["length"]][r["_part"] + 1] = r["count"]
     before = spark.sparkContext.broadcast({n: np.cumsum(x) for n, x in sizes.items()})
-    number = F.row_number().over(Window.partitionBy("length", "_part").orderBy(F.monotonically_increasing_id())) - 1
-    numbered = parted.withColumn("_number", number)
+    number = F.row_number().over(Window.partitionBy("length", part).orderBy(F.monotonically_increasing_id())) - 1
+    numbered = parted.withColumn(number_name, number)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, parts, number = (b.column(c).to_numpy() for c in ("length", "_part", "_number"))
+            length, parts, number = (b.column(c).to_numpy() for c in ("length", part, number_name))
             sequence, offset = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             order = np.argsort(length, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if b.num_rows else []:
@@ -307,7 +362,12 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, ids: bool = False) -> DataFrame:
-    """docs (with text) cut and packed: their other columns, the piece's columns, sequence_id and offset."""
+    """docs (with text) cut and packed: their other columns, the piece's columns, sequence_id and offset.
+
+    Null and empty texts are one piece, the end id; long texts are cut into full
+    pieces and a last one; repeated rows are packed as often as they are there;
+    an empty table gives no sequence; columns named like the new ones are replaced.
+    """
     return pack(materialize(pieces(docs, path, size, end_id, ids)), size)
 
 
