@@ -1,29 +1,35 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the smallest k-gram hash of every sliding window. Windows of
-`span` words equal in a document and an item hold the same `span - k + 1`
-k-grams, so they keep the same one: a join of the kept fingerprints misses no
-shared span of `span` words. Hits are then extended to the windows around them
-and confirmed word by word. Items of fewer than `span` words, one window each,
-keep the smallest k-gram of the whole item (k no larger than the item).
+`span` words equal in a text and an item hold the same `span - k + 1` k-grams,
+so they keep the same one: a join of the kept fingerprints misses no shared span
+of `span` words. Around each hit the windows that could hold it are written out
+and joined with the items' windows, word by word. Items of fewer than `span`
+words, one window each, keep the smallest k-gram of the whole item (k no larger
+than the item).
+
+A text is known by its digest, so equal texts are one. The items' fingerprints
+and windows are written tables; Spark broadcasts them only if their size allows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import bound_batches, materialize
-from larkspur.llm.text import NOT_ALNUM, Words, grams
+from larkspur.llm.frames import bound_batches, materialize, unused
+from larkspur.llm.text import NOT_ALNUM, Words, grams, release, whole
 
 SPAN, K = 10, 5
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark takes a pass over the documents for each block of this size.
-BLOCK_TEXT = 16 << 20
+#: Rows of texts that one Python call handles.
+ROWS = 500
+#: A word, before letters are lowered.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TO_BLANK = bytes(0x20 if NOT_ALNUM[b] and not 0x41 <= b <= 0x5A else b + 32 * (0x41 <= b <= 0x5A) for b in range(256))
 
 
 def winnow(g: np.ndarray, width: int) -> np.ndarray:
@@ -36,144 +42,151 @@ def winnow(g: np.ndarray, width: int) -> np.ndarray:
         here = g[j : j + n]
         less = here <= best
         best[less], at[less] = here[less], np.flatnonzero(less) + j
-    return np.unique(at)
-
-
-class Fingerprints:
-    """The windows of a block of benchmark items and their kept fingerprints, by window length."""
-
-    def __init__(self, items: list[tuple[object, bytes]], span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
-        self.windows: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        prints: dict[int, list] = defaultdict(list)
-        for item, text in items:
-            w = Words(pa.array([text], pa.binary()), lower=True, between=NOT_ALNUM)
-            if not w.n:
-                continue
-            words = text.translate(_TO_BLANK).split()
-            length = min(span, w.n)
-            size = min(k, length)
-            g = grams(w.hash, size)
-            prints[length].append(g[winnow(g, length - size + 1)])
-            for i in range(w.n - length + 1):
-                self.windows[length][b" ".join(words[i : i + length])].add(item)
-        self.prints = {n: np.unique(np.concatenate(x)) for n, x in prints.items()}
-        self.hashes = {n: np.sort(np.array([self._hash(x, n) for x in self.windows[n]], np.uint64)) for n in self.prints}
-        self.windows = {n: dict(x) for n, x in self.windows.items()}
-
-    @staticmethod
-    def _hash(window: bytes, n: int) -> np.uint64:
-        return grams(Words(pa.array([window], pa.binary()), lower=True, between=NOT_ALNUM).hash, n)[0]
-
-    def occurrences(self, w: Words) -> Iterator[tuple[int, int, int, set]]:
-        """(row, first word, length, items) of each window that occurs in the rows of w."""
-        ends = np.repeat(w.bounds[1:], w.counts)
-        for length, prints in self.prints.items():
-            size = min(self.k, length)
-            width = length - size + 1
-            g = grams(w.hash, size)
-            kept = winnow(g, width)  # over row borders too: that only adds positions
-            at = np.searchsorted(prints, g[kept])
-            hit = kept[prints[np.minimum(at, len(prints) - 1)] == g[kept]]
-            starts = np.unique((hit[:, None] - np.arange(width)).ravel())
-            starts = starts[(starts >= 0) & (starts + length <= w.n)]
-            starts = starts[starts + length <= ends[starts]]
-            if not len(starts):
-                continue
-            h = np.zeros(len(starts), np.uint64)
-            runs = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > 1) + 1)
-            for run in runs:
-                a, b = starts[run[0]], starts[run[-1]]
-                h[run] = grams(w.hash[a : b + length], length)
-            at = np.minimum(np.searchsorted(self.hashes[length], h), len(self.hashes[length]) - 1)
-            starts = starts[self.hashes[length][at] == h]
-            rows = np.searchsorted(w.bounds, starts, "right") - 1
-            for i, row in zip(starts.tolist(), rows.tolist()):
-                window = w.data[w.start[i] : w.end[i + length - 1]].tobytes().translate(_TO_BLANK)
-                items = self.windows[length].get(b" ".join(window.split()))
-                if items is not None:
-                    yield row, i, length, items
+    return at[np.diff(at, prepend=-1) != 0]  # they only rise
 
 
-_TO_BLANK = bytes(0x20 if NOT_ALNUM[b] and not 0x41 <= b <= 0x5A else b + 32 * (0x41 <= b <= 0x5A) for b in range(256))
+def kept(words: Words, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words' places, hashes) of the fingerprints that windows of `size` words keep, of all rows."""
+    k = min(k, size)
+    g = grams(words.hash, k)
+    at = winnow(g, size - k + 1)  # over row borders too: that only adds places, of which those across a border go
+    at = at[whole(words, k)[at]]
+    return at, g[at]
 
 
-def benchmark_blocks(items: DataFrame, block_text: int = BLOCK_TEXT) -> Iterator[list[tuple]]:
-    """The items in blocks of about block_text bytes, streamed to the driver one after another; one block is the usual case.
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
-    Identical rows meet once; null and empty texts are left out.
-    """
-    block, size = [], 0
-    for item, text in items.where("length(text) > 0").distinct().toLocalIterator():
-        if size >= block_text:
-            yield block
-            block, size = [], 0
-        block.append((item, text.encode()))
-        size += len(block[-1][1])
-    yield block
+
+def _words(column) -> Words:
+    return Words(column, lower=True, between=NOT_ALNUM)
+
+
+def item_prints(items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """(size, print): the distinct fingerprints of items (text), by the length of their windows."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            words = _words(b.column("text"))
+            row = words.rows()
+            for size in range(1, span + 1):
+                mine = words.counts >= span if size == span else words.counts == size
+                if mine.any():
+                    at, g = kept(words, size, k)
+                    g = np.unique(g[mine[row[at]]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int32)), pa.array(g.view(np.int64))], ["size", "print"])
+
+    return bound_batches(items).select("text").mapInArrow(prints, "size int, print long").distinct()
+
+
+def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
+    """(item, size, window), each once: the windows of items (item_id, text), lower-cased words joined by a space; item is the id as text."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, 50):
+            ids, sizes, found = [], [], []
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                words = (text or "").encode().translate(_TO_BLANK).split()
+                size = min(span, len(words))
+                for i in range(len(words) - size + 1 if size else 0):
+                    ids.append(item)
+                    sizes.append(size)
+                    found.append(b" ".join(words[i : i + size]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary()).cast(pa.string())], ["item", "size", "window"])
+
+    source = bound_batches(items).select(F.col("item_id").cast("string").alias("item"), "text")
+    return source.mapInArrow(windows, "item string, size int, window string").distinct()
 
 
-def mark(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN, k: int = K, block_text: int = BLOCK_TEXT) -> DataFrame:
+def text_prints(texts: DataFrame, sizes: list[int], k: int = K) -> DataFrame:
+    """(key, size, print, at): the fingerprints of texts (key, text) for windows of each size; at: the place in words."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            words = _words(b.column("text"))
+            row = words.rows()
+            for size in sizes:
+                at, g = kept(words, size, k)
+                r = row[at]
+                arrays = [b.column("key").take(pa.array(r)), pa.array(np.full(len(at), size, np.int32)), pa.array(g.view(np.int64)), pa.array((at - words.bounds[r]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "size", "print", "at"])
+        release()
+
+    return bound_batches(texts).select("key", "text").mapInArrow(prints, "key binary, size int, print long, at int")
+
+
+def windows_around(texts: DataFrame, k: int = K) -> DataFrame:
+    """(key, start, size, window): the windows of texts (key, text, places) that could keep a fingerprint at one of the places (size, at)."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, 50):
+            rows, starts, sizes, found = [], [], [], []
+            for i, (text, places) in enumerate(zip(b.column("text").to_pylist(), b.column("places").to_pylist())):
+                words = text.encode().translate(_TO_BLANK).split()
+                around = {(s, p["size"]) for p in places for s in range(max(0, p["at"] - p["size"] + min(k, p["size"])), min(p["at"], len(words) - p["size"]) + 1)}
+                for start, size in around:
+                    rows.append(i)
+                    starts.append(start)
+                    sizes.append(size)
+                    found.append(b" ".join(words[start : start + size]))
+            arrays = [b.column("key").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "size", "window"])
+
+    return bound_batches(texts).select("key", "text", "places").mapInArrow(windows, "key binary, start int, size int, window string")
+
+
+def key_of(text: str) -> Column:
+    """The digest by which a text is known; null is the empty text."""
+    return F.unhex(F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
+    """(key, hits, items), written: each text of docs, by key_of, in which windows of items occur.
+
+    hits: array of (start, end) in words, disjoint and ascending; items: sorted
+    strings. docs should be a written table, as its texts are read twice.
+    """
+    items = items.select("item_id", "text").where("length(text) > 0").distinct()
+    prints, windows = materialize(item_prints(items, span, k)), materialize(item_windows(items, span))
+    sizes = [r["size"] for r in prints.select("size").distinct().collect()]  # span at most
+    texts = docs.select(key_of(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    places = text_prints(texts, sorted(sizes), k).join(prints, ["size", "print"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("size", "at")).alias("places"))
+    around = windows_around(texts.join(materialize(places), "key"), k)
+    found = materialize(around.join(windows.select("size", "window").distinct(), ["size", "window"], "left_semi").distinct())
+    end = F.col("start") + F.col("size")
+    ordered = Window.partitionBy("key").orderBy("start", "size")  # the hits of one text
+    new = F.col("start") > F.coalesce(F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    islands = found.select("key", "start", end.alias("end"), F.sum(new.cast("int")).over(ordered).alias("island"))
+    hits = islands.groupBy("key", "island").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"))
+    hits = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"))
+    ids = found.select("key", "size", "window").distinct().join(windows.where("item is not null"), ["size", "window"]).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return materialize(hits.join(ids, "key", "left"))
+
+
+def mark(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """docs with n_words, hits (array of (start, end) in words, disjoint and ascending) and items (sorted strings).
 
-    items: (item_id, text). Null or empty texts have no words and no hits; hits
-    of a null item_id are marked but not listed; repeated rows stay; columns of
-    docs named n_words, hits or items are replaced. Fingerprints of a block of
-    the benchmark are broadcast, so the broadcast is bounded; a benchmark beyond
-    one block takes a pass over docs, written out, for each.
+    items: (item_id, text). Null or empty texts have no words and no hits; texts
+    are read whole; equal texts and repeated rows are marked alike; empty tables
+    on either side give no hits; hits of a null item_id are marked but not
+    listed; columns of docs named n_words, hits or items are replaced.
     """
-    spark, out, before = docs.sparkSession, docs.drop("n_words", "hits", "items"), None
-    for block in benchmark_blocks(items.select("item_id", F.col("text")), block_text):
-        if before is not None:
-            out = materialize(out)
-            before.unpersist()
-        before = spark.sparkContext.broadcast(block)
-        out = _mark_block(out, before, text, span, k)
-    return out
-
-
-def _mark_block(docs: DataFrame, shared, text: str, span: int, k: int) -> DataFrame:
-    """docs marked with one block, besides what former blocks have marked."""
-    again = "hits" in docs.columns
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    kinds = dict(docs.dtypes)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Fingerprints(shared.value, span, k)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                w = Words(b.column(text), lower=True, between=NOT_ALNUM)
-                spans, found = defaultdict(list), defaultdict(set)
-                if again:
-                    for i, (hits, ids) in enumerate(zip(b.column("hits").to_pylist(), b.column("items").to_pylist())):
-                        if hits:
-                            spans[i], found[i] = [(h["start"], h["end"]) for h in hits], set(ids)
-                for row, first, length, ids in index.occurrences(w):
-                    spans[row].append((first - w.bounds[row], first - w.bounds[row] + length))
-                    found[row] |= {str(i) for i in ids if i is not None}
-                merged = [merge(spans[i]) if i in spans else [] for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in names), pa.array(w.counts.astype(np.int64)), pa.array([[{"start": x, "end": y} for x, y in m] for m in merged], SPANS), pa.array([sorted(found[i]) if i in found else [] for i in range(b.num_rows)], pa.list_(pa.string()))],
-                    [*names, "n_words", "hits", "items"],
-                )
-
-    ddl = "".join(f"`{c}` {kinds[c]}, " for c in names)
-    return bound_batches(docs).mapInArrow(scan, f"{ddl}n_words long, hits array<struct<start:long,end:long>>, items array<string>")
-
-
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Disjoint ascending spans that cover the same words."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([int(a), int(b)])
-    return [(int(a), int(b)) for a, b in out]
+    key = unused("_key", *names)
+    found = occurrences(docs, items, text, span, k).withColumnRenamed("key", key)
+    out = docs.select(*names, key_of(text).alias(key)).join(found, key, "left")
+    empty = F.array().cast(dict(found.dtypes)["hits"])
+    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return out.select(*names, n_words.alias("n_words"), F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
+    """The rows of docs without a hit, as mark has them, with all their columns."""
+    key = unused("_key", *docs.columns)
+    found = occurrences(docs, items, text, span, k).select(F.col("key").alias(key))
+    return docs.withColumn(key, key_of(text)).join(found, key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

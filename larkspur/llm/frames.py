@@ -127,10 +127,10 @@ def block_bytes_of(blocks: DataFrame) -> int:
     return blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
 
 
-def shard_count(blocks: DataFrame, shard_bytes: int) -> int:
+def shard_count(blocks: DataFrame, shard_bytes: int, text_bytes: int | None = None) -> int:
     """Shards that get what shard_bytes of text make, one at least for each shuffle partition."""
     partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, -(-block_bytes_of(blocks) // shard_bytes))
+    return max(partitions, -(-(block_bytes_of(blocks) if text_bytes is None else text_bytes) // shard_bytes))
 
 
 def values(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

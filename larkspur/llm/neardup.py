@@ -31,6 +31,8 @@ from larkspur.llm.text import Words, grams, mix, pack, release, unpack
 HALVES = 12
 #: Documents whose sets are compared with one hub's in one call.
 MEMBERS = 64
+#: Rows of one shingle's documents of about a length that are compared in one part.
+PART_ROWS = 1024
 #: Parts of a group of equal sets that are reduced on their own first.
 SALTS = 64
 _R = np.random.Generator(np.random.PCG64(4))
@@ -106,17 +108,24 @@ def hub_pairs(members: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) of the docs with an id in ids: packed sets.
+    """(doc_id, shingles): packed sets of the docs in ids (doc_id, set_a, set_b), each that of the given name.
 
     The ids grow with the documents, so they are never broadcast: the plan is the same at every size.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(x, ordered=True) for x in shingle_sets(b.column("_text"), k)], pa.binary())], ["doc_id", "shingles"])
+            named = list(zip(shingle_sets(b.column("_text"), k), b.column("set_a").to_pylist(), b.column("set_b").to_pylist()))
+            mine = [i for i, (x, *name) in enumerate(named) if [int(n) for n in _name(x).view(np.int64)] == name]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(mine, pa.int64())), pa.array([pack(named[i][0], ordered=True) for i in mine], pa.binary())], ["doc_id", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "_text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, shingles binary")
+    return docs.select("doc_id", "_text").join(ids.hint("merge"), "doc_id").mapInArrow(sets, f"doc_id {kind}, shingles binary").dropDuplicates(["doc_id"])
+
+
+def _name(x: np.ndarray) -> np.ndarray:
+    """The 128-bit name of a set, as signatures makes it."""
+    return np.array([np.add.reduce(mix(x ^ _XOR[side])) + np.uint64(len(x)) if len(x) else np.uint64(0) for side in range(2)], np.uint64)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,14 +209,23 @@ def exact_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent:
     mixed = by.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "component")).alias("top")).where("c > 1").select("bucket", F.col("top.component").alias("largest"))
     leftover = materialize(ids.join(mixed, "bucket").groupBy("doc_id", "component").agg(F.min(F.col("component") == F.col("largest")).alias("main")))
     rows = materialize(_prefixes(leftover, sets, percent))  # main: in the largest component of each of its buckets
-    x, y = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "component", "n", "at")], F.col("main").alias(f"{side}_main")) for side in "xy")
+    # Only lengths within the asked ratio compare: those of a block (a power of that ratio) and the next ones. Many rows in one block are dealt in parts.
+    block = F.floor(F.log("n") / F.log(F.lit(100.0001 / percent))).cast("int")
+    rows = rows.withColumn("block", block)
+    sizes = rows.groupBy("token", "block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
+    many = materialize(sizes.select("token", "block", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("parts")))
+    x, y = (rows.select("token", "block", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "component", "n", "at")], F.col("main").alias(f"{side}_main")) for side in "xy")
+    parts = F.coalesce("parts", F.lit(1))
+    x = x.join(many, ["token", "block"], "left").withColumn("part", F.pmod(F.xxhash64("x_doc_id"), parts).cast("int")).drop("parts")
+    y = y.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).join(many, ["token", "block"], "left")
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     n = F.col("x_n") + F.col("y_n")
     overlap = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))  # of the shared token and all after it
     ok = (
         (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & ~(F.col("x_main") & F.col("y_main"))
         & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & ((100 + percent) * overlap >= percent * n)
     )
-    return x.join(y, (x["token"] == y["token"]) & ok).select(F.col("x_doc_id").alias("hub"), F.col("y_doc_id").alias("doc_id")).distinct()
+    return x.join(y, ["token", "block", "part"]).where(ok).select(F.col("x_doc_id").alias("hub"), F.col("y_doc_id").alias("doc_id")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -217,26 +235,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     k-word shingles, lower-cased in A-Z. Fewer than k words are one shingle. A
     null or empty text, or one without words, has no shingle and no link.
     Rows are documents by doc_id: repeated ids share a component_id and are all
-    kept or all not; rows with a null doc_id have a null component and are kept.
-    Other columns are dropped. Texts are read whole; groups of any size are
-    compared without emitting their pairs.
+    kept or all not; of their texts the one with most shingles is compared.
+    Rows with a null doc_id have a null component and are kept. Other columns
+    are dropped. Texts are read whole. Groups of any size are linked without
+    emitting their pairs; documents whose bucket stays mixed are compared by rare
+    shingles, by parts of PART_ROWS of about one length.
     """
     docs = docs.select("doc_id", F.col(text).alias("_text"))
-    signed = materialize(signatures(docs, k))
+    signed, name = materialize(signatures(docs, k)), ["n_shingles", "set_a", "set_b"]
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    named = materialize(with_representatives(real.select("doc_id", "n_shingles", "set_a", "set_b")))
-    reps = real.join(named.select("rep").distinct().withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    real = real.groupBy("doc_id").agg(F.max(F.struct(*name)).alias("_own")).select("doc_id", "_own.*")  # one set for an id
+    named = materialize(with_representatives(real))
+    own = named.where(F.col("doc_id") == F.col("rep")).select("doc_id", *name)
+    reps = signed.join(own, ["doc_id", *name], "left_semi").dropDuplicates(["doc_id"])
     members = materialize(buckets(reps.select("doc_id", "halves")))
     pairs = materialize(hub_pairs(members))
-    ids = pairs.select(F.col("hub").alias("doc_id")).unionByName(pairs.select("doc_id")).distinct()
-    sets = materialize(_sets_of(docs, ids, k).dropDuplicates(["doc_id"]))
+    ids = pairs.select(F.col("hub").alias("doc_id")).unionByName(pairs.select("doc_id")).distinct().join(own.select("doc_id", "set_a", "set_b"), "doc_id")
+    sets = materialize(_sets_of(docs, ids, k))
     links = materialize(confirm(pairs, sets, percent))
     more = exact_pairs(members, components(links), sets, percent)
     links = links.unionByName(confirm(materialize(more), sets, percent))
     found = materialize(components(links))
-    named = named.select("doc_id", "rep").distinct()
-    labelled = named.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("_component"))
-    out = signed.select("doc_id", "n_shingles").join(labelled.groupBy("doc_id").agg(F.min("_component").alias("_component")), "doc_id", "left")
+    labelled = named.select("doc_id", "rep").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("_component"))
+    out = signed.select("doc_id", "n_shingles").join(labelled, "doc_id", "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

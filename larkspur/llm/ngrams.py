@@ -1,11 +1,12 @@
 """N-gram language model in sharded Elias-Fano tries.
 
-Contexts (the two tokens before a token) and their successors are counted over
-all training texts. A shard has a range of context hashes as a trie: sorted
-contexts, monotone pointers to each one's successors, and successors numbered
-relative to their context, all as Elias-Fano sequences beside one byte each for
-quantised values. A lookup finds the context, then searches its own range for
-the successor.
+Words, contexts (the two tokens before a token) and their successors are counted
+over all training texts. The word level is a sorted Elias-Fano sequence of word
+hashes with their counts. A shard of the levels below has a range of context
+hashes as a trie: sorted contexts, which are the bigrams, monotone pointers to
+each one's successors, the trigrams, and successors numbered relative to their
+context, all as Elias-Fano sequences beside one byte each for quantised values.
+A lookup finds the context, then searches its own range for the successor.
 
 With c counts, N training tokens and V distinct ones:
 
@@ -14,13 +15,16 @@ With c counts, N training tokens and V distinct ones:
     p(w | u v) = kept(u v w) + rest(u v) p2(w | v)
 
 kept is c(u v w) / (c(u v) + NU) for trigrams seen min_count times or more, and
-rest is what the kept ones leave, so each distribution sums to one but for the
-rounding of its quantised values. The query keeps all trigrams, from count 1 on;
-callers that name no min_count get MIN_COUNT, which drops those seen once.
+rest, the weight of backing off, is what the kept ones leave, so each
+distribution sums to one but for the rounding of its quantised values. By
+default all trigrams are kept, from count 1 on. A bigram's level holds its
+quantised count, not p2: the count of its first word lies in another shard and
+meets it when a text is scored.
 
 Texts are cut into blocks; each block sends its distinct n-grams, with training
 counts, once to the shards, which add them up, build their tries and answer the
-same n-grams. A model can also be kept: `learn` gives its tries as a table.
+same n-grams (`score`). A model can also be kept: `learn` gives its levels as a
+table, and `score_with` scores texts by such a table.
 """
 
 from __future__ import annotations
@@ -36,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import crc_remainder, each_block, materialize, shard_count, text_blocks
+from larkspur.llm.frames import crc_remainder, each_block, materialize, shard_count, text_blocks, unused
 from larkspur.llm.text import Words, cuts, mix, pack, unpack
 
-MU, NU, MIN_COUNT = 50.0, 3.0, 2
+MU, NU, MIN_COUNT = 50.0, 3.0, 1
 #: Text bytes whose n-grams one shard has.
 SHARD_BYTES = 12 << 20
+#: The word level has this part of the shards of the levels below, WORD_SHARDS at least: it is far smaller.
+WORD_PART, WORD_SHARDS = 8, 16
 #: Bits of a successor's number within its context; a context's hash has the other bits of 64.
 RELATIVE_BITS = 24
 #: Hashes of the end of a text, of what stands before its first token and after its end.
@@ -70,10 +76,8 @@ class EliasFano:
         packed = np.packbits(flags, bitorder="little")
         low = np.zeros((n * bits + 63) // 64 * 8 + 16, np.uint8)
         if bits and n:
-            each = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if n * bits < 1 << 22 else None
-            if each is None:
-                parts = [np.unpackbits(values[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].ravel() for i in range(0, n, 1 << 16)]
-                each = np.concatenate(parts)
+            parts = [np.unpackbits(values[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].ravel() for i in range(0, n, 1 << 16)]
+            each = np.concatenate(parts)
             data = np.packbits(each.ravel(), bitorder="little")
             low[: len(data)] = data
         ones = _BIT_COUNT[packed].reshape(-1, 8).sum(1, dtype=np.int64)
@@ -151,8 +155,30 @@ def quantise_count(c: np.ndarray) -> np.ndarray:
     return code.astype(np.uint8)
 
 
-class Trie:
-    """Contexts and their kept successors, read from one buffer (a memory map, a file or bytes)."""
+def _stored(base: int, sequences: dict[str, EliasFano], arrays: dict[str, np.ndarray]) -> bytes:
+    """Sequences and arrays in one buffer, behind a header that names their places."""
+    arrays = arrays | {f"{k}.{a}": x for k, s in sequences.items() for a, x in s.arrays().items()}
+    at, where = 0, {}
+    for name, x in arrays.items():
+        where[name] = [at, len(x), x.dtype.str]
+        at += -(-x.nbytes // 8) * 8
+    head = {"base": base, "sequences": {k: [s.n, s.low_bits] for k, s in sequences.items()}, "arrays": where}
+    size = 4096
+    while True:  # the header names places behind itself
+        text = json.dumps(head | {"arrays": {k: [p + 8 + size, n, t] for k, (p, n, t) in where.items()}}).encode()
+        if len(text) <= size:
+            break
+        size *= 2
+    out = bytearray(8 + size + at)
+    out[:8] = size.to_bytes(8, "little")
+    out[8 : 8 + size] = text.ljust(size)
+    for name, x in arrays.items():
+        out[8 + size + where[name][0] : 8 + size + where[name][0] + x.nbytes] = x.tobytes()
+    return bytes(out)
+
+
+class Level:
+    """Sequences and arrays, read from one buffer (a memory map, a file or bytes)."""
 
     def __init__(self, buffer):
         size = int.from_bytes(bytes(buffer[:8]), "little")
@@ -161,7 +187,49 @@ class Trie:
         self.base = np.uint64(head["base"])
         for name, (n, bits) in head["sequences"].items():
             setattr(self, name, EliasFano(n, bits, get(f"{name}.low"), get(f"{name}.high"), get(f"{name}.before")))
-        self.count, self.rest, self.kept = get("count"), get("rest"), get("kept")
+        for name in head["arrays"]:
+            if "." not in name:
+                setattr(self, name, get(name))
+
+    @classmethod
+    def mapped(cls, data: bytes):
+        """The level as a memory map of an unnamed file, which goes when the level goes."""
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def places(self, sequence: EliasFano, wanted: np.ndarray) -> np.ndarray:
+        """The place in a sequence, which counts from base, of each sorted value; -1 where it isn't there."""
+        at = np.full(len(wanted), -1, np.int64)
+        inside = np.flatnonzero(wanted >= self.base)
+        if sequence.n and len(inside):
+            found = sequence.successor(wanted[inside] - self.base, np.zeros(len(inside), np.int64), np.full(len(inside), sequence.n))
+            here = found < sequence.n
+            inside, found = inside[here], found[here]
+            same = sequence[found] + self.base == wanted[inside]
+            at[inside[same]] = found[same]
+        return at
+
+
+class WordLevel(Level):
+    """Words and their training counts."""
+
+    @staticmethod
+    def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
+        """The level of sorted distinct words; those without a count are left out."""
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        base = int(keys[0]) if len(keys) else 0
+        return _stored(base, {"words": EliasFano.build(keys - np.uint64(base))}, {"count": counts.astype(np.uint64)})
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each sorted word."""
+        at = self.places(self.words, keys)
+        return np.where(at >= 0, self.count[np.maximum(at, 0)] if len(self.count) else 0, 0).astype(np.uint64)
+
+
+class Trie(Level):
+    """Contexts and their kept successors."""
 
     @staticmethod
     def build(keys: np.ndarray, counts: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
@@ -187,32 +255,7 @@ class Trie:
             "count": quantise_count(total[seen]), "rest": quantise((total[seen] + NU - kept_sum[seen]) / (total[seen] + NU)),
             "kept": quantise(counts[keep] / (total[of[keep]] + NU)),
         }
-        arrays |= {f"{k}.{a}": x for k, s in sequences.items() for a, x in s.arrays().items()}
-        at, where = 0, {}
-        for name, x in arrays.items():
-            where[name] = [at, len(x), x.dtype.str]
-            at += -(-x.nbytes // 8) * 8
-        head = {"base": base, "sequences": {k: [s.n, s.low_bits] for k, s in sequences.items()}, "arrays": where}
-        size = 4096
-        while True:  # the header names places behind itself
-            text = json.dumps(head | {"arrays": {k: [p + 8 + size, n, t] for k, (p, n, t) in where.items()}}).encode()
-            if len(text) <= size:
-                break
-            size *= 2
-        out = bytearray(8 + size + at)
-        out[:8] = size.to_bytes(8, "little")
-        out[8 : 8 + size] = text.ljust(size)
-        for name, x in arrays.items():
-            out[8 + size + where[name][0] : 8 + size + where[name][0] + x.nbytes] = x.tobytes()
-        return bytes(out)
-
-    @classmethod
-    def mapped(cls, data: bytes) -> Trie:
-        """The trie as a memory map of an unnamed file, which goes when the trie goes."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        return _stored(base, sequences, arrays)
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of sorted keys: for each distinct context its count and rest bytes (unknown: 0 and 255), for each key its kept byte."""
@@ -223,11 +266,8 @@ class Trie:
         count, rest, kept = np.zeros(len(begin), np.uint8), np.full(len(begin), 255, np.uint8), np.zeros(len(keys), np.uint8)
         if not n:
             return count, rest, kept
-        inside = np.flatnonzero(wanted >= self.base)
-        at = np.full(len(begin), n, np.int64)
-        at[inside] = self.contexts.successor(wanted[inside] - self.base, np.zeros(len(inside), np.int64), np.full(len(inside), n))
-        found = np.flatnonzero(at < n)
-        found = found[self.contexts[at[found]] + self.base == wanted[found]]
+        at = self.places(self.contexts, wanted)
+        found = np.flatnonzero(at >= 0)
         count[found], rest[found] = self.count[at[found]], self.rest[at[found]]
         known = np.zeros(len(begin), bool)
         known[found] = True
@@ -284,18 +324,18 @@ def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[begin], np.add.reduceat(weight.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64), place
 
 
-def _learn_flags(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("rows")[0].values.field("_learn").to_numpy(zero_copy_only=False).astype(bool)
+def _learn_flags(batch: pa.RecordBatch, flag: str) -> np.ndarray:
+    return batch.column("rows")[0].values.field(flag).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _requests(blocks: DataFrame, shards: int) -> DataFrame:
+def _requests(blocks: DataFrame, shards: tuple[int, int], flag: str) -> DataFrame:
     """(kind, shard, block, keys, counts) of each block: words (kind 0) and n-grams (kind 1), sorted, cut by range."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in each_block(batches):
-            tokens, learn = _Tokens(texts), _learn_flags(b)
+            tokens, learn = _Tokens(texts), _learn_flags(b, flag)
             for kind, (keys, counts, _) in enumerate((tokens.words(learn), tokens.grams(learn))):
-                at = cuts(keys, shards)
+                at = cuts(keys, shards[kind])
                 filled = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -322,57 +362,68 @@ def _summed(table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return keys[begin], np.add.reduceat(counts, begin), np.split(place, np.cumsum([len(p) for p in parts])[:-1])
 
 
+def _shards(blocks: DataFrame) -> tuple[int, int]:
+    """Shards of the word level and of the levels below."""
+    n = shard_count(blocks, SHARD_BYTES)
+    return min(n, max(WORD_SHARDS, n // WORD_PART)), n
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+    """Training tokens and distinct ones among a shard's words."""
+    real = (keys != BEGIN) & (counts > 0)
+    return int(counts[real].sum()), int(real.sum())
+
+
+def _looked_up(kind: int, keys: np.ndarray, places: list[np.ndarray], level: bytes) -> list[tuple]:
+    """(a, b, c) for each block: its words' counts, or its contexts' and trigrams' bytes; each n-gram is looked up once, for all blocks that have it."""
+    if kind == 0:
+        count = WordLevel.mapped(level).lookup(keys)
+        return [(pack(count[p]), None, None) for p in places]
+    count, rest, kept = Trie.mapped(level).lookup(keys)
+    context = np.cumsum(np.concatenate([[False], (keys[1:] >> _REL) != (keys[:-1] >> _REL)]))
+    rows = []
+    for p in places:
+        of = context[p]
+        first = of[np.concatenate([[True], of[1:] != of[:-1]])]
+        rows.append((pack(count[first]), pack(rest[first]), pack(kept[p])))
+    return rows
+
+
+ANSWERS = "block long, kind int, shard int, a binary, b binary, c binary, tokens long, distinct long"
+
+
+def _answer_table(blocks: list[int], kind: int, shard: int, rows: list[tuple], sums: tuple[int, int]) -> pa.Table:
+    """ANSWERS: what is found for each block, and, as block -1, the shard's sums."""
+    rows, n = [*rows, (None, None, None)], len(rows) + 1
+    return pa.table({
+        "block": pa.array([*blocks, -1], pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()),
+        **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate("abc")},
+        "tokens": pa.array([0] * (n - 1) + [sums[0]], pa.int64()), "distinct": pa.array([0] * (n - 1) + [sums[1]], pa.int64()),
+    })
+
+
 def _answer(requests: DataFrame, min_count: int) -> DataFrame:
-    """(block, kind, shard, a, b, c, tokens, distinct): counts of a block's words, or the trie's bytes for its n-grams; block -1: a shard's sums."""
+    """ANSWERS of requests by the model of their own training counts."""
 
     def answer(key, table):
         kind, shard = key[0].as_py(), key[1].as_py()
-        blocks = table["block"].to_pylist()
         keys, counts, places = _summed(table)
-        rows, sums = [], (0, 0)
-        if kind == 0:
-            real = (keys != BEGIN) & (counts > 0)
-            sums = int(counts[real].sum()), int(real.sum())
-            rows = [(pack(counts[p].astype(np.uint64)), None, None) for p in places]
-        else:  # each n-gram is looked up once, for all blocks that have it
-            count, rest, kept = Trie.mapped(Trie.build(keys, counts, min_count)).lookup(keys)
-            context = np.cumsum(np.concatenate([[False], (keys[1:] >> _REL) != (keys[:-1] >> _REL)]))
-            for p in places:
-                of = context[p]
-                first = of[np.concatenate([[True], of[1:] != of[:-1]])]
-                rows.append((pack(count[first]), pack(rest[first]), pack(kept[p])))
-        rows.append((None, None, None))
-        n = len(rows)
-        return pa.table({
-            "block": pa.array([*blocks, -1], pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()),
-            **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate("abc")},
-            "tokens": pa.array([0] * (n - 1) + [sums[0]], pa.int64()), "distinct": pa.array([0] * (n - 1) + [sums[1]], pa.int64()),
-        })
-
-    return requests.groupBy("kind", "shard").applyInArrow(answer, "block long, kind int, shard int, a binary, b binary, c binary, tokens long, distinct long")
+        level = WordLevel.build(keys, counts) if kind == 0 else Trie.build(keys, counts, min_count)
+        return _answer_table(table["block"].to_pylist(), kind, shard, _looked_up(kind, keys, places, level), _sums(keys, counts) if kind == 0 else (0, 0))
 
+    return requests.groupBy("kind", "shard").applyInArrow(answer, ANSWERS)
 
-def score(docs: DataFrame, learn: Column, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """docs without text, with n_tokens, n_known, train_tokens, base_score and score, by a model of the rows where `learn` is true.
 
-    Scores are log10 probabilities of whole texts, lower-cased in A-Z; a null
-    or empty text is its end alone. A null `learn` is false; repeated rows count
-    as often as they are there; with nothing to learn from all counts are 0.
-    Columns of docs named like the new ones are replaced. Trigrams seen less than
-    min_count times are scored by their bigram.
-    """
+def _rated(blocks: DataFrame, answers: DataFrame, docs: DataFrame, text: str, flag: str) -> DataFrame:
+    """docs without text and flag, with the five figures, from written answers."""
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    docs = docs.withColumn("_learn", F.coalesce(learn, F.lit(False))).drop(*new)
-    keep, kinds = [c for c in docs.columns if c not in (text, "_learn")], dict(docs.dtypes)
-    blocks = text_blocks(docs, text)
-    shards = shard_count(blocks, SHARD_BYTES)
-    answers = materialize(_answer(_requests(blocks, shards), min_count))
+    keep, kinds = [c for c in docs.columns if c not in (text, flag)], dict(docs.dtypes)
     total, distinct = (x or 0 for x in answers.where("block = -1").agg(F.sum("tokens"), F.sum("distinct")).first())
     each = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "a", "b", "c")).alias("answers"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in each_block(batches):
-            tokens, learn = _Tokens(texts), _learn_flags(b)
+            tokens, learn = _Tokens(texts), _learn_flags(b, flag)
             parts = sorted(b.column("answers")[0].as_py() or (), key=lambda x: (x["kind"], x["shard"]))
             joined = lambda kind, column, dtype: np.concatenate([np.zeros(0, dtype), *(unpack(x[column], dtype) for x in parts if x["kind"] == kind)])
             n, first = len(tokens.token), tokens.begin
@@ -396,23 +447,76 @@ def score(docs: DataFrame, learn: Column, text: str = "text", min_count: int = M
                 [*keep, *new],
             )
 
-    out = blocks.join(each, "block", "left").mapInArrow(rate, "".join(f"`{k}` {kinds[k]}, " for k in keep) + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out
+    return blocks.join(each, "block", "left").mapInArrow(rate, "".join(f"`{k}` {kinds[k]}, " for k in keep) + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+_NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def score(docs: DataFrame, learn: Column, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
+    """docs without text, with n_tokens, n_known, train_tokens, base_score and score, by a model of the rows where `learn` is true.
+
+    Scores are log10 probabilities of whole texts, lower-cased in A-Z; a null
+    or empty text is its end alone. A null `learn` is false; repeated rows count
+    as often as they are there; with nothing to learn from all counts are 0; an
+    empty table stays empty. Columns of docs named like the new ones are
+    replaced. Trigrams seen less than min_count times are scored by their bigram.
+    """
+    flag = unused("_learn", *docs.columns)
+    docs = docs.withColumn(flag, F.coalesce(learn, F.lit(False))).drop(*_NEW)
+    blocks = text_blocks(docs, text)
+    answers = materialize(_answer(_requests(blocks, _shards(blocks), flag), min_count))
+    return _rated(blocks, answers, docs, text, flag)
 
 
 def learn(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """(shard, shards, trie): the model's tries, learned from all docs; Trie(bytes) reads one, from a memory map as well."""
-    blocks = text_blocks(docs.withColumn("_learn", F.lit(True)), text)
-    shards = shard_count(blocks, SHARD_BYTES)
+    """(kind, shard, shards, level, tokens, distinct): a model of all docs; kind 0 is the word level, kind 1 a trie of contexts and successors.
+
+    Write it to keep it. WordLevel(bytes) and Trie(bytes) read a level, from a
+    memory map as well. Texts are as in `score`.
+    """
+    flag = unused("_learn", *docs.columns)
+    blocks = text_blocks(docs.select(text, F.lit(True).alias(flag)), text)
+    shards = _shards(blocks)
 
     def build(key, table):
+        kind, shard = key[0].as_py(), key[1].as_py()
         keys, counts, _ = _summed(table)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), "trie": pa.array([Trie.build(keys, counts, min_count)], pa.binary())})
+        level = WordLevel.build(keys, counts) if kind == 0 else Trie.build(keys, counts, min_count)
+        tokens, distinct = _sums(keys, counts) if kind == 0 else (0, 0)
+        return pa.table({
+            "kind": pa.array([kind], pa.int32()), "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards[kind]], pa.int32()), "level": pa.array([level], pa.binary()),
+            "tokens": pa.array([tokens], pa.int64()), "distinct": pa.array([distinct], pa.int64()),
+        })
+
+    return _requests(blocks, shards, flag).groupBy("kind", "shard").applyInArrow(build, "kind int, shard int, shards int, level binary, tokens long, distinct long")
+
+
+def score_with(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
+    """docs scored as `score` does, by a kept model (a written table of `learn`).
+
+    Each n-gram of a block of texts is sent to its shard and looked up there once.
+    """
+    flag = unused("_learn", *docs.columns)
+    docs = docs.withColumn(flag, F.lit(False)).drop(*_NEW)
+    blocks = text_blocks(docs, text)
+    cut = {r["kind"]: r["shards"] for r in model.groupBy("kind").agg(F.max("shards").alias("shards")).collect()}  # two rows
+
+    def answer(key, asked, kept):
+        if not len(asked) and not len(kept):
+            return pa.table({})
+        kind, shard = key[0].as_py(), key[1].as_py()
+        level = kept["level"][0].as_py() if len(kept) else (WordLevel if kind == 0 else Trie).build(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        sums = (kept["tokens"][0].as_py(), kept["distinct"][0].as_py()) if len(kept) else (0, 0)
+        keys, _, places = _summed(asked) if len(asked) else (np.zeros(0, np.uint64), None, [])
+        return _answer_table(asked["block"].to_pylist() if len(asked) else [], kind, shard, _looked_up(kind, keys, places, level), sums)
 
-    return _requests(blocks, shards).where("kind = 1").groupBy("shard").applyInArrow(build, "shard int, shards int, trie binary")
+    asked = _requests(blocks, (cut.get(0, 1), cut.get(1, 1)), flag).groupBy("kind", "shard")
+    answers = materialize(asked.cogroup(model.groupBy("kind", "shard")).applyInArrow(answer, ANSWERS))
+    return _rated(blocks, answers, docs, text, flag)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those that aren't held out, with all of their trigrams."""
+    """Scores of all documents by a model of those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc_remainder("doc_id", 5) == 1).alias("held_out"))
-    return score(docs, ~F.col("held_out"), min_count=1)
+    return score(docs, ~F.col("held_out"))

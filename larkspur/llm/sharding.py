@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.frames import unused
+
 #: Hex digits of the MD5 that make a hash: 60 bits, a positive BIGINT.
 HEX_DIGITS = 15
 
@@ -51,7 +53,8 @@ def fill(shards: Sequence[str], size: int) -> list[int]:
 
 def table(spark: SparkSession, shards: Sequence[str], size: int) -> DataFrame:
     """(slot, shard), one row for each slot."""
-    return spark.createDataFrame([(i, shards[k]) for i, k in enumerate(fill(shards, size))], "slot bigint, shard string")
+    owners = F.lit([shards[k] for k in fill(shards, size)])
+    return spark.range(size).select(F.col("id").alias("slot"), F.element_at(owners, (F.col("id") + 1).cast("int")).alias("shard"))
 
 
 def slot_of(keys: Sequence[str | Column], size: int) -> Column:
@@ -66,10 +69,11 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int,
     Null keys, and repeated rows, go where their text goes; empty tables stay
     empty; columns of df named like `slot` or `shard` are replaced.
     """
-    owners = table(df.sparkSession, shards, size).select(F.col("slot").alias("_owned_slot"), F.col("shard").alias("_owner"))
-    out = df.withColumn("_key_slot", slot_of(keys, size)).drop(slot, shard)
-    out = out.join(F.broadcast(owners), F.col("_key_slot") == F.col("_owned_slot"))
-    return out.withColumnRenamed("_key_slot", slot).withColumnRenamed("_owner", shard).drop("_owned_slot")
+    names = [c for c in df.columns if c.lower() not in (slot.lower(), shard.lower())]
+    key, owned, owner = (unused(x, *df.columns) for x in ("_key_slot", "_owned_slot", "_owner"))
+    owners = table(df.sparkSession, shards, size).select(F.col("slot").alias(owned), F.col("shard").alias(owner))
+    out = df.withColumn(key, slot_of(keys, size)).join(F.broadcast(owners), F.col(key) == F.col(owned))
+    return out.select(*names, F.col(key).alias(slot), F.col(owner).alias(shard))
 
 
 #: Parameters of the registered query.

@@ -2,13 +2,14 @@
 
 A window is `span` consecutive words of a document. Each block of documents
 makes a sorted run of its window hashes, cut into ranges (shards). In a shard
-all runs, the new blocks' and the history's, are merge-joined on short keys;
-blocks learn which of their keys another run has and answer with the full
-hashes and a second, independent hash of the same words, which decide which
+the new blocks' runs, on short keys, are merge-joined with each other and with
+the history's; blocks learn which of their keys another run has and answer with
+these and a second, independent hash of the same words, which decide which
 occurrence came first. All others are removed.
 
-An index on disk is a list of immutable runs, sorted within a shard; a batch is
-checked against them and adds one run, and many runs are compacted into one.
+An index on disk is a list of immutable runs of keys and second hashes, sorted
+within a block and shard, later within a shard; a batch is checked against them
+and adds one run, and small runs are compacted into one.
 """
 
 from __future__ import annotations
@@ -21,34 +22,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import each_block, materialize, shard_count, text_blocks
+from larkspur.llm.frames import block_bytes_of, each_block, materialize, scratch, shard_count, text_blocks, unused, values
 from larkspur.llm.text import Words, cuts, distinct, grams, pack, release, unpack, whole
 
 SPAN = 20
 #: Text bytes whose windows one shard has.
 SHARD_BYTES = 16 << 20
-#: Bits of a window's hash that runs are first merged on, and of the second hash that confirms.
+#: Bits of a window's hash that runs are merged on, and of the second hash, of other random numbers, that confirms.
 KEY_BITS, CHECK_BITS = 40, 40
 SHORT = np.uint64(64 - KEY_BITS)
 _LAST = np.iinfo(np.int64).max
-_RUN_DDL = "shard int, shards int, keys binary, checks binary"
+_RUN_DDL = "shard int, block long, keys binary, checks binary"
 
 
 class _Windows:
-    """The windows of a block: where they begin, their hashes and, in order of (doc_id, row, start), their ranks."""
+    """The windows of a block: where they begin, and their keys, KEY_BITS of a hash."""
 
     def __init__(self, texts, span: int):
         self.texts, self.span, self.second = texts, span, None
         self.words = Words(texts)
         self.at = np.flatnonzero(whole(self.words, span))
-        self.hash = grams(self.words.hash, span)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.keys = grams(self.words.hash, span)[self.at] >> SHORT if len(self.at) else np.zeros(0, np.uint64)
 
     def checks(self, which: np.ndarray) -> np.ndarray:
         """The second hash of the given windows."""
         if not len(which):
             return np.zeros(0, np.uint64)
         if self.second is None:
-            self.second = grams(Words(self.texts, seed=2).hash, self.span)
+            self.second = grams(Words(self.texts, seed=2).hash, self.span, seed=2)
         return self.second[self.at[which]] >> np.uint64(64 - CHECK_BITS)
 
     def rows(self) -> np.ndarray:
@@ -61,66 +62,86 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _runs(blocks: DataFrame, shards: int, span: int) -> DataFrame:
-    """(shard, block, keys): each block's run, sorted and distinct, cut into shards."""
+def _ordered(keys: np.ndarray) -> bytes:
+    return pack(keys, ordered=True)
+
+
+def _cut(keys: np.ndarray, shards: int) -> np.ndarray:
+    return cuts(keys << SHORT, shards)
+
+
+def _runs(blocks: DataFrame, shards: int, span: int, checks: bool) -> DataFrame:
+    """_RUN_DDL: each block's run, sorted and distinct, cut into shards; with the second hashes if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in each_block(batches):
-            keys = distinct(_Windows(texts, span).hash >> SHORT) << SHORT
-            at = cuts(keys, shards)
+            w = _Windows(texts, span)
+            if checks:
+                keys, second, *_ = _entries(w, np.arange(len(w.keys)), _ids(b))
+            else:
+                keys = distinct(w.keys)
+            at = _cut(keys, shards)
             filled = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(filled, pa.int32()), pa.array([b.column("block")[0].as_py()] * len(filled), pa.int64()), pa.array([pack(keys[at[s] : at[s + 1]] >> SHORT, ordered=True) for s in filled], pa.binary())],
-                ["shard", "block", "keys"],
-            )
+                [
+                    pa.array(filled, pa.int32()), pa.array([b.column("block")[0].as_py()] * len(filled), pa.int64()), pa.array([_ordered(keys[at[s] : at[s + 1]]) for s in filled], pa.binary()),
+                    pa.array([pack(second[at[s] : at[s + 1]]) if checks else None for s in filled], pa.binary()),
+                ],
+                ["shard", "block", "keys", "checks"],
+            )
         release()
 
-    return blocks.select("block", "sizes", "data").mapInArrow(run, "shard int, block long, keys binary")
+    return blocks.select("block", "rows", "sizes", "data").mapInArrow(run, _RUN_DDL)
 
 
-def _recut(history: DataFrame, shards: int, full: bool) -> DataFrame:
-    """Runs of an index as (shard, block, keys) with a negative block; full: whole keys and checks instead of short keys."""
+def _recut(history: DataFrame, shards: int) -> DataFrame:
+    """Runs of an index, cut into so many shards, as blocks of number -1."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                keys, checks = unpack(b.column("keys")[i].as_py(), np.uint64, ordered=True), b.column("checks")[i]
-                if not full:
-                    keys = distinct(keys >> SHORT) << SHORT
-                at = cuts(keys, shards)
+                keys, checks = unpack(b.column("keys")[i].as_py(), np.uint64, ordered=True), unpack(b.column("checks")[i].as_py(), np.uint64)
+                at = _cut(keys, shards)
                 filled = np.flatnonzero(np.diff(at))
-                checks = unpack(checks.as_py(), np.uint64) if full else None
-                arrays = [pa.array(filled, pa.int32()), pa.array([-1] * len(filled), pa.int64())]
-                if full:
-                    arrays += [pa.array([f(x[at[s] : at[s + 1]]) for s in filled], pa.binary()) for f, x in ((_ordered, keys), (pack, checks), (lambda k: pack(np.full(len(k), np.iinfo(np.int64).min)), keys))]
-                else:
-                    arrays.append(pa.array([pack(keys[at[s] : at[s + 1]] >> SHORT, ordered=True) for s in filled], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, ["shard", "block", "keys", *(["checks", "firsts"] if full else [])])
+                arrays = [pa.array([f(x[at[s] : at[s + 1]]) for s in filled], pa.binary()) for f, x in ((_ordered, keys), (pack, checks))]
+                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([-1] * len(filled), pa.int64()), *arrays], ["shard", "block", "keys", "checks"])
 
-    return history.mapInArrow(cut, "shard int, block long, keys binary" + ", checks binary, firsts binary" * full)
-
-
-def _ordered(keys: np.ndarray) -> bytes:
-    return pack(keys, ordered=True)
+    return history.mapInArrow(cut, _RUN_DDL)
 
 
 def _merge_join(runs: DataFrame) -> DataFrame:
-    """(block, shard, hits): the places, in a block's part of a shard, of keys that another run has."""
+    """(block, shard, found, checks): the places, in a block's part of a shard, of keys that another run has.
+
+    Of the history (block -1) the entries themselves that some block's keys hit: found has the keys.
+    """
 
     def merge(key, table):
         blocks = table["block"].to_pylist()
         parts = [unpack(x.as_py(), np.uint64, ordered=True) for x in table["keys"]]
         keys = np.concatenate(parts)
         begin = np.cumsum([0, *map(len, parts)])
+        old = np.repeat(np.array(blocks) < 0, np.diff(begin))
         order = np.argsort(keys, kind="stable")  # merges the runs, which are sorted
-        same = keys[order[1:]] == keys[order[:-1]]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)
+        fresh = np.bincount(group, ~old[order]) > 0  # keys that a new block has
         hit = np.zeros(len(keys), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        places = [np.flatnonzero(hit[a:b]).astype(np.uint32) for a, b in zip(begin[:-1], begin[1:])]
-        out = [i for i, b in enumerate(blocks) if b >= 0 and len(places[i])]
-        return pa.table({"block": pa.array([blocks[i] for i in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "found": pa.array([pack(places[i], ordered=True) for i in out], pa.binary())})
-
-    return runs.groupBy("shard").applyInArrow(merge, "block long, shard int, found binary")
+        hit[order] = ((size > 1) & fresh)[group]
+        out = [i for i in range(len(blocks)) if hit[begin[i] : begin[i + 1]].any()]
+        found, checks = [], []
+        for i in out:
+            places = np.flatnonzero(hit[begin[i] : begin[i + 1]])
+            if blocks[i] >= 0:
+                found.append(pack(places.astype(np.uint32), ordered=True))
+                checks.append(None)
+            else:
+                found.append(_ordered(parts[i][places]))
+                checks.append(pack(unpack(table["checks"][i].as_py(), np.uint64)[places]))
+        return pa.table({"block": pa.array([blocks[i] for i in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "found": pa.array(found, pa.binary()), "checks": pa.array(checks, pa.binary())})
+
+    return runs.groupBy("shard").applyInArrow(merge, "block long, shard int, found binary, checks binary")
 
 
 def _by_block(blocks: DataFrame, found: DataFrame, how: str) -> DataFrame:
@@ -133,19 +154,18 @@ def _found(batch: pa.RecordBatch, dtype, ordered: bool) -> dict[int, np.ndarray]
 
 
 def _candidates(w: _Windows, hits: dict[int, np.ndarray], shards: int) -> np.ndarray:
-    """The windows whose short key is among the hits."""
-    keys = distinct(w.hash >> SHORT) << SHORT
-    at = cuts(keys, shards)
+    """The windows whose key is among the hits."""
+    keys = distinct(w.keys)
+    at = _cut(keys, shards)
     hot = np.concatenate([np.zeros(0, np.uint64), *(keys[at[s] + hits[s]] for s in sorted(hits))])
     if not len(hot):
         return np.zeros(0, np.int64)
-    i = np.minimum(np.searchsorted(hot, w.hash >> SHORT << SHORT), len(hot) - 1)
-    return np.flatnonzero(hot[i] == w.hash >> SHORT << SHORT)
+    return np.flatnonzero(hot[np.minimum(np.searchsorted(hot, w.keys), len(hot) - 1)] == w.keys)
 
 
 def _entries(w: _Windows, which: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, check) of the given windows, sorted; the windows in that order, first occurrences first; where each entry begins; its first doc_id."""
-    h, c = w.hash[which], w.checks(which)
+    """Distinct (key, check) of the given windows, sorted; the windows in that order, first occurrences first; where each entry begins; its first doc_id."""
+    h, c = w.keys[which], w.checks(which)
     rank = np.empty(len(ids), np.int64)
     rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
     rows = w.rows()[which]
@@ -158,18 +178,20 @@ def _entries(w: _Windows, which: np.ndarray, ids: np.ndarray) -> tuple[np.ndarra
 
 
 def _answers(blocks: DataFrame, hits: DataFrame, shards: int, span: int) -> DataFrame:
-    """(shard, block, keys, checks, firsts): the full and second hash, and first doc_id, of each block's hits."""
+    """(shard, block, keys, checks, firsts): the key and second hash, and first doc_id, of each block's hits; the history's come before all."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in each_block(batches):
             w = _Windows(texts, span)
             h, c, _, _, first = _entries(w, _candidates(w, _found(b, np.uint32, True), shards), _ids(b))
-            at = cuts(h, shards)
+            at = _cut(h, shards)
             filled = np.flatnonzero(np.diff(at))
             arrays = [pa.array([f(x[at[s] : at[s + 1]]) for s in filled], pa.binary()) for f, x in ((_ordered, h), (pack, c), (pack, first))]
             yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([b.column("block")[0].as_py()] * len(filled), pa.int64()), *arrays], ["shard", "block", "keys", "checks", "firsts"])
 
-    return _by_block(blocks, hits, "inner").mapInArrow(answer, "shard int, block long, keys binary, checks binary, firsts binary")
+    own = _by_block(blocks, hits.where("block >= 0"), "inner").mapInArrow(answer, "shard int, block long, keys binary, checks binary, firsts binary")
+    old = hits.where("block < 0").select("shard", "block", F.col("found").alias("keys"), "checks", F.lit(None).cast("binary").alias("firsts"))
+    return own.unionByName(old)
 
 
 def _verdicts(answers: DataFrame) -> DataFrame:
@@ -178,7 +200,8 @@ def _verdicts(answers: DataFrame) -> DataFrame:
     def decide(key, table):
         blocks = table["block"].to_pylist()
         h = [unpack(x.as_py(), np.uint64, ordered=True) for x in table["keys"]]
-        c, first = ([unpack(x.as_py(), t) for x in table[k]] for k, t in (("checks", np.uint64), ("firsts", np.int64)))
+        c = [unpack(x.as_py(), np.uint64) for x in table["checks"]]
+        first = [unpack(x.as_py(), np.int64) if x.is_valid else np.full(len(k), np.iinfo(np.int64).min) for x, k in zip(table["firsts"], h)]
         begin = np.cumsum([0, *map(len, h)])
         of = np.repeat(np.array(blocks, np.int64), np.diff(begin))
         h, c, first = np.concatenate(h), np.concatenate(c), np.concatenate(first)
@@ -196,19 +219,19 @@ def _verdicts(answers: DataFrame) -> DataFrame:
 def removals(w: _Windows, hits: dict, verdicts: dict, ids: np.ndarray, shards: int) -> np.ndarray:
     """Which words of the block lie in a window that also starts earlier, here or elsewhere."""
     elsewhere = _candidates(w, hits, shards)
-    drop = np.zeros(len(w.hash), bool)
+    drop = np.zeros(len(w.keys), bool)
     if len(elsewhere):
         h, _, order, begin, _ = _entries(w, elsewhere, ids)
         mine = np.zeros(len(h), bool)
-        at = cuts(h, shards)
+        at = _cut(h, shards)
         for s, bits in verdicts.items():
             mine[at[s] : at[s + 1]] = bits
         drop[order] = True
         drop[order[begin[mine]]] = False
-    ordered = np.sort(w.hash)
+    ordered = np.sort(w.keys)
     repeated = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
     if len(repeated):
-        here = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, w.hash), len(repeated) - 1)] == w.hash)
+        here = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, w.keys), len(repeated) - 1)] == w.keys)
         _, _, order, begin, _ = _entries(w, here, ids)
         later = np.ones(len(order), bool)
         later[begin] = False
@@ -221,49 +244,64 @@ def removals(w: _Windows, hits: dict, verdicts: dict, ids: np.ndarray, shards: i
 
 
 class FingerprintIndex:
-    """Immutable runs of window hashes at a path that all executors share; without a path, nothing is kept."""
+    """Immutable runs of window hashes at a path that all executors share; without a path, nothing is kept.
+
+    A run counts once a manifest names it, so a job that is lost leaves the index
+    as it was; one job at a time may write. Beyond max_runs the smallest runs
+    become one.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, max_runs: int = 8):
         self.spark, self.path, self.span, self.max_runs = spark, path, span, max_runs
 
-    def runs(self) -> list[str]:
-        """The names of the present runs: those of the last manifest written whole."""
+    def _manifest(self) -> tuple[int, list[tuple[str, int]]]:
+        """The version and the runs (name, text bytes) of the last manifest that was written whole."""
         if not self.path:
-            return []
+            return 0, []
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
         if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
-            return []
-        rows = self.spark.read.schema("version long, runs array<string>").parquet(f"{self.path}/manifests")
-        last = rows.agg(F.max_by("runs", "version")).first()[0]
-        return list(last or [])
+            return 0, []
+        rows = self.spark.read.schema("version long, runs array<struct<name: string, size: long>>").parquet(f"{self.path}/manifests")
+        last = rows.agg(F.max_by(F.struct("version", "runs"), "version").alias("m")).first()["m"]
+        return (last["version"], [tuple(r) for r in last["runs"]]) if last else (0, [])
+
+    def runs(self) -> list[str]:
+        """The names of the present runs."""
+        return [name for name, _ in self._manifest()[1]]
 
-    def _publish(self, runs: list[str]) -> None:
-        versions = self.spark.read.schema("version long, runs array<string>").parquet(f"{self.path}/manifests").agg(F.max("version")).first()[0] if self.runs() else 0
-        self.spark.createDataFrame([((versions or 0) + 1, runs)], "version long, runs array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/manifests")
+    def _publish(self, runs: list[tuple[str, int]]) -> None:
+        version = self._manifest()[0] + 1
+        rows = values(self.spark, runs, "name string, size bigint").agg(F.collect_list(F.struct("name", "size")).alias("runs"))
+        rows.select(F.lit(version).cast("long").alias("version"), "runs").coalesce(1).write.mode("append").parquet(f"{self.path}/manifests")
 
-    def history(self) -> DataFrame | None:
-        names = self.runs()
-        return self.spark.read.schema(_RUN_DDL).parquet(*[f"{self.path}/runs/{n}" for n in names]) if names else None
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(_RUN_DDL).parquet(*[f"{self.path}/runs/{n}" for n in names])
 
     def ingest(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with n_words, n_removed, kept_text and removed (array of (start, end) in words), against the history and each other.
 
         A window that history has, or that starts earlier in docs (by doc_id, an
         integer, null last; equal ids in any fixed order), is removed: all words
-        in it. Null and empty texts have no words; texts are read whole; columns
-        of docs named like the new ones are replaced. With a path, the windows of
-        docs become a run of the index, after which runs beyond max_runs are
-        compacted.
+        in it. Null and empty texts have no words; texts are read whole; repeated
+        rows are documents of their own; an empty table gives none; columns of
+        docs named like the new ones are replaced. With a path, the windows of
+        docs become a run of the index.
         """
         span, new = self.span, ("n_words", "n_removed", "kept_text", "removed")
         docs = docs.drop(*new)
         blocks = text_blocks(docs, text)
-        shards = shard_count(blocks, SHARD_BYTES)
-        history = self.history()
-        runs = _runs(blocks, shards, span)
-        hits = materialize(_merge_join(runs if history is None else runs.unionByName(_recut(history, shards, full=False))))
-        answers = _answers(blocks, hits, shards, span)
-        verdicts = materialize(_verdicts(answers if history is None else answers.unionByName(_recut(history, shards, full=True))))
+        size = block_bytes_of(blocks)
+        shards = shard_count(blocks, SHARD_BYTES, size)
+        old = self._manifest()[1]
+        runs = _runs(blocks, shards, span, checks=bool(self.path))
+        if self.path:
+            name = uuid.uuid4().hex
+            runs.write.parquet(f"{self.path}/runs/{name}")
+            runs = self._read([name]).select("shard", "block", "keys", F.lit(None).cast("binary").alias("checks"))
+        if old:
+            runs = runs.unionByName(_recut(self._read([n for n, _ in old]), shards))
+        hits = materialize(_merge_join(runs))
+        verdicts = materialize(_verdicts(_answers(blocks, hits, shards, span)))
         keep, kinds = [c for c in docs.columns if c != text], dict(docs.dtypes)
 
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,48 +319,21 @@ class FingerprintIndex:
                         [*keep, *new],
                     )
 
-        full = _by_block(blocks, hits, "left").join(verdicts.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("verdicts")), "block", "left")
+        full = _by_block(blocks, hits.where("block >= 0"), "left").join(verdicts.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("verdicts")), "block", "left")
         out = full.mapInArrow(remove, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>")
         if self.path:
-            out = materialize(out)
-            self._commit(blocks, shards)
+            self._publish([*old, (name, size)])
+            self.compact(self.max_runs)
         return out
 
-    def _commit(self, blocks: DataFrame, shards: int) -> None:
-        span = self.span
-
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, texts in each_block(batches):
-                w = _Windows(texts, span)
-                h, c, _, _, _ = _entries(w, np.arange(len(w.hash)), _ids(b))
-                at = cuts(h, shards)
-                filled = np.flatnonzero(np.diff(at))
-                arrays = [pa.array([f(x[at[s] : at[s + 1]]) for s in filled], pa.binary()) for f, x in ((_ordered, h), (pack, c))]
-                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([shards] * len(filled), pa.int32()), *arrays], ["shard", "shards", "keys", "checks"])
-
-        self._write(blocks.select("block", "rows", "sizes", "data").mapInArrow(entries, _RUN_DDL), self.runs())
-        if len(self.runs()) > self.max_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        """All runs become one; readers of the old runs are not disturbed."""
-        if (history := self.history()) is None:
+    def compact(self, max_runs: int = 1) -> None:
+        """Merges the smallest runs into one until max_runs are left; readers of the old ones are not disturbed."""
+        runs = sorted(self._manifest()[1], key=lambda r: (-r[1], r[0]))
+        kept, small = runs[: max_runs - 1], runs[max_runs - 1 :]
+        if len(small) < 2:
             return
-        shards = history.agg(F.max("shards")).first()[0] or 1
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    keys, checks = unpack(b.column("keys")[i].as_py(), np.uint64, ordered=True), unpack(b.column("checks")[i].as_py(), np.uint64)
-                    at = cuts(keys, shards)
-                    filled = np.flatnonzero(np.diff(at))
-                    arrays = [pa.array([f(x[at[s] : at[s + 1]]) for s in filled], pa.binary()) for f, x in ((_ordered, keys), (pack, checks))]
-                    yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([shards] * len(filled), pa.int32()), *arrays], ["shard", "shards", "keys", "checks"])
-
-        self._write(history.mapInArrow(cut, _RUN_DDL), [])
-
-    def _write(self, entries: DataFrame, others: list[str]) -> None:
-        """A new run: the entries, merged within each shard; it counts once the manifest names it."""
+        size, name = sum(s for _, s in small), uuid.uuid4().hex
+        shards = max(1, -(-size // SHARD_BYTES))
 
         def merge(key, table):
             h = np.concatenate([unpack(x.as_py(), np.uint64, ordered=True) for x in table["keys"]])
@@ -331,11 +342,11 @@ class FingerprintIndex:
             h, c = h[order], c[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([key[1].as_py()], pa.int32()), "keys": pa.array([_ordered(h[new])], pa.binary()), "checks": pa.array([pack(c[new])], pa.binary())})
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([-1], pa.int64()), "keys": pa.array([_ordered(h[new])], pa.binary()), "checks": pa.array([pack(c[new])], pa.binary())})
 
-        name = uuid.uuid4().hex
-        entries.groupBy("shard", "shards").applyInArrow(merge, _RUN_DDL).write.parquet(f"{self.path}/runs/{name}")
-        self._publish([*others, name])
+        merged = _recut(self._read([n for n, _ in small]), shards).groupBy("shard").applyInArrow(merge, _RUN_DDL)
+        merged.write.parquet(f"{self.path}/runs/{name}")
+        self._publish([*kept, (name, size)])
 
 
 def _kept(words: Words, gone: np.ndarray, row: int) -> tuple[int, int, bytes, list[dict]]:
@@ -352,15 +363,36 @@ def _kept(words: Words, gone: np.ndarray, row: int) -> tuple[int, int, bytes, li
 
 
 def deduplicate(docs: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
-    """docs with what is kept as their text; documents of which nothing is kept stay, with an empty or blank text."""
-    out = FingerprintIndex(docs.sparkSession, span=span).ingest(docs, text)
-    return out.select(*[F.col("kept_text").alias(text) if c == text else c for c in docs.columns])
+    """docs with what is kept as their text and all their columns; documents of which nothing is kept stay, with an empty or blank text."""
+    aside = {c: unused(f"_{c}", *docs.columns) for c in docs.columns if c in ("n_words", "n_removed", "kept_text", "removed")}
+    out = FingerprintIndex(docs.sparkSession, span=span).ingest(docs.withColumnsRenamed(aside), text)
+    return out.select(*[F.col("kept_text").alias(text) if c == text else F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
+def in_batches(docs: DataFrame, path: str, shares: tuple[float, ...] = (0.125, 0.25), text: str = "text", max_runs: int = 2) -> DataFrame:
+    """docs as ingest has them, ingested one after another in batches of ascending doc_id into an index at path.
+
+    shares: which part of the documents each batch but the last ends at, about.
+    Small runs are compacted on the way. The result is that of a single batch.
+    """
+    index, least = FingerprintIndex(docs.sparkSession, path, max_runs=max_runs), None
+    edges = docs.agg(F.percentile_approx("doc_id", list(shares), 1000)).first()[0] or []
+    out = []
+    for edge in [*dict.fromkeys(edges), None]:
+        batch = docs if least is None else docs.where((F.col("doc_id") > least) | F.col("doc_id").isNull())
+        batch = batch if edge is None else batch.where(F.col("doc_id") <= edge)
+        out.append(index.ingest(batch, text))
+        least = edge
+    union = out[0]
+    for more in out[1:]:
+        union = union.unionByName(more)
+    return union
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of every document once repeated 20-word windows are gone."""
+    """What stays of every document once repeated 20-word windows are gone, by an index that takes the table in three batches."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = FingerprintIndex(spark).ingest(docs)
+    out = in_batches(docs, scratch(spark))
     joined = F.btrim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "), F.lit(" "))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(joined.cast("binary"), 256).alias("kept_sha256"))
 

@@ -185,5 +185,5 @@ def unpack(b: bytes, dtype, ordered: bool = False) -> np.ndarray:
 
 def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where sorted 64-bit keys pass from one of `shards` equal ranges to the next."""
-    edges = np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)
+    edges = np.arange(1, shards, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // shards)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)

@@ -40,7 +40,7 @@ def test_trie_lookup(tmp_path):
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 28, 4000, dtype=np.uint64))
     counts = rng.integers(0, 5, len(keys))
-    blob = Trie.build(keys, counts)
+    blob = Trie.build(keys, counts, 2)
     (tmp_path / "trie").write_bytes(blob)
     for trie in (Trie.mapped(blob), Trie(np.memmap(tmp_path / "trie", np.uint8, "r"))):
         count, rest, kept = trie.lookup(keys)
@@ -83,7 +83,7 @@ def test_against_brute_force(spark):
     docs += [(200, None), (201, ""), (202, " \t\n"), (203, "W1 w1\x0bÉtÉ <s>"), (0, docs[0][1]), (None, "w1 w2"), (204, "w3 " * 30_000)]
     learns = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in docs]
     df = spark.createDataFrame([(i, t, "mine", None) for i, t in docs], SCHEMA)
-    out = ngrams.score(df, ngrams.crc_remainder("doc_id", 5) != 1).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "held_out").collect()
+    out = ngrams.score(df, ngrams.crc_remainder("doc_id", 5) != 1, min_count=2).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "held_out").collect()
     assert len(out) == len(docs)
     want = sorted(((-1 if i is None else i), *b) for (i, _), b in zip(docs, brute(docs, learns)))
     got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), *r[1:6]) for r in out)
@@ -98,12 +98,29 @@ def test_empty(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and r["base_score"] == 0.0
 
 
+def test_word_level():
+    keys = np.array([3, 9, 2**63, 2**64 - 1], np.uint64)
+    level = ngrams.WordLevel.mapped(ngrams.WordLevel.build(keys, np.array([5, 0, 70_000, 1])))
+    assert level.lookup(np.array([0, 3, 9, 10, 2**63, 2**64 - 1], np.uint64)).tolist() == [0, 5, 0, 0, 70_000, 1]
+    assert ngrams.WordLevel(ngrams.WordLevel.build(keys[:0], np.zeros(0, int))).lookup(keys).tolist() == [0] * 4
+
+
 def test_model_can_be_kept(spark):
     df = spark.createDataFrame([(1, "a b a b a b", None, None), (2, "a b c", None, None)], SCHEMA)
-    tries = [Trie.mapped(bytes(r["trie"])) for r in ngrams.learn(df).collect()]
+    tries = [Trie.mapped(bytes(r["level"])) for r in ngrams.learn(df).where("kind = 1").collect()]
     assert sum(t.contexts.n for t in tries) == len({("", ""), ("", "a"), ("a", "b"), ("b", "a"), ("b", "END"), ("b", "c"), ("c", "END")})
 
 
+def test_kept_model_scores_alike(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(rng.choice([f"w{j}" for j in range(50)], rng.integers(0, 60))), i % 4 > 0) for i in range(90)] + [(500, None, False), (501, "new words only", False), (7, "w1 w2", True)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, mine boolean")
+    model = ngrams.materialize(ngrams.learn(df.where("mine")))
+    both = [{(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in x.collect()} for x in (ngrams.score(df, F.col("mine")), ngrams.score_with(df, model))]
+    assert both[0] == both[1] and len(both[0]) == len(docs)
+    assert ngrams.score_with(df, model.limit(0)).first()["train_tokens"] == 0 and ngrams.score_with(df.limit(0), model).count() == 0
+
+
 def test_query_keeps_trigrams_seen_once(spark, tmp_path):
     learns = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
     train, held = [i for i in range(200) if learns(i)], [i for i in range(200) if not learns(i)]

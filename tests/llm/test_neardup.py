@@ -68,3 +68,21 @@ def test_edges(spark):
     assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, [(None, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]))
     kept = neardup.keep_one(spark.createDataFrame([(3, "a b c d e f", 1), (2, "A b c d e f", 2), (9, None, 3)], schema + ", kept int"))
     assert kept.columns == ["doc_id", "text", "kept"] and sorted(r["doc_id"] for r in kept.collect()) == [2, 9]
+
+
+def test_structured_words_and_repeated_ids(spark):
+    from tests.llm.test_small_operators import thue_morse
+
+    docs = [(1, thue_morse()), (2, thue_morse("ba")), (3, thue_morse()), (4, "a b c d e f g h"), (4, "z"), (5, "a b c d e f g h"), (6, "z")]
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect())
+    assert rows == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (4, 5, 4), (5, 5, 4), (6, 1, 6)]
+
+
+def test_template_below_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART_ROWS", 16)  # so that the template's shingles are dealt in parts
+    shared = [f"t{i}" for i in range(75)]
+    docs = [(i, " ".join(shared + [f"u{i}_{j}" for j in range(24)])) for i in range(80)]
+    docs += [(100 + i, docs[i][1] + " tail") for i in range(5)]
+    rows = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()}
+    assert rows == {i: i for i in range(80)} | {100 + i: i for i in range(5)}
+    assert sorted(rows.items()) == sorted((r[0], r[2]) for r in brute(docs, 4))

@@ -38,3 +38,13 @@ def test_stages_against_brute_force(spark):
         sizes[r["sequence_id"]] += r["length"]
     assert {r["doc_id"] for r in rows} == set(clean) and max(sizes.values()) <= packing.SIZE
     assert len(rows) == pipeline.run(spark, SF).count()
+
+
+def test_stages_keep_the_columns_of_the_user(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", "77 AS n_words", "'mine' AS score", "1 AS hits", "'i' AS items", "2 AS removed", "'k' AS kept_text", "3 AS _text", "4 AS _key")
+    docs = spark.createDataFrame([*docs.collect(), (9001, None, "en", None, None, *docs.first()[5:]), (9001, "", None, "s", 0, *docs.first()[5:])], docs.schema)
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {tuple(r[5:]) for r in out.collect()} == {(77, "mine", 1, "i", 2, "k", 3, 4)}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0

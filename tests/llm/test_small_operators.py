@@ -88,6 +88,58 @@ def test_packed_documents(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_complements_are_complete():
+    from itertools import combinations_with_replacement
+
+    rng = random.Random(2)
+    for _ in range(60):
+        size = rng.choice([12, 30])
+        sums = packing.Sums({rng.randint(1, size - 1): rng.randint(1, 4) for _ in range(rng.randint(1, 9))}, size)
+        while sums.order:
+            n = rng.choice(sums.order)
+            have = {x: sums.count[x] - (x == n) for x in sums.order}
+            got = sums.complement(size - n, {n: 1})
+            want = [p for k in (1, 2, 3) for p in combinations_with_replacement(sorted(have, reverse=True), k) if sum(p) == size - n and all(have[x] >= p.count(x) for x in p)]
+            assert (got is None) == (not want) and (got is None or (sum(got) == size - n and len(got) == len(want[0]) and all(have[x] >= got.count(x) for x in got)))
+            x = rng.choice(sums.order)
+            sums.take(x, rng.randint(1, sums.count[x]))
+
+
+def test_control_tokens_keep_their_case():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from larkspur.llm.text import Words
+
+    tokenizer, ids = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    for texts in (["<|ENDOFTEXT|> <|endoftext|>"], ["<|endoftext|> <|EndOfText|>", "x<|startoftext|>, X<|STARTOFTEXT|>"], [thue_morse(), thue_morse("ba")]):
+        words = Words(pa.array(texts), split=b",.")
+        got, at = ids.ids_of(words)
+        for i, t in enumerate(texts):
+            assert got[at[words.bounds[i]] : at[words.bounds[i + 1]]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    ids.hashes[:] = np.sort(ids.hashes)  # a word remembered under another's hash is encoded anew
+    ids.bytes.data[:] = ord("?")
+    words = Words(pa.array(["x"]), split=b",.")
+    assert ids.ids_of(words)[0].tolist() == tokenizer.encode("x", add_special_tokens=False).ids
+
+
+def thue_morse(letters="ab", size=1024):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(size))
+
+
+def test_hashes_of_structured_words():
+    import pyarrow as pa
+
+    from larkspur.llm.text import Words
+
+    for size in (1024, 4096):
+        a, b = (Words(pa.array([thue_morse(x, size) for x in ("ab", "ba")]), seed=s).hash.tolist() for s in (1, 2))
+        assert len({*a, *b}) == 4
+    text = " ".join(["x" * 70_000, "short", "x" * 70_000, "x" * 69_999])
+    h = Words(pa.array([text, "short"])).hash.tolist()
+    assert h[0] == h[2] and h[1] == h[4] and len(set(h)) == 3
+
+
 # Rules
 
 
@@ -129,6 +181,47 @@ def test_false_rejection_is_limited(spark):
     assert all(r["kept"] for r in nothing)
 
 
+def test_verdict_against_brute_force(spark):
+    rng, docs, labels = random.Random(3), [], []
+    for i in range(2400):
+        lang = rng.choices(["en", "de", "fr", "xx", None], [60, 30, 5, 3, 2])[0]
+        words = [rng.choice("abcdefgh") * rng.randint(2, 9) + str(rng.random())[:6] for _ in range(rng.randint(5, 60))]
+        if rng.random() < 0.2:
+            words += words[:5]
+        text = " ".join(words) + "#" * rng.choices([0, 3, 12, 40], [0.93, 0.04, 0.02, 0.01])[0] + ("\nsame line" * rng.choices([0, 5], [0.95, 0.05])[0])
+        docs.append((i, text, lang))
+        if rng.random() < 0.6:
+            labels.append((i, int(rng.random() < 0.9)))
+    labels += [(5, None), (99_999, 1), (7, 0), (7, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r.asDict() for r in rules.filter_quality(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    def first(r):
+        value = {k: eval(what.replace(" / ", " / max(1, ") + ")", {"max": max}, dict(r)) for k, (what, _) in rules.RULES.items()}
+        return next((i + 1 for i in range(rules.LEVELS) if any(value[k] > grid[i] for k, (_, grid) in rules.RULES.items())), rules.LEVELS + 1)
+
+    marks = collections.defaultdict(set)
+    for i, q in labels:
+        if q is not None:
+            marks[i].add(q)
+    good = collections.defaultdict(list)
+    for i, r in out.items():
+        if marks.get(i) == {1} and not r["base_failed"]:
+            good[r["stratum"]].append(first(r))
+    tail = lambda k, n: sum(math.comb(n, i) * rules.RISK**i * (1 - rules.RISK) ** (n - i) for i in range(k + 1))
+    error = rules.ERROR / len(good)
+    small = [s for s, x in good.items() if (1 - rules.RISK) ** len(x) > error]
+    pool, level = sum((good[s] for s in small), []), {}
+    for s, x in good.items():
+        x = pool if s in small else x
+        level[s] = next((i - 1 for i in range(1, rules.LEVELS + 1) if sum(f <= i for f in x) == len(x) or tail(sum(f <= i for f in x), len(x)) > error), rules.LEVELS)
+    assert 2 <= len(small) < len(good) and 0 < max(level.values())
+    for r in out.values():
+        assert r["kept"] == (not r["base_failed"] and first(r) > level.get(r["stratum"], 0)), r
+    empty = rules.filter_quality(df.limit(0).withColumn("_level", F.lit(1)), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert empty.count() == 0
+
+
 # Chat
 
 
@@ -149,6 +242,16 @@ def test_events_fold(spark):
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
 
 
+def test_log_folds_into_turns(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hé 👍x"), (1, 2, "assistant", "yes"), (1, 3, "assistant", None), (2, 0, None, ""), (2, None, "user", "a"), (2, 5, "assistant", "<|end|>")]
+    events = chat.as_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in events.collect()} == {"message", "delta", "edit", "regenerate"}
+    final = sorted((r["conv_id"], r["n"], r["role"], r["text"]) for r in chat.messages(events).collect())
+    assert final == [(1, 0, "system", "be kind"), (1, 1, "user", "hé 👍x"), (1, 2, "assistant", "yes"), (1, 3, "assistant", ""), (2, 0, "user", "a"), (2, 1, None, ""), (2, 2, "assistant", "<|end|>")] or final[4:] == [
+        (2, 0, "user", "a"), (2, 1, None, ""), (2, 2, "assistant", "<|end|>"),
+    ]
+
+
 # Decontamination
 
 
@@ -165,27 +268,46 @@ def test_marks_against_brute_force(spark):
     vocabulary = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 8, 10, 15, 30])))) for i in range(15)] + [(50, None), (51, "!!"), (52, "W1"), (None, "w2 w3 w4 w5 w6 w7 w8")]
     docs = [(i, rng.choice([" ", ", ", "-"]).join(rng.choices(vocabulary, k=rng.randint(0, 40)) + (items[rng.randrange(15)][1].upper().split() if i % 3 == 0 else []) + rng.choices(vocabulary, k=9))) for i in range(60)]
-    docs += [(100, None), (101, ""), (102, "q " * 40_000)]
+    docs += [(100, None), (101, ""), (102, "q " * 40_000), (103, docs[3][1])]
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     df = spark.createDataFrame([(i, t, "h") for i, t in docs], "doc_id long, text string, hits string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontam.BLOCK_TEXT, 40):
-        rows = {r["doc_id"]: r for r in decontam.mark(df, bench, block_text=block).collect()}
-        for i, t in docs:
-            w, hit, found = find(t), set(), set()
-            for item, text in items:
-                x = find(text)
-                for a in range(len(x) - min(10, len(x)) + 1 if x else 0):
-                    n = min(10, len(x))
-                    for b in range(len(w) - n + 1):
-                        if w[b] == x[a] and w[b : b + n] == x[a : a + n]:
-                            hit |= set(range(b, b + n))
-                            found |= {str(item)} - {"None"}
-            r = rows[i]
-            assert (r["n_words"], {j for s in r["hits"] for j in range(s["start"], s["end"])}, r["items"]) == (len(w), hit, sorted(found))
+    rows = {r["doc_id"]: r for r in decontam.mark(df, bench).collect()}
+    for i, t in docs:
+        w, hit, found = find(t), set(), set()
+        for item, text in items:
+            x = find(text)
+            for a in range(len(x) - min(10, len(x)) + 1 if x else 0):
+                n = min(10, len(x))
+                for b in range(len(w) - n + 1):
+                    if w[b] == x[a] and w[b : b + n] == x[a : a + n]:
+                        hit |= set(range(b, b + n))
+                        found |= {str(item)} - {"None"}
+        r = rows[i]
+        assert (r["n_words"], {j for s in r["hits"] for j in range(s["start"], s["end"])}, r["items"]) == (len(w), hit, sorted(found))
     assert decontam.mark(df, bench.limit(0)).where("size(hits) > 0").count() == 0 and decontam.mark(df.limit(0), bench).count() == 0
 
 
+def test_clean_keeps_all_columns(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(1, f"x {item.upper()} y", 77, "k"), (1, f"x {item.upper()} y", 78, "k"), (2, item[4:], 79, None), (3, None, 80, None), (None, "", 81, "k")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_words long, _key string")
+    bench = spark.createDataFrame([("a", item), ("a", item), ("b", "zz")], "item_id string, text string")
+    assert sorted(map(tuple, decontam.clean(df, bench).collect()), key=str) == sorted(docs[2:], key=str)
+    marked = {r["_key"]: r for r in decontam.mark(df, bench).where("doc_id = 1").collect()}
+    assert [tuple(h) for h in marked["k"]["hits"]] == [(1, 11)] and marked["k"]["n_words"] == 12 and marked["k"]["items"] == ["a"]
+
+
+def test_large_benchmark(spark):
+    rng = np.random.default_rng(6)
+    words = np.array([f"{a}{b}" for a in "abcdefghij" for b in range(100_000)])
+    items = [(i, " ".join(rng.choice(words, 200))) for i in range(4200)]  # over 5 MB
+    assert sum(len(t) for _, t in items) > 5 << 20
+    docs = [(i, " ".join(rng.choice(words, 30)) + (" " + " ".join(items[i][1].split()[50:60]) if i % 2 else "")) for i in range(200)]
+    rows = decontam.mark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all((r["items"], [tuple(h) for h in r["hits"]]) == (([str(r["doc_id"])], [(30, 40)]) if r["doc_id"] % 2 else ([], [])) for r in rows) and len(rows) == 200
+
+
 # Classifier
 
 
@@ -212,3 +334,35 @@ def test_digest_of_repeated_runs(spark):
 
     digest = lambda: hashlib.sha256(str(sorted(map(tuple, quality.query(spark, SF).collect()))).encode()).hexdigest()
     assert digest() == digest()
+
+
+def test_context_sums_against_plain_code(spark):
+    rng, words = random.Random(8), [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) for _ in range(60)] + [None, "", "w1"]
+    got = {r["hash"]: r["sums"] for r in quality.context_sums(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()}
+    from larkspur.llm.text import Words
+    import pyarrow as pa
+
+    hashes = Words(pa.array(words)).hash
+    own = dict(zip(words, quality.index_vectors(quality._feature("word", hashes))))
+    want = {w: np.zeros(quality.DIM) for t in texts for w in (t or "").split()}
+    for t in texts:
+        w = (t or "").split()
+        for i in range(len(w)):
+            for j in range(max(0, i - quality.NEIGHBOURS), min(len(w), i + quality.NEIGHBOURS + 1)):
+                if i != j:
+                    want[w[i]] += own[w[j]]
+    number = dict(zip(words, hashes.view(np.int64).tolist()))
+    assert {number[w]: x.tolist() for w, x in want.items()} == got
+
+
+def test_slices_of_context_vectors_score_alike(spark):
+    docs = [(i, f"the {'river' if i % 2 else 'WIN'} runs {i} past fields " * (i % 7), "s") for i in range(120)] + [(500, None, "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _sums string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    contexts, network = quality.train(df, labels)
+    sample = quality.materialize(quality.sample_of(df, labels))
+    several = quality.learn_context(sample, slice_words=25)
+    assert len(several) > 2 and sum(len(c.hashes) for c in several) == len(contexts[0].hashes)
+    a, b = ({r["doc_id"]: r["score"] for r in quality.classify(df, c, network).collect()} for c in (contexts, several))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-4 for i in a)

@@ -67,3 +67,29 @@ def test_edges(spark):
     p = " ".join(map(str, range(30)))
     rows = FingerprintIndex(spark).ingest(spark.createDataFrame([(None, p), (5, p), (5, p)], "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in rows) == [("5", 0), ("5", 30), ("None", 30)]
+
+
+def test_words_are_told_apart(spark):
+    from tests.llm.test_small_operators import thue_morse
+
+    rest = " ".join(f"r{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{thue_morse()} {rest}"), (2, f"{thue_morse('ba')} {rest}"), (3, f"{thue_morse()} {rest}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in FingerprintIndex(spark).ingest(df).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_batches_are_one_table(spark, tmp_path):
+    docs = corpus(3, 0, 80) + [(90, None), (None, "a " * 40), (5, "b " * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    path = f"file://{tmp_path}/index"
+    out = substrings.in_batches(df, path)
+    key = lambda r: str(r)
+    assert sorted(result_of(out), key=key) == sorted(result_of(FingerprintIndex(spark).ingest(df)), key=key)
+    index = FingerprintIndex(spark, path)
+    assert len(index.runs()) == 2 and index._manifest()[0] == 4  # three batches and a compaction
+    index.compact()
+    assert len(index.runs()) == 1 and index.ingest(df.where("doc_id < 80")).where("n_words - n_removed >= 20").count() == 0
+    assert substrings.in_batches(df.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def result_of(df):
+    return [(r["doc_id"], r["n_words"], r["n_removed"], " ".join(WORDS.findall(r["kept_text"]))) for r in df.collect()]
