@@ -14,6 +14,10 @@ A stratum with so few good labels that no level could pass, even without a
 rejection, shares one pooled stratum with all others like it; the guarantee then
 holds for these together. A stratum without good labels rejects by the base
 rules only, and so does the pooled one if its labels are still too few.
+
+A rule that would reject, at its laxest, more than half of a stratum's documents
+does not fit it (as word lengths where words aren't set apart) and takes no part
+there. Documents decide that, not labels, so the guarantee stands.
 """
 
 from __future__ import annotations
@@ -101,18 +105,29 @@ def statistic(rule: str) -> Column:
     return F.when(F.col(below) > 0, (-F.col(above[1:]) if above[0] == "-" else F.col(above)) / F.col(below)).otherwise(0.0)
 
 
-def first_level() -> Column:
-    """The laxest level at which a rule rejects, from 1; LEVELS + 1: none does."""
-    passed = lambda rule: F.size(F.filter(F.array(*map(F.lit, RULES[rule][1])), lambda c: statistic(rule) <= c))
-    return 1 + F.least(*map(passed, RULES))
+def fitting(measured: DataFrame) -> DataFrame:
+    """(stratum, fits): which of RULES take part in a stratum of measured documents, by those that the base rules don't fail."""
+    lax = [2 * F.sum((statistic(r) > grid[0]).cast("long")) <= F.count(F.lit(1)) for r, (_, grid) in RULES.items()]
+    return measured.where(~base_failed()).groupBy("stratum").agg(F.array(*lax).alias("fits"))
+
+
+def with_first(measured: DataFrame, fits: DataFrame, first: str = "first") -> DataFrame:
+    """measured with `first`, the laxest level at which a rule that takes part rejects, from 1; LEVELS + 1: none does."""
+    own = unused("_fits", *measured.columns)
+
+    def passed(rule: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, RULES[rule][1])), lambda c: statistic(rule) <= c))
+
+    each = [F.when(F.col(own)[i], passed(r)).otherwise(LEVELS) for i, r in enumerate(RULES)]
+    return measured.join(fits.withColumnRenamed("fits", own), "stratum", "left").withColumn(first, 1 + F.least(*each)).drop(own)
 
 
 def levels(good: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, pooled, n, level) from good documents (stratum, COUNTS, n_lines); level 0 rejects nothing, n are the labels it rests on.
+    """(stratum, pooled, n, level) from good documents (stratum, first), as with_first has them; level 0 rejects nothing, n are the labels it rests on.
 
     Counts by stratum and level are summed before they meet.
     """
-    counts = good.groupBy("stratum", first_level().alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    counts = good.groupBy("stratum", "first").agg(F.count(F.lit(1)).alias("n"))
     sizes = materialize(counts.groupBy("stratum").agg(F.sum("n").alias("_size")))
     share = error / max(1, sizes.count())  # of each test: there is one for a stratum at most
     pools = sizes.select("stratum", (F.pow(F.lit(1 - risk), F.col("_size")) > share).alias("pooled"))
@@ -134,20 +149,22 @@ def levels(good: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFra
     return own.join(chosen.drop("pooled"), F.col("_own").eqNullSafe(F.col("_key"))).select("stratum", "pooled", "n", "level")
 
 
-def cutoffs(chosen: DataFrame) -> DataFrame:
+def cutoffs(chosen: DataFrame, fits: DataFrame) -> DataFrame:
     """(stratum, pooled, n, level, rule, cutoff) of chosen levels; a null cutoff rejects nothing."""
     grids = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.array(*map(F.lit, grid)) for _, grid in RULES.values()]))
-    return chosen.select("*", F.explode(grids).alias("rule", "_grid")).select(*chosen.columns, "rule", F.try_element_at("_grid", F.when(F.col("level") > 0, F.col("level"))).alias("cutoff"))
+    rows = chosen.join(fits, "stratum").select(*chosen.columns, "fits", F.posexplode(F.map_entries(grids)).alias("_i", "_x"))
+    active = F.when((F.col("level") > 0) & F.get("fits", F.col("_i")), F.col("level"))
+    return rows.select(*chosen.columns, F.col("_x.key").alias("rule"), F.try_element_at("_x.value", active).alias("cutoff"))
 
 
 def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """measured (with stratum) with base_failed and kept; strata without a level reject by the base rules only.
+    """measured (with stratum and first) with base_failed and kept; strata without a level reject by the base rules only.
 
     An empty table stays empty; columns named base_failed or kept are replaced.
     """
     level = unused("_level", *measured.columns)
     out = measured.join(chosen.select("stratum", F.col("level").alias(level)), "stratum", "left")
-    passes = first_level() > F.coalesce(F.col(level), F.lit(0))
+    passes = F.col("first") > F.coalesce(F.col(level), F.lit(0))
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passes).drop(level)
 
 
@@ -164,8 +181,9 @@ def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     by_stratum = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("(null)")).alias("stratum"))
     measured = materialize(measure(by_stratum, keep=("doc_id", "stratum")))  # texts are read once; counts, not texts, meet the labels
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
+    measured = with_first(measured, materialize(fitting(measured)))
     labelled = measured.join(good, "doc_id", "left_semi")
-    return judge(measured, materialize(levels(labelled.where(~base_failed()), risk, error)))
+    return judge(measured, materialize(levels(labelled.where(~base_failed()), risk, error))).drop("first")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,13 +193,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def _first_sql() -> str:
-    passed = []
-    for what, grid in RULES.values():
-        above, below = what.split(" / ")
-        passed.append(f"len(list_filter({grid}, lambda c: coalesce({above} / nullif({below}, 0), 0) <= c))")
-    return f"1 + least({', '.join(passed)})"
+def _value_sql(rule: str) -> str:
+    above, below = RULES[rule][0].split(" / ")
+    return f"coalesce({above} / nullif({below}, 0), 0)"
+
 
+_FITS_SQL = ", ".join(f"2 * count(*) FILTER (WHERE {_value_sql(r)} > {grid[0]}) <= count(*) AS fits_{r}" for r, (_, grid) in RULES.items())
+_FIRST_SQL = "1 + least(" + ", ".join(f"CASE WHEN fits_{r} THEN len(list_filter({grid}, lambda c: {_value_sql(r)} <= c)) ELSE {LEVELS} END" for r, (_, grid) in RULES.items()) + ")"
 
 ORACLE_SQL = rf"""WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '(null)') AS stratum, coalesce(text, '') AS t,
@@ -197,7 +215,9 @@ ORACLE_SQL = rf"""WITH d AS (
   SELECT rid, doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN repeated USING (rid)
-), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_first_sql()} AS first FROM m
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), fitting AS (SELECT stratum, {_FITS_SQL} FROM b WHERE NOT base_failed GROUP BY stratum
+), f AS (SELECT *, {_FIRST_SQL} AS first FROM b LEFT JOIN fitting USING (stratum)
 ), good AS (
   SELECT stratum, first FROM f WHERE NOT base_failed
     AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)

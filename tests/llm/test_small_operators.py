@@ -185,10 +185,10 @@ def test_verdict_against_brute_force(spark):
     rng, docs, labels = random.Random(3), [], []
     for i in range(2400):
         lang = rng.choices(["en", "de", "fr", "xx", None], [60, 30, 5, 3, 2])[0]
-        words = [rng.choice("abcdefgh") * rng.randint(2, 9) + str(rng.random())[:6] for _ in range(rng.randint(5, 60))]
+        words = [rng.choice("abcdefgh") * (rng.randint(2, 9) if lang != "de" else 40) + str(rng.random())[:6] for _ in range(rng.randint(5, 60))]
         if rng.random() < 0.2:
             words += words[:5]
-        text = " ".join(words) + "#" * rng.choices([0, 3, 12, 40], [0.93, 0.04, 0.02, 0.01])[0] + ("\nsame line" * rng.choices([0, 5], [0.95, 0.05])[0])
+        text = " ".join(words) + "#" * rng.choices([0, 3, 12, 40], [0.985, 0.01, 0.004, 0.001])[0] + ("\nsame line" * rng.choices([0, 5], [0.99, 0.01])[0])
         docs.append((i, text, lang))
         if rng.random() < 0.6:
             labels.append((i, int(rng.random() < 0.9)))
@@ -196,9 +196,17 @@ def test_verdict_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     out = {r["doc_id"]: r.asDict() for r in rules.filter_quality(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
 
+    def value(r, k):
+        return eval(rules.RULES[k][0].replace(" / ", " / max(1, ") + ")", {"max": max}, dict(r))
+
+    of = collections.defaultdict(list)
+    for r in out.values():
+        if not r["base_failed"]:
+            of[r["stratum"]].append(r)
+    fits = {s: [k for k, (_, grid) in rules.RULES.items() if 2 * sum(value(r, k) > grid[0] for r in x) <= len(x)] for s, x in of.items()}
+
     def first(r):
-        value = {k: eval(what.replace(" / ", " / max(1, ") + ")", {"max": max}, dict(r)) for k, (what, _) in rules.RULES.items()}
-        return next((i + 1 for i in range(rules.LEVELS) if any(value[k] > grid[i] for k, (_, grid) in rules.RULES.items())), rules.LEVELS + 1)
+        return next((i + 1 for i in range(rules.LEVELS) if any(value(r, k) > rules.RULES[k][1][i] for k in fits.get(r["stratum"], ()))), rules.LEVELS + 1)
 
     marks = collections.defaultdict(set)
     for i, q in labels:
@@ -215,9 +223,14 @@ def test_verdict_against_brute_force(spark):
     for s, x in good.items():
         x = pool if s in small else x
         level[s] = next((i - 1 for i in range(1, rules.LEVELS + 1) if sum(f <= i for f in x) == len(x) or tail(sum(f <= i for f in x), len(x)) > error), rules.LEVELS)
-    assert 2 <= len(small) < len(good) and 0 < max(level.values())
+    assert 2 <= len(small) < len(good) and 0 < min(level["en"], level["de"]) and "long_words" not in fits["de"] and "long_words" in fits["en"]
     for r in out.values():
         assert r["kept"] == (not r["base_failed"] and first(r) > level.get(r["stratum"], 0)), r
+    fit = rules.fitting(rules.measure(df.withColumn("stratum", F.coalesce("lang", F.lit("(null)"))), keep=("doc_id", "stratum")))
+    assert {r["stratum"]: r["fits"] for r in fit.collect()} == {s: [k in x for k in rules.RULES] for s, x in fits.items()}
+    grid = rules.cutoffs(spark.createDataFrame([("de", False, 9, 2), ("en", False, 9, 0)], "stratum string, pooled boolean, n long, level int"), fit)
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in grid.collect()}
+    assert got["de", "symbols_per_word"] == 1.0 and got["de", "long_words"] is None and got["en", "symbols_per_word"] is None and len(got) == 10
     empty = rules.filter_quality(df.limit(0).withColumn("_level", F.lit(1)), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     assert empty.count() == 0
 
@@ -339,7 +352,9 @@ def test_digest_of_repeated_runs(spark):
 def test_context_sums_against_plain_code(spark):
     rng, words = random.Random(8), [f"w{i}" for i in range(30)]
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) for _ in range(60)] + [None, "", "w1"]
-    got = {r["hash"]: r["sums"] for r in quality.context_sums(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()}
+    got = {}
+    for r in quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect():
+        got |= dict(zip(np.frombuffer(r["hashes"], np.int64).tolist(), np.frombuffer(r["sums"], np.int32).reshape(-1, quality.DIM).tolist()))
     from larkspur.llm.text import Words
     import pyarrow as pa
 
@@ -363,6 +378,6 @@ def test_slices_of_context_vectors_score_alike(spark):
     contexts, network = quality.train(df, labels)
     sample = quality.materialize(quality.sample_of(df, labels))
     several = quality.learn_context(sample, slice_words=25)
-    assert len(several) > 2 and sum(len(c.hashes) for c in several) == len(contexts[0].hashes)
+    assert len(several.slices) > 2 and sum(len(several.load(k).hashes) for k in range(len(several.slices))) == len(contexts.load(0).hashes)
     a, b = ({r["doc_id"]: r["score"] for r in quality.classify(df, c, network).collect()} for c in (contexts, several))
     assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-4 for i in a)
