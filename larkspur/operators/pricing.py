@@ -31,6 +31,8 @@ MIN_TARGET_RATIO = 0.35
 ONE_OFF_LIMIT = 12
 #: Columns that listings may lack; null means: not an own link, a seller that is fine, an ordinary price, no regular price, stock unknown.
 OPTIONAL = {"from_url": "boolean", "seller_ok": "boolean", "conditional": "string", "regular_price": "double", "in_stock": "boolean", "shipping": "double"}
+#: Bins of prices BIN_RATIO wide: prices that agree are at most BIN_REACH bins apart.
+BIN_RATIO, BIN_REACH = 1.15, 2
 
 
 def verified() -> Column:
@@ -161,14 +163,17 @@ def apply_band(listings: DataFrame, anchors: DataFrame) -> DataFrame:
     return l.withColumn("in_band", inside).withColumns({c: F.col(c) & F.col("in_band") for c in ("eligible", "cond_ok", "reportable")}).drop("anchor")
 
 
-def find_deals(listings: DataFrame, facts: DataFrame, order: list[str], limit: int = MAX_DEALS) -> DataFrame:
+def find_deals(listings: DataFrame, facts: DataFrame, order: list[str], limit: int = MAX_DEALS, target_rule: bool = False) -> DataFrame:
     """The best deals of each item: listings with reasons (texts), ref and rank (from 1).
 
-    facts: (wid, ref_price, baseline, new_avg, new_n, res_avg, res_n, median, median_n, low, trend), and packs, a map of pack prices.
+    facts: (wid, ref_price, baseline, new_avg, new_n, res_avg, res_n, median, median_n, low, trend, target, open_used), and packs, a map of pack
+    prices. A conditional price counts if its item is open to used offers or it is a primary vendor's new one. target_rule: DEAL_DISCOUNT below the
+    item's target is a reason, too.
     Ordinary prices come before conditional ones, verified before others, primary before other vendors before resale, then the unit
     price; `order` breaks ties. A row_number filter, so each task keeps its first `limit` rows before the shuffle.
     """
-    l = listings.where((F.col("confidence") == "High") & F.coalesce("seller_ok", F.lit(True)) & available() & (F.col("reportable") | (F.col("cond_ok") & F.col("is_primary") & ~F.col("is_resale")))).join(facts, "wid", "left")
+    l = listings.where((F.col("confidence") == "High") & F.coalesce("seller_ok", F.lit(True)) & available() & (F.col("reportable") | F.col("cond_ok"))).join(facts, "wid", "left")
+    l = l.where(F.col("reportable") | F.coalesce("open_used", F.lit(False)) | (F.col("is_primary") & ~F.col("is_resale")))
     unit, new = F.col("unit_price"), ~F.col("is_resale")
     pack = F.when(F.col("pack_qty") > 1, F.try_element_at("packs", F.col("pack_qty")))
     market = lambda side: F.when(F.col(f"{side}_n") >= MARKET_MIN_SAMPLE, F.col(f"{side}_avg"))
@@ -182,6 +187,7 @@ def find_deals(listings: DataFrame, facts: DataFrame, order: list[str], limit: i
         ((F.col("ref") > 0) & sane & (unit <= F.col("ref") * (1 - DEAL_DISCOUNT)), "below reference"),
         ((trend > 0) & sane & (unit < trend), "below trend"),
         (new & (F.col("low") > 0) & (F.col("median_n") >= 3) & sane & (unit <= F.col("low") - 0.01), "new verified low"),
+        (F.lit(target_rule) & (F.col("target") > 0) & (unit <= F.col("target") * (1 - DEAL_DISCOUNT)), "below target"),
     ]
     l = l.withColumn("reasons", F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))).where(F.size("reasons") > 0)
     kind = F.when(F.col("is_primary") & new, 0).when(new, 1).otherwise(2)

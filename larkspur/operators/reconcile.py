@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.ids import fingerprint
-from larkspur.functions.text import keys_match, norm_text, strip_pack_phrases, text_of, vendor_key
+from larkspur.functions.text import keys_match, norm_code, norm_text, strip_pack_phrases, text_of, vendor_key
 from larkspur.functions.urls import merchant_item_id, normalize_url
-from larkspur.operators.pricing import verified
+from larkspur.operators.pricing import BIN_RATIO, BIN_REACH, VERIFIED, verified
 
 # Order of evidence and confidence, agreement of prices.
 EVIDENCE_RANK = {"verified_direct": 0, "verified_discovered": 1, "market_snapshot": 2}
 CONFIDENCE_RANK = {"High": 0, "Medium": 1}
 PRICE_AGREE, STALE = 0.15, 0.02
+TITLE_CHARS, TITLE_RATIO = 90, 0.85
 
 
 def offer_id() -> Column:
@@ -71,20 +72,56 @@ def merge_twins(offers: DataFrame, keys: list[str], order: list[str]) -> tuple[D
     return stay, twins
 
 
+def price_bin(price: Column) -> Column:
+    """The bin of a positive price; prices within PRICE_AGREE of each other are BIN_REACH bins apart at most."""
+    return F.floor(F.log(price) / F.log(F.lit(BIN_RATIO))).cast("int")
+
+
+def title_head(title: Column) -> Column:
+    """What titles are compared by."""
+    return F.substring(norm_text(strip_pack_phrases(title)), 1, TITLE_CHARS)
+
+
 def promote(offers: DataFrame, order: list[str]) -> DataFrame:
-    """offers with promoted: a Medium offer for whose price an independent High one (another vendor, or other evidence) of its item and pack is within PRICE_AGREE, with identifier evidence.
+    """offers with promoted, for a Medium offer with an ordinary price: null, or the first that holds of
+    "identifier" - identifier evidence, and the price of an independent High offer of its item and pack is within PRICE_AGREE,
+    "title" - its title mirrors that of such an offer that is verified, and
+    "shared code" - it is verified itself and shares a GTIN or code with an independent High offer of its item.
+    Independent: another vendor, or other evidence. Columns title, gtins and mpns (arrays) may be missing.
 
-    Instead of pairs, each (item, pack, vendor, evidence) keeps its High prices' distinct values; the band is a condition of the join.
+    Prices meet by bins, so an item's prices are not paired with each other: each (item, pack, vendor, evidence, title) keeps distinct values.
     """
-    high = offers.where((F.col("confidence") == "High") & (F.col("condition") == "new") & F.col("conditional").isNull() & (F.col("unit_price") > 0))
-    high = high.select("wid", "pack_qty", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.col("unit_price").alias("h_price")).distinct()
-    medium = offers.where((F.col("confidence") == "Medium") & F.col("conditional").isNull() & F.col("match_evidence").isin("gtin", "mpn", "page_metadata"))
-    wanted = medium.select("wid", "pack_qty", "vkey", "evidence", "unit_price").distinct()
+    from larkspur.functions.similarity import sequence_ratio
+
+    kinds = {"title": "string", "gtins": "array<string>", "mpns": "array<string>"}
+    full = offers.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in offers.columns})
+    codes = F.array_distinct(F.concat(F.coalesce("gtins", F.array().cast("array<string>")), F.transform(F.coalesce("mpns", F.array().cast("array<string>")), norm_code)))
+    full = full.withColumns({"_head": title_head(F.col("title")), "_codes": F.filter(codes, lambda c: c != "")})
+    high = full.where((F.col("confidence") == "High") & (F.col("condition") == "new") & F.col("conditional").isNull())
+    medium = full.where((F.col("confidence") == "Medium") & F.col("conditional").isNull())
     independent = ~keys_match(F.col("vkey"), F.col("h_vkey")) | (F.col("evidence") != F.col("h_evidence"))
+    own = ["wid", "pack_qty", "vkey", "evidence", "unit_price", "match_evidence", "_head"]
+    priced = high.where("unit_price > 0").select("wid", "pack_qty", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.col("unit_price").alias("h_price"), F.col("_head").alias("h_head")).distinct()
+    reach = F.array(*[price_bin(F.col("h_price")) + i for i in range(-BIN_REACH, BIN_REACH + 1)])
+    wanted = medium.where("unit_price > 0").select(*own).distinct().withColumn("_bin", price_bin(F.col("unit_price")))
     agree = F.abs(F.col("unit_price") - F.col("h_price")) / F.col("h_price") <= PRICE_AGREE
-    found = wanted.join(high, ["wid", "pack_qty"]).where(independent & agree).select(*wanted.columns).distinct().withColumn("_found", F.lit(True))
-    able = (F.col("confidence") == "Medium") & F.col("conditional").isNull() & F.col("match_evidence").isin("gtin", "mpn", "page_metadata")
-    return offers.join(found, wanted.columns, "left").withColumn("promoted", able & F.coalesce("_found", F.lit(False))).drop("_found")
+    pairs = wanted.join(priced.withColumn("_bin", F.explode(reach)), ["wid", "pack_qty", "_bin"]).where(independent & agree)
+    coded = F.col("match_evidence").isin("gtin", "mpn", "page_metadata")
+    by_code = pairs.where(coded).select(*own).distinct().withColumn("_why", F.lit("identifier"))
+    titles = pairs.where(~F.coalesce(coded, F.lit(False)) & F.col("h_evidence").isin(VERIFIED) & (F.col("_head") != "") & (F.col("h_head") != "")).select(*own, "h_head").distinct()
+    by_title = titles.where((F.col("_head") == F.col("h_head")) | (sequence_ratio(F.col("h_head"), F.col("_head")) >= TITLE_RATIO)).select(*own).distinct().withColumn("_why", F.lit("title"))
+    h = high.select("wid", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.explode("_codes").alias("_code")).distinct()
+    m = medium.where(verified()).select("wid", "vkey", "evidence", "_codes", F.explode("_codes").alias("_code")).distinct()
+    by_shared = m.join(h, ["wid", "_code"]).where(independent).select("wid", "vkey", "evidence", "_codes").distinct().withColumn("_shared", F.lit(True))
+    able = (F.col("confidence") == "Medium") & F.col("conditional").isNull()
+    marked = full.withColumn("_able", able)
+    found = by_code.unionByName(by_title)
+    on = [marked[c].eqNullSafe(found[c]) for c in own]
+    out = marked.join(found, on, "left").select(marked["*"], "_why")
+    on = [out[c].eqNullSafe(by_shared[c]) for c in ("wid", "vkey", "evidence", "_codes")]
+    out = out.join(by_shared, on, "left").select(out["*"], "_shared")
+    why = F.when(F.col("_able"), F.coalesce("_why", F.when(F.col("_shared"), F.lit("shared code"))))
+    return out.select(*offers.columns, why.alias("promoted"))
 
 
 def share_identifier(left: DataFrame, right: DataFrame, key: str, codes: str) -> DataFrame:
@@ -94,15 +131,21 @@ def share_identifier(left: DataFrame, right: DataFrame, key: str, codes: str) ->
     return a.join(b, "_code").select(f"left_{key}", f"right_{key}").distinct()
 
 
-def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4) -> DataFrame:
-    """The pairs (vkey, vendor_key) of distinct keys that keys_match: an equi-join on all beginnings of four characters or more, both ways."""
-    a, b = keys.select("vkey").where("vkey <> ''").distinct(), vendors.select("vendor_key").where("vendor_key <> ''").distinct()
+def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4, on: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs (on, vkey, vendor_key) of distinct keys that keys_match, with equal `on`: an equi-join on all beginnings of four characters or more, both ways."""
+    a, b = keys.select(*on, "vkey").where("vkey <> ''").distinct(), vendors.select(*on, "vendor_key").where("vendor_key <> ''").distinct()
 
     def starts(df: DataFrame, c: str) -> DataFrame:
-        return df.select(c, F.explode(F.sequence(F.lit(shortest), F.length(c))).alias("n")).select(c, F.expr(f"left({c}, n)").alias("start"))
+        df = df.where(F.length(c) >= shortest)
+        return df.select(*on, c, F.explode(F.sequence(F.lit(shortest), F.length(c))).alias("n")).select(*on, c, F.expr(f"left({c}, n)").alias("start"))
 
-    long_a = starts(a.where(F.length("vkey") >= shortest), "vkey").join(b.withColumnRenamed("vendor_key", "start"), "start").select("vkey", F.col("start").alias("vendor_key"))
-    long_b = starts(b.where(F.length("vendor_key") >= shortest), "vendor_key").join(a.withColumnRenamed("vkey", "start"), "start").select(F.col("start").alias("vkey"), "vendor_key")
-    equal = a.join(b, a["vkey"] == b["vendor_key"]).select("vkey", "vendor_key")
+    long_a = starts(a, "vkey").join(b.withColumnRenamed("vendor_key", "start"), [*on, "start"]).select(*on, "vkey", F.col("start").alias("vendor_key"))
+    long_b = starts(b, "vendor_key").join(a.withColumnRenamed("vkey", "start"), [*on, "start"]).select(*on, F.col("start").alias("vkey"), "vendor_key")
+    equal = a.join(b.withColumn("vkey", F.col("vendor_key")), [*on, "vkey"]).select(*on, "vkey", "vendor_key")
     return long_a.unionByName(long_b).unionByName(equal).distinct()
 
+
+def of_vendors(df: DataFrame, vendors: DataFrame, on: tuple[str, ...] = (), keep: bool = True) -> DataFrame:
+    """The rows of df (with vkey) whose key matches a vendor_key of vendors, or the others; within equal `on` where given. Null and empty keys match none."""
+    matched = match_vendors(df, vendors, on=on).select(*on, "vkey").distinct()
+    return df.join(matched, [*on, "vkey"], "left_semi" if keep else "left_anti").select(*df.columns)

@@ -29,9 +29,11 @@ LISTINGS_SQL = """listings AS (
         CASE WHEN l_tax > 0.075 THEN 'coupon' END AS conditional, l_suppkey % 3 = 0 AS is_primary, l_returnflag = 'R' AS is_resale, l_suppkey % 7 = 0 AS is_direct,
         l_suppkey % 11 = 0 AS from_url, CASE WHEN l_suppkey % 4 = 0 THEN floor(l_extendedprice / l_quantity * (1 + l_linenumber % 3) * 110 + 0.5000001) / 100 END AS regular_price,
         CASE l_returnflag WHEN 'A' THEN 'gtin' ELSE 'title' END AS match_evidence, 'v' || l_suppkey AS vkey, l_shipdate AS dt
-      FROM lineitem)) ), scored AS (
-  SELECT *, ok AND conditional IS NULL AS eligible, ok AND conditional IS NOT NULL AS cond_ok, ok AND conditional IS NULL AND coalesce(in_stock, true) AS reportable FROM (
-    SELECT *, confidence IN ('High', 'Medium') AND NOT (in_stock IS NOT NULL AND NOT in_stock AND NOT (evidence LIKE 'verified%' AND NOT is_resale)) AS ok FROM listings) ), trusted AS (
+      FROM lineitem)) ), items AS (
+  SELECT p_partkey AS wid, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN [1] ELSE [1, p_size % 4] END AS packs, CASE WHEN p_size % 5 = 0 THEN p_retailprice * 3 END AS target, p_size % 3 > 0 AS open_used FROM part), scored AS (
+  SELECT *, ok AND conditional IS NULL AS eligible, ok AND conditional IS NOT NULL AS cond_ok, ok AND conditional IS NULL AND coalesce(in_stock, true) AND (open_used OR (is_primary AND NOT is_resale)) AS reportable FROM (
+    SELECT *, confidence IN ('High', 'Medium') AND NOT (in_stock IS NOT NULL AND NOT in_stock AND NOT (evidence LIKE 'verified%' AND NOT is_resale)) AND (packs IS NULL OR list_contains(packs, pack_qty))
+      AND (target IS NULL OR from_url OR unit_price >= target * 0.35) AND (open_used OR NOT is_resale) AS ok FROM listings JOIN items USING (wid)) ), trusted AS (
   SELECT * FROM scored WHERE eligible AND evidence LIKE 'verified%' AND confidence = 'High' AND condition = 'new' AND NOT is_resale AND conditional IS NULL )"""
 SERIES_SQL = "series AS (SELECT user_id AS wid, ts AS dt, max(value) AS v, bool_or(event_type <> 'error') AS in_stock FROM events WHERE value > 0 GROUP BY user_id, ts)"
 MONEY = "floor({} * 100 + 0.5000001) / 100"
@@ -60,9 +62,15 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     return pricing.normalize_prices(rows)
 
 
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as items: some sell singles only, some have a target price, some are open to used offers."""
+    kind = F.col("p_size") % 4
+    packs = F.when(kind == 1, F.array(F.lit(1))).when(kind > 1, F.array(F.lit(1), kind.cast("int")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("wid"), packs.alias("packs"), F.when(F.col("p_size") % 5 == 0, F.col("p_retailprice") * 3).alias("target"), (F.col("p_size") % 3 > 0).alias("open_used"))
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "part").select(F.col("p_partkey").alias("wid"), F.lit(None).cast("array<int>").alias("packs"), F.lit(None).cast("double").alias("target"), F.lit(True).alias("open_used"))
-    return pricing.score_eligibility(listings(spark, sf), items)
+    return pricing.score_eligibility(listings(spark, sf), items(spark, sf))
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,11 +128,11 @@ def deal_facts(spark, sf):
     maps = pricing.pack_baselines(s).groupBy("wid").agg(F.map_from_entries(F.collect_list(F.struct("pack_qty", "pack_price"))).alias("packs"))  # one entry a pack size
     hist = _history(spark, sf).select("wid", "median", F.lit(5).alias("median_n"), (F.col("median") * 0.8).alias("low"), (F.col("median") * 0.7).alias("trend"))
     facts = pricing.reference_price(s, _history(spark, sf), ORDER).drop("ref_type").join(pricing.verified_baseline(s).drop("n"), "wid", "left")
-    return facts.join(wide, "wid", "left").join(maps, "wid", "left").join(hist, "wid", "left")
+    return facts.join(wide, "wid", "left").join(maps, "wid", "left").join(hist, "wid", "left").join(items(spark, sf).drop("packs"), "wid", "left")
 
 
 def deals(spark, sf):
-    found = pricing.find_deals(scored(spark, sf), deal_facts(spark, sf), ORDER)
+    found = pricing.find_deals(scored(spark, sf), deal_facts(spark, sf), ORDER, target_rule=True)
     return found.select("wid", "rank", *ORDER, "unit_price", "ref", F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -153,8 +161,18 @@ def twins(spark, sf):
     return gone.groupBy("note").agg(F.count(F.lit(1)).alias("n")).unionByName(stay.select(F.lit("stay").alias("note")).groupBy("note").agg(F.count(F.lit(1)).alias("n")))
 
 
+TITLES = ["Steel widget with long handle, pack of 2", "Ceramic planter for balcony"]
+
+
 def promotion(spark, sf):
-    return reconcile.promote(scored(spark, sf), ORDER).groupBy("wid").agg(F.count_if("promoted").alias("promoted"), F.count(F.lit(1)).alias("n"))
+    """Medium offers by why they are promoted; titles are one of two that don't resemble each other, codes come from item and vendor."""
+    s = scored(spark, sf)
+    code = F.concat_ws("-", F.lit("C"), "wid", F.col("suppkey") % 5)
+    s = s.withColumns({
+        "title": F.when(F.col("suppkey") % 2 == 0, TITLES[0]).otherwise(TITLES[1]), "mpns": F.when(F.col("linenumber") % 2 == 0, F.array(code)),
+        "gtins": F.when(F.col("linenumber") == 3, F.array(F.concat(F.lit("0"), (F.col("suppkey") % 3).cast("string")))),
+    })
+    return reconcile.promote(s, ORDER).where("promoted is not null").groupBy("wid", F.col("promoted").alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def identifier_overlap(spark, sf):
@@ -333,7 +351,7 @@ _PACKS = """packs AS (SELECT wid, pack_qty, floor(median(unit_price) * 100 + 0.5
   FROM (SELECT *, count(*) FILTER (WHERE coalesce(in_stock, true)) OVER (PARTITION BY wid) AS stocked FROM trusted) WHERE stocked = 0 OR coalesce(in_stock, true) GROUP BY wid, pack_qty)"""
 _REGS = """regs AS (SELECT wid, floor(regular_price / pack_qty * 100 + 0.5000001) / 100 AS reg FROM scored WHERE confidence = 'High' AND condition = 'new' AND NOT is_resale AND regular_price > 0),
 consensus AS (SELECT wid, floor(median(reg) * 100 + 0.5000001) / 100 AS consensus, count(*) AS n FROM (SELECT *, median(reg) OVER (PARTITION BY wid) AS m FROM regs) WHERE abs(reg - m) / m <= 0.05 GROUP BY wid HAVING count(*) >= 2)"""
-_HISTORY = "hist AS (SELECT p_partkey AS wid, p_retailprice AS median, p_retailprice + 1 AS ewma FROM part WHERE p_partkey % 5 = 0)"
+_HISTORY = "hist AS (SELECT p_partkey AS wid, p_retailprice AS median, p_retailprice + 1 AS ewma FROM part)"
 _ORDER = ", ".join(ORDER)
 _REFERENCE = f"""ver AS (SELECT *, row(pack_qty <> 1, NOT is_direct, NOT from_url, {_ORDER}) AS r, floor(regular_price / pack_qty * 100 + 0.5000001) / 100 AS reg
   FROM scored WHERE evidence LIKE 'verified%' AND confidence = 'High' AND condition = 'new' AND NOT is_resale AND (eligible OR cond_ok)),
@@ -361,11 +379,12 @@ QUERIES: dict[str, tuple] = {
         SELECT s.*, r.ref_price, b.baseline, p.pack_price, n.avg AS new_avg, n.n AS new_n, u.avg AS res_avg, u.n AS res_n, h.median, h.median * 0.8 AS low, h.median * 0.7 AS trend FROM scored s
         LEFT JOIN reference r USING (wid) LEFT JOIN baseline b USING (wid) LEFT JOIN packs p ON p.wid = s.wid AND p.pack_qty = s.pack_qty LEFT JOIN hist h ON h.wid = s.wid
         LEFT JOIN market n ON n.wid = s.wid AND NOT n.is_resale LEFT JOIN market u ON u.wid = s.wid AND u.is_resale
-        WHERE confidence = 'High' AND coalesce(in_stock, true) AND (reportable OR (cond_ok AND is_primary AND NOT s.is_resale))
+        WHERE confidence = 'High' AND coalesce(in_stock, true) AND (reportable OR (cond_ok AND (open_used OR (is_primary AND NOT s.is_resale))))
       ), refs AS (SELECT *, CASE WHEN is_resale THEN CASE WHEN res_n >= 3 THEN res_avg END ELSE coalesce(CASE WHEN pack_qty > 1 THEN pack_price END, ref_price, baseline, CASE WHEN new_n >= 3 THEN new_avg END) END AS ref FROM facts
       ), sane AS (SELECT *, coalesce(unit_price >= ref * 0.4, true) AS sane, CASE WHEN is_resale THEN trend ELSE median END AS t FROM refs
       ), reasons AS (SELECT *, list_filter([CASE WHEN is_resale AND ref IS NULL AND unit_price <= ref_price * (1 - 0.35) THEN 'far below new' END, CASE WHEN ref > 0 AND sane AND unit_price <= ref * (1 - 0.15) THEN 'below reference' END,
-        CASE WHEN t > 0 AND sane AND unit_price < t THEN 'below trend' END, CASE WHEN NOT is_resale AND low > 0 AND sane AND unit_price <= low - 0.01 THEN 'new verified low' END], lambda x: x IS NOT NULL) AS rs FROM sane
+        CASE WHEN t > 0 AND sane AND unit_price < t THEN 'below trend' END, CASE WHEN NOT is_resale AND low > 0 AND sane AND unit_price <= low - 0.01 THEN 'new verified low' END,
+        CASE WHEN unit_price <= target * (1 - 0.15) THEN 'below target' END], lambda x: x IS NOT NULL) AS rs FROM sane
       ), ranked AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY conditional IS NOT NULL, evidence NOT LIKE 'verified%', CASE WHEN is_primary AND NOT is_resale THEN 0 WHEN NOT is_resale THEN 1 ELSE 2 END, unit_price, {_ORDER}) AS rank FROM reasons WHERE len(rs) > 0)
       SELECT wid, rank, {_ORDER}, unit_price, ref, array_to_string(rs, '; ') AS reasons FROM ranked WHERE rank <= 5"""),
     "used_primary_offers": (used_primary, f"""WITH {LISTINGS_SQL}, s AS (SELECT *, (p_retailprice * 3 - unit_price) / (p_retailprice * 3) AS saving FROM scored JOIN part ON p_partkey = wid
@@ -386,9 +405,14 @@ QUERIES: dict[str, tuple] = {
         AND (s.vkey = v.vkey OR (least(length(s.vkey), length(v.vkey)) >= 4 AND (starts_with(s.vkey, v.vkey) OR starts_with(v.vkey, s.vkey)))) WHERE s.evidence = 'market_snapshot' AND s.confidence <> 'Low' GROUP BY ALL)
       SELECT CASE WHEN abs(unit_price - vp) / vp > 0.02 THEN 'stale' ELSE 'agrees' END AS note, count(*) AS n FROM m GROUP BY 1
       UNION ALL SELECT 'stay', count(*) FROM scored s LEFT JOIN (SELECT *, true AS gone FROM m) g ON {" AND ".join(f"g.{c} = s.{c}" for c in ["wid", "condition", "pack_qty", "vkey", *ORDER, "unit_price"])} AND s.evidence = 'market_snapshot' AND s.confidence <> 'Low' WHERE gone IS NULL"""),
-    "promotion_band": (promotion, f"""WITH {LISTINGS_SQL} SELECT wid, count(*) FILTER (WHERE confidence = 'Medium' AND conditional IS NULL AND match_evidence = 'gtin' AND EXISTS (SELECT 1 FROM scored h WHERE h.wid = m.wid AND h.pack_qty = m.pack_qty AND h.confidence = 'High'
-        AND h.condition = 'new' AND h.conditional IS NULL AND h.unit_price > 0 AND (h.evidence <> m.evidence OR NOT (h.vkey = m.vkey OR (least(length(h.vkey), length(m.vkey)) >= 4 AND (starts_with(h.vkey, m.vkey) OR starts_with(m.vkey, h.vkey)))))
-        AND abs(m.unit_price - h.unit_price) / h.unit_price <= 0.15)) AS promoted, count(*) AS n FROM scored m GROUP BY wid"""),
+    "promotion_band": (promotion, f"""WITH {LISTINGS_SQL}, o AS (SELECT *, suppkey % 2 AS title, list_concat(CASE WHEN linenumber % 2 = 0 THEN ['C' || wid || (suppkey % 5)] ELSE [] END, CASE WHEN linenumber = 3 THEN ['0' || (suppkey % 3)] ELSE [] END) AS codes FROM scored WHERE conditional IS NULL),
+      h AS (SELECT * FROM o WHERE confidence = 'High' AND condition = 'new'), p AS (
+        SELECT m.wid, {", ".join(f"m.{c}" for c in ORDER)}, min(CASE WHEN m.match_evidence = 'gtin' AND h.pack_qty = m.pack_qty AND abs(m.unit_price - h.unit_price) / h.unit_price <= 0.15 THEN 'a identifier'
+          WHEN m.match_evidence <> 'gtin' AND h.pack_qty = m.pack_qty AND abs(m.unit_price - h.unit_price) / h.unit_price <= 0.15 AND h.evidence LIKE 'verified%' AND h.title = m.title THEN 'b title'
+          WHEN m.evidence LIKE 'verified%' AND len(list_intersect(m.codes, h.codes)) > 0 THEN 'c shared code' END) AS why
+        FROM o m JOIN h ON h.wid = m.wid AND (h.evidence <> m.evidence OR NOT (h.vkey = m.vkey OR (least(length(h.vkey), length(m.vkey)) >= 4 AND (starts_with(h.vkey, m.vkey) OR starts_with(m.vkey, h.vkey)))))
+        WHERE m.confidence = 'Medium' GROUP BY ALL)
+      SELECT wid, substr(why, 3) AS why, count(*) AS n FROM p WHERE why IS NOT NULL GROUP BY ALL"""),
     "identifier_overlap": (identifier_overlap, """WITH c AS (SELECT p_partkey AS wid, p_brand, unnest([p_type || '-' || p_size, p_brand || '-' || p_size]) AS code FROM part)
       SELECT DISTINCT a.wid AS left_wid, b.wid AS right_wid FROM c a JOIN c b ON a.code = b.code WHERE a.p_brand < 'Brand#13' AND b.p_brand >= 'Brand#13'"""),
     "keys_match_join": (vendor_match, """WITH c AS (SELECT DISTINCT lower(c_mktsegment) AS vkey FROM customer), v AS (SELECT vkey AS vendor_key FROM c UNION SELECT lower(substr(c_mktsegment, 1, 5)) FROM customer)
@@ -406,7 +430,7 @@ QUERIES: dict[str, tuple] = {
     "resale_trend": (trend, f"""WITH r AS (SELECT user_id AS wid, value AS avg, CASE WHEN event_type <> 'view' THEN CAST(props->>'$.k' AS INTEGER) END AS n FROM events WHERE ts >= {NOW} - INTERVAL 14 DAYS)
       SELECT wid, floor(CAST(sum(CAST(avg AS DECIMAL(18, 2))) AS DOUBLE) / count(avg) * 100 + 0.5000001) / 100 AS trend, count(avg) AS n FROM r WHERE (n IS NULL OR n >= 3) AND avg IS NOT NULL GROUP BY wid HAVING count(avg) >= 3"""),
     "cadence_select": (cadence, f"""WITH r AS (SELECT user_id AS wid, max(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT c_custkey AS wid FROM customer LEFT JOIN r ON wid = c_custkey WHERE t IS NULL OR date_sub('hour', t, {NOW}) >= 60"""),
-    "idempotent_upsert": (upsert, """WITH n AS (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey % 2 = 0), a AS (
+    "idempotent_upsert": (upsert, """WITH n AS (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')), a AS (
         SELECT o_custkey, o_orderpriority, o_totalprice FROM orders o WHERE o_orderpriority <> '1-URGENT' AND NOT EXISTS (SELECT 1 FROM n WHERE n.o_custkey = o.o_custkey AND n.o_orderpriority = o.o_orderpriority)
         UNION ALL SELECT o_custkey, o_orderpriority, o_totalprice FROM n)
       SELECT o_custkey, o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM a GROUP BY ALL"""),
@@ -425,14 +449,14 @@ QUERIES: dict[str, tuple] = {
     "outcome_summary": (outcomes, f"WITH {_ATTEMPTS} SELECT outcome, count(*) AS n, substr(string_agg(DISTINCT domain, ', ' ORDER BY domain), 1, 80) AS targets FROM attempts GROUP BY outcome"),
     "evidence_mix": (evidence_mix, f"""WITH {LISTINGS_SQL} SELECT wid, count(*) AS listings, count(DISTINCT vkey) AS vendors, concat_ws('/', count(*) FILTER (WHERE evidence = 'verified_direct'), count(*) FILTER (WHERE evidence = 'verified_discovered'), count(*) FILTER (WHERE evidence = 'market_snapshot')) AS mix,
       min(unit_price) FILTER (WHERE confidence = 'High') AS lowest FROM listings GROUP BY wid"""),
-    "missing_words": (words_missing, """WITH t AS (SELECT DISTINCT p_partkey % 500 AS wid, unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey % 7 = 0),
+    "missing_words": (words_missing, """WITH t AS (SELECT DISTINCT p_partkey % 500 AS wid, unnest(string_split(lower(p_name), ' ')) AS w FROM part),
       i AS (SELECT DISTINCT p_partkey % 500 AS wid, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part)
       SELECT wid, string_agg(w, ' ' ORDER BY w) AS missing FROM i WHERE length(w) >= 3 AND wid IN (SELECT wid FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE t.wid = i.wid AND t.w = i.w) GROUP BY wid"""),
     "cheapest_snapshots": (snapshots, f"""WITH {LISTINGS_SQL}, c AS (SELECT * FROM scored WHERE evidence = 'market_snapshot' AND eligible QUALIFY row_number() OVER (PARTITION BY wid, vkey ORDER BY unit_price, {_ORDER}) = 1)
       SELECT wid, vkey, unit_price, row_number() OVER (PARTITION BY wid ORDER BY unit_price, vkey, {_ORDER}) AS rank FROM c QUALIFY rank <= 2"""),
     "title_text": (titles, """SELECT p_partkey, 'the new 4 inch ' || lower(p_name) || ' gen2 wifi pack of ' || (p_size % 5 + 1) || ' ' || CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS VARCHAR) AS normal, p_size % 5 + 1 AS pack_qty,
       CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS DOUBLE) AS price, array_to_string(list_sort([c FOR c IN ['black', 'white', 'silver', 'gray', 'grey', 'gold', 'blue', 'red', 'green', 'pink', 'purple', 'yellow', 'orange', 'brown'] IF list_contains(string_split(lower(p_name), ' '), c)]), ',') AS colors FROM part"""),
-    "condition_text": (conditions, r"""WITH t AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1, 200) || CASE doc_id % 5 WHEN 0 THEN ' open-box' WHEN 1 THEN ' Renewed' WHEN 2 THEN ' for parts' ELSE '' END) AS t FROM documents)
+    "condition_text": (conditions, r"""WITH t AS (SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' open-box' WHEN 1 THEN ' Renewed' WHEN 2 THEN ' for parts' ELSE '' END) AS t FROM documents)
       SELECT doc_id, CASE WHEN regexp_matches(t, 'for parts|not working|broken|damaged|as[- ]is|defective') THEN 'parts' WHEN regexp_matches(t, 'refurb|renewed|reconditioned|recertified') THEN 'refurbished'
         WHEN regexp_matches(t, 'open[- ]box|pre-?owned|\bused\b|like[- ]new') THEN 'used' ELSE 'new' END AS condition, doc_id % 9 + 0.5::DOUBLE AS shipping FROM t"""),
     "vendor_keys": (vendors, "SELECT s_suppkey, 'supplier' || CAST(regexp_extract(s_name, '#0*(.*)', 1) AS VARCHAR) AS vkey, 'shop' || s_suppkey || 'example' AS url_key FROM supplier"),
