@@ -109,7 +109,7 @@ QUERIES: dict[str, tuple] = {
     "circuit_states": (circuits, """WITH a AS (SELECT 'd' || (user_id % 40) AS domain, ts, event_id AS ord, event_type IN ('error', 'view') AS failed, sum(CAST(event_type = 'purchase' AS INTEGER)) OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS run FROM events WHERE event_type <> 'signup')
       SELECT domain, ord, streak, streak >= 3 AS open FROM (SELECT *, sum(CAST(failed AS INTEGER)) OVER (PARTITION BY domain, run ORDER BY ts, ord) AS streak FROM a)"""),
     "best_client": (client, "SELECT 'd' || (user_id % 40) AS domain, arg_max(event_type, row(ts, event_type)) AS client FROM events WHERE value > 20 GROUP BY 1"),
-    "candidate_report": (report, f"""WITH c AS ({OFFERS["vendor_candidates"][1]}) SELECT row_number() OVER (ORDER BY NOT ok, met DESC, high DESC, items DESC, vkey) AS ord,
+    "candidate_report": (report, f"""WITH c AS ({OFFERS["vendor_candidates"][1]}) SELECT NOT ok AS rest, met, high,
       printf('%s: %d listings, %d items, %d runs; best %.2f; %s', vkey, high, items, runs, best, CASE WHEN ok THEN 'suggested' ELSE 'meets ' || met || ' of 4' END) AS line FROM c"""),
     "offer_ids": (ids, f"""WITH {LISTINGS_SQL} SELECT orderkey, linenumber, suppkey, substr(sha1(vkey || '|' || CASE WHEN evidence = 'market_snapshot' THEN 'snap:' ELSE '' END || 'm' || orderkey || '|' || condition || '|blue 4 inch|' || pack_qty), 1, 12) AS offer_id FROM listings"""),
     "identity_match": (identities, None),

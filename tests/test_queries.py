@@ -1,8 +1,8 @@
 import pytest
 
-from larkspur.plans import offers, sources
+from larkspur.plans import offers, sources, sourcing
 
-ALL = offers.QUERIES | sources.QUERIES
+ALL = offers.QUERIES | sources.QUERIES | sourcing.QUERIES
 
 
 @pytest.mark.parametrize("name", [k for k, (_, sql) in ALL.items() if sql])
