@@ -237,3 +237,8 @@ def schema_condition(c: Column) -> Column:
 def vendor_display(c: Column) -> Column:
     """The market place of "Market - seller"."""
     return F.trim(F.get(F.split(text_of(c), " - "), F.lit(0)))
+
+
+def tidy_spec(c: Column) -> Column:
+    """A specification with "inch" where a bare "in" follows a number; "4 in 1" and "in-wall" stay."""
+    return F.regexp_replace(text_of(c), r"(?i)(?<=\d)\s*in\b(?![-\s]*\d)(?!-)", " inch")

@@ -99,6 +99,17 @@ def searches(spark, sf):
     return links.search_query(p.select("p_partkey", F.col("p_name").alias("product"), F.array("p_type").alias("mpns"), F.array(F.regexp_replace("p_brand", "#", "")).alias("specs"))).select("p_partkey", "query")
 
 
+def product_pages(spark, sf):
+    """Listings of pages with JSON-LD products of three offers, two of them equal."""
+    p = table(spark, sf, "part")
+    one = lambda price, sku, condition: F.struct(price.alias("price"), F.lit("USD").alias("priceCurrency"), F.lit("https://schema.org/InStock").alias("availability"), F.lit(sku).alias("sku"), F.lit(condition).alias("itemCondition"))
+    price = F.col("p_retailprice")
+    node = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.lit("036000291452").alias("gtin12"), F.array(one(price, "A", "NewCondition"), one(price, "A", "NewCondition"), one(price + 1, "B", "UsedCondition")).alias("offers"))
+    html = F.concat(F.lit("<title>T &eacute;&#8217;</title><script type='application/ld+json'>"), F.to_json(node), F.lit("</script>"))
+    found = pages.extract_products(p.select(F.concat(F.lit("https://x.com/p/"), "p_partkey").alias("url"), F.lit("X").alias("vendor"), F.lit("page").alias("source"), F.lit("verified_direct").alias("evidence"), html.alias("html")))
+    return pages.page_listings(found).select("url", "position", "title", "price", "condition", "in_stock", "merchant_item_id", F.array_join("gtins", ",").alias("gtins"), "brand", "method")
+
+
 #: Queries and their SQL; None where SQL can't express them, which tests then cover.
 QUERIES: dict[str, tuple] = {
     "shopping_feed": (shopping, """SELECT CAST(p_partkey AS VARCHAR) AS query, p_name AS title, p_brand AS vendor, CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS DOUBLE) AS price, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE 4.5 END::DOUBLE AS shipping,
@@ -115,6 +126,8 @@ QUERIES: dict[str, tuple] = {
     "identity_match": (identities, None),
     "page_products": (products, r"""SELECT page_id, trim(replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?i)<title[^>]*>([^<]+)</title>', 1), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), ' ') AS title,
       regexp_extract(coalesce(html, ''), '(?i)<link[^>]+rel=["'']canonical["''][^>]+href=["'']([^"'']+)', 1) AS canonical, CAST(NULL AS VARCHAR) AS method, 0 AS n_offers FROM pages"""),
+    "page_listings": (product_pages, """SELECT 'https://x.com/p/' || p_partkey AS url, i AS position, p_name AS title, p_retailprice + i // 2 AS price, CASE i WHEN 0 THEN 'new' ELSE 'used' END AS condition, true AS in_stock,
+      CASE i WHEN 0 THEN 'A' ELSE 'B' END AS merchant_item_id, '00036000291452' AS gtins, p_brand AS brand, 'JSON-LD' AS method FROM part, (VALUES (0), (2)) AS t(i)"""),
     "sequence_ratio": (ratio, None),
     "rank_links": (ranked_links, None),
     "search_query": (searches, "SELECT p_partkey, p_name || CASE WHEN list_contains(string_split(p_name, ' '), lower(p_type)) THEN '' ELSE ' ' || p_type END || ' ' || replace(p_brand, '#', '') AS query FROM part"),

@@ -54,6 +54,49 @@ def select_items(items: DataFrame, min_priority: int | None = None, wids: list[s
     return items.limit(limit) if limit is not None else items
 
 
+def load_vendors(sheet: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """(name, vendor_key, is_direct, domain, position) of a vendor sheet; a missing domain is that of the first known key (key: domain) that matches. Rows without a name go."""
+    name, direct, domain = (find_column(sheet, *n) for n in (("vendor",), ("isdirecttoconsumer", "is direct"), ("domain",)))
+    text = lambda c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c else F.lit("")
+    key = X.vendor_key(text(name))
+    guesses = [F.when(X.keys_match(key, F.lit(k)), F.lit(d)) for k, d in (known or {}).items()]
+    found = F.coalesce(F.nullif(text(domain), F.lit("")), *guesses, F.lit(""))
+    rows = sheet.select(text(name).alias("name"), key.alias("vendor_key"), X.truthy(text(direct)).alias("is_direct"), found.alias("domain"), F.monotonically_increasing_id().alias("position"))
+    return rows.where("name <> ''")
+
+
+#: Columns of past run rows, and the headers that they are found by.
+HISTORY = {
+    "dt": "rowdatetime", "run": "runid", "wid": "wishlistitem", "avg_new": "avg price (new)", "avg_res": "avg price (resale)", "n_new": "avg sample (new)", "n_res": "avg sample (resale)", "baseline": "vendor baseline (new)",
+    "baseline_src": "baseline source", "link_failed": "primary link failed", "no_results": "expanded search no results",
+}
+
+
+def load_history(rows: DataFrame) -> DataFrame:
+    """Past run rows with HISTORY's columns: times and prices typed, texts never null; rows whose time can't be read go."""
+    def column(name: str) -> Column:
+        c = find_column(rows, HISTORY[name])
+        return F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
+
+    typed = {"dt": column("dt").try_cast("timestamp"), "wid": F.trim(F.coalesce(column("wid"), F.lit("")))}
+    typed |= {n: X.parse_price(column(n)) for n in ("avg_new", "avg_res", "n_new", "n_res", "baseline")}
+    typed |= {n: F.coalesce(column(n), F.lit("")) for n in ("run", "baseline_src", "link_failed", "no_results")}
+    return rows.select(*[typed[n].alias(n) for n in HISTORY]).where("dt is not null")
+
+
+#: Sections of the state that runs keep, each a map of records as JSON texts.
+STATE = ("identity", "discovery", "shopify", "serp_cache", "serp_last", "http_cache", "strategies", "circuits", "offers", "vendor_stats", "vendor_candidates", "suggestions")
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """(section, key, record) of state files in JSON; files that can't be read, and missing sections, give no rows."""
+    text = spark.read.option("wholetext", True).text(path)
+    ddl = ", ".join(f"{s} map<string,string>" for s in STATE)
+    state = text.select(F.from_json("value", ddl).alias("s"))
+    sections = F.array(*[F.struct(F.lit(n).alias("section"), F.coalesce(F.col(f"s.{n}"), F.create_map().cast("map<string,string>")).alias("rows")) for n in STATE])
+    return state.select(F.inline(sections)).select("section", F.explode("rows").alias("key", "record"))
+
+
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; lines that can't be read are skipped, missing fields are null."""
     return spark.read.schema(T.StructType.fromDDL(OBSERVATIONS)).option("mode", "DROPMALFORMED").json(path)
