@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Number words, pack phrases, conditions, vendor stop words, attribute words and units.
+# Number words, pack phrases, spellings, conditions, vendor stop words, attribute words and units.
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12}
 _NUMBER = r"(\d{1,3}|one|two|three|four|five|six|seven|eight|nine|ten|twelve)"
 PACK_PATTERNS = [
@@ -30,6 +30,20 @@ CONDITIONAL_KINDS = {
     "financing": r"/\s*mo\b|per month|monthly|apr\b|affirm|klarna|afterpay|installment", "trade_in": r"trade[- ]?in", "carrier_activation": r"activation|with carrier|unlock", "in_cart": r"in cart|add to cart to see",
 }
 UNIT_MM = {"inch": 25.4, "in": 25.4, "ft": 304.8, "feet": 304.8, "foot": 304.8, "mm": 1.0, "cm": 10.0, "m": 1000.0, "meter": 1000.0, "meters": 1000.0, "metre": 1000.0, "metres": 1000.0}
+STRAIGHT_QUOTES = ("’″”“", "'\"\"\"")
+SPELLINGS = [
+    (r'(\d+(?:\.\d+)?)\s*(?:"|-?\s*inch(?:es)?\b|-?\s*in\.(?=\s|$))', "$1 inch "),
+    (r"\b(\d)(?:st|nd|rd|th)[\s-]*gen(?:eration)?\b", "gen$1"),
+    (r"\bgeneration\s*(\d+)\b", "gen$1"),
+    (r"\bgen\s*-?\s*(\d+)\b", "gen$1"),
+    (r"\bwi[\s-]?fi\b", "wifi"),
+    (r"(\d)(ghz|mhz|ft)\b", "$1 $2"),
+    (r"[^a-z0-9.]+", " "),
+    (r"(?<!\d)\.|\.(?!\d)", " "),
+    (r"\s+", " "),
+]
+BROKEN_TEXTS, REFURBISHED_TEXTS, USED_TEXTS = "for parts|not working|broken|damaged|as[- ]is|defective", "refurb|renewed|reconditioned|recertified", r"open[- ]box|pre-?owned|\bused\b|like[- ]new"
+USED_HINTS = r"open[- ]box|pre-?owned|\bused\b|like new|new other|very good|acceptable|\bgood\b|excellent"
 
 
 def text_of(c: Column) -> Column:
@@ -48,19 +62,7 @@ def words_of(c: Column) -> Column:
 
 def norm_text(c: Column) -> Column:
     """Lower case with one spelling for inches, generations, wi-fi and numbers before units; only letters, digits and decimal points stay."""
-    straight = F.translate(F.lower(text_of(c)), "’″”“", "'\"\"\"")
-    return F.trim(chain(
-        straight,
-        (r'(\d+(?:\.\d+)?)\s*(?:"|-?\s*inch(?:es)?\b|-?\s*in\.(?=\s|$))', "$1 inch "),
-        (r"\b(\d)(?:st|nd|rd|th)[\s-]*gen(?:eration)?\b", "gen$1"),
-        (r"\bgeneration\s*(\d+)\b", "gen$1"),
-        (r"\bgen\s*-?\s*(\d+)\b", "gen$1"),
-        (r"\bwi[\s-]?fi\b", "wifi"),
-        (r"(\d)(ghz|mhz|ft)\b", "$1 $2"),
-        (r"[^a-z0-9.]+", " "),
-        (r"(?<!\d)\.|\.(?!\d)", " "),
-        (r"\s+", " "),
-    ))
+    return F.trim(chain(F.translate(F.lower(text_of(c)), *STRAIGHT_QUOTES), *SPELLINGS))
 
 
 def _number(c: Column) -> Column:
@@ -105,10 +107,8 @@ def condition(title: Column, hint: Column) -> Column:
     """parts, refurbished, used or new, by a title and the source's own condition field."""
     t, h = F.lower(text_of(title)), F.lower(text_of(hint))
     return (
-        F.when(t.rlike("for parts|not working|broken|damaged|as[- ]is|defective") | h.contains("parts"), "parts")
-        .when(h.contains("refurb") | t.rlike("refurb|renewed|reconditioned|recertified"), "refurbished")
-        .when(h.rlike(r"open[- ]box|pre-?owned|\bused\b|like new|new other|very good|acceptable|\bgood\b|excellent"), "used")
-        .when(t.rlike(r"open[- ]box|pre-?owned|\bused\b|like[- ]new"), "used")
+        F.when(t.rlike(BROKEN_TEXTS) | h.contains("parts"), "parts").when(h.contains("refurb") | t.rlike(REFURBISHED_TEXTS), "refurbished")
+        .when(h.rlike(USED_HINTS) | t.rlike(USED_TEXTS), "used")
         .otherwise("new")
     )
 

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import text_of
 
 # Parameters that only track a visit, merchants' item ids, paths of listing pages.
-TRACKING = """gclid gclsrc gbraid wbraid dclid fbclid msclkid yclid twclid ttclid srsltid gad_source gad_campaignid _ga _gl mc_cid mc_eid
-igshid si ref ref_ refid referrer extstoreid loc irclickid irgwc clickid click_id affid aff_id affiliate tag linkcode creative creativeasin
-ascsubtag cmp intcmp icid cid scid spm ved ei _pos _sid _ss _psq _fid _v pf_rd_p pf_rd_r pd_rd_r pd_rd_w pd_rd_wg pd_rd_i content-id qid sr
-keywords crid sprefix dib dib_tag s_kwcid ef_id veh cjevent cjdata rrid mkcid mkrid campid toolid customid mkevt epik lgeo acqchannel
-athcpid athpgid athznid athieid athena adid adgroupid campaignid feeditemid targetid matchtype network device devicemodel placement adposition hsa_acc""".split()
+TRACKING = [
+    "gclid", "gclsrc", "gbraid", "wbraid", "dclid", "fbclid", "msclkid", "yclid", "twclid", "ttclid", "srsltid", "gad_source", "gad_campaignid",
+    "_ga", "_gl", "mc_cid", "mc_eid", "igshid", "si", "ref", "ref_", "refid", "referrer", "extstoreid", "loc", "irclickid", "irgwc", "clickid",
+    "click_id", "affid", "aff_id", "affiliate", "tag", "linkcode", "creative", "creativeasin", "ascsubtag", "cmp", "intcmp", "icid", "cid", "scid",
+    "spm", "ved", "ei", "_pos", "_sid", "_ss", "_psq", "_fid", "_v", "pf_rd_p", "pf_rd_r", "pd_rd_r", "pd_rd_w", "pd_rd_wg", "pd_rd_i", "content-id",
+    "qid", "sr", "keywords", "crid", "sprefix", "dib", "dib_tag", "s_kwcid", "ef_id", "veh", "cjevent", "cjdata", "rrid", "mkcid", "mkrid", "campid",
+    "toolid", "customid", "mkevt", "epik", "lgeo", "acqchannel", "athcpid", "athpgid", "athznid", "athieid", "athena", "adid", "adgroupid",
+    "campaignid", "feeditemid", "targetid", "matchtype", "network", "device", "devicemodel", "placement", "adposition", "hsa_acc",
+]
 TRACKING_PREFIXES = ["utm_", "pk_", "mtm_", "hsa_", "_hs", "gad_", "ga_", "pd_rd", "pf_rd", "oly_", "vero_"]
 MERCHANT_IDS = [
     ("bestbuy.com", r"(?:skuId=|/sku/|/)(\d{7})(?:\.p\b|\b)"),
@@ -52,7 +56,8 @@ def query_of(c: Column) -> Column:
 def normalize_url(c: Column) -> Column:
     """Lower-case scheme and host; no fragment, tracking or empty parameters; the others sorted; no doubled or final slash.
 
-    Percent codes stay as written. A text that has no scheme and host stays as it is, trimmed.
+    Parameters are decoded and coded anew, so "a%20b" and "a+b" are one; codes that can't be decoded count as written, and paths keep theirs. A text that
+    has no scheme and host stays as it is, trimmed.
     """
     u = F.trim(text_of(c))
     scheme, host = part(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://[^/?#]+"), part(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)")
@@ -61,7 +66,10 @@ def normalize_url(c: Column) -> Column:
     name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
     tracks = lambda p: name(p).isin(TRACKING) | name(p).rlike("^(?:" + "|".join(TRACKING_PREFIXES) + ")")
     kept = F.filter(F.split(query_of(u), "&"), lambda p: p.rlike("^[^=]+=.") & ~tracks(p))
-    query = F.array_join(F.transform(F.array_sort(F.transform(kept, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)), p.alias("p")))), lambda s: s["p"]), "&")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.array_sort(F.transform(kept, lambda p: F.struct(plain(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), plain(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v"))))
+    query = F.array_join(F.transform(pairs, lambda s: F.concat(coded(s["k"]), F.lit("="), coded(s["v"]))), "&")
     return F.when(scheme == "", u).otherwise(F.concat(F.lower(scheme), F.lit("://"), F.lower(host), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
