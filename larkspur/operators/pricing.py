@@ -166,12 +166,13 @@ def apply_band(listings: DataFrame, anchors: DataFrame) -> DataFrame:
 def find_deals(listings: DataFrame, facts: DataFrame, order: list[str], limit: int = MAX_DEALS, target_rule: bool = False) -> DataFrame:
     """The best deals of each item: listings with reasons (texts), ref and rank (from 1).
 
-    facts: (wid, ref_price, baseline, new_avg, new_n, res_avg, res_n, median, median_n, low, trend, target, open_used), and packs, a map of pack
-    prices. A conditional price counts if its item is open to used offers or it is a primary vendor's new one. target_rule: DEAL_DISCOUNT below the
+    facts: (wid, ref_price, baseline, new_avg, new_n, res_avg, res_n, median, median_n, low, trend and, if there, target and open_used), and packs, a map of
+    pack prices. A conditional price counts if its item is open to used offers or it is a primary vendor's new one. target_rule: DEAL_DISCOUNT below the
     item's target is a reason, too.
     Ordinary prices come before conditional ones, verified before others, primary before other vendors before resale, then the unit
     price; `order` breaks ties. A row_number filter, so each task keeps its first `limit` rows before the shuffle.
     """
+    facts = facts.withColumns({c: F.lit(None).cast(t) for c, t in (("target", "double"), ("open_used", "boolean")) if c not in facts.columns})
     l = listings.where((F.col("confidence") == "High") & F.coalesce("seller_ok", F.lit(True)) & available() & (F.col("reportable") | F.col("cond_ok"))).join(facts, "wid", "left")
     l = l.where(F.col("reportable") | F.coalesce("open_used", F.lit(False)) | (F.col("is_primary") & ~F.col("is_resale")))
     unit, new = F.col("unit_price"), ~F.col("is_resale")
