@@ -43,14 +43,15 @@ class _Windows:
         self.words = Words(texts)
         self.at = np.flatnonzero(whole(self.words, span))
         self.keys = grams(self.words.hash, span)[self.at] >> SHORT if len(self.at) else np.zeros(0, np.uint64)
+        self.words.hash = None  # of no more use
 
-    def checks(self, which: np.ndarray) -> np.ndarray:
-        """The second hash of the given windows."""
-        if not len(which):
+    def checks(self, which: np.ndarray | None = None) -> np.ndarray:
+        """The second hash of the given windows, or of all."""
+        if which is not None and not len(which):
             return np.zeros(0, np.uint64)
         if self.second is None:
             self.second = grams(Words(self.texts, seed=2).hash, self.span, seed=2)
-        return self.second[self.at[which]] >> np.uint64(64 - CHECK_BITS)
+        return self.second[self.at if which is None else self.at[which]] >> np.uint64(64 - CHECK_BITS)
 
     def rows(self) -> np.ndarray:
         return np.searchsorted(self.words.bounds, self.at, "right") - 1
@@ -77,9 +78,10 @@ def _runs(blocks: DataFrame, shards: int, span: int, checks: bool) -> DataFrame:
         for b, texts in each_block(batches):
             w = _Windows(texts, span)
             if checks:
-                keys, second, *_ = _entries(w, np.arange(len(w.keys)), _ids(b))
+                keys, second = _pairs(w)
             else:
                 keys = distinct(w.keys)
+            del w
             at = _cut(keys, shards)
             filled = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays(
@@ -94,6 +96,17 @@ def _runs(blocks: DataFrame, shards: int, span: int, checks: bool) -> DataFrame:
     return blocks.select("block", "rows", "sizes", "data").mapInArrow(run, _RUN_DDL)
 
 
+def _pairs(w: _Windows) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a block's windows in order, and their second hashes; a pair may be there twice only beside another of its key."""
+    order = np.argsort(w.keys, kind="stable")
+    h = w.keys[order]
+    c = w.checks()[order]
+    del order
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return h[new], c[new]
+
+
 def _recut(history: DataFrame, shards: int) -> DataFrame:
     """Runs of an index, cut into so many shards, as blocks of number -1."""
 
@@ -120,15 +133,17 @@ def _merge_join(runs: DataFrame) -> DataFrame:
         parts = [unpack(x.as_py(), np.uint64, ordered=True) for x in table["keys"]]
         keys = np.concatenate(parts)
         begin = np.cumsum([0, *map(len, parts)])
-        old = np.repeat(np.array(blocks) < 0, np.diff(begin))
         order = np.argsort(keys, kind="stable")  # merges the runs, which are sorted
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order[1:]] != keys[order[:-1]]
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        fresh = np.bincount(group, ~old[order]) > 0  # keys that a new block has
-        hit = np.zeros(len(keys), bool)
-        hit[order] = ((size > 1) & fresh)[group]
+        keys = keys[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        del keys
+        group = np.flatnonzero(first)
+        size = np.diff(np.append(group, len(first)))
+        fresh = np.logical_or.reduceat(np.repeat(np.array(blocks) >= 0, np.diff(begin))[order], group)  # keys that a new block has
+        hit = np.zeros(len(first), bool)
+        hit[order] = np.repeat((size > 1) & fresh, size)
+        del order, group, size
         out = [i for i in range(len(blocks)) if hit[begin[i] : begin[i + 1]].any()]
         found, checks = [], []
         for i in out:

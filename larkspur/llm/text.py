@@ -124,20 +124,24 @@ class Words:
 
 
 def grams(ids: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """A hash of ids[i:i+k] for each i that has k ids from it on, by doubling; every doubling is mixed."""
+    """A hash of ids[i:i+k] for each i that has k ids from it on, by doubling; every doubling is mixed. Done in fixed pieces."""
     if k < 1 or len(ids) < k:
         return np.zeros(0, np.uint64)
-    step, known = _byte_values(seed)[1], {1: ids}
-
-    def of(width: int) -> np.ndarray:
-        if width not in known:
-            a = width // 2
-            left, right = of(a), of(width - a)
-            n = len(ids) - width + 1
-            known[width] = mix(left[:n] * step + right[a : a + n])
-        return known[width]
-
-    return mix(of(k) + np.uint64(k))
+    step, out = _byte_values(seed)[1], np.empty(len(ids) - k + 1, np.uint64)
+    for p in range(0, len(out), PIECE):
+        part = ids[p : p + PIECE + k - 1]
+        known = {1: part}
+
+        def of(width: int) -> np.ndarray:
+            if width not in known:
+                a = width // 2
+                left, right = of(a), of(width - a)
+                n = len(part) - width + 1
+                known[width] = mix(left[:n] * step + right[a : a + n])
+            return known[width]
+
+        out[p : p + PIECE] = mix(of(k) + np.uint64(k))
+    return out
 
 
 def whole(words: Words, k: int) -> np.ndarray:
