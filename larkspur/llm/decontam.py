@@ -27,8 +27,6 @@ from larkspur.llm.text import NOT_ALNUM, Words, grams, release, whole
 SPAN, K = 10, 5
 #: Rows of texts that one Python call handles.
 ROWS = 500
-#: A word, before letters are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TO_BLANK = bytes(0x20 if NOT_ALNUM[b] and not 0x41 <= b <= 0x5A else b + 32 * (0x41 <= b <= 0x5A) for b in range(256))
 
 
@@ -137,6 +135,19 @@ def windows_around(texts: DataFrame, k: int = K) -> DataFrame:
     return bound_batches(texts).select("key", "text", "places").mapInArrow(windows, "key binary, start int, size int, window string")
 
 
+def with_counts(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs with the number of words of their texts."""
+    names = docs.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            n = Words(b.column(text), between=NOT_ALNUM, hashed=False).counts
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64))], [*names, name])
+        release()
+
+    return bound_batches(docs).mapInArrow(count, "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + f"`{name}` long")
+
+
 def key_of(text: str) -> Column:
     """The digest by which a text is known; null is the empty text."""
     return F.unhex(F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary")))
@@ -146,14 +157,16 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", span: int
     """(key, hits, items), written: each text of docs, by key_of, in which windows of items occur.
 
     hits: array of (start, end) in words, disjoint and ascending; items: sorted
-    strings. docs should be a written table, as its texts are read twice.
+    strings. docs should be a written table, as its texts are read twice. Places
+    and hits grow with the documents, so texts meet them by merge joins at every
+    size; only the items' tables may be broadcast.
     """
     items = items.select("item_id", "text").where("length(text) > 0").distinct()
     prints, windows = materialize(item_prints(items, span, k)), materialize(item_windows(items, span))
     sizes = [r["size"] for r in prints.select("size").distinct().collect()]  # span at most
     texts = docs.select(key_of(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     places = text_prints(texts, sorted(sizes), k).join(prints, ["size", "print"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("size", "at")).alias("places"))
-    around = windows_around(texts.join(materialize(places), "key"), k)
+    around = windows_around(texts.join(materialize(places).hint("merge"), "key"), k)
     found = materialize(around.join(windows.select("size", "window").distinct(), ["size", "window"], "left_semi").distinct())
     end = F.col("start") + F.col("size")
     ordered = Window.partitionBy("key").orderBy("start", "size")  # the hits of one text
@@ -176,17 +189,16 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     key = unused("_key", *names)
     found = occurrences(docs, items, text, span, k).withColumnRenamed("key", key)
-    out = docs.select(*names, key_of(text).alias(key)).join(found, key, "left")
+    out = with_counts(docs.select(*names), text, "n_words").withColumn(key, key_of(text)).join(found.hint("merge"), key, "left")
     empty = F.array().cast(dict(found.dtypes)["hits"])
-    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    return out.select(*names, n_words.alias("n_words"), F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(*names, "n_words", F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """The rows of docs without a hit, as mark has them, with all their columns."""
     key = unused("_key", *docs.columns)
     found = occurrences(docs, items, text, span, k).select(F.col("key").alias(key))
-    return docs.withColumn(key, key_of(text)).join(found, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, key_of(text)).join(found.hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def test_verdict_against_brute_force(spark):
     for i in range(2400):
         lang = rng.choices(["en", "de", "fr", "xx", None], [60, 30, 5, 3, 2])[0]
         words = [rng.choice("abcdefgh") * (rng.randint(2, 9) if lang != "de" else 40) + str(rng.random())[:6] for _ in range(rng.randint(5, 60))]
-        if rng.random() < 0.2:
+        if rng.random() < 0.03:
             words += words[:5]
         text = " ".join(words) + "#" * rng.choices([0, 3, 12, 40], [0.985, 0.01, 0.004, 0.001])[0] + ("\nsame line" * rng.choices([0, 5], [0.99, 0.01])[0])
         docs.append((i, text, lang))
