@@ -354,7 +354,8 @@ def test_context_sums_against_plain_code(spark):
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) for _ in range(60)] + [None, "", "w1"]
     got = {}
     for r in quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect():
-        got |= dict(zip(np.frombuffer(r["hashes"], np.int64).tolist(), np.frombuffer(r["sums"], np.int32).reshape(-1, quality.DIM).tolist()))
+        hashes, sums = quality.unpack(r["hashes"], np.uint64, ordered=True), quality.unpack(r["sums"], np.int32)
+        got |= dict(zip(hashes.view(np.int64).tolist(), sums.reshape(-1, quality.DIM).tolist()))
     from larkspur.llm.text import Words
     import pyarrow as pa
 
