@@ -384,7 +384,7 @@ def deduplicate(docs: DataFrame, text: str = "text", span: int = SPAN) -> DataFr
     return out.select(*[F.col("kept_text").alias(text) if c == text else F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
-def in_batches(docs: DataFrame, path: str, shares: tuple[float, ...] = (0.125, 0.25), text: str = "text", max_runs: int = 2) -> DataFrame:
+def in_batches(docs: DataFrame, path: str, shares: tuple[float, ...] = (0.0625, 0.125), text: str = "text", max_runs: int = 2) -> DataFrame:
     """docs as ingest has them, ingested one after another in batches of ascending doc_id into an index at path.
 
     shares: which part of the documents each batch but the last ends at, about.
