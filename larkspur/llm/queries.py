@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import chat, decontam, neardup, ngrams, packing, quality, rules, sharding, substrings, warc
+from larkspur.llm import chat, decontam, metric, neardup, negatives, ngrams, packing, phrases, quality, rules, sharding, substrings, warc
 
 QUERIES = {
     "op1_elias_fano_ngrams": ngrams.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_events": chat.query,
     "op9_winnowing_decontamination": decontam.query,
     "op10_random_indexing_quality": quality.query,
+    "op11_metric_space_join": metric.query,
+    "op12_radius_bounded_negatives": negatives.query,
+    "op13_pattern_growth_phrases": phrases.query,
 }
 
 ORACLE_SQL = {
@@ -25,4 +28,7 @@ ORACLE_SQL = {
     "op7_risk_controlled_rules": rules.ORACLE_SQL,
     "op8_chat_events": chat.ORACLE_SQL,
     "op9_winnowing_decontamination": decontam.ORACLE_SQL,
+    "op11_metric_space_join": metric.ORACLE_SQL,
+    "op12_radius_bounded_negatives": negatives.ORACLE_SQL,
+    "op13_pattern_growth_phrases": phrases.ORACLE_SQL,
 }

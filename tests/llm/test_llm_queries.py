@@ -12,4 +12,4 @@ def test_registered():
     import __spark_entry__ as e
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in e.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in e.queries()
