@@ -34,9 +34,9 @@ from larkspur.llm.text import cuts, mix, pack, release, unpack
 #: Bytes of text whose shingles one shard counts.
 SHARD_BYTES = 16 << 20
 #: Documents of a region that are compared directly; larger ones get PIVOTS pivots.
-SMALL = 64
+SMALL = 128
 PIVOTS = 8
-#: Times that regions are split; what is still large then is compared directly, in parts of SMALL documents against all.
+#: Times that regions are split at most. What is still large then, or has few pairs less after a split, is compared directly, in parts of SMALL documents against all.
 DEPTH = 3
 #: Documents whose sets are compared with one pivot's in one call.
 MEMBERS = 64
@@ -201,7 +201,9 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, many: bool) -> tuple[
     known = known.join(home, ["region", "doc_id"]).where((F.col("home.d") > 0) & (F.col("d") <= F.col("home.d") + 2 * width + _EPS))
     ring = F.floor((F.col("d") + _EPS) / width).cast("int")
     known = known.select("region", "doc_id", "pivot", "d", (F.col("home.pivot") == F.col("pivot")).alias("home"), F.explode(F.array(ring, ring + 1)).alias("ring"))
-    return known.select(F.xxhash64("region", "pivot", "ring").alias("region"), "doc_id", "d", "home"), measured
+    region = F.xxhash64("region", "pivot", "ring") if many else F.xxhash64("pivot", "ring")  # first regions with one pivot are one
+    parent = F.col("region") if many else F.lit(0).cast("long")
+    return known.select(parent.alias("parent"), region.alias("region"), "doc_id", "d", "home").distinct(), measured
 
 
 def _pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,22 +251,25 @@ def metric_join(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
     chosen = signed.join(reps.where("doc_id = rep").select("doc_id", *name), ["doc_id", *name], "left_semi").groupBy("doc_id").agg(F.min(F.struct("block", "pos")).alias("_at")).select("_at.*")
     sets = _neighbours(blocks, chosen, k, percent, kind)
 
-    regions = sets.select(F.explode("cells").alias("region"), "doc_id")
-    rows = materialize(_sized(regions, None))
-    links, found, small = None, None, []
+    rows = materialize(_sized(sets.select(F.explode("cells").alias("region"), "doc_id"), None))
+    links, found, pairs = None, None, None
     for depth in range(DEPTH + 1):
         regions, measured = _split(rows, sets, percent, many=depth > 0)
         links = _links(measured) if links is None else links.unionByName(_links(measured))
         found = materialize(components(links))
-        rows = materialize(_sized(regions, found))
+        before, rows = rows, materialize(_sized(regions, found))
+        if depth:  # regions whose split leaves over half of their pairs are compared as they are
+            left = rows.select("parent", "region", "size").distinct().groupBy("parent").agg(F.sum(F.col("size") * F.col("size")).alias("left"))
+            split = before.select("region", "size").distinct().join(left.withColumnRenamed("parent", "region"), "region").where(2 * F.col("left") <= F.col("size") * F.col("size")).select("region")
+            whole = _sized(before.select("parent", "region", "doc_id", "d", "home").join(split, "region", "left_anti"), found)
+            rows = rows.join(split.withColumnRenamed("region", "parent"), "parent", "left_semi")
+            pairs = pairs.unionByName(whole)
         last = depth == DEPTH or rows.where(F.col("size") > SMALL).isEmpty()
-        small.append(rows if last else rows.where(F.col("size") <= SMALL))
+        done = rows if last else rows.where(F.col("size") <= SMALL)
+        pairs = done if pairs is None else pairs.unionByName(done)
         if last:
             break
-        rows = rows.where(F.col("size") > SMALL).select("region", "doc_id")
-    pairs = small[0]
-    for more in small[1:]:
-        pairs = pairs.unionByName(more)
+        rows = materialize(rows.where(F.col("size") > SMALL))
     pairs = materialize(_pairs(pairs, sets, percent))
     if not pairs.isEmpty():
         found = materialize(components(links.unionByName(_links(measure(pairs, sets, percent)))))
