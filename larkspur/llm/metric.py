@@ -38,6 +38,8 @@ SMALL = 128
 PIVOTS = 8
 #: Times that regions are split at most. What is still large then, or has few pairs less after a split, is compared directly, in parts of SMALL documents against all.
 DEPTH = 3
+#: Shingles that are counted by one product of matrices.
+COLUMNS = 1 << 13
 #: Documents whose sets are compared with one pivot's in one call.
 MEMBERS = 64
 #: Slack of measured distances against rounding.
@@ -200,27 +202,59 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, many: bool) -> tuple[
     home = known.groupBy("region", "doc_id").agg(F.min(F.struct("d", "pivot")).alias("home"))
     known = known.join(home, ["region", "doc_id"]).where((F.col("home.d") > 0) & (F.col("d") <= F.col("home.d") + 2 * width + _EPS))
     ring = F.floor((F.col("d") + _EPS) / width).cast("int")
-    known = known.select("region", "doc_id", "pivot", "d", (F.col("home.pivot") == F.col("pivot")).alias("home"), F.explode(F.array(ring, ring + 1)).alias("ring"))
+    known = known.select("region", "doc_id", "pivot", F.explode(F.array(ring, ring + 1)).alias("ring"))
     region = F.xxhash64("region", "pivot", "ring") if many else F.xxhash64("pivot", "ring")  # first regions with one pivot are one
     parent = F.col("region") if many else F.lit(0).cast("long")
-    return known.select(parent.alias("parent"), region.alias("region"), "doc_id", "d", "home").distinct(), measured
+    return known.select(parent.alias("parent"), region.alias("region"), "doc_id").distinct(), measured
 
 
-def _pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, doc_id): pairs of rows (region, doc_id, d, home, component, size) that may be linked, each once.
+def _compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, doc_id): links that join the components of each region of rows (region, doc_id, component, size).
 
-    One of a pair at least is at home in the region, both distances to its pivot
-    lie within a threshold, and so do the sizes of both sets.
+    A region is dealt in parts of about SMALL documents; each two of its parts
+    meet in a task, which counts common shingles by products of matrices.
     """
-    width = 1 - percent / 100
-    rows = rows.join(sets.select("doc_id", "n"), "doc_id").withColumn("parts", F.ceil(F.col("size") / SMALL).cast("int"))
-    x = rows.select("region", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "d", "home", "component", "n")), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
-    y = rows.select("region", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "d", "home", "component", "n")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    ok = (
-        (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_home") | F.col("y_home"))
-        & (F.abs(F.col("x_d") - F.col("y_d")) <= width + _EPS) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
-    )
-    return x.join(y, ["region", "part"]).where(ok).select(F.col("x_doc_id").alias("pivot"), F.col("y_doc_id").alias("doc_id")).distinct()
+    kind = dict(rows.dtypes)["doc_id"]
+    parts = F.ceil(F.col("size") / SMALL).cast("int")
+    rows = rows.join(sets.select("doc_id", "shingles"), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("region", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "doc_id", "component", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        docs, of = table["doc_id"].to_pylist(), table["component"].to_pylist()
+        each = [unpack(x.as_py(), np.uint64, ordered=True) for x in table["shingles"]]
+        n = np.array([len(x) for x in each], np.int64)
+        _, token, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        row, token = np.repeat(np.arange(len(docs)), n), token.ravel()
+        some = times[token] > 1
+        row, token = row[some], column[token[some]]
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        both, at = np.zeros((len(docs), len(docs)), np.float64), 0
+        while at < len(token):
+            to = int(np.searchsorted(token, token[at] + COLUMNS))
+            m = np.zeros((len(docs), COLUMNS), np.float32)
+            m[row[at:to], token[at:to] - token[at]] = 1
+            both += m @ m.T
+            at = to
+        x, y = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
+        root, links = {}, []
+
+        def top(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for i, j in zip(x.tolist(), y.tolist()):
+            c, d = top(of[i]), top(of[j])
+            if c != d:
+                root[max(c, d)] = min(c, d)
+                links.append((docs[i], docs[j]))
+        hubs, others = zip(*links) if links else ((), ())
+        return pa.table({"hub": pa.array(hubs, table["doc_id"].type), "doc_id": pa.array(others, table["doc_id"].type)})
+
+    return materialize(rows.groupBy("region", "one", "two").applyInArrow(compare, f"hub {kind}, doc_id {kind}"))
 
 
 def _links(measured: DataFrame) -> DataFrame:
@@ -261,7 +295,7 @@ def metric_join(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
         if depth:  # regions whose split leaves over half of their pairs are compared as they are
             left = rows.select("parent", "region", "size").distinct().groupBy("parent").agg(F.sum(F.col("size") * F.col("size")).alias("left"))
             split = before.select("region", "size").distinct().join(left.withColumnRenamed("parent", "region"), "region").where(2 * F.col("left") <= F.col("size") * F.col("size")).select("region")
-            whole = _sized(before.select("parent", "region", "doc_id", "d", "home").join(split, "region", "left_anti"), found)
+            whole = _sized(before.select("parent", "region", "doc_id").join(split, "region", "left_anti"), found)
             rows = rows.join(split.withColumnRenamed("region", "parent"), "parent", "left_semi")
             pairs = pairs.unionByName(whole)
         last = depth == DEPTH or rows.where(F.col("size") > SMALL).isEmpty()
@@ -270,9 +304,8 @@ def metric_join(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
         if last:
             break
         rows = materialize(rows.where(F.col("size") > SMALL))
-    pairs = materialize(_pairs(pairs, sets, percent))
-    if not pairs.isEmpty():
-        found = materialize(components(links.unionByName(_links(measure(pairs, sets, percent)))))
+    more = _compare(_sized(pairs.select("region", "doc_id"), found), sets, percent)
+    found = materialize(components(links.unionByName(more)))
     labelled = reps.select("doc_id", "rep").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("_component"))
     return signed.select("doc_id", "n_shingles").join(labelled, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
 
