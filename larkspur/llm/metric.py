@@ -35,7 +35,7 @@ from larkspur.llm.text import cuts, mix, pack, release, unpack
 SHARD_BYTES = 16 << 20
 #: Documents of a region that are compared directly; larger ones get PIVOTS pivots.
 SMALL = 128
-PIVOTS = 8
+PIVOTS = 2
 #: Times that regions are split at most. What is still large then, or has few pairs less after a split, is compared directly, in parts of SMALL documents against all.
 DEPTH = 3
 #: Shingles that are counted by one product of matrices.
