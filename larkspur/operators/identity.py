@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions.ids import gtins_in_text
-from larkspur.functions.similarity import sequence_ratio
+from larkspur.functions.similarity import is_similar
 
 # The vocabulary of variants, and how much of a title counts.
 HEAD_CHARS, HEAD_EXTRA = 70, 40
@@ -209,8 +209,12 @@ def classify(pairs: DataFrame, anchor: str | None = None) -> DataFrame:
         "_listed": F.arrays_overlap(i["codes"], o["mpns"]),
         "_mpn": F.exists(i["codes"], lambda c: F.array_contains(o["mpns"], c) | F.contains(o["compact"], F.lower(c))),
         "_specs": F.forall(_texts("specs"), lambda s: F.forall(T.words_of(T.norm_text(s)), lambda w: F.array_contains(o["words"], w) | ((F.length(w) >= 5) & F.contains(o["compact"], w)))),
-        "_ratio": sequence_ratio(i["name"], F.substr(o["head"], F.lit(1), F.length(i["name"]) + 10)),
-        "_mirror": sequence_ratio(F.substr(F.col(anchor), F.lit(1), i["head"]), o["head"]) if anchor else F.lit(0.0),
+    })
+    open_ = F.col("_conflict").isNull() & ~F.coalesce("_gtin", F.lit(False)) & ~F.coalesce("_mpn", F.lit(False))  # neither a conflict nor a code decides
+    strong = F.col("_coverage") >= 0.75
+    p = p.withColumns({
+        "_close": F.coalesce(is_similar(i["name"], F.substr(o["head"], F.lit(1), F.length(i["name"]) + 10), 0.85, open_ & ~strong), F.lit(False)),
+        "_mirror": F.coalesce(is_similar(F.substr(F.col(anchor), F.lit(1), i["head"]), o["head"], 0.8, open_ & strong & F.col("_specs")), F.lit(False)) if anchor else F.lit(False),
     })
     exact = (F.col("_coverage") == 1.0) & _in_order(i["words"], o["head_words"], o["head_compact"])
     swapped = (F.col("_coverage") < 1.0) & (F.size(F.array_except(F.array_intersect(o["head_words"], _lit(HARD_VARIANTS + SOFT_VARIANTS)), i["words"])) > 0)
@@ -223,12 +227,12 @@ def classify(pairs: DataFrame, anchor: str | None = None) -> DataFrame:
         .when(swapped, result("Low", "variant word", "")).when(model_gone & ~F.col("_mpn"), result("Low", "model missing", ""))
         .when(F.col("_mpn") & F.col("_specs"), result("High", "code and specs", by_code)).when(F.col("_mpn"), result("Medium", "code", by_code))
         .when(exact & F.col("_specs"), result("High", "exact name", "title")).when(exact, result("Medium", "exact name", "title"))
-        .when(F.col("_specs") & (F.col("_coverage") >= 0.75) & (F.col("_mirror") >= 0.8), result("High", "mirrors verified", "title"))
-        .when((F.col("_coverage") >= 0.75) | (F.col("_ratio") >= 0.85), result("Medium", "strong name", "title"))
+        .when(F.col("_specs") & strong & F.col("_mirror"), result("High", "mirrors verified", "title"))
+        .when(strong | F.col("_close"), result("Medium", "strong name", "title"))
         .otherwise(result("Low", "weak name", "title"))
     )
     out = p.withColumn("_v", verdict).withColumns({"confidence": F.col("_v.c"), "reason": F.col("_v.r"), "match_evidence": F.col("_v.e")})
-    return out.drop("_v", "_conflict", "_gtin", "_coverage", "_listed", "_mpn", "_specs", "_ratio", "_mirror")
+    return out.drop("_v", "_conflict", "_gtin", "_coverage", "_listed", "_mpn", "_specs", "_close", "_mirror")
 
 
 def validate_page(pairs: DataFrame) -> DataFrame:

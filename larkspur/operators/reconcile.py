@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.ids import fingerprint
+from larkspur.functions.similarity import is_similar
 from larkspur.functions.text import keys_match, norm_code, norm_text, strip_pack_phrases, text_of, vendor_key
 from larkspur.functions.urls import merchant_item_id, normalize_url
 from larkspur.operators.pricing import BIN_RATIO, BIN_REACH, VERIFIED, verified
@@ -89,38 +90,44 @@ def promote(offers: DataFrame, order: list[str]) -> DataFrame:
     "shared code" - it is verified itself and shares a GTIN or code with an independent High offer of its item.
     Independent: another vendor, or other evidence. Columns title, gtins and mpns (arrays) may be missing.
 
-    Prices meet by bins, so an item's prices are not paired with each other: each (item, pack, vendor, evidence, title) keeps distinct values.
+    Distinct (item, pack, vendor, evidence, price, title, codes) are made once, with a mark of what they are, and every way starts from them. Prices
+    meet by bins; titles are normalised only where such prices agree, each pair of titles once, and compared by bounds before Python sees them.
     """
-    from larkspur.functions.similarity import sequence_ratio
-
     kinds = {"title": "string", "gtins": "array<string>", "mpns": "array<string>"}
     full = offers.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in offers.columns})
     codes = F.array_distinct(F.concat(F.coalesce("gtins", F.array().cast("array<string>")), F.transform(F.coalesce("mpns", F.array().cast("array<string>")), norm_code)))
-    full = full.withColumns({"_head": title_head(F.col("title")), "_codes": F.filter(codes, lambda c: c != "")})
-    high = full.where((F.col("confidence") == "High") & (F.col("condition") == "new") & F.col("conditional").isNull())
-    medium = full.where((F.col("confidence") == "Medium") & F.col("conditional").isNull())
+    full = full.withColumn("_codes", F.filter(codes, lambda c: c != ""))
+    ordinary = F.col("conditional").isNull()
+    able = (F.col("confidence") == "Medium") & ordinary
+    mark = F.when((F.col("confidence") == "High") & (F.col("condition") == "new") & ordinary, 1).when(able, 2).otherwise(0)
+    own = ["wid", "pack_qty", "vkey", "evidence", "unit_price", "match_evidence"]
+    seen = full.withColumn("_mark", mark).where("_mark > 0").groupBy(*own, "title", "_codes").agg(F.bit_or("_mark").alias("_mark"))
+    high, medium = (seen.where(F.col("_mark").bitwiseAND(bit) > 0) for bit in (1, 2))
     independent = ~keys_match(F.col("vkey"), F.col("h_vkey")) | (F.col("evidence") != F.col("h_evidence"))
-    own = ["wid", "pack_qty", "vkey", "evidence", "unit_price", "match_evidence", "_head"]
-    priced = high.where("unit_price > 0").select("wid", "pack_qty", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.col("unit_price").alias("h_price"), F.col("_head").alias("h_head")).distinct()
     reach = F.array(*[price_bin(F.col("h_price")) + i for i in range(-BIN_REACH, BIN_REACH + 1)])
-    wanted = medium.where("unit_price > 0").select(*own).distinct().withColumn("_bin", price_bin(F.col("unit_price")))
     agree = F.abs(F.col("unit_price") - F.col("h_price")) / F.col("h_price") <= PRICE_AGREE
-    pairs = wanted.join(priced.withColumn("_bin", F.explode(reach)), ["wid", "pack_qty", "_bin"]).where(independent & agree)
-    coded = F.col("match_evidence").isin("gtin", "mpn", "page_metadata")
-    by_code = pairs.where(coded).select(*own).distinct().withColumn("_why", F.lit("identifier"))
-    titles = pairs.where(~F.coalesce(coded, F.lit(False)) & F.col("h_evidence").isin(VERIFIED) & (F.col("_head") != "") & (F.col("h_head") != "")).select(*own, "h_head").distinct()
-    by_title = titles.where((F.col("_head") == F.col("h_head")) | (sequence_ratio(F.col("h_head"), F.col("_head")) >= TITLE_RATIO)).select(*own).distinct().withColumn("_why", F.lit("title"))
+
+    def agreeing(mine: DataFrame, theirs: DataFrame, *titles: str) -> DataFrame:
+        """Medium rows with the independent High ones whose prices agree, and the titles asked for."""
+        wanted = mine.where("unit_price > 0").select(*own, *titles).distinct().withColumn("_bin", price_bin(F.col("unit_price")))
+        priced = theirs.where("unit_price > 0").select("wid", "pack_qty", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.col("unit_price").alias("h_price"), *(F.col(t).alias(f"h_{t}") for t in titles)).distinct()
+        return wanted.join(priced.withColumn("_bin", F.explode(reach)), ["wid", "pack_qty", "_bin"]).where(independent & agree)
+
+    coded = F.coalesce(F.col("match_evidence").isin("gtin", "mpn", "page_metadata"), F.lit(False))
+    by_code = agreeing(medium.where(coded), high).select(*own).distinct().withColumn("_code_ok", F.lit(True))
+    titles = agreeing(medium.where(~coded & (F.col("title") != "")), high.where(F.col("evidence").isin(VERIFIED) & (F.col("title") != "")), "title").select(*own, "title", "h_title").distinct()
+    once = titles.groupBy("title", "h_title").agg(F.max("h_title").alias("_a"), F.max("title").alias("_b"))  # a filter on what is aggregated stays above, so each pair is normalised once
+    mirrored = once.withColumns({"_a": title_head(F.col("_a")), "_b": title_head(F.col("_b"))})
+    mirrored = mirrored.where((F.col("_a") != "") & (F.col("_b") != "") & is_similar(F.col("_a"), F.col("_b"), TITLE_RATIO)).select("title", "h_title")
+    by_title = titles.join(mirrored, ["title", "h_title"], "left_semi").select(*own, "title").distinct().withColumn("_title_ok", F.lit(True))
     h = high.select("wid", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.explode("_codes").alias("_code")).distinct()
     m = medium.where(verified()).select("wid", "vkey", "evidence", "_codes", F.explode("_codes").alias("_code")).distinct()
     by_shared = m.join(h, ["wid", "_code"]).where(independent).select("wid", "vkey", "evidence", "_codes").distinct().withColumn("_shared", F.lit(True))
-    able = (F.col("confidence") == "Medium") & F.col("conditional").isNull()
-    marked = full.withColumn("_able", able)
-    found = by_code.unionByName(by_title)
-    on = [marked[c].eqNullSafe(found[c]) for c in own]
-    out = marked.join(found, on, "left").select(marked["*"], "_why")
-    on = [out[c].eqNullSafe(by_shared[c]) for c in ("wid", "vkey", "evidence", "_codes")]
-    out = out.join(by_shared, on, "left").select(out["*"], "_shared")
-    why = F.when(F.col("_able"), F.coalesce("_why", F.when(F.col("_shared"), F.lit("shared code"))))
+    out = full.withColumn("_able", able)
+    for found in (by_code, by_title, by_shared):
+        on = [out[c].eqNullSafe(found[c]) for c in found.columns[:-1]]
+        out = out.join(found, on, "left").select(out["*"], found.columns[-1])
+    why = F.when(F.col("_able"), F.when(F.col("_code_ok"), "identifier").when(F.col("_title_ok"), "title").when(F.col("_shared"), "shared code"))
     return out.select(*offers.columns, why.alias("promoted"))
 
 

@@ -86,7 +86,7 @@ def unworking(spark, sf):
 
 
 def verification(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey <= 40")
+    s = table(spark, sf, "supplier")
     color = F.element_at(F.array(*map(F.lit, ["red", "blue", "green"])), (F.col("s_suppkey") % 3 + 1).cast("int"))
     primary = s.select(F.concat(color, F.lit(" Store Inc "), "s_suppkey").alias("name"), F.when(F.col("s_suppkey") % 6 > 0, F.concat(F.lit("www.v"), "s_suppkey", F.lit(".com"))).otherwise("").alias("domain"), (F.col("s_suppkey") % 2 == 0).alias("is_direct"))
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("wid"), F.col("p_name").alias("product_text"))
@@ -190,7 +190,7 @@ QUERIES: dict[str, tuple] = {
       SELECT wid, verified, CAST(floor(age * 1000) AS BIGINT) AS age, NOT (verified >= 2 AND NOT failed AND coalesce(age < 6, false)) AS needed FROM a"""),
     "unworking_snapshots": (unworking, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL} SELECT wid, count(*) AS n, min(unit_price) AS cheapest FROM snaps s
       WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = s.wid AND NOT failed AND {MATCH.format(a="l.vendor_key", b="s.vkey")}) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = s.wid AND failed AND l.vendor_key = s.vkey) GROUP BY wid"""),
-    "verification_targets": (verification, f"""WITH {LINKS_SQL}, s AS (SELECT *, ['red', 'blue', 'green'][1 + s_suppkey % 3] AS color, 'v' || s_suppkey || '.com' AS host FROM supplier WHERE s_suppkey <= 40 AND s_suppkey % 6 > 0)
+    "verification_targets": (verification, f"""WITH {LINKS_SQL}, s AS (SELECT *, ['red', 'blue', 'green'][1 + s_suppkey % 3] AS color, 'v' || s_suppkey || '.com' AS host FROM supplier WHERE s_suppkey % 6 > 0)
       SELECT p_partkey AS wid, color || ' Store Inc ' || s_suppkey AS vendor, host, CASE WHEN s_suppkey % 2 = 0 THEN 'direct' ELSE 'retailer' END AS kind FROM part, s
       WHERE (s_suppkey % 2 = 1 OR list_contains(string_split(p_name, ' '), color)) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = p_partkey AND l.host = s.host AND NOT failed) AND s_suppkey % 10 <> 3 AND (s_suppkey % 2 = 0 OR s_suppkey % 10 NOT IN (4, 5))"""),
     "snapshot_targets": (targets, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL}, o AS (SELECT * FROM snaps s WHERE direct AND confidence <> 'Low' AND suppkey % 9 <> 1 AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = s.wid AND l.host = s.host AND NOT failed)
