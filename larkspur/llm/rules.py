@@ -203,10 +203,8 @@ _FIRST_SQL = "1 + least(" + ", ".join(f"CASE WHEN fits_{r} THEN len(list_filter(
 
 ORACLE_SQL = rf"""WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '(null)') AS stratum, coalesce(text, '') AS t,
-    coalesce(regexp_extract_all(text, '[^ 	-
-]+'), []) AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-
-]')) AS lines FROM documents
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents
 ), windows AS (
   SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n
   FROM (SELECT rid, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS win FROM d, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i))
