@@ -186,7 +186,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN
     on either side give no hits; hits of a null item_id are marked but not
     listed; columns of docs named n_words, hits or items are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
+    names = [c for c in docs.columns if c.lower() not in ("n_words", "hits", "items")]
     key = unused("_key", *names)
     found = occurrences(docs, items, text, span, k).withColumnRenamed("key", key)
     out = with_counts(docs.select(*names), text, "n_words").withColumn(key, key_of(text)).join(found.hint("merge"), key, "left")

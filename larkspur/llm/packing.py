@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
     """
     path = path or tokenizer_path()
     new = ["piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
-    keep = [c for c in docs.columns if c != text and c not in new]
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), *new)]
     own = unused("_text", *keep)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -318,7 +318,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     pieces; lengths must be 1 to size.
     """
     spark = cut.sparkSession
-    names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    names = [c for c in cut.columns if c.lower() not in ("sequence_id", "offset")]
     full = cut.where(F.col("length") == size).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     cut = cut.where(F.col("length") < size).select(*names)
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # below `size` rows
