@@ -8,7 +8,8 @@ from larkspur.functions import similarity, text
 from larkspur.operators import identity, learning, links, reconcile
 from larkspur.plans.offers import LISTINGS_SQL, candidates, listings, table
 from larkspur.plans.offers import QUERIES as OFFERS
-from larkspur.sources import feeds, pages
+from larkspur.sources import feeds, pages, sitemaps
+from larkspur.sources.structured import STATE_PRICES
 
 
 def shopping(spark, sf):
@@ -110,6 +111,43 @@ def product_pages(spark, sf):
     return pages.page_listings(found).select("url", "position", "title", "price", "condition", "in_stock", "merchant_item_id", F.array_join("gtins", ",").alias("gtins"), "brand", "method")
 
 
+def structured(spark, sf):
+    """The first offer of pages in six shapes: one offer, variants with packs, nested aggregates, list and member prices, a page state under each of its price keys, and JSON that can't be read."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("price"), F.col("p_size").cast("string").alias("n"))
+    keys = F.array(*map(F.lit, STATE_PRICES))
+    key = F.element_at(keys, (F.col("p_partkey") % len(STATE_PRICES)).cast("int") + 1)
+    text = lambda template, *cs: F.format_string(template, *cs)
+    shapes = [
+        text('{"@context": "x", "@graph": [{"@type": "WebSite"}, {"@type": ["Product", "Thing"], "name": "%s", "brand": {"name": "%s"}, "offers": {"price": "%s", "priceCurrency": "USD", "sku": "S%s"},}]}', "p_name", "p_brand", "price", "n"),
+        text('{"@type": "ProductGroup", "name": "%s", "brand": "%s", "offers": {"price": 1}, "hasVariant": [{"@type": "Product", "sku": "V%s", "color": "red", "additionalProperty": [{"name": "Pack quantity", "value": "%s"}], "offers": [{"price": %s}]}]}', "p_name", "p_brand", "n", "n", "price"),
+        text('{"mainEntity": {"@type": "Product", "name": "%s", "manufacturer": "%s", "offers": {"@type": "AggregateOffer", "lowPrice": 1, "offers": [{"@type": "AggregateOffer", "offers": [{"price": "$%s", "priceCurrency": "USD", "sku": "A%s"}]}, {"price": 2, "priceCurrency": "EUR"}]}}}', "p_name", "p_brand", "price", "n"),
+        text('[{"@type": "Product", "name": "%s", "brand": [{"name": "%s"}], "sku": "no", "offers": {"sku": "P%s", "priceSpecification": [{"price": "99,999.00", "priceType": "https://schema.org/ListPrice"}, {"price": 0.5, "validForMemberTier": {"name": "gold"}}, {"price": %s, "priceCurrency": "USD"}]}}]', "p_name", "p_brand", "n", "price"),
+    ]
+    state = text('{"props": {"items": [{"price": 3}, {"productName": "%s", "skuId": "J%s", "%s": {"value": {"amount": "%s"}}, "msrp": "1,000,000", "clubPrice": 0.5}]}}', "p_name", "n", key, "price")
+    shape = F.col("p_partkey") % 6
+    ld = F.when(shape == 0, shapes[0]).when(shape == 1, shapes[1]).when(shape == 2, shapes[2]).when(shape == 3, shapes[3]).otherwise("{broken")
+    html = F.when(shape == 4, F.concat(F.lit("<script>window.__STATE__ = "), state, F.lit(";</script>"))).otherwise(F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>")))
+    found = pages.extract_products(p.withColumn("html", html))
+    o = F.get("offers", F.lit(0))
+    return found.select("p_partkey", "method", F.size("offers").alias("n_offers"), "name", "brand", o["price"].alias("price"), o["regular"].alias("regular"), o["sku"].alias("sku"), o["pack_qty"].alias("pack"), o["member"].alias("member"), "unread")
+
+
+def site_maps(spark, sf):
+    """Pages of a site for each region, found through its index of maps of nations, which names itself too; every second site has a robots file."""
+    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    domain = F.concat(F.lit("r"), "n_regionkey", F.lit(".com"))
+    start = F.concat(F.lit("https://"), domain, F.when(F.col("n_regionkey") % 2 == 0, "/index.xml").otherwise("/sitemap.xml"))
+    own = F.concat(F.lit("https://"), domain, F.when(F.col("n_nationkey") % 2 == 0, "/product-").otherwise("/n"), "n_nationkey", F.lit(".xml"))
+    n = n.select("n_nationkey", "n_regionkey", domain.alias("domain"), start.alias("start"), own.alias("map"))
+    loc = lambda c: F.concat(F.lit("<x><loc> "), c, F.lit("</loc></x>"))
+    joined = lambda key, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), c.alias("c")))), lambda x: x["c"]), "")
+    robots = n.where("n_regionkey % 2 = 0").select(F.concat(F.lit("https://"), "domain", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSitemap: "), "start", F.lit("\n")).alias("body")).distinct()
+    index = n.groupBy(F.col("start").alias("url")).agg(F.concat(F.lit("<sitemapindex>"), loc(F.first("start")), joined("n_nationkey", loc(F.col("map"))), F.lit("</sitemapindex>")).alias("body"))
+    maps = n.join(s, F.col("n_nationkey") == F.col("s_nationkey")).withColumn("page", F.concat(F.lit("https://"), "domain", F.lit("/p?a=1&amp;s="), "s_suppkey")).groupBy(F.col("map").alias("url")).agg(F.concat(F.lit("<urlset>"), joined("s_suppkey", loc(F.col("page"))), F.lit("</urlset>")).alias("body"))
+    fetched = robots.unionByName(index).unionByName(maps).withColumn("body", F.col("body").cast("binary"))
+    return sitemaps.sitemap_pages(n.select("domain"), fetched)[0]
+
+
 #: Queries and their SQL; None where SQL can't express them, which tests then cover.
 QUERIES: dict[str, tuple] = {
     "shopping_feed": (shopping, """SELECT CAST(p_partkey AS VARCHAR) AS query, p_name AS title, p_brand AS vendor, CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS DOUBLE) AS price, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE 4.5 END::DOUBLE AS shipping,
@@ -128,6 +166,13 @@ QUERIES: dict[str, tuple] = {
       regexp_extract(coalesce(html, ''), '(?i)<link[^>]+rel=["'']canonical["''][^>]+href=["'']([^"'']+)', 1) AS canonical, CAST(NULL AS VARCHAR) AS method, 0 AS n_offers FROM pages"""),
     "page_listings": (product_pages, """SELECT 'https://x.com/p/' || p_partkey AS url, i AS position, p_name AS title, p_retailprice + i // 2 AS price, CASE i WHEN 0 THEN 'new' ELSE 'used' END AS condition, true AS in_stock,
       CASE i WHEN 0 THEN 'A' ELSE 'B' END AS merchant_item_id, '00036000291452' AS gtins, p_brand AS brand, 'JSON-LD' AS method FROM part, (VALUES (0), (2)) AS t(i)"""),
+    "structured_offers": (structured, """SELECT p_partkey, CASE WHEN p_partkey % 6 < 4 THEN 'JSON-LD' WHEN p_partkey % 6 = 4 THEN 'embedded JSON' END AS method, CAST(p_partkey % 6 < 5 AS INTEGER) AS n_offers, CASE WHEN p_partkey % 6 < 5 THEN p_name ELSE '' END AS name,
+      CASE WHEN p_partkey % 6 < 4 THEN p_brand ELSE '' END AS brand, CASE WHEN p_partkey % 6 < 5 THEN CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS DOUBLE) END AS price, CASE p_partkey % 6 WHEN 3 THEN 99999.0 WHEN 4 THEN 1000000.0 END AS regular,
+      ['S', 'V', 'A', 'P', 'J', NULL][p_partkey % 6 + 1] || p_size AS sku, CASE WHEN p_partkey % 6 = 1 AND p_size > 1 THEN p_size END AS pack, CASE p_partkey % 6 WHEN 3 THEN 'member price $0.50' WHEN 4 THEN 'membership price $0.50' END AS member,
+      CAST(p_partkey % 6 = 5 AS INTEGER) AS unread FROM part"""),
+    "sitemap_pages": (site_maps, """WITH m AS (SELECT n_nationkey, 'r' || n_regionkey || '.com' AS domain, CASE WHEN n_nationkey % 2 = 0 THEN '/product-' ELSE '/n' END AS kind, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 2, n_nationkey) AS visit FROM nation)
+      SELECT domain, 'https://' || domain || kind || n_nationkey || '.xml' AS map, 'https://' || domain || '/p?a=1&s=' || s_suppkey AS link, CAST(visit AS INTEGER) AS visit, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS position
+      FROM m JOIN supplier ON s_nationkey = n_nationkey"""),
     "sequence_ratio": (ratio, None),
     "rank_links": (ranked_links, None),
     "search_query": (searches, "SELECT p_partkey, p_name || CASE WHEN list_contains(string_split(p_name, ' '), lower(p_type)) THEN '' ELSE ' ' || p_type END || ' ' || replace(p_brand, '#', '') AS query FROM part"),

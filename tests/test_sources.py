@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from larkspur.sources import feeds, pages, tables
+from larkspur.sources import feeds, pages, sitemaps, tables
 from larkspur.streaming import offers
 
 LD = {"@type": "Product", "name": "Bulb", "sku": "B1", "offers": [{"price": "9.99", "priceCurrency": "USD", "availability": "InStock"}, {"price": 5, "priceCurrency": "EUR"}]}
@@ -29,6 +29,72 @@ def test_extract(spark):
     assert (r["ld"]["title"], r["ld"]["canonical"]) == ("A & B", "https://x.com/b")
 
 
+def test_nested_json(spark):
+    script = lambda *docs: "".join(f'<script type="application/ld+json">{d if isinstance(d, str) else json.dumps(d)}</script>' for d in docs)
+    deep = {"@type": "Product", "name": "deep", "offers": {"price": 4}}
+    for _ in range(7):
+        deep = {"a": deep}
+    variants = [{"@type": "Product", "sku": f"v{i}", "gtin13": "0036000291452", "size": "L", "offers": {"price": f"{i}.50", "shippingDetails": {"shippingRate": {"value": 3}}}} for i in (1, 2)]
+    state = {"list": [{"name": "far", "price": 900}, {"title": "near", "currentPrice": "$30.00 /mo", "salePrice": 31, "wasPrice": {"raw": 40}, "stockStatus": "In stock"}, {"name": "coded", "price": 32, "upc": "036000291452"}]}
+    html = {
+        "deep": script(deep), "too deep": script({"a": {"a": deep}}), "variants": script({"@type": "ProductGroup", "name": "G", "hasVariant": variants, "offers": {"price": 9}}),
+        "foreign variants": script({"@type": "Product", "name": "F", "hasVariant": [{"name": "x", "offers": {"price": 1, "priceCurrency": "EUR"}}], "offers": {"price": 9}}), "lowest": script({"@type": "Product", "offers": {"@type": "AggregateOffer", "lowPrice": "5", "offers": []}}),
+        "both": script({"@type": "Product", "offers": [{"@type": "AggregateOffer", "lowPrice": "5"}, {"price": 6}]}), "texts": script("{oops", '{"@type": "Product",\n "name": "a\nb", "offers": [{"price": 7},],}', ""), "scalars": script(5, None, [], "[1, [2, {}]]"),
+        "state": f'<script id="__NEXT_DATA__" x="y">{json.dumps(state)}</script>', "sold": '<i class="price">$ 19.25</i><p> Sold Out </p>',
+    }
+    df = pages.extract_products(spark.createDataFrame([*html.items()], "k string, html string"), F.lit(30.0))
+    r = {x["k"]: x for x in df.collect()}
+    got = {k: ([(o["price"], o["regular"], o["sku"], o["gtin"], o["variant"], o["shipping"], o["availability"], o["lowest"]) for o in x["offers"]], x["name"], x["unread"]) for k, x in r.items()}
+    none = lambda p, **k: (p, k.get("regular"), k.get("sku", ""), k.get("gtin"), k.get("variant", ""), k.get("shipping"), k.get("stock", ""), k.get("lowest", False))
+    gtin = "00036000291452"
+    assert got == {
+        "deep": ([none(4.0)], "deep", 0), "too deep": ([], "", 0), "variants": ([none(i + 0.5, sku=f"v{i}", gtin=gtin, variant="L", shipping=3.0) for i in (1, 2)], "G", 0), "foreign variants": ([none(9.0)], "F", 0),
+        "lowest": ([none(5.0, lowest=True)], "", 0), "both": ([none(6.0)], "", 0), "texts": ([none(7.0)], "a b", 2), "scalars": ([], "", 0),
+        "state": ([none(32.0, gtin=gtin, variant=None)], "coded", 0), "sold": ([none(19.25, sku=None, variant=None, stock="out_of_stock")], "", 0),
+    }
+    assert r["variants"]["gtins"] == [] and r["state"]["gtins"] == [gtin]
+    assert not any(w in df._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_sitemap_frontier(spark):
+    import collections
+    import gzip
+    import re
+
+    urlset = lambda *links: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in links) + "</urlset>"
+    index = lambda *links: "<sitemapindex>" + "".join(f"<sitemap><loc><![CDATA[{x}]]></loc></sitemap>" for x in links) + "</sitemapindex>"
+    files = {
+        "https://a.com/robots.txt": "Sitemap: https://a.com/one.xml\nsitemap:https://a.com/two.xml.gz", "https://a.com/one.xml": index("https://a.com/x.xml", "https://a.com/product.xml", "https://a.com/one.xml", "https://a.com/en-us/y.xml", "https://a.com/gone.xml"),
+        "https://a.com/two.xml.gz": gzip.compress(urlset("https://a.com/2").encode()), "https://a.com/x.xml": urlset("https://a.com/x1", "https://a.com/x2?a=1&amp;b=2"), "https://a.com/product.xml": index("https://a.com/deep.xml", "https://a.com/one.xml"),
+        "https://a.com/deep.xml": gzip.compress(urlset("https://a.com/deep").encode()), "https://a.com/en-us/y.xml": urlset(), "https://b.com/sitemap.xml": index("https://b.com/bad.gz", "https://b.com/plain.gz", "https://b.com/c.xml"), "https://b.com/bad.gz": b"\x1f\x8bnot",
+        "https://b.com/plain.gz": urlset("https://b.com/no"), "https://b.com/c.xml": urlset("https://b.com/c"), "https://c.com/sitemap.xml": index(*(f"https://c.com/{i}.xml" for i in range(9))), **{f"https://c.com/{i}.xml": urlset(f"https://c.com/p{i}") for i in range(9)},
+    }
+
+    def brute(domain, limit=6):
+        text = lambda u: None if u not in files else files[u] if isinstance(files[u], str) and not u.endswith(".gz") else gzip.decompress(files[u]).decode() if isinstance(files[u], bytes) and files[u][2:] != b"not" else None
+        queue = collections.deque(re.findall(r"(?im)^\s*sitemap:\s*(\S+)", text(f"https://{domain}/robots.txt") or "") or [f"https://{domain}/sitemap.xml"])
+        seen, visits, links = set(), [], []
+        while queue and len(visits) < limit:
+            u = queue.popleft()
+            if u in seen:
+                continue
+            seen.add(u)
+            visits.append((u, text(u) is not None))
+            found = [x.replace("&amp;", "&") for x in re.findall(r"<loc>\s*(?:<!\[CDATA\[)?\s*([^<\]\s]+)", text(u) or "")]
+            if "<sitemapindex" in (text(u) or ""):
+                queue.extendleft(reversed(sorted(found, key=lambda k: ("product" not in k, not re.search("en[-_]?us|/us/", k)))))
+            else:
+                links += [(u, x, len(visits), i) for i, x in enumerate(found)]
+        return visits, links
+
+    fetched = spark.createDataFrame([(u, b if isinstance(b, bytes) else b.encode()) for u, b in files.items()] + [(None, b"x"), ("https://d.com/sitemap.xml", None)], "url string, body binary")
+    sites = ["a.com", "b.com", "c.com", "d.com"]
+    found, visits = sitemaps.sitemap_pages(spark.createDataFrame([(d,) for d in [*sites, "a.com", None, ""]], "domain string"), fetched)
+    got = sorted((r["domain"], r["visit"], r["map"], r["found"]) for r in visits.collect())
+    assert got == sorted((d, i + 1, u, ok) for d in sites for i, (u, ok) in enumerate(brute(d)[0]))
+    assert sorted((r["domain"], r["map"], r["link"], r["visit"], r["position"]) for r in found.collect()) == sorted((d, *x) for d in sites for x in brute(d)[1])
+
+
 def test_page_kinds(spark):
     df = spark.createDataFrame([(200, "Access Denied"), (404, "x"), (None, None), (500, "x"), (200, "fine")], "s int, h string")
     assert [r[0] for r in df.select(pages.outcome(F.col("s"), F.col("h"))).collect()] == ["blocked", "unavailable", "timeout_network", "timeout_network", "success"]
