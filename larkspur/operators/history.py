@@ -43,6 +43,34 @@ def history_stats(series: DataFrame, now: Column) -> DataFrame:
     return out.select("wid", "prior", F.when(F.col("median_n") >= MIN_POINTS, money(F.col("median"))).alias("median"), "median_n", money(ewma(F.transform("s", lambda x: x["v"]))).alias("ewma"), money(F.col("low")).alias("low"))
 
 
+def moving_average(series: DataFrame, order: list[str], alpha: float = EWMA_ALPHA, block: int = 512) -> DataFrame:
+    """series with ewma at each row: the exponentially weighted mean of its item's values so far, the first value as the start.
+
+    A run of values maps the mean before it to the mean after it, by a factor and
+    a summand, and such maps compose. So an item's rows are cut into blocks; sums
+    within blocks are window sums, each block's map is a row, and only these are
+    gathered by item. Null values have no part and no mean of their own; equal
+    rows count one by one; an item of nulls has none. order must be total.
+    """
+    keep = 1.0 - alpha
+    if not 0 < keep < 1 or keep**block < 1e-150:
+        raise ValueError("alpha must be between 0 and 1, and its powers over a block must not vanish")
+    own = [c for c in series.columns if c != "ewma"]
+    rows = series.where("v IS NOT NULL").select(*own, (F.row_number().over(by_run(order)) - 1).alias("_i"))
+    place = F.col("_i") % block + 1
+    start = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))  # an item's first value counts whole
+    rows = rows.withColumns({"_block": F.floor(F.col("_i") / block), "_place": place, "_term": F.col("v") * start / F.pow(F.lit(keep), place)})
+    within = Window.partitionBy("wid", "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_sum", F.sum("_term").over(within) * F.pow(F.lit(keep), F.col("_place")))
+    maps = rows.groupBy("wid", "_block").agg(F.max("_place").alias("n"), F.max_by("_sum", "_place").alias("c"))
+    maps = maps.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("_block", "n", "c"))).alias("s"))
+    step = lambda a, b: F.concat(a, F.array(F.element_at(a, -1) * F.pow(F.lit(keep), b["n"]) + b["c"]))
+    before = F.aggregate(F.col("s"), F.array(F.lit(0.0)), step)
+    before = maps.select("wid", F.posexplode(F.slice(before, F.lit(1), F.size("s"))).alias("_block", "_before")).withColumn("_block", F.col("_block").cast("bigint"))
+    out = rows.join(before, ["wid", "_block"]).select(*own, (F.col("_sum") + F.col("_before") * F.pow(F.lit(keep), F.col("_place"))).alias("ewma"))
+    return out.unionByName(series.where("v IS NULL").select(*own, F.lit(None).cast("double").alias("ewma")))
+
+
 def by_run(order: list[str]) -> Window:
     return Window.partitionBy("wid").orderBy(*order)
 

@@ -202,6 +202,11 @@ def trailing(spark, sf):
     return history.trailing_median(series(spark, sf), 7).select("wid", "dt", "median", "n")
 
 
+def averages(spark, sf):
+    s = history.moving_average(series(spark, sf), ["dt", "v"])
+    return s.select("wid", "dt", "v", text.money(F.col("ewma")).alias("ewma"))
+
+
 def stats(spark, sf):
     return history.history_stats(series(spark, sf), now())
 
@@ -423,6 +428,9 @@ QUERIES: dict[str, tuple] = {
     "trailing_median": (trailing, f"""WITH {SERIES_SQL} SELECT wid, dt, floor(median(v) OVER w * 100 + 0.5000001) / 100 AS median, count(v) OVER w AS n FROM series WINDOW w AS (PARTITION BY wid ORDER BY dt RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)"""),
     "history_stats": (stats, f"""WITH {SERIES_SQL}, g AS (SELECT wid, arg_max(v, row(dt, v)) AS prior, median(v) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS m, count(*) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS median_n, list(v ORDER BY dt, v) AS s, min(v) AS low FROM series GROUP BY wid)
       SELECT wid, prior, CASE WHEN median_n >= 3 THEN floor(m * 100 + 0.5000001) / 100 END AS median, median_n, floor(list_reduce(s, lambda a, v: 0.3::DOUBLE * v + (1::DOUBLE - 0.3::DOUBLE) * a) * 100 + 0.5000001) / 100 AS ewma, floor(low * 100 + 0.5000001) / 100 AS low FROM g"""),
+    "moving_average": (averages, f"""WITH RECURSIVE {SERIES_SQL}, r AS (SELECT wid, dt, v, row_number() OVER (PARTITION BY wid ORDER BY dt, v) AS i FROM series),
+      e AS (SELECT wid, dt, v, i, v AS e FROM r WHERE i = 1 UNION ALL SELECT r.wid, r.dt, r.v, r.i, 0.3::DOUBLE * r.v + (1::DOUBLE - 0.3::DOUBLE) * e.e FROM e JOIN r ON r.wid = e.wid AND r.i = e.i + 1)
+      SELECT wid, dt, v, floor(e * 100 + 0.5000001) / 100 AS ewma FROM e"""),
     "price_events": (events, f"""WITH {SERIES_SQL}, l AS (SELECT *, v - lag(v) OVER o AS d, NOT lag(in_stock) OVER o AND coalesce(in_stock, true) AS back FROM series WINDOW o AS (PARTITION BY wid ORDER BY dt, v)),
       k AS (SELECT *, CASE WHEN d IS NULL THEN 'new offer' WHEN abs(d) < 0.01 THEN 'unchanged' WHEN d < 0 THEN 'price drop' ELSE 'price increase' END AS kind FROM l)
       SELECT wid, dt, v, kind || CASE WHEN back THEN '; back in stock' ELSE '' END AS event, max(CASE WHEN kind <> 'unchanged' THEN dt END) OVER (PARTITION BY wid ORDER BY dt, v ROWS UNBOUNDED PRECEDING) AS since FROM k"""),

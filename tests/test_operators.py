@@ -141,3 +141,20 @@ def test_suggestions_and_circuits(spark):
     rows = [("d", i, i, o) for i, o in enumerate(["blocked", "no_match", "timeout_network", "blocked", "success", "blocked"])]
     df = spark.createDataFrame(rows, "domain string, ts int, ord int, outcome string")
     assert [(r["streak"], r["open"]) for r in learning.circuit_states(df).orderBy("ord").collect()] == [(1, False), (1, False), (2, False), (3, True), (0, False), (1, False)]
+
+
+def test_moving_average_over_blocks(spark):
+    import random
+
+    from larkspur.operators import history
+
+    rng = random.Random(3)
+    rows = [(w, i, None if rng.random() < 0.05 else rng.uniform(-5, 100)) for w, n in (("hot", 3000), ("few", 7), ("one", 1), ("none", 0)) for i in range(n)] + [("null", 0, None), ("few", 99, 3.0)]
+    for alpha, block in ((0.3, 512), (0.01, 64), (0.9, 5)):
+        want, means = {}, {}
+        for w, i, v in rows:
+            if v is not None:
+                means[w] = v if w not in means else alpha * v + (1 - alpha) * means[w]
+            want[w, i] = means[w] if v is not None else None
+        got = {(r["wid"], r["i"]): r["ewma"] for r in history.moving_average(spark.createDataFrame(rows, "wid string, i int, v double").repartition(5), ["i"], alpha, block).collect()}
+        assert got.keys() == want.keys() and all((g is None) == (want[k] is None) and (g is None or abs(g - want[k]) < 1e-9 * max(1, abs(want[k]))) for k, g in got.items())
