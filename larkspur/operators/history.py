@@ -30,6 +30,13 @@ def ewma(values: Column, alpha: float = EWMA_ALPHA) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(alpha * v + (1 - alpha) * a))
 
 
+def with_trusted_low(stats: DataFrame, trusted: DataFrame) -> DataFrame:
+    """history_stats with the trusted units (wid, unit) of searches in the low; an item that has only these has a low alone, and median_n 0."""
+    least = trusted.where("wid IS NOT NULL AND unit > 0").groupBy("wid").agg(money(F.min("unit")).alias("_low"))
+    out = stats.join(least, "wid", "full").withColumns({"low": F.least("low", "_low"), "median_n": F.coalesce("median_n", F.lit(0).cast("bigint"))})
+    return out.select(*stats.columns)
+
+
 def history_stats(series: DataFrame, now: Column) -> DataFrame:
     """(wid, prior, median, median_n, ewma, low): last value, median of the last WINDOW_DAYS if of MIN_POINTS at least, moving average, lowest."""
     recent = F.col("dt") >= now - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")

@@ -207,6 +207,12 @@ def averages(spark, sf):
     return s.select("wid", "dt", "v", text.money(F.col("ewma")).alias("ewma"))
 
 
+def trusted_low(spark, sf):
+    """Lows of users' values with those of errors, which are no series, as trusted units of the next user."""
+    unit = table(spark, sf, "events").where("event_type = 'error'").select((F.col("user_id") + 1).alias("wid"), F.col("value").alias("unit"))
+    return history.with_trusted_low(history.history_stats(series(spark, sf), now()), unit).select("wid", "prior", "median_n", "low")
+
+
 def stats(spark, sf):
     return history.history_stats(series(spark, sf), now())
 
@@ -428,6 +434,9 @@ QUERIES: dict[str, tuple] = {
     "trailing_median": (trailing, f"""WITH {SERIES_SQL} SELECT wid, dt, floor(median(v) OVER w * 100 + 0.5000001) / 100 AS median, count(v) OVER w AS n FROM series WINDOW w AS (PARTITION BY wid ORDER BY dt RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)"""),
     "history_stats": (stats, f"""WITH {SERIES_SQL}, g AS (SELECT wid, arg_max(v, row(dt, v)) AS prior, median(v) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS m, count(*) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS median_n, list(v ORDER BY dt, v) AS s, min(v) AS low FROM series GROUP BY wid)
       SELECT wid, prior, CASE WHEN median_n >= 3 THEN floor(m * 100 + 0.5000001) / 100 END AS median, median_n, floor(list_reduce(s, lambda a, v: 0.3::DOUBLE * v + (1::DOUBLE - 0.3::DOUBLE) * a) * 100 + 0.5000001) / 100 AS ewma, floor(low * 100 + 0.5000001) / 100 AS low FROM g"""),
+    "trusted_low": (trusted_low, f"""WITH {SERIES_SQL}, a AS (SELECT wid, arg_max(v, row(dt, v)) AS prior, count(*) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS median_n, min(v) AS low FROM series GROUP BY wid),
+      b AS (SELECT user_id + 1 AS wid, min(value) AS low FROM events WHERE event_type = 'error' AND value > 0 GROUP BY 1)
+      SELECT wid, prior, coalesce(median_n, 0) AS median_n, floor(least(a.low, b.low) * 100 + 0.5000001) / 100 AS low FROM a FULL JOIN b USING (wid)"""),
     "moving_average": (averages, f"""WITH RECURSIVE {SERIES_SQL}, r AS (SELECT wid, dt, v, row_number() OVER (PARTITION BY wid ORDER BY dt, v) AS i FROM series),
       e AS (SELECT wid, dt, v, i, v AS e FROM r WHERE i = 1 UNION ALL SELECT r.wid, r.dt, r.v, r.i, 0.3::DOUBLE * r.v + (1::DOUBLE - 0.3::DOUBLE) * e.e FROM e JOIN r ON r.wid = e.wid AND r.i = e.i + 1)
       SELECT wid, dt, v, floor(e * 100 + 0.5000001) / 100 AS ewma FROM e"""),

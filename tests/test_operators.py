@@ -158,3 +158,11 @@ def test_moving_average_over_blocks(spark):
             want[w, i] = means[w] if v is not None else None
         got = {(r["wid"], r["i"]): r["ewma"] for r in history.moving_average(spark.createDataFrame(rows, "wid string, i int, v double").repartition(5), ["i"], alpha, block).collect()}
         assert got.keys() == want.keys() and all((g is None) == (want[k] is None) and (g is None or abs(g - want[k]) < 1e-9 * max(1, abs(want[k]))) for k, g in got.items())
+
+
+def test_trusted_units_enter_the_low(spark):
+    from larkspur.operators import history
+
+    stats = spark.createDataFrame([("a", 5.0, None, 1, 5.0, 5.0), ("b", 4.0, None, 1, 4.0, 4.0)], "wid string, prior double, median double, median_n long, ewma double, low double")
+    units = spark.createDataFrame([("a", 4.994), ("a", 9.0), ("b", None), ("b", -1.0), ("c", 2.0), (None, 1.0)], "wid string, unit double")
+    assert {r["wid"]: (r["prior"], r["median_n"], r["low"]) for r in history.with_trusted_low(stats, units).collect()} == {"a": (5.0, 1, 4.99), "b": (4.0, 1, 4.0), "c": (None, 0, 2.0)}
