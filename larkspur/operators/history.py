@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import money
+from larkspur.operators.medians import sliding_medians
 
 # The window, its least number of points, the moving average's weight, what counts as unchanged and as material.
 WINDOW_DAYS, MIN_POINTS, EWMA_ALPHA, EPSILON, MATERIAL = 30, 3, 0.3, 0.01, 0.02
@@ -92,9 +93,12 @@ def running(series: DataFrame, order: list[str]) -> DataFrame:
 
 
 def trailing_median(series: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """series with median and n of the last `days`, both ends included."""
-    frame = f"(PARTITION BY wid ORDER BY dt RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND CURRENT ROW)"
-    return series.withColumns({"median": money(F.expr(f"percentile(v, 0.5) OVER {frame}")), "n": F.expr(f"count(v) OVER {frame}")})
+    """series with median and n of the last `days`, both ends included; null values have no part, and a null time's window is the null times."""
+    own = [c for c in series.columns if c not in ("median", "n")]
+    found = sliding_medians(series.select("wid", "dt", "v"), days).withColumnsRenamed({"wid": "_w", "dt": "_dt"})
+    rows = series.select(*[F.col(f"`{c}`") for c in own])
+    same = rows["wid"].eqNullSafe(found["_w"]) & rows["dt"].eqNullSafe(found["_dt"])
+    return rows.join(found, same, "left").select(*[rows[f"`{c}`"] for c in own], money(found["median"]).alias("median"), found["n"])
 
 
 def price_events(series: DataFrame, order: list[str]) -> DataFrame:
