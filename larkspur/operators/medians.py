@@ -6,8 +6,11 @@ key does, and neither gathers what a hot key holds in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +29,12 @@ def group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Counts of (key, value), then a histogram by bins, in which the one bin that holds
     the lower middle is found; only that bin's distinct values are put in order. The
     upper middle is the next value of the bin or the least of the next bin. Null values
-    count for nothing, and keys without values have no row; null keys are a key; equal
-    rows count one by one. NaN is not a price and raises no error, but has no bin.
+    and NaN count for nothing, and keys without values have no row, nor has a null key;
+    equal rows count one by one. For keys of few distinct values `median` is as exact
+    and cheaper, as these meet with their counts.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = df.where(F.col(value).isNotNull()).select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], F.col(f"`{value}`").cast("double").alias("_v"))
+    rows = df.dropna(subset=[f"`{c}`" for c in (*keys, value)]).select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], F.col(f"`{value}`").cast("double").alias("_v"))
     counts = rows.groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bin_of(F.col("_v")))
     bins = counts.groupBy(*names, "_b").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_least"))
     by_bin = Window.partitionBy(*names).orderBy("_b")
@@ -38,8 +42,8 @@ def group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     bins = bins.withColumns({"_n": F.sum("_c").over(all_of), "_to": F.sum("_c").over(by_bin), "_next": F.lead("_least").over(by_bin)})
     lower = F.floor((F.col("_n") - 1) / 2)  # ranks from 0
     found = bins.where((F.col("_to") > lower) & (F.col("_to") - F.col("_c") <= lower)).select(*[F.col(n).alias(f"_f{n}") for n in names], F.col("_b").alias("_fb"), "_n", (F.col("_to") - F.col("_c")).alias("_below"), "_next")
-    same = [counts[n].eqNullSafe(found[f"_f{n}"]) for n in names]
-    inside = counts.join(found, [*same, counts["_b"] == found["_fb"]])
+    same = [counts[n] == found[f"_f{n}"] for n in names]
+    inside = counts.join(found, [*same, counts["_b"].eqNullSafe(found["_fb"])])  # null-safe, so that no filter for it parts the two uses of counts, which are one exchange
     by_value = Window.partitionBy(*names).orderBy("_v")
     inside = inside.withColumns({"_to": F.col("_below") + F.sum("_c").over(by_value), "_up": F.coalesce(F.lead("_v").over(by_value), "_next")})
     middle = inside.where((F.col("_to") > lower) & (F.col("_to") - F.col("_c") <= lower))
@@ -71,23 +75,59 @@ def _ranked(values: np.ndarray, weights: np.ndarray, start: np.ndarray, stop: np
     return distinct[answer]
 
 
-def _window_medians(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(_w, _dt, _median, _n) at each distinct time of the group's own block."""
-    pdf = pdf.sort_values("_at", kind="stable")
-    at, values, weights = (pdf[c].to_numpy() for c in ("_at", "_v", "_c"))
-    asked = pdf[pdf["_own"]].drop_duplicates("_at")
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a value isn't the one before it; nulls are equal."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return np.concatenate(([True], other.to_numpy(zero_copy_only=False).astype(bool)))
+
+
+def _answers(rows: pa.Table, width: int) -> pa.Table:
+    """(_w, _at, _median, _n) at each distinct time of its own block, for whole groups in order of item, block and time."""
+    block, at, values, weights = (rows[c].to_numpy() for c in ("_block", "_at", "_v", "_c"))
+    groups = np.cumsum(_changes(rows["_w"]) | _changes(rows["_block"])) - 1
+    base = (block - 1) * width
+    place = lambda t: groups * (2 * width) + np.clip(t - base, 0, 2 * width - 1)
+    here, since = place(at), place(rows["_from"].to_numpy())
+    asked = np.flatnonzero((np.diff(here, prepend=-1) != 0) & rows["_own"].to_numpy().astype(bool))
     known = weights > 0  # rows without a value only ask
-    at, values, weights = at[known], values[known], weights[known]
-    start = np.searchsorted(at, asked["_from"].to_numpy(), "left")
-    stop = np.searchsorted(at, asked["_at"].to_numpy(), "right")
-    total = np.concatenate(([0], np.cumsum(weights)))
+    held = here[known]
+    start, stop = np.searchsorted(held, since[asked], "left"), np.searchsorted(held, here[asked], "right")
+    total = np.concatenate(([0], np.cumsum(weights[known])))
     n = total[stop] - total[start]
-    median = np.full(len(asked), np.nan)
     some = n > 0
+    median = np.zeros(len(asked))
     if some.any():
-        start, stop, count = start[some], stop[some], n[some]
-        median[some] = 0.5 * _ranked(values, weights, start, stop, (count - 1) // 2) + 0.5 * _ranked(values, weights, start, stop, count // 2)
-    return pd.DataFrame({"_w": asked["_w"], "_at": asked["_at"], "_median": pd.array(np.where(some, median, 0.0), "Float64"), "_n": n}).assign(_median=lambda d: d["_median"].where(some))
+        windows = values[known], weights[known], start[some], stop[some]
+        median[some] = 0.5 * _ranked(*windows, (n[some] - 1) // 2) + 0.5 * _ranked(*windows, n[some] // 2)
+    out = rows.select(["_w", "_at"]).take(asked)
+    return out.append_column("_median", pa.array(median, mask=~some)).append_column("_n", pa.array(n.astype(np.int64)))
+
+
+def _whole_groups(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers batch by batch; a batch's last group waits for its rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            new = _changes(table["_w"]) | _changes(table["_block"])
+            if waiting:
+                ends = pa.Table.from_batches([waiting[-1].slice(len(waiting[-1]) - 1), batch.slice(0, 1)])
+                new[0] = bool((_changes(ends["_w"]) | _changes(ends["_block"]))[1])
+            cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if cut or new[0]:
+                whole = pa.Table.from_batches([*waiting, batch.slice(0, cut)])
+                waiting = []
+                if len(whole):
+                    yield from _answers(whole.combine_chunks(), width).to_batches()
+            waiting.append(batch.slice(cut))
+        if waiting:
+            yield from _answers(pa.Table.from_batches(waiting).combine_chunks(), width).to_batches()
+
+    return run
 
 
 def sliding_medians(series: DataFrame, days: int) -> DataFrame:
@@ -109,7 +149,8 @@ def sliding_medians(series: DataFrame, days: int) -> DataFrame:
     timed = timed.select("_w", micros(F.col("_dt")).alias("_at"), micros(F.col("_dt") - F.expr(f"INTERVAL {days} DAYS")).alias("_from"), F.coalesce("_v", F.lit(0.0)).alias("_v"), "_c")
     block = F.floor(F.col("_at") / width)
     parts = timed.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_block", F.when(F.col("_own"), block).otherwise(block + 1))
-    got = parts.groupBy("_w", "_block").applyInPandas(_window_medians, f"_w {kind['wid']}, _at bigint, _median double, _n bigint")
+    parts = parts.repartition("_w", "_block").sortWithinPartitions("_w", "_block", "_at")
+    got = parts.mapInArrow(_whole_groups(width), f"_w {kind['wid']}, _at bigint, _median double, _n bigint")
     times = series.where("dt IS NOT NULL").select("wid", "dt").distinct()
     found = times.join(got, times["wid"].eqNullSafe(got["_w"]) & (micros(times["dt"]) == got["_at"])).select("wid", "dt", F.col("_median").alias("median"), F.col("_n").alias("n"))
     untimed = series.where("dt IS NULL").groupBy("wid").agg(F.first("dt").alias("dt"), F.median("v").alias("median"), F.count("v").alias("n"))

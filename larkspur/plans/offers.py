@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import ids, text, urls
-from larkspur.operators import history, learning, pricing, reconcile
+from larkspur.operators import history, learning, medians, pricing, reconcile
 from larkspur.sources import pages as P
 
 #: Columns that tell listings apart; rows equal in all of them are equal.
@@ -202,6 +202,11 @@ def trailing(spark, sf):
     return history.trailing_median(series(spark, sf), 7).select("wid", "dt", "median", "n")
 
 
+def group_medians(spark, sf):
+    """Few keys of very many rows each."""
+    return medians.group_medians(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice").withColumnRenamed("median", "middle")
+
+
 def averages(spark, sf):
     s = history.moving_average(series(spark, sf), ["dt", "v"])
     return s.select("wid", "dt", "v", text.money(F.col("ewma")).alias("ewma"))
@@ -432,6 +437,7 @@ QUERIES: dict[str, tuple] = {
     "prior_price": (prior_price, f"""WITH {SERIES_SQL}, w AS (SELECT *, lag(v) OVER o AS prior, min(v) OVER (PARTITION BY wid ORDER BY dt, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_before FROM series WINDOW o AS (PARTITION BY wid ORDER BY dt, v))
       SELECT wid, dt, v, prior, coalesce(abs((v - prior) / prior) >= 0.02, false) AS material, coalesce(v <= low_before - 0.01, false) AS new_low, low_before FROM w"""),
     "trailing_median": (trailing, f"""WITH {SERIES_SQL} SELECT wid, dt, floor(median(v) OVER w * 100 + 0.5000001) / 100 AS median, count(v) OVER w AS n FROM series WINDOW w AS (PARTITION BY wid ORDER BY dt RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)"""),
+    "group_medians": (group_medians, "SELECT l_returnflag, l_linestatus, median(CAST(l_extendedprice AS DOUBLE)) AS middle, count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY ALL"),
     "history_stats": (stats, f"""WITH {SERIES_SQL}, g AS (SELECT wid, arg_max(v, row(dt, v)) AS prior, median(v) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS m, count(*) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS median_n, list(v ORDER BY dt, v) AS s, min(v) AS low FROM series GROUP BY wid)
       SELECT wid, prior, CASE WHEN median_n >= 3 THEN floor(m * 100 + 0.5000001) / 100 END AS median, median_n, floor(list_reduce(s, lambda a, v: 0.3::DOUBLE * v + (1::DOUBLE - 0.3::DOUBLE) * a) * 100 + 0.5000001) / 100 AS ewma, floor(low * 100 + 0.5000001) / 100 AS low FROM g"""),
     "trusted_low": (trusted_low, f"""WITH {SERIES_SQL}, a AS (SELECT wid, arg_max(v, row(dt, v)) AS prior, count(*) FILTER (WHERE dt >= {NOW} - INTERVAL 30 DAYS) AS median_n, min(v) AS low FROM series GROUP BY wid),

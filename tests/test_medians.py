@@ -24,20 +24,27 @@ def test_ranks_in_windows():
 
 def test_group_medians(spark):
     rng = random.Random(3)
-    rows = [("hot", "a.b", round(rng.lognormvariate(3, 2), 2)) for _ in range(3001)] + [("even", None, float(x)) for x in (1, 2, 2, 10)] + [("far", "x", v) for v in (0.01, 1e6)]
+    rows = [("hot", "a.b", round(rng.lognormvariate(3, 2), 2)) for _ in range(3001)] + [("even", "x", float(x)) for x in (1, 2, 2, 10)] + [("even", None, 9.0), ("even", "x", float("nan"))] + [("far", "x", v) for v in (0.01, 1e6)]
     rows += [(None, None, -5.0), (None, None, 0.0), (None, None, 7.0), ("none", "x", None), ("one", "x", 4.25), ("ties", "x", 3.0), ("ties", "x", 3.0), ("below", "x", -8.0), ("below", "x", -2.0)]
     df = spark.createDataFrame(rows, "wid string, `the.side` string, p double").withColumn("_c", F.lit(1)).repartition(7)
     got = {(r[0], r[1]): (r[2], r[3]) for r in medians.group_medians(df, ["wid", "the.side"], "p").collect()}
     groups = {}
     for a, b, v in rows:
-        if v is not None:
+        if v is not None and v == v and a is not None and b is not None:
             groups.setdefault((a, b), []).append(v)
     assert {k: v[1] for k, v in got.items()} == {k: len(v) for k, v in groups.items()}
     assert {k: v[0] for k, v in got.items()} == pytest.approx({k: statistics.median(v) for k, v in groups.items()}, abs=1e-12)
     assert medians.group_medians(df.limit(0), ["wid"], "p").count() == 0
 
 
-def test_sliding_medians(spark):
+@pytest.fixture
+def batches(spark):
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_sliding_medians(spark, batches, batch):
     rng = random.Random(9)
     start = dt.datetime(2024, 1, 1)
     rows = []
@@ -45,6 +52,7 @@ def test_sliding_medians(spark):
         for _ in range(many):
             rows.append((wid, start + dt.timedelta(days=rng.randrange(60), hours=rng.choice([0, 0, 6])), rng.choice([None, 5.0, round(rng.uniform(1, 90), 2)])))
     rows += rows[:50] + [(1, None, 4.0), (1, None, 6.0), (3, None, None), (4, start, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     df = spark.createDataFrame(rows, "wid int, dt timestamp, v double").withColumns({"median": F.lit("clash"), "a.b": F.lit(1)}).repartition(5)
     out = history.trailing_median(df, 7)
     assert out.columns == ["wid", "dt", "v", "a.b", "median", "n"]
