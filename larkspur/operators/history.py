@@ -144,6 +144,16 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def record_observations(old: DataFrame, listings: DataFrame) -> DataFrame:
+    """Observations after runs' listings (run, wid, trusted, eligible, from_url and more) are recorded: those that are trusted, eligible or of an own link, in place of all
+    that their run and item had, also where none is left. The three marks may be null; trusted is kept, the other two are not; old has the other columns of listings or fewer.
+    """
+    of_run = listings.select("run", "wid").distinct()
+    kept = old.join(of_run, [old[c].eqNullSafe(of_run[c]) for c in ("run", "wid")], "left_anti")
+    marks = [F.coalesce(c, F.lit(False)) for c in ("trusted", "eligible", "from_url")]
+    return kept.unionByName(listings.where(marks[0] | marks[1] | marks[2]).drop("eligible", "from_url"), allowMissingColumns=True)
+
+
 def retain(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     """Rows not older than `days`; rows without a time go."""
     return df.where(F.col(ts) >= now - F.expr(f"INTERVAL {days} DAYS"))

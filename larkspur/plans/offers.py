@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import ids, text, urls
 from larkspur.operators import history, learning, medians, pricing, reconcile
 from larkspur.sources import pages as P
+from larkspur.streaming import attempts
 
 #: Columns that tell listings apart; rows equal in all of them are equal.
 ORDER = ["orderkey", "linenumber", "suppkey", "quantity", "extended"]
@@ -270,6 +271,15 @@ def yields(spark, sf):
     return learning.skips(learning.retailer_yield(_attempts(spark, sf)), now(), 5, 2, 30)
 
 
+def lifetime_yield(spark, sf):
+    """Attempts in two batches, the second of later days."""
+    a, split = _attempts(spark, sf), F.lit("2024-01-16")
+    state = spark.createDataFrame([], attempts.LOG), spark.createDataFrame([], attempts.TOTALS)
+    for batch in (a.where(F.col("run") < split), a.where(F.col("run") >= split)):
+        state = attempts.merge_attempts(*state, batch)
+    return state[1]
+
+
 def candidates(spark, sf):
     s = scored(spark, sf).join(_history(spark, sf).select("wid", F.col("median").alias("ref")), "wid", "left").where("eligible and not is_resale")
     rows = s.select("vkey", "wid", (F.col("orderkey") % 10).alias("run"), "confidence", F.col("unit_price").alias("unit"), "ref", F.startswith("evidence", F.lit("verified")).alias("is_verified"))
@@ -463,6 +473,9 @@ QUERIES: dict[str, tuple] = {
           row(ts, CASE WHEN n_listings > 0 AND outcome = 'success' THEN 'found' WHEN outcome = 'blocked' THEN 'blocked' ELSE 'empty' END)) AS kind, max(ts) AS ts FROM attempts WHERE outcome <> 'skipped' GROUP BY domain, run, wid),
         y AS (SELECT domain, count(*) AS attempts, count(DISTINCT wid) AS items, count(*) FILTER (WHERE kind = 'found') AS found, count(*) FILTER (WHERE kind = 'blocked') AS blocked, count(*) FILTER (WHERE kind = 'empty') AS empty, max(ts) AS last_try FROM k GROUP BY domain)
       SELECT *, found = 0 AND attempts >= 5 AND items >= 2 AND last_try > {NOW} - INTERVAL 30 DAYS AS skip FROM y"""),
+    "lifetime_yield": (lifetime_yield, f"""WITH {_ATTEMPTS}, a AS (SELECT *, CASE WHEN n_listings > 0 AND outcome = 'success' THEN 'found' WHEN outcome = 'blocked' THEN 'blocked' ELSE 'empty' END AS kind FROM attempts WHERE outcome <> 'skipped'),
+        k AS (SELECT domain, arg_max(kind, row(ts, kind)) AS kind, min(ts) AS first_try, max(ts) FILTER (WHERE kind = 'found') AS last_found, max(ts) AS last_try FROM a GROUP BY domain, run, wid)
+      SELECT domain, count(*) FILTER (WHERE kind = 'found') AS found_total, min(first_try) AS first_try, max(last_found) AS last_found, max(last_try) AS last_try FROM k GROUP BY domain"""),
     "vendor_candidates": (candidates, f"""WITH {LISTINGS_SQL}, {_HISTORY}, h AS (SELECT vkey, wid, orderkey % 10 AS run, unit_price AS unit, CASE WHEN median > 0 THEN unit_price / median END AS ratio, evidence LIKE 'verified%' AS ver FROM scored LEFT JOIN hist USING (wid) WHERE eligible AND NOT is_resale AND confidence = 'High'),
       c AS (SELECT vkey, count(*) AS high, count(DISTINCT wid) AS items, count(DISTINCT run) AS runs, count(*) FILTER (WHERE ver) AS verified, min(unit) AS best, min(ratio) AS br, CAST(sum(CAST(ratio AS DECIMAL(18, 6))) AS DOUBLE) / count(ratio) AS ar FROM h GROUP BY vkey),
       m AS (SELECT *, CAST(high >= 20 AS INTEGER) + CAST(items >= 10 AS INTEGER) + CAST(runs >= 4 AS INTEGER) + CAST(br IS NULL OR br <= 0.9 AS INTEGER) AS met FROM c)
