@@ -137,3 +137,18 @@ def test_stream_of_offers(spark, tmp_path):
     assert q.awaitTermination(120)
     got = [(r["ts"].day, r["event"]) for r in spark.sql("select * from events_of_offers order by ts").collect()]
     assert got == [(1, "new offer"), (2, "unchanged; back in stock"), (3, "price drop")]
+
+
+def test_errors_are_rows(spark):
+    ld = lambda x: f'<script type="application/ld+json">{x}</script>'
+    good = ld('{"@type": "Product", "name": "Lamp", "offers": {"price": "5.00", "priceCurrency": "USD"}}')
+    cases = [
+        ("ok", 200, good), ("half", 200, ld("{broken") + good), ("bad", 200, ld("{broken") + ld("[1,")), ("none", 200, "<p>words</p>"), ("gone", 404, ld("{broken")),
+        ("null", 200, None), ("lost", None, None), ("empty", 200, ""),
+    ]
+    df = spark.createDataFrame([(*c, "clash") for c in cases], "url string, code int, html string, detail string")
+    rows = pages.page_outcomes(pages.extract_products(df), F.col("code"))
+    assert {r["url"]: (r["outcome"], r["detail"]) for r in rows.collect()} == {
+        "ok": ("success", None), "half": ("success", None), "bad": ("parser_failure", "2 of the page's JSON-LD texts not readable"), "none": ("no_match", "no offer on the page"),
+        "gone": ("unavailable", "HTTP 404"), "null": ("no_match", "no offer on the page"), "lost": ("timeout_network", "HTTP none"), "empty": ("no_match", "no offer on the page"),
+    }
