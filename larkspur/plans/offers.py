@@ -143,9 +143,9 @@ def used_primary(spark, sf):
 
 
 def plan_need(spark, sf):
-    """A plan that covers three units, from packs of one to three."""
+    """A plan that covers three units, from packs of one to three, resale offers once each."""
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("wid"), F.lit(3).alias("qty_needed"))
-    return pricing.quantity_plan(scored(spark, sf).where("not is_resale"), items, ORDER)
+    return pricing.quantity_plan(scored(spark, sf), items, ORDER)
 
 
 # Duplicates and agreement
@@ -416,12 +416,14 @@ QUERIES: dict[str, tuple] = {
     "used_primary_offers": (used_primary, f"""WITH {LISTINGS_SQL}, s AS (SELECT *, (p_retailprice * 3 - unit_price) / (p_retailprice * 3) AS saving FROM scored JOIN part ON p_partkey = wid
         WHERE condition = 'used' AND is_primary AND evidence LIKE 'verified%' AND confidence = 'High' AND coalesce(in_stock, true) AND reportable AND pack_qty = 1)
       SELECT wid, rank, unit_price, CAST(floor(saving * 10000 + 0.5) AS BIGINT) AS saving FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY unit_price, {_ORDER}) AS rank FROM s WHERE saving >= 0.05) WHERE rank <= 3"""),
-    "quantity_plan": (plan_need, f"""WITH {LISTINGS_SQL}, o AS (SELECT wid, pack_qty, effective_price AS e, CAST(evidence NOT LIKE 'verified%' AS INTEGER) AS u FROM scored WHERE reportable AND confidence = 'High' AND NOT is_resale AND effective_price > 0
-        QUALIFY row_number() OVER (PARTITION BY wid, pack_qty ORDER BY effective_price, u, NOT is_primary, {_ORDER}) = 1),
-      c AS (SELECT a.wid, CASE WHEN a.pack_qty >= 3 THEN [a.e, a.u, a.pack_qty] END AS one, list([round(a.e + b.e, 2), a.u + b.u, a.pack_qty + b.pack_qty]) FILTER (WHERE a.pack_qty + b.pack_qty >= 3 AND b.wid IS NOT NULL) AS two,
-        CASE WHEN a.pack_qty = 1 THEN [round(round(a.e + a.e, 2) + a.e, 2), 3 * a.u, 3] END AS three FROM o a LEFT JOIN o b ON a.wid = b.wid GROUP BY a.wid, a.pack_qty, a.e, a.u),
-      best AS (SELECT wid, list_sort(list_filter(flatten(list(list_concat([one, three], coalesce(two, [])))), lambda x: x IS NOT NULL))[1] AS x FROM c GROUP BY wid)
-      SELECT wid, 3 AS need, x[1] AS total, CAST(x[2] AS INTEGER) AS unverified, CAST(x[3] AS INTEGER) AS units FROM best WHERE x IS NOT NULL"""),
+    "quantity_plan": (plan_need, f"""WITH {LISTINGS_SQL}, l AS (SELECT *, is_resale OR condition <> 'new' AS once, CAST(evidence NOT LIKE 'verified%' AS INTEGER) AS u FROM scored WHERE reportable AND confidence = 'High' AND effective_price > 0),
+      o AS (SELECT wid, pack_qty AS p, effective_price AS e, u, once, row_number() OVER (PARTITION BY wid) AS i FROM (
+        FROM l WHERE NOT once QUALIFY row_number() OVER (PARTITION BY wid, pack_qty ORDER BY effective_price, u, NOT is_primary, {_ORDER}) = 1
+        UNION ALL FROM l WHERE once QUALIFY row_number() OVER (PARTITION BY wid ORDER BY unit_price, {_ORDER}) <= {pricing.ONE_OFF_LIMIT})),
+      two AS (SELECT a.wid, round(a.e + b.e, 2) AS e, a.u + b.u AS u, a.p + b.p AS p, b.i, b.once FROM o a JOIN o b ON a.wid = b.wid AND (a.i < b.i OR (a.i = b.i AND NOT a.once))),
+      three AS (SELECT a.wid, round(a.e + b.e, 2) AS e, a.u + b.u AS u, a.p + b.p AS p FROM two a JOIN o b ON a.wid = b.wid AND (a.i < b.i OR (a.i = b.i AND NOT a.once))),
+      best AS (SELECT wid, min(row(e, u, p)) AS x FROM (SELECT wid, e, u, p FROM o UNION ALL SELECT wid, e, u, p FROM two UNION ALL FROM three) WHERE p >= 3 GROUP BY wid)
+      SELECT wid, 3 AS need, x[1] AS total, CAST(x[2] AS INTEGER) AS unverified, CAST(x[3] AS INTEGER) AS units FROM best"""),
     "dedupe_authority": (dedupe, f"""WITH {LISTINGS_SQL}, s AS (SELECT *, 's' || (orderkey % 4) || '/' || evidence AS seen, row_number() OVER (PARTITION BY wid, suppkey, condition, pack_qty ORDER BY NOT from_url,
         CASE evidence WHEN 'verified_direct' THEN 0 WHEN 'verified_discovered' THEN 1 ELSE 2 END, CASE confidence WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, in_stock IS NULL, orderkey, linenumber, quantity, extended) AS n FROM scored),
       g AS (SELECT wid, suppkey, condition, pack_qty, arg_min(orderkey, n) AS orderkey, arg_min(unit_price, n) AS unit_price, arg_min(seen, n) AS own, list_sort(list(DISTINCT seen)) AS others FROM s GROUP BY ALL)

@@ -9,22 +9,22 @@ from larkspur.plans.offers import LISTINGS_SQL, NOW, ORDER, now, scored, table
 
 _ORDER = ", ".join(ORDER)
 MATCH = "({a} = {b} OR (least(length({a}), length({b})) >= 4 AND (starts_with({a}, {b}) OR starts_with({b}, {a}))))"
-VENDORS_SQL = "v AS (SELECT s_suppkey, 'v' || s_suppkey AS vendor_key, s_suppkey % 5 = 0 AS is_primary, s_suppkey % 7 = 2 AS is_secondary FROM supplier)"
-LINKS_SQL = """links AS (SELECT l_partkey AS wid, 'v' || l_suppkey AS vendor_key, 'https://www.v' || l_suppkey || '.com/p/' || l_orderkey AS url, 'v' || l_suppkey || '.com' AS host, 'v' || l_suppkey AS vendor,
-  l_returnflag = 'R' AS failed, l_orderkey AS position FROM lineitem WHERE l_linenumber = 1)"""
+VENDORS_SQL = "v AS (SELECT s_suppkey, 'v' || s_suppkey AS vendor_key, s_acctbal > 4000 AS is_primary, s_nationkey >= 20 AS is_secondary FROM supplier)"
+LINKS_SQL = """links AS (SELECT l_partkey AS wid, 'v' || l_suppkey AS vendor_key, 'https://www.v' || l_suppkey || '.com/p/' || l_orderkey || '-' || l_linenumber AS url, 'v' || l_suppkey || '.com' AS host, 'v' || l_suppkey AS vendor,
+  l_returnflag = 'R' AS failed, l_orderkey AS position, l_shipdate AS dt FROM lineitem WHERE l_linestatus = 'F')"""
 
 
 def vendors(spark, sf):
     key = F.col("s_suppkey")
-    return table(spark, sf, "supplier").select(key, F.concat(F.lit("v"), key).alias("vendor_key"), (key % 5 == 0).alias("is_primary"), (key % 7 == 2).alias("is_secondary"))
+    return table(spark, sf, "supplier").select(key, F.concat(F.lit("v"), key).alias("vendor_key"), (F.col("s_acctbal") > 4000).alias("is_primary"), (F.col("s_nationkey") >= 20).alias("is_secondary"))
 
 
 def links(spark, sf):
-    """The first line of each order as a product link of its item; returned ones have failed."""
+    """Line items that are finished (status F) as product links of their items; returned ones have failed."""
     name = F.concat(F.lit("v"), "l_suppkey")
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select(
-        F.col("l_partkey").alias("wid"), name.alias("vendor_key"), F.concat(F.lit("https://www."), name, F.lit(".com/p/"), "l_orderkey").alias("url"), F.concat(name, F.lit(".com")).alias("host"), name.alias("vendor"),
-        (F.col("l_returnflag") == "R").alias("failed"), F.col("l_orderkey").alias("position"),
+    return table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(
+        F.col("l_partkey").alias("wid"), name.alias("vendor_key"), F.concat(F.lit("https://www."), name, F.lit(".com/p/"), "l_orderkey", F.lit("-"), "l_linenumber").alias("url"), F.concat(name, F.lit(".com")).alias("host"), name.alias("vendor"),
+        (F.col("l_returnflag") == "R").alias("failed"), F.col("l_orderkey").alias("position"), F.col("l_shipdate").alias("dt"),
     )
 
 
@@ -53,7 +53,7 @@ def roles(spark, sf):
 
 def names(spark, sf):
     s = table(spark, sf, "supplier")
-    primary = s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"), F.concat(F.lit("shop"), "s_suppkey").alias("vendor_key"), F.concat(F.lit("www.s"), "s_suppkey", F.lit(".com")).alias("domain"), F.col("s_suppkey").alias("position"))
+    primary = s.where("s_acctbal > 3000").select(F.col("s_name").alias("name"), F.concat(F.lit("shop"), "s_suppkey").alias("vendor_key"), F.concat(F.lit("www.s"), "s_suppkey", F.lit(".com")).alias("domain"), F.col("s_suppkey").alias("position"))
     hosts = s.select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "de.s").otherwise("shop"), "s_suppkey", F.lit(".com")).alias("host"))
     return sourcing.vendor_names(hosts, primary)
 
@@ -65,9 +65,9 @@ def anchor_titles(spark, sf):
 
 def link_status(spark, sf):
     l = links(spark, sf).select("wid", "url", F.when(F.col("failed"), "blocked").otherwise("success").alias("outcome"), F.lit("no data").alias("detail"))
-    rows = scored(spark, sf).where("linenumber = 1 and suppkey % 4 > 0").withColumn("url", F.concat(F.lit("https://www."), "vkey", F.lit(".com/p/"), "orderkey"))
-    rows = rows.unionByName(rows.where("suppkey % 3 = 0").withColumns({"pack_qty": F.col("pack_qty") + 1, "confidence": F.lit("Low")}))
-    return sourcing.link_results(l, rows.where("quantity > 5"), ORDER)
+    rows = scored(spark, sf).where("conditional IS NULL").withColumn("url", F.concat(F.lit("https://www."), "vkey", F.lit(".com/p/"), "orderkey", F.lit("-"), "linenumber"))
+    rows = rows.unionByName(rows.where("shipping IS NULL").withColumns({"pack_qty": F.col("pack_qty") + 1, "confidence": F.lit("Low")}))
+    return sourcing.link_results(l, rows, ORDER)
 
 
 def modes(spark, sf):
@@ -76,7 +76,7 @@ def modes(spark, sf):
 
 def needed(spark, sf):
     e = table(spark, sf, "events").select((F.col("user_id") % 1000).alias("wid"), "ts")
-    out = sourcing.search_needed(only(spark, sf), scored(spark, sf), links(spark, sf).where("failed and position % 4 = 0"), e, now())
+    out = sourcing.search_needed(only(spark, sf), scored(spark, sf), links(spark, sf).where("failed and dt >= '2001-07-01'"), e, now())
     return out.select("wid", "verified", F.floor(F.col("age_days") * 1000).cast("long").alias("age"), "needed")
 
 
@@ -88,14 +88,14 @@ def unworking(spark, sf):
 def verification(spark, sf):
     s = table(spark, sf, "supplier")
     color = F.element_at(F.array(*map(F.lit, ["red", "blue", "green"])), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    primary = s.select(F.concat(color, F.lit(" Store Inc "), "s_suppkey").alias("name"), F.when(F.col("s_suppkey") % 6 > 0, F.concat(F.lit("www.v"), "s_suppkey", F.lit(".com"))).otherwise("").alias("domain"), (F.col("s_suppkey") % 2 == 0).alias("is_direct"))
+    primary = s.select(F.concat(color, F.lit(" Store Inc "), "s_suppkey").alias("name"), F.when(F.col("s_acctbal") > 1000, F.concat(F.lit("www.v"), "s_suppkey", F.lit(".com"))).otherwise("").alias("domain"), (F.col("s_suppkey") % 2 == 0).alias("is_direct"))
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("wid"), F.col("p_name").alias("product_text"))
-    host = lambda r: s.where(f"s_suppkey % 10 = {r}").select(F.concat(F.lit("v"), "s_suppkey", F.lit(".com")).alias("host"))
-    return sourcing.verification_targets(items, primary, links(spark, sf).where("not failed"), host(3), host(5).unionByName(host(4)))
+    host = lambda *r: s.where(F.col("s_nationkey").isin(*r)).select(F.concat(F.lit("v"), "s_suppkey", F.lit(".com")).alias("host"))
+    return sourcing.verification_targets(items, primary, links(spark, sf).where("not failed"), host(3), host(4, 5))
 
 
 def targets(spark, sf):
-    closed = vendors(spark, sf).where("s_suppkey % 9 = 1").select(F.concat("vendor_key", F.lit(".com")).alias("host"))
+    closed = table(spark, sf, "supplier").where("s_nationkey < 4").select(F.concat(F.lit("v"), "s_suppkey", F.lit(".com")).alias("host"))
     return sourcing.snapshot_targets(snapshots(spark, sf), links(spark, sf).where("not failed"), closed, ["unit_price", *ORDER]).select("wid", "host", "rank", "unit_price")
 
 
@@ -105,7 +105,7 @@ def stand_ins(spark, sf):
 
 def fallback(spark, sf):
     l = links(spark, sf)
-    cached = l.where("position % 3 = 0").select("wid", "host", F.concat("url", F.when(F.col("position") % 2 == 0, "-new").otherwise("")).alias("url"), F.lit(True).alias("ok"), F.date_sub(now(), (F.col("position") % 60).cast("int")).cast("timestamp").alias("ts"))
+    cached = l.select("wid", "host", F.concat("url", F.when(F.col("position") % 2 == 0, "-new").otherwise("")).alias("url"), F.lit(True).alias("ok"), F.date_sub(now(), (F.col("position") % 60).cast("int")).cast("timestamp").alias("ts"))
     cached = cached.groupBy("wid", "host").agg(F.max("url").alias("url"), F.bool_and("ok").alias("ok"), F.max("ts").alias("ts"))
     return sourcing.link_fallback(l.where("failed"), l.where("not failed"), cached, snapshots(spark, sf), now(), ORDER)
 
@@ -120,8 +120,8 @@ def trusted(spark, sf):
 
 
 def cached_rows(spark, sf):
-    e = table(spark, sf, "events").select(F.concat(F.lit("q"), F.col("user_id") % 50).alias("query"), "ts", "event_id")
-    return cache.fresh(cache.put(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["query"]), now(), 30 * 24)
+    e = table(spark, sf, "events").select(F.concat_ws("/", "user_id", F.get_json_object("props", "$.k")).alias("query"), "ts", "event_id", "event_type")
+    return cache.fresh(cache.put(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), ["query"]), now(), 30 * 24).drop("event_type")
 
 
 def discovery(spark, sf):
@@ -133,7 +133,7 @@ def learned(spark, sf):
     p = table(spark, sf, "part")
     items = p.select(F.col("p_partkey").alias("wid"), F.col("p_name").alias("product"))
     kept = p.select(F.col("p_partkey").alias("wid"), F.when(F.col("p_size") % 3 == 0, F.lit("another name")).otherwise(F.upper("p_name")).alias("product"), F.array(F.lpad(F.col("p_partkey").cast("string"), 14, "0")).alias("gtins"), F.array("p_brand").alias("mpns"), F.col("p_type").alias("brand"))
-    found = p.where("p_size % 5 = 0").select(F.col("p_partkey").alias("wid"), F.array(F.lit("00000000000017")).alias("gtins"), F.array(F.lower("p_brand"), F.lit("X1"), F.concat(F.lit("M-"), "p_size")).alias("mpns"), F.lit("other").alias("brand"))
+    found = p.where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("wid"), F.array(F.lit("00000000000017")).alias("gtins"), F.array(F.lower("p_brand"), F.lit("X1"), F.concat(F.lit("M-"), "p_size")).alias("mpns"), F.lit("other").alias("brand"))
     out = cache.learned_identity(items, cache.learn(kept, found))
     return out.select("wid", F.array_join("learned_gtins", ",").alias("gtins"), F.array_join("learned_mpns", ",").alias("mpns"), "learned_brand")
 
@@ -168,15 +168,15 @@ _ROLES = f"""WITH {LISTINGS_SQL}, {VENDORS_SQL}, {LINKS_SQL}, k AS (SELECT DISTI
 
 QUERIES: dict[str, tuple] = {
     "vendor_roles": (roles, _ROLES),
-    "vendor_names": (names, f"""WITH p AS (SELECT s_name AS name, 'shop' || s_suppkey AS k, 's' || s_suppkey || '.com' AS d, s_suppkey AS pos FROM supplier WHERE s_suppkey % 3 = 0),
+    "vendor_names": (names, f"""WITH p AS (SELECT s_name AS name, 'shop' || s_suppkey AS k, 's' || s_suppkey || '.com' AS d, s_suppkey AS pos FROM supplier WHERE s_acctbal > 3000),
       h AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'de.s' ELSE 'shop' END || s_suppkey || '.com' AS host, CASE WHEN s_suppkey % 2 = 0 THEN 'des' ELSE 'shop' END || s_suppkey AS hk FROM supplier),
       m AS (SELECT host, arg_min(name, row(CASE WHEN host = d OR ends_with(host, '.' || d) THEN 0 ELSE 1 END, pos)) AS name FROM h JOIN p ON host = d OR ends_with(host, '.' || d) OR {MATCH.format(a="CASE WHEN starts_with(hk, 'des') THEN 'de' ELSE hk END", b="k")} GROUP BY host)
       SELECT host, coalesce(name, host) AS vendor FROM h LEFT JOIN m USING (host)"""),
     "anchor_titles": (anchor_titles, f"""WITH {LISTINGS_SQL} SELECT wid, arg_min('the thing ' || suppkey || ' no ' || orderkey, row(evidence NOT LIKE 'verified%', is_resale, NOT is_primary, {_ORDER})) AS anchor FROM scored
       WHERE match_evidence = 'gtin' AND confidence <> 'Low' GROUP BY wid"""),
-    "link_status": (link_status, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, a AS (SELECT *, 'https://www.' || vkey || '.com/p/' || orderkey AS url FROM scored WHERE linenumber = 1 AND suppkey % 4 > 0),
-      rows AS (SELECT wid, url, confidence, match_evidence, pack_qty, price, in_stock, row(pack_qty, {_ORDER}) AS r FROM a WHERE quantity > 5 UNION ALL
-        SELECT wid, url, 'Low', match_evidence, pack_qty + 1, price, in_stock, row(pack_qty + 1, {_ORDER}) FROM a WHERE quantity > 5 AND suppkey % 3 = 0),
+    "link_status": (link_status, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, a AS (SELECT *, 'https://www.' || vkey || '.com/p/' || orderkey || '-' || linenumber AS url FROM scored WHERE conditional IS NULL),
+      rows AS (SELECT wid, url, confidence, match_evidence, pack_qty, price, in_stock, row(pack_qty, {_ORDER}) AS r FROM a UNION ALL
+        SELECT wid, url, 'Low', match_evidence, pack_qty + 1, price, in_stock, row(pack_qty + 1, {_ORDER}) FROM a WHERE shipping IS NULL),
       g AS (SELECT wid, url, count(*) AS offers, min(pack_qty) FILTER (WHERE confidence = 'High') AS best_pack, arg_min(match_evidence, r) FILTER (WHERE confidence = 'High') AS evidence, bool_and(confidence = 'Low') AS low,
         arg_min(price, r) AS price, arg_min(CASE WHEN in_stock IS NULL THEN 'stock unknown' WHEN in_stock THEN 'in stock' ELSE 'OUT OF STOCK' END, r) AS stock FROM rows GROUP BY wid, url),
       l AS (SELECT l.wid, l.url, l.host, CASE WHEN low THEN 'identity_mismatch' WHEN failed THEN 'blocked' ELSE 'success' END AS outcome, coalesce(offers, 0) AS offers, best_pack, evidence, coalesce(low, false) AS low, price, stock FROM links l LEFT JOIN g ON g.wid = l.wid AND g.url = l.url)
@@ -186,19 +186,19 @@ QUERIES: dict[str, tuple] = {
     "search_modes": (modes, f"""WITH {LINKS_SQL}, w AS (SELECT wid, count(DISTINCT vendor_key) FILTER (WHERE NOT failed) AS working FROM links GROUP BY wid)
       SELECT p_partkey AS wid, coalesce(working, 0) AS working, CASE WHEN p_size % 4 >= 2 OR working IS NULL THEN 'search' WHEN working >= 3 THEN 'links only' ELSE 'links and search' END AS mode FROM part LEFT JOIN w ON wid = p_partkey"""),
     "search_needed": (needed, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, n AS (SELECT wid, count(*) AS verified FROM scored WHERE evidence LIKE 'verified%' AND coalesce(in_stock, true) GROUP BY wid), e AS (SELECT user_id % 1000 AS wid, max(ts) AS t FROM events GROUP BY 1),
-      f AS (SELECT DISTINCT wid FROM links WHERE failed AND position % 4 = 0), a AS (SELECT p_partkey AS wid, coalesce(verified, 0) AS verified, (floor(epoch({NOW})) - floor(epoch(t))) / 86400 AS age, f.wid IS NOT NULL AS failed FROM part LEFT JOIN n ON n.wid = p_partkey LEFT JOIN e ON e.wid = p_partkey LEFT JOIN f ON f.wid = p_partkey)
+      f AS (SELECT DISTINCT wid FROM links WHERE failed AND dt >= '2001-07-01'), a AS (SELECT p_partkey AS wid, coalesce(verified, 0) AS verified, (floor(epoch({NOW})) - floor(epoch(t))) / 86400 AS age, f.wid IS NOT NULL AS failed FROM part LEFT JOIN n ON n.wid = p_partkey LEFT JOIN e ON e.wid = p_partkey LEFT JOIN f ON f.wid = p_partkey)
       SELECT wid, verified, CAST(floor(age * 1000) AS BIGINT) AS age, NOT (verified >= 2 AND NOT failed AND coalesce(age < 6, false)) AS needed FROM a"""),
     "unworking_snapshots": (unworking, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL} SELECT wid, count(*) AS n, min(unit_price) AS cheapest FROM snaps s
       WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = s.wid AND NOT failed AND {MATCH.format(a="l.vendor_key", b="s.vkey")}) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = s.wid AND failed AND l.vendor_key = s.vkey) GROUP BY wid"""),
-    "verification_targets": (verification, f"""WITH {LINKS_SQL}, s AS (SELECT *, ['red', 'blue', 'green'][1 + s_suppkey % 3] AS color, 'v' || s_suppkey || '.com' AS host FROM supplier WHERE s_suppkey % 6 > 0)
+    "verification_targets": (verification, f"""WITH {LINKS_SQL}, s AS (SELECT *, ['red', 'blue', 'green'][1 + s_suppkey % 3] AS color, 'v' || s_suppkey || '.com' AS host FROM supplier WHERE s_acctbal > 1000)
       SELECT p_partkey AS wid, color || ' Store Inc ' || s_suppkey AS vendor, host, CASE WHEN s_suppkey % 2 = 0 THEN 'direct' ELSE 'retailer' END AS kind FROM part, s
-      WHERE (s_suppkey % 2 = 1 OR list_contains(string_split(p_name, ' '), color)) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = p_partkey AND l.host = s.host AND NOT failed) AND s_suppkey % 10 <> 3 AND (s_suppkey % 2 = 0 OR s_suppkey % 10 NOT IN (4, 5))"""),
-    "snapshot_targets": (targets, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL}, o AS (SELECT * FROM snaps s WHERE direct AND confidence <> 'Low' AND suppkey % 9 <> 1 AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = s.wid AND l.host = s.host AND NOT failed)
+      WHERE (s_suppkey % 2 = 1 OR list_contains(string_split(p_name, ' '), color)) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = p_partkey AND l.host = s.host AND NOT failed) AND s_nationkey <> 3 AND (s_suppkey % 2 = 0 OR s_nationkey NOT IN (4, 5))"""),
+    "snapshot_targets": (targets, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL}, o AS (SELECT * FROM snaps s WHERE direct AND confidence <> 'Low' AND suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 4) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.wid = s.wid AND l.host = s.host AND NOT failed)
         QUALIFY row_number() OVER (PARTITION BY wid, host ORDER BY unit_price, {_ORDER}) = 1)
       SELECT wid, host, row_number() OVER (PARTITION BY wid ORDER BY unit_price, {_ORDER}) AS rank, unit_price FROM o QUALIFY rank <= 3"""),
     "failed_stand_ins": (stand_ins, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL} SELECT l.wid, l.url, s.vkey, confidence, pack_qty, unit_price FROM links l JOIN snaps s ON s.wid = l.wid AND {MATCH.format(a="l.vendor_key", b="s.vkey")}
       WHERE failed AND condition = 'new' AND confidence <> 'Low' QUALIFY row_number() OVER (PARTITION BY l.wid, l.url ORDER BY confidence <> 'High', pack_qty, unit_price, {_ORDER}) = 1"""),
-    "link_fallback": (fallback, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL}, c AS (SELECT wid, host, max(url || CASE WHEN position % 2 = 0 THEN '-new' ELSE '' END) AS link, min(position % 60) AS age FROM links WHERE position % 3 = 0 GROUP BY wid, host),
+    "link_fallback": (fallback, f"""WITH {LISTINGS_SQL}, {LINKS_SQL}, {SNAPSHOTS_SQL}, c AS (SELECT wid, host, max(url || CASE WHEN position % 2 = 0 THEN '-new' ELSE '' END) AS link, min(position % 60) AS age FROM links GROUP BY wid, host),
       f AS (SELECT l.wid, l.vendor_key AS key, l.host, l.url AS failed_url FROM links l WHERE failed AND NOT EXISTS (SELECT 1 FROM links o WHERE o.wid = l.wid AND o.vendor_key = l.vendor_key AND NOT o.failed) QUALIFY row_number() OVER (PARTITION BY l.wid, l.vendor_key ORDER BY position, l.url) = 1),
       g AS (SELECT f.*, CASE WHEN age <= 30 AND replace(link, 'www.', '') <> replace(failed_url, 'www.', '') THEN link END AS link FROM f LEFT JOIN c ON c.wid = f.wid AND c.host = f.host),
       m AS (SELECT g.wid, g.key, g.failed_url, s.url, s.pack_qty, s.unit_price, direct, row(confidence <> 'High', s.pack_qty <> 1, NOT direct, s.unit_price, {", ".join("s." + c for c in ORDER)}) AS r
@@ -208,13 +208,13 @@ QUERIES: dict[str, tuple] = {
       UNION ALL SELECT * FROM (SELECT wid, key, failed_url, 'snapshot', url, row_number() OVER (PARTITION BY wid, key, pack_qty ORDER BY r) AS n, pack_qty, unit_price FROM m) WHERE n = 1
       UNION ALL SELECT wid, key, failed_url, 'none', NULL, NULL, NULL, NULL FROM g WHERE link IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.wid = g.wid AND m.key = g.key)"""),
     "trusted_units": (trusted, f"""SELECT user_id AS wid, count(*) AS n, min(value) AS low, max(ts) AS last FROM events WHERE event_type <> 'error' AND event_type <> 'view' AND value > 0 AND event_id % 7 <> 3 AND ts >= {NOW} - INTERVAL 20 DAYS GROUP BY user_id"""),
-    "cached_rows": (cached_rows, f"""WITH e AS (SELECT 'q' || (user_id % 50) AS query, ts, event_id FROM events), n AS (SELECT * FROM e WHERE event_id % 2 = 1),
-      a AS (SELECT * FROM n UNION ALL SELECT * FROM e WHERE event_id % 2 = 0 AND query NOT IN (SELECT query FROM n)) SELECT query, ts, event_id FROM a WHERE epoch({NOW}) - floor(epoch(ts)) <= 30 * 24 * 3600"""),
+    "cached_rows": (cached_rows, f"""WITH e AS (SELECT user_id || '/' || (props->>'$.k') AS query, ts, event_id, event_type FROM events), n AS (SELECT * FROM e WHERE event_type = 'purchase'),
+      a AS (SELECT * FROM n UNION ALL SELECT * FROM e WHERE event_type <> 'purchase' AND query NOT IN (SELECT query FROM n)) SELECT query, ts, event_id FROM a WHERE epoch({NOW}) - floor(epoch(ts)) <= 30 * 24 * 3600"""),
     "discovery_state": (discovery, """WITH e AS (SELECT user_id % 300 AS wid, 'd' || (event_id % 4) AS domain, CASE WHEN event_type = 'click' THEN 'https://x/' || event_id ELSE '' END AS url, event_type <> 'error' AS ok, ts, event_id FROM events),
       g AS (SELECT *, sum(CASE WHEN ok AND url = '' THEN 0 ELSE 1 END) OVER (PARTITION BY wid, domain ORDER BY ts, event_id) AS grp FROM e), l AS (SELECT *, first_value(url) OVER (PARTITION BY wid, domain, grp ORDER BY ts, event_id) AS held FROM g)
       SELECT wid, domain, CASE WHEN grp > 0 THEN held ELSE '' END AS url, ok, ts FROM l QUALIFY row_number() OVER (PARTITION BY wid, domain ORDER BY ts DESC, event_id DESC) = 1"""),
-    "learned_identity": (learned, """SELECT p_partkey AS wid, CASE WHEN p_size % 3 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_concat([lpad(CAST(p_partkey AS VARCHAR), 14, '0')], CASE WHEN p_size % 5 = 0 THEN ['00000000000017'] ELSE [] END))), ',') END AS gtins,
-      CASE WHEN p_size % 3 = 0 THEN '' ELSE array_to_string(list_sort(list_concat([p_brand], CASE WHEN p_size % 5 = 0 AND length('M-' || p_size) >= 4 THEN ['M-' || p_size] ELSE [] END)), ',') END AS mpns, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS learned_brand FROM part"""),
+    "learned_identity": (learned, """SELECT p_partkey AS wid, CASE WHEN p_size % 3 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_concat([lpad(CAST(p_partkey AS VARCHAR), 14, '0')], CASE WHEN p_type <> 'ECONOMY' THEN ['00000000000017'] ELSE [] END))), ',') END AS gtins,
+      CASE WHEN p_size % 3 = 0 THEN '' ELSE array_to_string(list_sort(list_concat([p_brand], CASE WHEN p_type <> 'ECONOMY' AND length('M-' || p_size) >= 4 THEN ['M-' || p_size] ELSE [] END)), ',') END AS mpns, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS learned_brand FROM part"""),
     "stock_status": (stock, f"""WITH {LISTINGS_SQL} SELECT wid, count(*) FILTER (WHERE evidence LIKE 'verified%' AND in_stock) AS yes, count(*) FILTER (WHERE evidence LIKE 'verified%' AND NOT in_stock) AS no,
       count(*) FILTER (WHERE evidence NOT LIKE 'verified%' OR in_stock IS NULL) AS unknown FROM scored GROUP BY wid"""),
     "flag_text": (flags, f"""WITH {LINKS_SQL}, l AS (SELECT wid, array_to_string(list_sort(list(DISTINCT vendor)), '; ') AS x FROM links WHERE failed GROUP BY wid), e AS (SELECT user_id AS wid, count(*) FILTER (WHERE event_type = 'error') % 3 AS n FROM events GROUP BY 1)
