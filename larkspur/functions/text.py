@@ -133,9 +133,28 @@ def truthy(c: Column) -> Column:
     return F.lower(F.trim(text_of(c))).isin("yes", "y", "true", "1", "1.0")
 
 
+def entries(c: Column) -> Column:
+    """The entries of a cell as structs (neg, text): neg for those that begin with !, which the text leaves out; specifications are tidied, model numbers stay.
+
+    Of entries with the same words, whatever their order and spelling of inches, the first stays.
+    """
+    parts = F.transform(split_multi(c), lambda p: F.struct(p.startswith("!").alias("neg"), F.trim(F.ltrim(p, F.lit("!"))).alias("t")))
+    tidied = F.transform(parts, lambda p: F.struct(p["neg"].alias("neg"), F.when(looks_like_sku(p["t"]), p["t"]).otherwise(tidy_spec(p["t"])).alias("text")))
+    words = lambda t: F.array_join(F.array_sort(F.array_distinct(F.split(norm_text(t), " "))), " ")
+    keyed = F.transform(F.filter(tidied, lambda p: p["text"] != ""), lambda p: F.struct(p["neg"].alias("neg"), p["text"].alias("text"), F.coalesce(F.nullif(words(p["text"]), F.lit("")), F.lower(p["text"])).alias("key")))
+    # One array a row, so that each entry is normalised once and not anew for each comparison.
+    once = F.aggregate(keyed, F.filter(keyed, lambda _: F.lit(False)), lambda seen, p: F.when(F.exists(seen, lambda q: (q["neg"] == p["neg"]) & (q["key"] == p["key"])), seen).otherwise(F.concat(seen, F.array(p))))
+    return F.transform(once, lambda p: F.struct(p["neg"].alias("neg"), p["text"].alias("text")))
+
+
+def wanted(c: Column) -> Column:
+    """The texts of entries that don't exclude."""
+    return F.transform(F.filter(c, lambda p: ~p["neg"]), lambda p: p["text"])
+
+
 def exclusions(c: Column) -> Column:
-    """Parts of a cell that begin with !, without it."""
-    return F.transform(F.filter(split_multi(c), lambda p: p.startswith("!")), lambda p: F.trim(F.substring(p, 2, 1 << 20)))
+    """The texts of entries that exclude."""
+    return F.transform(F.filter(c, lambda p: p["neg"]), lambda p: p["text"])
 
 
 def norm_code(c: Column) -> Column:

@@ -108,5 +108,5 @@ def us_locale_ok(c: Column) -> Column:
 
 
 def urls_in(c: Column) -> Column:
-    """Distinct http URLs of a text, in order, without closing punctuation."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text_of(c), F.lit(r"(https?://[^\s;,<>\"']+)"), 1), lambda u: F.rtrim(u, F.lit(").,;"))))
+    """Distinct http URLs of a text, in order, without closing punctuation; semicolons part them, commas are theirs."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text_of(c), F.lit(r"(?i)(https?://[^\s;；<>\"']+)"), 1), lambda u: F.rtrim(u, F.lit(").,"))))

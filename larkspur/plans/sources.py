@@ -10,6 +10,7 @@ from larkspur.plans.offers import LISTINGS_SQL, candidates, listings, table
 from larkspur.plans.offers import QUERIES as OFFERS
 from larkspur.sources import feeds, pages, sitemaps
 from larkspur.sources.structured import STATE_PRICES
+from larkspur.sources.tables import load_items
 
 
 def shopping(spark, sf):
@@ -149,6 +150,23 @@ def site_maps(spark, sf):
 
 
 #: Queries and their SQL; None where SQL can't express them, which tests then cover.
+def item_sheet(spark, sf):
+    """Parts as rows of a sheet of wanted items, with what was learned of those of more than size 10."""
+    p, size, kind = table(spark, sf, "part"), F.col("p_size").cast("string"), F.col("p_type")
+    wid = F.col("p_partkey").cast("string")
+    sheet = p.select(
+        wid.alias("WishlistItem"), F.concat(F.lit(" "), "p_name").alias("Product"), F.concat(size, F.lit(" in; "), size, F.lit(" inch; !"), "p_brand", F.lit("; ! "), F.lower("p_brand")).alias("Product Specifications"),
+        F.concat(F.lit("X"), F.lpad(wid, 8, "0"), F.lit("; "), kind).alias("Search Keywords"), F.concat(F.lit("$"), F.col("p_retailprice").cast("decimal(10,2)").cast("string")).alias("Target Price"), size.alias("Quantity Needed"),
+        F.when(kind.isin("PROMO", "LARGE"), "Yes").alias("Is Bulk Option"), F.when(kind == "PROMO", F.concat(size, F.lit("; 2Pack"))).alias("Bulk Keywords"), F.when(kind.isin("SMALL", "LARGE"), "yes").alias("Only Check Primary Links"),
+        F.when(F.col("p_size") > 25, F.concat(F.lit("https://X.com/p?utm_source=a&id="), wid, F.lit("; https://x.com/p?id="), wid)).alias("Product URLs"), F.when(kind == "SMALL", "4006381333931; 12345").alias("GTIN/UPC"), F.lit("m-5").alias("MPN"),
+        F.when(kind != "PROMO", F.col("p_brand")).alias("Brand"), F.when(kind == "ECONOMY", "2.0").alias("Priority"),
+    )
+    known = p.select(wid.alias("wid"), F.when(F.col("p_size") > 10, F.upper("p_name")).otherwise("another name").alias("product"), F.array(F.lit("00000000000017")).alias("gtins"), F.array(F.concat(F.lit("M-"), size)).alias("mpns"), kind.alias("brand"))
+    lists = ("specs", "keywords", "skus", "exclude", "mpns", "gtins", "urls")
+    items = load_items(sheet, known)
+    return items.select("wid", "product", *[F.array_join(c, "|").alias(c) for c in lists], "brand", "qty_needed", "target", "priority", F.array_join("packs", ",").alias("packs"), "only_links", "links_only_fallback")
+
+
 QUERIES: dict[str, tuple] = {
     "shopping_feed": (shopping, """SELECT CAST(p_partkey AS VARCHAR) AS query, p_name AS title, p_brand AS vendor, CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS DOUBLE) AS price, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE 4.5 END::DOUBLE AS shipping,
       CASE WHEN p_partkey % 5 = 0 THEN 'used' ELSE 'new' END AS condition, CASE WHEN p_partkey % 4 = 0 THEN 'coupon' END AS conditional FROM part WHERE p_partkey % 7 <> 0"""),
@@ -176,4 +194,10 @@ QUERIES: dict[str, tuple] = {
     "sequence_ratio": (ratio, None),
     "rank_links": (ranked_links, None),
     "search_query": (searches, "SELECT p_partkey, p_name || CASE WHEN list_contains(string_split(p_name, ' '), lower(p_type)) THEN '' ELSE ' ' || p_type END || ' ' || replace(p_brand, '#', '') AS query FROM part"),
+    "item_sheet": (item_sheet, """SELECT CAST(p_partkey AS VARCHAR) AS wid, p_name AS product, p_size || ' inch' AS specs, p_type AS keywords, 'X' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS skus, p_brand AS exclude,
+      'm-5' || CASE WHEN p_size > 10 THEN '|M-' || p_size ELSE '' END AS mpns, concat_ws('|', CASE WHEN p_size > 10 THEN '00000000000017' END, CASE WHEN p_type = 'SMALL' THEN '04006381333931' END) AS gtins,
+      CASE WHEN p_size > 25 THEN 'https://x.com/p?id=' || p_partkey ELSE '' END AS urls, CASE WHEN p_type <> 'PROMO' THEN p_brand WHEN p_size > 10 THEN p_type ELSE '' END AS brand, CAST(greatest(1, p_size) AS INTEGER) AS qty_needed,
+      CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS DOUBLE) AS target, CASE WHEN p_type = 'ECONOMY' THEN 2 ELSE 3 END AS priority,
+      CASE p_type WHEN 'PROMO' THEN array_to_string(list_concat([1], list_sort(list_distinct(list_filter([2, p_size], lambda x: x > 1)))), ',') WHEN 'LARGE' THEN NULL ELSE '1' END AS packs,
+      p_type IN ('SMALL', 'LARGE') AND p_size > 25 AS only_links, p_type IN ('SMALL', 'LARGE') AND p_size <= 25 AS links_only_fallback FROM part"""),
 }
