@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import similarity, text
+from larkspur.functions.tasks import spread
 from larkspur.operators import identity, learning, links, reconcile
 from larkspur.plans.offers import LISTINGS_SQL, candidates, listings, table
 from larkspur.plans.offers import QUERIES as OFFERS
@@ -103,7 +104,7 @@ def searches(spark, sf):
 
 def product_pages(spark, sf):
     """Listings of pages with JSON-LD products of three offers, two of them equal."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"), "p_partkey")
     one = lambda price, sku, condition: F.struct(price.alias("price"), F.lit("USD").alias("priceCurrency"), F.lit("https://schema.org/InStock").alias("availability"), F.lit(sku).alias("sku"), F.lit(condition).alias("itemCondition"))
     price = F.col("p_retailprice")
     node = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.lit("036000291452").alias("gtin12"), F.array(one(price, "A", "NewCondition"), one(price, "A", "NewCondition"), one(price + 1, "B", "UsedCondition")).alias("offers"))
