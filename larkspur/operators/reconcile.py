@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.ids import fingerprint
 from larkspur.functions.similarity import is_similar
+from larkspur.functions.tasks import spread
 from larkspur.functions.text import keys_match, norm_code, norm_text, strip_pack_phrases, text_of, vendor_key
 from larkspur.functions.urls import merchant_item_id, normalize_url
 from larkspur.operators.pricing import BIN_RATIO, BIN_REACH, VERIFIED, verified
@@ -16,6 +17,8 @@ EVIDENCE_RANK = {"verified_direct": 0, "verified_discovered": 1, "market_snapsho
 CONFIDENCE_RANK = {"High": 0, "Medium": 1}
 PRICE_AGREE, STALE = 0.15, 0.02
 TITLE_CHARS, TITLE_RATIO = 90, 0.85
+#: Keys of one code that meet others' in one task.
+PAIR_KEYS = 2000
 
 
 def offer_id() -> Column:
@@ -132,10 +135,24 @@ def promote(offers: DataFrame, order: list[str]) -> DataFrame:
 
 
 def share_identifier(left: DataFrame, right: DataFrame, key: str, codes: str) -> DataFrame:
-    """The distinct (left key, right key) that share a code: an equi-join on exploded codes, not a test of all pairs."""
-    a = left.select(F.col(key).alias(f"left_{key}"), F.explode(codes).alias("_code"))
-    b = right.select(F.col(key).alias(f"right_{key}"), F.explode(codes).alias("_code"))
-    return a.join(b, "_code").select(f"left_{key}", f"right_{key}").distinct()
+    """The distinct (left key, right key) that share a code: an equi-join on exploded codes, not a test of all pairs.
+
+    A pair is made at the first code that both have, so none is made twice and pairs aren't exchanged. Of a code that
+    many left keys have, each PAIR_KEYS of them meet the right ones in another task.
+    """
+    coded = lambda df: df.select(key, F.explode(codes).alias("code"))
+    a, b = coded(left), coded(right)
+    shared = a.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / PAIR_KEYS).cast("int").alias("parts")).join(b.select("code").distinct(), "code", "left_semi")
+
+    def first_codes(df: DataFrame) -> DataFrame:
+        """A row for each key and shared code, with the key's shared codes before it."""
+        one = df.join(shared, "code").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("code", "parts"))).alias("all")).select(key, "all", F.posexplode("all").alias("at", "c"))
+        return one.select(key, "c.code", "c.parts", F.slice("all.code", F.lit(1), F.col("at")).alias("before"))
+
+    l = first_codes(a).select(F.col(key).alias(f"left_{key}"), "code", F.pmod(F.xxhash64(key), "parts").cast("int").alias("part"), F.col("before").alias("_l"))
+    r = first_codes(b).select(F.col(key).alias(f"right_{key}"), "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("before").alias("_r"))
+    l, r = (spread(df, "code", "part") for df in (l, r))
+    return l.join(r, ["code", "part"]).where(~F.arrays_overlap("_l", "_r")).select(f"left_{key}", f"right_{key}")
 
 
 def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4, on: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import reconcile
 from larkspur.plans import sources
 
 
@@ -21,3 +22,16 @@ def parts(spark, tmp_path):
 def test_page_listings_run_in_many_tasks(spark, parts):
     found = sources.product_pages(spark, parts)
     assert "REPARTITION_BY_NUM" in plan(found) and found.count() == 128
+
+
+def test_pairs_that_share_codes_are_not_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(reconcile, "PAIR_KEYS", 2)
+    codes = {1: ["a", "b", "c"], 2: ["b", None], 3: ["c", "a"], 4: [], 5: ["x"], 6: ["b", "a"], 7: None, 8: ["a", "c", "c"]}
+    rows = [*codes.items(), (2, ["c"]), (1, ["b"])]
+    left = spark.createDataFrame(rows, "wid long, codes array<string>")
+    right = spark.createDataFrame([(k + 100, c) for k, c in rows if k != 5], "wid long, codes array<string>")
+    pairs = reconcile.share_identifier(left, right, "wid", "codes")
+    every = lambda k: {c for key, cs in rows if key == k for c in cs or [] if c}
+    wanted = sorted((a, b + 100) for a in codes for b in codes if b != 5 and every(a) & every(b))
+    assert sorted(tuple(r) for r in pairs.collect()) == wanted
+    assert "hashpartitioning(left_wid" not in plan(pairs)
