@@ -115,7 +115,7 @@ def product_pages(spark, sf):
 
 def structured(spark, sf):
     """The first offer of pages in six shapes: one offer, variants with packs, nested aggregates, list and member prices, a page state under each of its price keys, and JSON that can't be read."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("price"), F.col("p_size").cast("string").alias("n"))
+    p = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", "p_name", "p_brand", F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("price"), F.col("p_size").cast("string").alias("n"))
     keys = F.array(*map(F.lit, STATE_PRICES))
     key = F.element_at(keys, (F.col("p_partkey") % len(STATE_PRICES)).cast("int") + 1)
     text = lambda template, *cs: F.format_string(template, *cs)

@@ -7,6 +7,11 @@ from larkspur.operators import reconcile
 from larkspur.plans import sources
 
 
+def tasks(df) -> int:
+    """The tasks that a query's last stage has rows in."""
+    return df.select(F.spark_partition_id().alias("task")).distinct().count()
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -19,6 +24,11 @@ def parts(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_structured_offers_run_in_many_tasks(spark, parts):
+    found = sources.structured(spark, parts)
+    assert tasks(found) > 8 and found.count() == 64
+
+
 def test_page_listings_run_in_many_tasks(spark, parts):
     found = sources.product_pages(spark, parts)
     assert "REPARTITION_BY_NUM" in plan(found) and found.count() == 128
