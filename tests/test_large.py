@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import reconcile
+from larkspur.operators import reconcile, sourcing
 from larkspur.plans import sources
 
 
@@ -45,3 +45,17 @@ def test_pairs_that_share_codes_are_not_exchanged(spark, monkeypatch):
     wanted = sorted((a, b + 100) for a in codes for b in codes if b != 5 and every(a) & every(b))
     assert sorted(tuple(r) for r in pairs.collect()) == wanted
     assert "hashpartitioning(left_wid" not in plan(pairs)
+
+
+def test_a_vendor_sheet_is_no_part_of_the_plan(spark):
+    names = ["Philips Hue Direct", "Bolt & Nut Store", "Soundcore Inc", "The Shop", "Hue hue", None]
+    sheet = spark.createDataFrame([(n, f"www.v{i}.com" if i != 3 else "", d) for i, n in enumerate(names * 2) for d in (True, False, None)], "name string, domain string, is_direct boolean")
+    items = spark.createDataFrame([(1, "hue color slim bolt"), (2, "sound core speaker"), (3, None), (4, "hue color slim bolt"), (None, "nut")], "wid int, product_text string")
+    hosts = lambda *h: spark.createDataFrame([(f"v{i}.com",) for i in h], "host string")
+    covered = spark.createDataFrame([(1, "v0.com"), (1, "v0.com"), (4, "v1.com"), (2, None), (None, "v1.com"), (2, "elsewhere.com")], "wid int, host string")
+    asked = sourcing.verification_targets(items, sheet, covered, hosts(4), hosts(5, 2))
+    assert "v6.com" not in plan(asked)
+    pairs = items.crossJoin(sheet.where("domain <> ''").selectExpr("name vendor", "substring(domain, 5) host", "is_direct")).where("host <> 'v4.com' and (is_direct or host not in ('v5.com', 'v2.com'))")
+    pairs = pairs.where(~F.coalesce("is_direct", F.lit(False)) | sourcing.name_fits_product(F.col("vendor"), F.col("product_text"))).join(covered, ["wid", "host"], "left_anti")
+    wanted = pairs.select("wid", "vendor", "host", F.when(F.col("is_direct"), "direct").otherwise("retailer"))
+    assert sorted(map(repr, map(tuple, asked.collect()))) == sorted(map(repr, map(tuple, wanted.collect())))
