@@ -155,7 +155,7 @@ def item_sheet(spark, sf):
     """Parts as rows of a sheet of wanted items, with what was learned of those of more than size 10."""
     p, size, kind = table(spark, sf, "part"), F.col("p_size").cast("string"), F.col("p_type")
     wid = F.col("p_partkey").cast("string")
-    sheet = p.select(
+    sheet = spread(p, "p_partkey").select(
         wid.alias("WishlistItem"), F.concat(F.lit(" "), "p_name").alias("Product"), F.concat(size, F.lit(" in; "), size, F.lit(" inch; !"), "p_brand", F.lit("; ! "), F.lower("p_brand")).alias("Product Specifications"),
         F.concat(F.lit("X"), F.lpad(wid, 8, "0"), F.lit("; "), kind).alias("Search Keywords"), F.concat(F.lit("$"), F.col("p_retailprice").cast("decimal(10,2)").cast("string")).alias("Target Price"), size.alias("Quantity Needed"),
         F.when(kind.isin("PROMO", "LARGE"), "Yes").alias("Is Bulk Option"), F.when(kind == "PROMO", F.concat(size, F.lit("; 2Pack"))).alias("Bulk Keywords"), F.when(kind.isin("SMALL", "LARGE"), "yes").alias("Only Check Primary Links"),

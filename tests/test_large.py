@@ -59,3 +59,8 @@ def test_a_vendor_sheet_is_no_part_of_the_plan(spark):
     pairs = pairs.where(~F.coalesce("is_direct", F.lit(False)) | sourcing.name_fits_product(F.col("vendor"), F.col("product_text"))).join(covered, ["wid", "host"], "left_anti")
     wanted = pairs.select("wid", "vendor", "host", F.when(F.col("is_direct"), "direct").otherwise("retailer"))
     assert sorted(map(repr, map(tuple, asked.collect()))) == sorted(map(repr, map(tuple, wanted.collect())))
+
+
+def test_item_sheet_is_read_in_many_tasks(spark, parts):
+    found = sources.item_sheet(spark, parts)
+    assert "REPARTITION_BY_NUM" in plan(found) and found.count() == 64
