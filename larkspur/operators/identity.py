@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.functions.ids import gtins_in_text
 from larkspur.functions.similarity import is_similar
+from larkspur.functions.tasks import spread
 
 # The vocabulary of variants, and how much of a title counts.
 HEAD_CHARS, HEAD_EXTRA = 70, 40
@@ -163,7 +164,8 @@ def conflict() -> Column:
     variant = F.exists(missing, lambda c: F.exists(strange, lambda x: T.near_variant(c, x)))
     accessory = F.array_except(F.array_intersect(o["head_words"], _lit(ACCESSORIES)), i["all_words"])
     keys = F.array_join(F.array_compact(F.array(F.nullif(i["brand"], F.lit("")), i["model"])), "|")
-    aimed = F.regexp_instr(T.norm_text(title), F.concat(F.lit(FOR_PRODUCT), keys, F.lit(r")\b")))
+    worded = F.lower(title).rlike("for|fits|compatible")  # else no phrase of FOR_PRODUCT stands there
+    aimed = F.when(worded, F.regexp_instr(T.norm_text(title), F.concat(F.lit(FOR_PRODUCT), keys, F.lit(r")\b")))).otherwise(0)
     lead = T.words_of(F.substr(T.norm_text(title), F.lit(1), F.greatest(aimed - 1, F.lit(0))))
     for_product = (keys != "") & (aimed > 0) & (~F.arrays_overlap(F.slice(lead, 1, 3), F.array(i["brand"], F.coalesce(i["model"], F.lit("")))) | F.arrays_overlap(lead, _lit(ACCESSORIES)))
     parts = F.flatten(F.transform(F.regexp_extract_all(F.substring(title, 1, 140), F.lit(WITH), 1), lambda p: F.slice(T.words_of(T.norm_text(p)), 1, 3)))
@@ -235,6 +237,18 @@ def classify(pairs: DataFrame, anchor: str | None = None) -> DataFrame:
     return out.drop("_v", "_conflict", "_gtin", "_coverage", "_listed", "_mpn", "_specs", "_close", "_mirror")
 
 
+#: What an offer says that `classify` reads, beside its item.
+TOLD = ["title", "offer_gtins", "offer_mpns", "pack_qty", "color"]
+
+
+def classify_offers(items: DataFrame, offers: DataFrame) -> DataFrame:
+    """offers (wid, TOLD and others) of items with confidence, reason and match_evidence: what several offers of an item say alike is classified once, in tasks of equal numbers of items."""
+    once = offers.select("wid", *TOLD).distinct().join(item_features(spread(items, "wid")), "wid")
+    found = classify(spread(once, "wid")).select("wid", *TOLD, "confidence", "reason", "match_evidence")
+    on = [offers["wid"] == found["wid"], *[offers[c].eqNullSafe(found[c]) for c in TOLD]]
+    return offers.join(found, on).select(offers["*"], "confidence", "reason", found["match_evidence"])
+
+
 def validate_page(pairs: DataFrame) -> DataFrame:
     """pairs, also with slug and host, with the verdict on an own product link: classify's, or High where title and slug carry three quarters of the distinctive name, or the page is on the brand's own site."""
     p = classify(pairs)

@@ -73,12 +73,12 @@ def _pairs(spark, sf):
     offers = l.join(p, F.col("wid") == F.col("p_partkey")).select(
         "wid", "l_suppkey", F.concat_ws(" ", name, kind).alias("title"), F.when(F.col("l_suppkey") % 3 == 0, code).otherwise(empty).alias("offer_mpns"), empty.alias("offer_gtins"), F.lit(1).alias("pack_qty"), F.lit("").alias("color")
     )
-    return identity.item_features(items).join(offers, "wid")
+    return items, offers
 
 
 def identities(spark, sf):
     """Offers of parts against them; names are plain words, so only codes, accessory and variant words differ."""
-    return identity.classify(_pairs(spark, sf)).select("wid", "l_suppkey", "confidence", "reason", "match_evidence")
+    return identity.classify_offers(*_pairs(spark, sf)).select("wid", "l_suppkey", "confidence", "reason", "match_evidence")
 
 
 def products(spark, sf):

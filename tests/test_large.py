@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import reconcile, sourcing
-from larkspur.plans import sources
+from larkspur.functions.text import keys_match
+from larkspur.operators import identity, reconcile, sourcing
+from larkspur.plans import offers, sources
+from larkspur.plans import sourcing as sourcing_plans
+from tests.conftest import SF
 
 
 def tasks(df) -> int:
@@ -64,3 +67,15 @@ def test_a_vendor_sheet_is_no_part_of_the_plan(spark):
 def test_item_sheet_is_read_in_many_tasks(spark, parts):
     found = sources.item_sheet(spark, parts)
     assert "REPARTITION_BY_NUM" in plan(found) and found.count() == 64
+
+
+def test_what_offers_say_alike_is_classified_once(spark, monkeypatch):
+    none = [None] * 6
+    items = spark.createDataFrame([(1, "Acme Glow Lamp", "Acme", ["red"], ["AGL1000"], *none[:2]), (2, "Bolt", None, *none[:4])], "wid int, product string, brand string, specs array<string>, mpns array<string>, gtins array<string>, exclude array<string>")
+    said = [("Acme Glow Lamp red", None, ["AGL-1000"], 1, ""), ("Acme Glow Lamp case", None, None, 1, None), (None, None, None, 1, None)]
+    rows = spark.createDataFrame([(w, n, *x) for n in range(5) for w in (1, 2, 3, None) for x in said], "wid int, n int, title string, offer_gtins array<string>, offer_mpns array<string>, pack_qty int, color string")
+    every = identity.classify(rows.join(identity.item_features(items), "wid")).select(*rows.columns, "confidence", "reason", "match_evidence").collect()
+    asked, classify = [], identity.classify
+    monkeypatch.setattr(identity, "classify", lambda pairs, *a: asked.append(pairs.count()) or classify(pairs, *a))
+    got = identity.classify_offers(items, rows).collect()
+    assert asked == [6] and sorted(map(repr, got)) == sorted(map(repr, every)) and len(got) == 30
