@@ -93,45 +93,47 @@ def promote(offers: DataFrame, order: list[str]) -> DataFrame:
     "shared code" - it is verified itself and shares a GTIN or code with an independent High offer of its item.
     Independent: another vendor, or other evidence. Columns title, gtins and mpns (arrays) may be missing.
 
-    Distinct (item, pack, vendor, evidence, price, title, codes) are made once, with a mark of what they are, and every way starts from them. Prices
-    meet by bins; titles are normalised only where such prices agree, each pair of titles once, and compared by bounds before Python sees them.
+    Distinct (item, pack, vendor, evidence, price, title, codes) are made once, with a mark of what they are, and every way starts from them; only
+    Medium rows with an ordinary price are joined with the outcome, once. Prices meet by bins, and whether a code's or an identifier's offer is there
+    is asked without making the pairs; titles are normalised only where such prices agree, each pair of titles once, and compared by bounds before Python sees them.
     """
     kinds = {"title": "string", "gtins": "array<string>", "mpns": "array<string>"}
     full = offers.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in offers.columns})
     codes = F.array_distinct(F.concat(F.coalesce("gtins", F.array().cast("array<string>")), F.transform(F.coalesce("mpns", F.array().cast("array<string>")), norm_code)))
     full = full.withColumn("_codes", F.filter(codes, lambda c: c != ""))
     ordinary = F.col("conditional").isNull()
-    able = (F.col("confidence") == "Medium") & ordinary
+    able = F.coalesce((F.col("confidence") == "Medium") & ordinary, F.lit(False))
     mark = F.when((F.col("confidence") == "High") & (F.col("condition") == "new") & ordinary, 1).when(able, 2).otherwise(0)
-    own = ["wid", "pack_qty", "vkey", "evidence", "unit_price", "match_evidence"]
-    seen = full.withColumn("_mark", mark).where("_mark > 0").groupBy(*own, "title", "_codes").agg(F.bit_or("_mark").alias("_mark"))
-    high, medium = (seen.where(F.col("_mark").bitwiseAND(bit) > 0) for bit in (1, 2))
+    own = ["wid", "pack_qty", "vkey", "evidence", "unit_price", "match_evidence", "title", "_codes"]
+    seen = full.withColumn("_mark", mark).where("_mark > 0").groupBy(*own).agg(F.bit_or("_mark").alias("_mark"))
+    seen = seen.select(F.explode(F.array(F.struct(*own, "_mark"))).alias("_s")).select("_s.*")  # filters stay above this, so all ways have one exchange of these rows
+    high, medium = (seen.where(F.col("_mark").bitwiseAND(bit) > 0).select(*own) for bit in (1, 2))
     independent = ~keys_match(F.col("vkey"), F.col("h_vkey")) | (F.col("evidence") != F.col("h_evidence"))
     reach = F.array(*[price_bin(F.col("h_price")) + i for i in range(-BIN_REACH, BIN_REACH + 1)])
     agree = F.abs(F.col("unit_price") - F.col("h_price")) / F.col("h_price") <= PRICE_AGREE
 
-    def agreeing(mine: DataFrame, theirs: DataFrame, *titles: str) -> DataFrame:
-        """Medium rows with the independent High ones whose prices agree, and the titles asked for."""
-        wanted = mine.where("unit_price > 0").select(*own, *titles).distinct().withColumn("_bin", price_bin(F.col("unit_price")))
-        priced = theirs.where("unit_price > 0").select("wid", "pack_qty", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.col("unit_price").alias("h_price"), *(F.col(t).alias(f"h_{t}") for t in titles)).distinct()
-        return wanted.join(priced.withColumn("_bin", F.explode(reach)), ["wid", "pack_qty", "_bin"]).where(independent & agree)
+    def agreeing(mine: DataFrame, theirs: DataFrame, how: str, *titles: str) -> DataFrame:
+        """Medium rows with the independent High ones whose prices agree and the titles asked for, or only those that have one."""
+        wanted = mine.where("unit_price > 0").withColumn("_bin", price_bin(F.col("unit_price")))
+        priced = theirs.where("unit_price > 0").select(F.col("wid").alias("h_wid"), F.col("pack_qty").alias("h_pack"), F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.col("unit_price").alias("h_price"), *(F.col(t).alias(f"h_{t}") for t in titles)).distinct()
+        near = priced.withColumn("h_bin", F.explode(reach))
+        return wanted.join(near, (F.col("wid") == F.col("h_wid")) & (F.col("pack_qty") == F.col("h_pack")) & (F.col("_bin") == F.col("h_bin")) & independent & agree, how)
 
     coded = F.coalesce(F.col("match_evidence").isin("gtin", "mpn", "page_metadata"), F.lit(False))
-    by_code = agreeing(medium.where(coded), high).select(*own).distinct().withColumn("_code_ok", F.lit(True))
-    titles = agreeing(medium.where(~coded & (F.col("title") != "")), high.where(F.col("evidence").isin(VERIFIED) & (F.col("title") != "")), "title").select(*own, "title", "h_title").distinct()
+    by_code = agreeing(medium.where(coded), high, "left_semi").select(*own, F.lit(0).alias("_way"))
+    titles = agreeing(medium.where(~coded & (F.col("title") != "")), high.where(F.col("evidence").isin(VERIFIED) & (F.col("title") != "")), "inner", "title").select(*own, "h_title").distinct()
     once = titles.groupBy("title", "h_title").agg(F.max("h_title").alias("_a"), F.max("title").alias("_b"))  # a filter on what is aggregated stays above, so each pair is normalised once
     mirrored = once.withColumns({"_a": title_head(F.col("_a")), "_b": title_head(F.col("_b"))})
     mirrored = mirrored.where((F.col("_a") != "") & (F.col("_b") != "") & is_similar(F.col("_a"), F.col("_b"), TITLE_RATIO)).select("title", "h_title")
-    by_title = titles.join(mirrored, ["title", "h_title"], "left_semi").select(*own, "title").distinct().withColumn("_title_ok", F.lit(True))
-    h = high.select("wid", F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.explode("_codes").alias("_code")).distinct()
-    m = medium.where(verified()).select("wid", "vkey", "evidence", "_codes", F.explode("_codes").alias("_code")).distinct()
-    by_shared = m.join(h, ["wid", "_code"]).where(independent).select("wid", "vkey", "evidence", "_codes").distinct().withColumn("_shared", F.lit(True))
-    out = full.withColumn("_able", able)
-    for found in (by_code, by_title, by_shared):
-        on = [out[c].eqNullSafe(found[c]) for c in found.columns[:-1]]
-        out = out.join(found, on, "left").select(out["*"], found.columns[-1])
-    why = F.when(F.col("_able"), F.when(F.col("_code_ok"), "identifier").when(F.col("_title_ok"), "title").when(F.col("_shared"), "shared code"))
-    return out.select(*offers.columns, why.alias("promoted"))
+    by_title = titles.join(mirrored, ["title", "h_title"], "left_semi").select(*own, F.lit(1).alias("_way"))
+    h = high.select(F.col("wid").alias("h_wid"), F.col("vkey").alias("h_vkey"), F.col("evidence").alias("h_evidence"), F.explode("_codes").alias("h_code")).distinct()
+    m = medium.where(verified()).select(*own, F.explode("_codes").alias("_code"))
+    by_shared = m.join(h, (F.col("wid") == F.col("h_wid")) & (F.col("_code") == F.col("h_code")) & independent, "left_semi").select(*own, F.lit(2).alias("_way"))
+    ways = by_code.unionByName(by_title).unionByName(by_shared).groupBy(*own).agg(F.min("_way").alias("_way"))
+    mine = full.where(able)
+    why = F.when(F.col("_way") == 0, "identifier").when(F.col("_way") == 1, "title").when(F.col("_way") == 2, "shared code")
+    told = mine.join(ways, [mine[c].eqNullSafe(ways[c]) for c in own], "left").select(*[mine[c] for c in offers.columns], why.alias("promoted"))
+    return told.unionByName(full.where(~able).select(*offers.columns, F.lit(None).cast("string").alias("promoted")))
 
 
 def share_identifier(left: DataFrame, right: DataFrame, key: str, codes: str) -> DataFrame:

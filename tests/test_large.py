@@ -79,3 +79,8 @@ def test_what_offers_say_alike_is_classified_once(spark, monkeypatch):
     monkeypatch.setattr(identity, "classify", lambda pairs, *a: asked.append(pairs.count()) or classify(pairs, *a))
     got = identity.classify_offers(items, rows).collect()
     assert asked == [6] and sorted(map(repr, got)) == sorted(map(repr, every)) and len(got) == 30
+
+
+def test_promotion_joins_offers_once(spark):
+    found = offers.promotion(spark, SF)
+    assert plan(found).count("LeftOuter") == 1 and "LeftSemi" in plan(found)
