@@ -84,3 +84,7 @@ def test_what_offers_say_alike_is_classified_once(spark, monkeypatch):
 def test_promotion_joins_offers_once(spark):
     found = offers.promotion(spark, SF)
     assert plan(found).count("LeftOuter") == 1 and "LeftSemi" in plan(found)
+
+
+def test_merged_offers_are_exchanged_with_few_columns(spark):
+    assert not any(c in plan(offers.dedupe(spark, SF)) for c in ("l_shipdate", "regular_price", "is_direct"))
