@@ -157,18 +157,23 @@ def share_identifier(left: DataFrame, right: DataFrame, key: str, codes: str) ->
     return l.join(r, ["code", "part"]).where(~F.arrays_overlap("_l", "_r")).select(f"left_{key}", f"right_{key}")
 
 
-def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4, on: tuple[str, ...] = ()) -> DataFrame:
-    """The pairs (on, vkey, vendor_key) of distinct keys that keys_match, with equal `on`: an equi-join on all beginnings of four characters or more, both ways."""
+def _starts(keys: DataFrame, vendors: DataFrame, shortest: int, on: tuple[str, ...]) -> tuple[DataFrame, ...]:
+    """Distinct keys and vendors that aren't empty; the keys' beginnings as vendor_key, whole ones with them, and the vendors' shorter beginnings as vkey."""
     a, b = keys.select(*on, "vkey").where("vkey <> ''").distinct(), vendors.select(*on, "vendor_key").where("vendor_key <> ''").distinct()
+    whole = F.length("vkey")
+    starts = a.select(*on, "vkey", F.explode(F.sequence(F.least(F.lit(shortest), whole), whole)).alias("n")).select(*on, "vkey", F.expr("left(vkey, n)").alias("vendor_key"))
+    longer = b.where(F.length("vendor_key") > shortest)
+    longer = longer.select(*on, "vendor_key", F.explode(F.sequence(F.lit(shortest), F.length("vendor_key") - 1)).alias("n")).select(*on, "vendor_key", F.expr("left(vendor_key, n)").alias("vkey"))
+    return a, b, starts, longer
+
 
-    def starts(df: DataFrame, c: str) -> DataFrame:
-        df = df.where(F.length(c) >= shortest)
-        return df.select(*on, c, F.explode(F.sequence(F.lit(shortest), F.length(c))).alias("n")).select(*on, c, F.expr(f"left({c}, n)").alias("start"))
+def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4, on: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs (on, vkey, vendor_key) of distinct keys that keys_match, with equal `on`: an equi-join on all beginnings of four characters or more, both ways.
 
-    long_a = starts(a, "vkey").join(b.withColumnRenamed("vendor_key", "start"), [*on, "start"]).select(*on, "vkey", F.col("start").alias("vendor_key"))
-    long_b = starts(b, "vendor_key").join(a.withColumnRenamed("vkey", "start"), [*on, "start"]).select(*on, F.col("start").alias("vkey"), "vendor_key")
-    equal = a.join(b.withColumn("vkey", F.col("vendor_key")), [*on, "vkey"]).select(*on, "vkey", "vendor_key")
-    return long_a.unionByName(long_b).unionByName(equal).distinct()
+    A key meets the vendors that it begins with or equals, and those that are longer than it; no pair is both, so none is made twice.
+    """
+    a, b, starts, longer = _starts(keys, vendors, shortest, on)
+    return starts.join(b, [*on, "vendor_key"]).select(*on, "vkey", "vendor_key").unionByName(longer.join(a, [*on, "vkey"]).select(*on, "vkey", "vendor_key"))
 
 
 def of_vendors(df: DataFrame, vendors: DataFrame, on: tuple[str, ...] = (), keep: bool = True) -> DataFrame:

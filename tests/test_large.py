@@ -88,3 +88,18 @@ def test_promotion_joins_offers_once(spark):
 
 def test_merged_offers_are_exchanged_with_few_columns(spark):
     assert not any(c in plan(offers.dedupe(spark, SF)) for c in ("l_shipdate", "regular_price", "is_direct"))
+
+
+@pytest.mark.parametrize(("query", "most"), [("vendor_roles", 15)])
+def test_tables_are_read_few_times(spark, query, most):
+    assert plan(sourcing_plans.QUERIES[query][0](spark, SF)).count("FileScan parquet") <= most
+
+
+def test_vendors_meet_each_way_once(spark):
+    words = ["", None, "v", "v12", "v123", "v1234", "v12345", "v124", "shop", "shopone", "v"]
+    keys = spark.createDataFrame([(w % 2, k) for w in range(2) for k in words], "wid int, vkey string")
+    vendors = keys.where("vkey <> 'v1234'").select("wid", F.col("vkey").alias("vendor_key"))
+    wanted = keys.distinct().join(vendors.distinct(), "wid").where(keys_match(F.col("vkey"), F.col("vendor_key"))).select("wid", "vkey", "vendor_key").collect()
+    pairs = reconcile.match_vendors(keys, vendors, on=("wid",))
+    assert plan(pairs).count("Join") == 2
+    assert sorted(pairs.collect()) == sorted(wanted)
