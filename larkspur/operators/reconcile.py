@@ -177,6 +177,7 @@ def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4, on: tu
 
 
 def of_vendors(df: DataFrame, vendors: DataFrame, on: tuple[str, ...] = (), keep: bool = True) -> DataFrame:
-    """The rows of df (with vkey) whose key matches a vendor_key of vendors, or the others; within equal `on` where given. Null and empty keys match none."""
-    matched = match_vendors(df, vendors, on=on).select(*on, "vkey").distinct()
+    """The rows of df (with vkey) whose key matches a vendor_key of vendors, or the others; within equal `on` where given. Null and empty keys match none. No pair is made."""
+    _, b, starts, longer = _starts(df, vendors, 4, on)
+    matched = starts.join(b, [*on, "vendor_key"], "left_semi").select(*on, "vkey").unionByName(longer.select(*on, "vkey"))
     return df.join(matched, [*on, "vkey"], "left_semi" if keep else "left_anti").select(*df.columns)

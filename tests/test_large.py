@@ -90,7 +90,7 @@ def test_merged_offers_are_exchanged_with_few_columns(spark):
     assert not any(c in plan(offers.dedupe(spark, SF)) for c in ("l_shipdate", "regular_price", "is_direct"))
 
 
-@pytest.mark.parametrize(("query", "most"), [("failed_stand_ins", 7), ("vendor_roles", 15)])
+@pytest.mark.parametrize(("query", "most"), [("failed_stand_ins", 7), ("vendor_roles", 15), ("unworking_snapshots", 6)])
 def test_tables_are_read_few_times(spark, query, most):
     assert plan(sourcing_plans.QUERIES[query][0](spark, SF)).count("FileScan parquet") <= most
 
@@ -103,3 +103,7 @@ def test_vendors_meet_each_way_once(spark):
     pairs = reconcile.match_vendors(keys, vendors, on=("wid",))
     assert plan(pairs).count("Join") == 2
     assert sorted(pairs.collect()) == sorted(wanted)
+    kept, others = (reconcile.of_vendors(keys, vendors, ("wid",), keep) for keep in (True, False))
+    hit = {(r[0], r[1]) for r in wanted}
+    assert sorted(map(tuple, kept.collect())) == sorted((w, k) for w in range(2) for k in words if (w, k) in hit)
+    assert kept.count() + others.count() == keys.count() and "Inner" not in plan(kept)
