@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.frames import block_bytes_of, each_block, materialize, scratch, shard_count, text_blocks, unused, values
+from larkspur.llm.frames import block_bytes_of, each_block, freed_shuffles, materialize, scratch, shard_count, text_blocks, unused, values
 from larkspur.llm.text import Words, cuts, distinct, grams, pack, release, unpack, whole
 
 SPAN = 20
@@ -263,18 +263,24 @@ class FingerprintIndex:
 
     A run counts once a manifest names it, so a job that is lost leaves the index
     as it was; one job at a time may write. Beyond max_runs the smallest runs
-    become one.
+    become one, and go. Disk holds the present runs and what one job needs: a
+    batch's run is written when its exchanges are over, whose files go with them.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, max_runs: int = 8):
         self.spark, self.path, self.span, self.max_runs = spark, path, span, max_runs
 
+    def _file(self, name: str):
+        """The path of a file of the index, and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _manifest(self) -> tuple[int, list[tuple[str, int]]]:
         """The version and the runs (name, text bytes) of the last manifest that was written whole."""
         if not self.path:
             return 0, []
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
-        if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
+        path, files = self._file("manifests")
+        if not files.exists(path):
             return 0, []
         rows = self.spark.read.schema("version long, runs array<struct<name: string, size: long>>").parquet(f"{self.path}/manifests")
         last = rows.agg(F.max_by(F.struct("version", "runs"), "version").alias("m")).first()["m"]
@@ -308,15 +314,14 @@ class FingerprintIndex:
         size = block_bytes_of(blocks)
         shards = shard_count(blocks, SHARD_BYTES, size)
         old = self._manifest()[1]
-        runs = _runs(blocks, shards, span, checks=bool(self.path))
-        if self.path:
-            name = uuid.uuid4().hex
-            runs.write.parquet(f"{self.path}/runs/{name}")
-            runs = self._read([name]).select("shard", "block", "keys", F.lit(None).cast("binary").alias("checks"))
+        runs = _runs(blocks, shards, span, checks=False)
         if old:
             runs = runs.unionByName(_recut(self._read([n for n, _ in old]), shards))
-        hits = materialize(_merge_join(runs))
-        verdicts = materialize(_verdicts(_answers(blocks, hits, shards, span)))
+        with freed_shuffles(self.spark):
+            hits = materialize(_merge_join(runs))
+            verdicts = materialize(_verdicts(_answers(blocks, hits, shards, span)))
+        if self.path:
+            self._add(_runs(blocks, shards, span, checks=True), size)
         keep, kinds = [c for c in docs.columns if c != text], dict(docs.dtypes)
 
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,13 +341,19 @@ class FingerprintIndex:
 
         full = _by_block(blocks, hits.where("block >= 0"), "left").join(verdicts.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("verdicts")), "block", "left")
         out = full.mapInArrow(remove, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>")
-        if self.path:
-            self._publish([*old, (name, size)])
-            self.compact(self.max_runs)
         return out
 
+    def _add(self, run: DataFrame, size: int) -> None:
+        """Writes and publishes a run of so many text bytes; of more than max_runs the smallest become one, before it is written if it is none of them."""
+        if sum(s > size for _, s in self._manifest()[1]) < self.max_runs - 1:
+            self.compact(self.max_runs - 1)
+        name = uuid.uuid4().hex
+        run.write.parquet(f"{self.path}/runs/{name}")
+        self._publish([*self._manifest()[1], (name, size)])
+        self.compact(self.max_runs)
+
     def compact(self, max_runs: int = 1) -> None:
-        """Merges the smallest runs into one until max_runs are left; readers of the old ones are not disturbed."""
+        """Merges the smallest runs into one until max_runs are left, and removes them; what ingest has returned doesn't read them."""
         runs = sorted(self._manifest()[1], key=lambda r: (-r[1], r[0]))
         kept, small = runs[: max_runs - 1], runs[max_runs - 1 :]
         if len(small) < 2:
@@ -360,8 +371,12 @@ class FingerprintIndex:
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([-1], pa.int64()), "keys": pa.array([_ordered(h[new])], pa.binary()), "checks": pa.array([pack(c[new])], pa.binary())})
 
         merged = _recut(self._read([n for n, _ in small]), shards).groupBy("shard").applyInArrow(merge, _RUN_DDL)
-        merged.write.parquet(f"{self.path}/runs/{name}")
+        with freed_shuffles(self.spark):
+            merged.write.parquet(f"{self.path}/runs/{name}")
         self._publish([*kept, (name, size)])
+        for n, _ in small:
+            path, files = self._file(f"runs/{n}")
+            files.delete(path, True)
 
 
 def _kept(words: Words, gone: np.ndarray, row: int) -> tuple[int, int, bytes, list[dict]]:

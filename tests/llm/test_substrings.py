@@ -1,4 +1,6 @@
+import os
 import re
+import time
 
 import numpy as np
 
@@ -93,3 +95,21 @@ def test_batches_are_one_table(spark, tmp_path):
 
 def result_of(df):
     return [(r["doc_id"], r["n_words"], r["n_removed"], " ".join(WORDS.findall(r["kept_text"]))) for r in df.collect()]
+
+
+def test_only_present_runs_stay_on_disk(spark, tmp_path):
+    def shuffled():
+        folders = [d for d in os.walk(spark.sparkContext.getConf().get("spark.local.dir"))]
+        return {f: os.path.getsize(f"{d}/{f}") for d, _, files in folders for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+    rng, before = np.random.default_rng(5), shuffled()
+    docs = [(i, " ".join(rng.integers(0, 10**9, 2000).astype(str))) for i in range(100)]
+    path = f"file://{tmp_path}/index"
+    substrings.in_batches(spark.createDataFrame(docs, "doc_id long, text string"), path)
+    assert sorted(os.listdir(f"{tmp_path}/index/runs")) == sorted(FingerprintIndex(spark, path).runs())
+    for _ in range(100):  # files are removed in the background
+        left = sum(size for f, size in shuffled().items() if f not in before)
+        if left < 50_000:
+            break
+        time.sleep(0.1)
+    assert left < 50_000  # of 1.9 MB of texts and 200,000 windows
