@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.ids import fingerprint
 from larkspur.functions.similarity import is_similar
-from larkspur.functions.tasks import spread
+from larkspur.functions.tasks import dealt, spread
 from larkspur.functions.text import keys_match, norm_code, norm_text, strip_pack_phrases, text_of, vendor_key
 from larkspur.functions.urls import merchant_item_id, normalize_url
 from larkspur.operators.pricing import BIN_RATIO, BIN_REACH, VERIFIED, verified
@@ -157,27 +157,27 @@ def share_identifier(left: DataFrame, right: DataFrame, key: str, codes: str) ->
     return l.join(r, ["code", "part"]).where(~F.arrays_overlap("_l", "_r")).select(f"left_{key}", f"right_{key}")
 
 
-def _starts(keys: DataFrame, vendors: DataFrame, shortest: int, on: tuple[str, ...]) -> tuple[DataFrame, ...]:
+def _starts(keys: DataFrame, vendors: DataFrame, shortest: int, on: tuple[str, ...], parts: int | None) -> tuple[DataFrame, ...]:
     """Distinct keys and vendors that aren't empty; the keys' beginnings as vendor_key, whole ones with them, and the vendors' shorter beginnings as vkey."""
-    a, b = keys.select(*on, "vkey").where("vkey <> ''").distinct(), vendors.select(*on, "vendor_key").where("vendor_key <> ''").distinct()
+    a, b = (dealt(df.select(*on, c).where(f"{c} <> ''"), parts, *on, c).distinct() for df, c in ((keys, "vkey"), (vendors, "vendor_key")))
     whole = F.length("vkey")
     starts = a.select(*on, "vkey", F.explode(F.sequence(F.least(F.lit(shortest), whole), whole)).alias("n")).select(*on, "vkey", F.expr("left(vkey, n)").alias("vendor_key"))
     longer = b.where(F.length("vendor_key") > shortest)
     longer = longer.select(*on, "vendor_key", F.explode(F.sequence(F.lit(shortest), F.length("vendor_key") - 1)).alias("n")).select(*on, "vendor_key", F.expr("left(vendor_key, n)").alias("vkey"))
-    return a, b, starts, longer
+    return a, b, dealt(starts, parts, *on, "vendor_key"), dealt(longer, parts, *on, "vkey")
 
 
-def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4, on: tuple[str, ...] = ()) -> DataFrame:
-    """The pairs (on, vkey, vendor_key) of distinct keys that keys_match, with equal `on`: an equi-join on all beginnings of four characters or more, both ways.
+def match_vendors(keys: DataFrame, vendors: DataFrame, shortest: int = 4, on: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """The pairs (on, vkey, vendor_key) of distinct keys that keys_match, with equal `on`: an equi-join on all beginnings of four characters or more, both ways, in so many parts if given.
 
     A key meets the vendors that it begins with or equals, and those that are longer than it; no pair is both, so none is made twice.
     """
-    a, b, starts, longer = _starts(keys, vendors, shortest, on)
+    a, b, starts, longer = _starts(keys, vendors, shortest, on, parts)
     return starts.join(b, [*on, "vendor_key"]).select(*on, "vkey", "vendor_key").unionByName(longer.join(a, [*on, "vkey"]).select(*on, "vkey", "vendor_key"))
 
 
-def of_vendors(df: DataFrame, vendors: DataFrame, on: tuple[str, ...] = (), keep: bool = True) -> DataFrame:
+def of_vendors(df: DataFrame, vendors: DataFrame, on: tuple[str, ...] = (), keep: bool = True, parts: int | None = None) -> DataFrame:
     """The rows of df (with vkey) whose key matches a vendor_key of vendors, or the others; within equal `on` where given. Null and empty keys match none. No pair is made."""
-    _, b, starts, longer = _starts(df, vendors, 4, on)
+    _, b, starts, longer = _starts(df, vendors, 4, on, parts)
     matched = starts.join(b, [*on, "vendor_key"], "left_semi").select(*on, "vkey").unionByName(longer.select(*on, "vkey"))
-    return df.join(matched, [*on, "vkey"], "left_semi" if keep else "left_anti").select(*df.columns)
+    return dealt(df, parts, *on, "vkey").join(matched, [*on, "vkey"], "left_semi" if keep else "left_anti").select(*df.columns)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions import tasks as dealing
 from larkspur.functions.text import keys_match
 from larkspur.operators import identity, reconcile, sourcing
 from larkspur.plans import offers, sources
@@ -107,3 +108,13 @@ def test_vendors_meet_each_way_once(spark):
     hit = {(r[0], r[1]) for r in wanted}
     assert sorted(map(tuple, kept.collect())) == sorted((w, k) for w in range(2) for k in words if (w, k) in hit)
     assert kept.count() + others.count() == keys.count() and "Inner" not in plan(kept)
+
+
+def test_failed_links_meet_in_more_tasks_as_rows_grow(spark, monkeypatch):
+    wanted = sourcing_plans.stand_ins(spark, SF)
+    assert "REPARTITION_BY_NUM" not in plan(wanted)
+    monkeypatch.setattr(dealing, "TASK_ROWS", 200)
+    parts = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 200)
+    found = sourcing_plans.stand_ins(spark, SF)
+    assert parts > 8 and plan(found).count(f", {parts}), REPARTITION_BY_NUM") >= 6
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
